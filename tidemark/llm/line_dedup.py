@@ -162,8 +162,11 @@ def kept_lines(n_lines: int, packed: bytes) -> np.ndarray:
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
-    """(doc_id, text, n_lines, keep_bitmap) for every row; keep_bitmap is null where all lines stay."""
-    joined = docs.select("doc_id", "text").join(lost_lines(docs, min_docs, min_points), "doc_id", "left")
+    """(doc_id, text, n_lines, keep_bitmap) for every row; keep_bitmap is null where all lines stay.
+
+    The lost lines grow with the documents, so they are merged, never broadcast.
+    """
+    joined = docs.select("doc_id", "text").join(lost_lines(docs, min_docs, min_points).hint("merge"), "doc_id", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +202,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with all its columns, each text without its lost lines."""
     clash = [c for c in docs.columns if c.lower() == "lines"]
     name = "lines" if not clash else "tidemark_lost_lines"
-    joined = docs.join(lost_lines(docs).withColumnRenamed("lines", name), "doc_id", "left").select(*docs.columns, name)
+    joined = docs.join(lost_lines(docs).withColumnRenamed("lines", name).hint("merge"), "doc_id", "left").select(*docs.columns, name)
     at, last = docs.columns.index("text"), len(docs.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
