@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, line_dedup, quality
+from tidemark.llm import language, line_dedup, near_dedup, quality
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(language.training_rows(docs)))
@@ -24,7 +28,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_language_id, op8_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_minhash_near_dedup, op6_language_id, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
