@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, line_dedup, near_dedup, quality
+from tidemark.llm import language, line_dedup, near_dedup, quality, token_counts
 from tidemark.llm.common import table
 
 
@@ -27,8 +27,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_minhash_near_dedup, op6_language_id, op8_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_minhash_near_dedup, op6_language_id, op8_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
