@@ -144,7 +144,7 @@ def relax(v: Vocabulary, chars: np.ndarray, first: np.ndarray, edges: tuple[np.n
     cost = np.ones(len(start), np.int64)
     cost[len(edges[0]) :] = 1 + (chars[unknown] > 0x7F) + (chars[unknown] > 0x7FF) + (chars[unknown] > 0xFFFF)
     depth = start - first[span[start]]
-    order = np.argsort(depth.astype(np.int32), kind="stable")
+    order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 65536 else depth, kind="stable")
     start, length, piece, cost, depth = start[order], length[order], piece[order], cost[order], depth[order]
     origin = start + span[start]
     size = len(chars) + n_spans

@@ -31,12 +31,12 @@ def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by their first depth characters at least, by prefix doubling."""
     _, rank = np.unique(chars, return_inverse=True)
     rank = rank.astype(np.int64) + 1
-    order, k = np.argsort(rank, kind="stable"), 1
+    order, k = np.argsort(rank), 1
     while k < depth:
         after = np.zeros_like(rank)
         after[:-k] = rank[k:]
         keys = rank * (len(rank) + 2) + after
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ordered = keys[order]
         rank = np.empty_like(rank)
         rank[order] = 1 + np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -81,7 +81,7 @@ def _piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffix_edges(path: str, chars: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, length, piece) of every piece that occurs within a span, sorted by position."""
+    """(position, length, piece) of every piece that occurs within a span; relax() sorts them by position in the span."""
     table, lengths, ids = _piece_table(path)
     order = suffix_array(chars, table.shape[1])
     lo, hi = _ranges(chars, order, table, lengths)
@@ -90,9 +90,7 @@ def suffix_edges(path: str, chars: np.ndarray, limit: np.ndarray) -> tuple[np.nd
     inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
     at, size = order[lo[which] + inner], lengths[which]
     inside = at + size <= limit[at]
-    at, size, piece = at[inside], size[inside], ids[which[inside]]
-    by_position = np.argsort(at, kind="stable")
-    return at[by_position], size[by_position], piece[by_position]
+    return at[inside], size[inside], ids[which[inside]]
 
 
 @functools.lru_cache(2)
@@ -121,7 +119,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 8 << 20):
+            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 3 << 19):
                 ids, sizes = encode_rows(path, buf, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["doc_id", "text", "ids"])
@@ -161,7 +159,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 4 << 20):
+            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 3 << 19):
                 ids, sizes = encode_rows(path, buf, offsets)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
                 narrow = ids.astype("<u4").tobytes()

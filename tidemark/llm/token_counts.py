@@ -73,7 +73,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
-            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 8 << 20):
+            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 2 << 20):
                 table, at, starts, rows, leads = _span_counts(path, buf, offsets)
                 totals = _long_spans(table, at, path, buf, starts, offsets)
                 n_tokens = np.bincount(rows, totals, hi - lo).astype(np.int64)
