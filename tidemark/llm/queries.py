@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, line_dedup, near_dedup, piece_codec, quality, token_counts
+from tidemark.llm import language, line_dedup, near_dedup, piece_codec, quality, token_counts, token_store
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read_back(spark, token_store.write(table(spark, sf_dir, "documents")))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op8_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op8_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
