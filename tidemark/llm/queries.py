@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, line_dedup, near_dedup, piece_codec, quality, token_counts, token_store
+from tidemark.llm import html_extract, language, line_dedup, near_dedup, piece_codec, quality, token_counts, token_store
 from tidemark.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op8_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op8_line_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
