@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_extract, language, line_dedup, near_dedup, piece_codec, quality, token_counts, token_store
+from tidemark.llm import exact_search, html_extract, language, line_dedup, near_dedup, packing, piece_codec, quality, token_counts, token_store
 from tidemark.llm.common import table
 
 
@@ -35,17 +35,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(language.training_rows(docs)))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op8_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op7_exact_top_k, op8_line_dedup, op9_best_fit_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op7_exact_top_k": exact_search.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
