@@ -27,8 +27,8 @@ def hysteresis(rows: DataFrame, key: str, order: str, high: Column, low: Column,
     )
     groups = groups.withColumn("ends", F.coalesce(F.col("last_low") - F.col("end_at") >= min_silence, F.lit(False)))
     before = F.lag("ends").over(Window.partitionBy(key).orderBy("__grp"))
-    starts = F.coalesce(before, F.lit(True))
-    events = F.array(F.struct(starts.alias("is"), F.lit("start").alias("event"), F.col("start_at").alias("at")), F.struct(F.col("ends").alias("is"), F.lit("end").alias("event"), F.col("end_at").alias("at")))
+    groups = groups.withColumn("starts", F.coalesce(before, F.lit(True)))
+    events = F.array(F.struct(F.col("starts").alias("is"), F.lit("start").alias("event"), F.col("start_at").alias("at")), F.struct(F.col("ends").alias("is"), F.lit("end").alias("event"), F.col("end_at").alias("at")))
     return groups.select(key, F.explode(F.filter(events, lambda e: e["is"])).alias("e")).select(key, "e.event", "e.at")
 
 

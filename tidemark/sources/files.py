@@ -56,12 +56,18 @@ def id_lines(lines: DataFrame, ext: str = "", prefix: str = "") -> DataFrame:
     return parts.select((F.concat_ws("/", F.lit(prefix), F.substring("id", 7, 5), name) if prefix else name).alias("audio_path"), "text")
 
 
+def why_skipped(line: Column | str) -> Column:
+    """Why a tab-separated line doesn't count: blank, comment, short or empty; null if it does."""
+    line = F.col(line) if isinstance(line, str) else line
+    cells = F.split(line, "\t")
+    hollow = (strip(F.element_at(cells, 1)) == "") | (strip(F.element_at(cells, -1)) == "")
+    return F.when(strip(line) == "", "blank").when(line.rlike(r"^\s*#"), "comment").when(F.size(cells) < 2, "short").when(hollow, "empty")
+
+
 def tab_lines(lines: DataFrame) -> DataFrame:
-    """(name, text, skipped) of tab-separated lines, by first and last column. skipped tells why a line doesn't count: blank, comment, short or empty."""
+    """(name, text, skipped) of tab-separated lines, by first and last column."""
     cells = F.split("value", "\t")
-    name, text = strip(F.element_at(cells, 1)), strip(F.element_at(cells, -1))
-    why = F.when(strip("value") == "", "blank").when(F.col("value").rlike(r"^\s*#"), "comment").when(F.size(cells) < 2, "short").when((name == "") | (text == ""), "empty")
-    return lines.select(name.alias("name"), text.alias("text"), why.alias("skipped"))
+    return lines.select(strip(F.element_at(cells, 1)).alias("name"), strip(F.element_at(cells, -1)).alias("text"), why_skipped("value").alias("skipped"))
 
 
 def indexed(rows: DataFrame, name: str, order: str, start: int = 0, from_name: bool = True) -> DataFrame:
