@@ -13,6 +13,11 @@ _BEFORE = np.zeros(256, bool)
 _BEFORE[[0xC2, 0x80, 0x81, 0x9A]] = True
 
 
+def may_end_space(last: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """May these two bytes end a white-space character beyond ASCII?"""
+    return _LAST[last] & _BEFORE[earlier]
+
+
 def space_spans(buf: np.ndarray, offsets: np.ndarray, after_any: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, rows, leads) of spans that tile each row: a new one begins at each space that follows something
     other than white space (other than a space, if after_any). leads: is it the row's first."""
@@ -25,7 +30,7 @@ def space_spans(buf: np.ndarray, offsets: np.ndarray, after_any: bool = False) -
             cut = space & (before != 32)
         else:
             earlier = np.concatenate(([32, 32], buf[:-2]))[:n]
-            cut = space & (before > 32) & ~(_LAST[before] & _BEFORE[earlier])
+            cut = space & (before > 32) & ~may_end_space(before, earlier)
         first = offsets[:-1][offsets[:-1] < offsets[1:]]
         cut[first] = True
     starts = np.flatnonzero(cut)
@@ -53,11 +58,11 @@ class SpanTable:
         return np.where(self.keys[k] == keys, k, -1)
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
+        """keys: new and sorted."""
         at = len(self.values) + np.cumsum(sizes) - sizes
-        self.keys, self.at, self.size = np.concatenate((self.keys, keys)), np.concatenate((self.at, at)), np.concatenate((self.size, sizes))
         self.values = np.concatenate((self.values, values.astype(np.uint16)))
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.at, self.size = self.keys[order], self.at[order], self.size[order]
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, sizes)
 
     def resolve(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, leads: np.ndarray | None, missing) -> np.ndarray:
         """Table index of each span; missing(span numbers) -> (sizes, values) for spans that it doesn't know."""

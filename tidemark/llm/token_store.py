@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, rolling, shared_folder
-from tidemark.llm.spans_table import SpanTable, space_spans
+from tidemark.llm.spans_table import SpanTable, may_end_space, space_spans
 
 END_ID = 2
 WINDOW, MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 16, 256, 64, 1024
@@ -45,46 +45,53 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # each text is given to it once; the table below is the cache
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.size, np.int64)
         for text, k in vocab.items():
             self.n_bytes[k] = len(text)  # one character stands for one byte
-        self.table = SpanTable(350_000)
+        self.table = SpanTable(700_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _missing(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Spans are joined to long texts, as their encodings don't depend on each other; odd ones go alone."""
-        raw, sizes = buf.tobytes(), np.zeros(len(starts), np.int64)
-        plain = (buf[starts] == 32) & (buf[ends - 1] > 32) & (buf[ends - 1] < 128)
-        texts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        out: list[list[int] | np.ndarray | None] = [None] * len(texts)
-        joined = np.flatnonzero(plain)
-        width = ends - starts
+    def _missing(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans are joined to long texts, as their encodings don't depend on each other, and parted by their bytes; odd ones go alone."""
+        raw, width = buf.tobytes(), ends - starts
+        last, earlier = buf[ends - 1], buf[np.maximum(ends - 2, 0)]
+        plain = (buf[starts] == 32) & (width > 1) & (last > 32) & ~may_end_space(last, earlier)
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
         groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
-        alone = np.flatnonzero(~plain).tolist()
-        for group, ids in zip(groups, self._encode(["".join([texts[k] for k in g.tolist()]) for g in groups]), strict=True):
-            ids = np.array(ids)
-            upto = np.cumsum(self.n_bytes[ids])
-            edges = np.cumsum(width[group])
+        bounds = [(starts[g].tolist(), ends[g].tolist()) for g in groups]
+        texts = [b"".join([raw[s:e] for s, e in zip(*x, strict=True)]).decode() for x in bounds]
+        sizes, order, parts = np.zeros(len(starts), np.int64), [], []
+        for group, ids in zip(groups, self._encode(texts), strict=True):
+            ids = np.array(ids, np.int64)
+            upto, edges = np.cumsum(self.n_bytes[ids]), np.cumsum(width[group])
             at = np.searchsorted(upto, edges)
             if len(upto) and upto[-1] == edges[-1] and (upto[at] == edges).all():
-                for k, part in zip(group.tolist(), np.split(ids, at[:-1] + 1), strict=True):
-                    out[k] = part
+                sizes[group] = np.diff(at, prepend=-1)
+                order.append(group)
+                parts.append(ids)
             else:
                 alone += group.tolist()
-        for k, ids in zip(alone, self._encode([texts[k] for k in alone]), strict=True):
-            out[k] = np.array(ids, np.int64)
-        sizes = np.array([len(x) for x in out])
-        return sizes, np.concatenate(out) if out else np.zeros(0, np.int64)
+        for k, ids in zip(alone, self._encode([raw[starts[k] : ends[k]].decode() for k in alone]), strict=True):
+            sizes[k] = len(ids)
+            order.append([k])
+            parts.append(ids)
+        out = np.zeros(int(sizes.sum()), np.int64)
+        if parts:
+            order, values = np.concatenate(order), np.concatenate(parts)
+            n = sizes[order]
+            out[np.repeat((np.cumsum(sizes) - sizes)[order] - (np.cumsum(n) - n), n) + np.arange(len(values))] = values
+        return sizes, out
 
     def rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids with an end id after each row, number of ids of each row)."""
         n = len(offsets) - 1
         starts, ends, rows, _ = space_spans(buf, offsets)
-        at = self.table.resolve(buf, starts, ends, None, lambda w: self._missing(buf, starts[w], ends[w], None))
+        at = self.table.resolve(buf, starts, ends, None, lambda w: self._missing(buf, starts[w], ends[w]))
         ids, which = self.table.expand(at)
         row = rows[which]
         sizes = np.bincount(row, minlength=n) + 1
