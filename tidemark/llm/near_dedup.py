@@ -290,3 +290,19 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that represent their component; of equal doc_ids all stay."""
     verdict = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: For DuckDB, over whole documents.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+each AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared s JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * s.n >= 85 * (p.n + q.n - s.n)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reached.doc_id, ways.y FROM reached JOIN ways ON ways.x = reached.r)
+SELECT s.doc_id, s.n AS n_shingles, min(r.r) AS component_id, min(r.r) = s.doc_id AS kept FROM sizes s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+"""
