@@ -201,3 +201,31 @@ def test_latencies(spark):
     df = spark.createDataFrame([("s", 0, 9.0, 0.0, True), ("s", 1, 3.0, 1.0, False), ("s", 2, 8.0, 4.0, False)], "s string, k int, e double, r double, w boolean")
     assert rows_of(evaluate.latencies(df, "s", "e", "r", "k", "w")) == [("s", 2.0, 4.0)]
     assert spark.range(1).select(evaluate.corrected_latency(F.lit(5.0), F.lit(4.0), F.lit(3))).first()[0] == pytest.approx(2.0)
+
+
+def test_options(tmp_path):
+    from tidemark.plans import config
+
+    options = config.DecodeOptions(beam_size=4, patience=1.5)
+    config.save(options, str(tmp_path / "o.json"))
+    assert config.load(config.DecodeOptions, str(tmp_path / "o.json")) == options and options.max_candidates == 6
+    for bad in ({"beam_size": 2, "best_of": 2}, {"patience": 1.0}, {"length_penalty": 2.0}):
+        with pytest.raises(ValueError):
+            config.DecodeOptions(**bad)
+    with pytest.raises(ValueError):
+        config.StreamOptions(min_chunk=0)
+
+
+def test_cleared_and_nested_summary(spark):
+    rows = spark.createDataFrame([(0.0, 1.0, "a", [1]), (1.0, 1.0, "b", [2]), (1.0, 2.0, " ", [3])], "start double, end double, text string, tokens array<int>")
+    assert rows_of(select.cleared(rows), "text", "tokens") == [("", []), ("", []), ("a", [1])]
+    pairs = spark.createDataFrame([("x", "a b", "a b", True), ("y", "q", None, False)], "file string, reference string, generated string, is_matched boolean")
+    got = evaluate.summary(pairs, evaluate.metric_rows(pairs, F.lit("en")), per_file=True).first()
+    assert (got["total_files"], got["matched_files"], [r["file"] for r in got["per_file_results"]]) == (2, 1, ["x"])
+
+
+def test_counted(spark):
+    from tidemark.sources.files import counted
+
+    rows, seen = counted(spark.range(10), "c", odd=F.col("id") % 2 == 1)
+    assert rows.count() == 10 and seen.get == {"rows": 10, "odd": 5}

@@ -39,12 +39,16 @@ def with_latencies(metrics: DataFrame, latencies: DataFrame) -> DataFrame:
     return metrics.join(latencies.select("file", ms("first_token_latency"), ms("last_token_latency")), "file", "left")
 
 
-def summary(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row: counts, macro averages (0 without a match), mean latencies (null without one), and all metric rows."""
-    counts = pairs.agg(F.count("*").alias("total_files"), F.count_if("is_matched").alias("matched_files"), F.count_if(~F.col("is_matched")).alias("unmatched_files"))
-    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"average_{c}") for c in ("cer", "mer")]
-    means += [F.avg(f"{c}_token_latency_ms").alias(f"average_{c}_token_latency_ms") for c in ("first", "last") if f"{c}_token_latency_ms" in metrics.columns]
-    return counts.crossJoin(metrics.agg(*means))  # one row each
+def summary(pairs: DataFrame, metrics: DataFrame, per_file: bool = False) -> DataFrame:
+    """One row: counts, macro averages (0 without a match), mean latencies (null without one); with per_file all metric rows in it."""
+    late = [c for c in ("first_token_latency_ms", "last_token_latency_ms") if c in metrics.columns]
+    marks = pairs.select("is_matched", F.lit(None).cast("string").alias("file"))
+    rows = marks.unionByName(metrics, allowMissingColumns=True)
+    out = [F.count("is_matched").alias("total_files"), F.count_if("is_matched").alias("matched_files"), F.count_if(~F.col("is_matched")).alias("unmatched_files")]
+    out += [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"average_{c}") for c in ("cer", "mer")] + [F.avg(c).alias(f"average_{c}") for c in late]
+    if per_file:
+        out.append(F.array_sort(F.collect_list(F.when(F.col("file").isNotNull(), F.struct(*metrics.columns)))).alias("per_file_results"))
+    return rows.agg(*out)
 
 
 def point_lookup(references: DataFrame, file: str) -> DataFrame:

@@ -86,13 +86,19 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 21) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
-def dealt(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """rows with `worker`, dealt in turn by order. Ranks come from range-partition counts, not from one task."""
-    parts = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    inside = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
+def ranked(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """rows with their place in order, from 0. Places come from range partitions and their counts, so no task sees all rows."""
+    parts = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    inside = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
+    # One row for each partition.
     upto = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return inside.join(F.broadcast(upto), "__p").withColumn("worker", F.pmod(F.col("__k") - 1 + F.col("__before"), F.lit(n)).cast("int")).drop("__p", "__k", "__before")
+    return inside.join(F.broadcast(upto), "__p").withColumn(name, F.col("__k") + F.col("__before")).drop("__p", "__k", "__before")
+
+
+def dealt(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """rows with `worker`, dealt in turn by order."""
+    return ranked(rows, order, "__place").withColumn("worker", F.pmod("__place", F.lit(n)).cast("int")).drop("__place")
 
 
 def collated(rows: DataFrame, batch: str, ids: str, prompt_length: str, pad: int, ignore: int = -100) -> DataFrame:
@@ -111,4 +117,4 @@ def not_processed(rows: DataFrame, done: DataFrame, key: Column, done_key: Colum
     return rows.withColumn("__k", key).join(done.select(done_key.alias("__k")).distinct(), "__k", "left_anti").drop("__k")
 
 
-__all__ = ["best_offset", "collated", "continuation", "correction_samples", "dealt", "drop_blank", "instruction_rows", "not_processed", "python_slice", "repeated", "sample", "split", "weighted_union"]
+__all__ = ["best_offset", "collated", "continuation", "correction_samples", "dealt", "drop_blank", "instruction_rows", "not_processed", "python_slice", "ranked", "repeated", "sample", "split", "weighted_union"]

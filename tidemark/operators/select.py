@@ -86,3 +86,13 @@ def carried_from(rows: DataFrame, key: str, order: str, temperature: str, condit
         reset = reset | ~conditioned
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("__r", F.when(reset, F.col(order) + 1)).withColumn("prompt_from", F.coalesce(F.max("__r").over(before), F.lit(0))).drop("__r")
+
+
+def cleared(segments: DataFrame) -> DataFrame:
+    """Segments without duration or text keep their place but lose text, tokens and words."""
+    hollow = (F.col("start") == F.col("end")) | (F.trim("text") == "")
+    out = segments.withColumn("__hollow", hollow)
+    for c in ("tokens", "words"):
+        if c in segments.columns:
+            out = out.withColumn(c, F.when(F.col("__hollow"), F.array().cast(segments.schema[c].dataType)).otherwise(F.col(c)))
+    return out.withColumn("text", F.when(F.col("__hollow"), "").otherwise(F.col("text"))).drop("__hollow")

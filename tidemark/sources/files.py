@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from tidemark import schemas
 from tidemark.functions.arrays import decode_wav
 from tidemark.functions.text import base_name, extension, first_integer, strip
 from tidemark.operators.evaluate import dual_keyed
+from tidemark.operators.prepare import ranked
 
 YUE_ONLY_SUFFIX = "wsyue_asr_eval.json"
 
@@ -72,10 +73,15 @@ def tab_lines(lines: DataFrame) -> DataFrame:
 
 def indexed(rows: DataFrame, name: str, order: str, start: int = 0, from_name: bool = True) -> DataFrame:
     """rows with `index`: the first number in the name, else the row's place in order."""
-    from pyspark.sql import Window
+    placed = ranked(rows, order, "__place")
+    place = F.col("__place") + start
+    return placed.withColumn("index", F.coalesce(first_integer(name), place) if from_name else place).drop("__place")
+
 
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1 + start
-    return rows.withColumn("index", F.coalesce(first_integer(name), place) if from_name else place)
+def counted(rows: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """rows, and an observation that has the number of rows for each condition once an action has run: counters without a second pass."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in conditions.items())), seen
 
 
 def parquet_with_blob(spark: SparkSession, path: str, blob: str = "audio") -> tuple[DataFrame, DataFrame]:

@@ -119,6 +119,11 @@ def packets(text: Column | str, size: int = PACKET, pad: bool = False) -> Column
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: filled(part(k)))
 
 
+def write_iterations(rows: DataFrame, path: str) -> None:
+    """Texts of each segment's iterations, in a folder for each."""
+    rows.select("segment", "iteration", F.col("text").alias("value")).write.partitionBy("segment", "iteration").text(path)
+
+
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
     "txt": lambda segments, path: text_lines(segments).write.text(path),
     "tsv": lambda segments, path: tsv_rows(segments).write.option("sep", "\t").option("header", True).csv(path),
