@@ -25,7 +25,7 @@ from tidemark.llm.common import lower_ascii, owner, pieces, word_spans
 #: The sample's bound: so many rows of each language at most, in the mean, chosen by a hash of doc_id.
 SAMPLE_ROWS_PER_LANG = 4000
 #: At most so many languages, the most frequent ones, are learned.
-MAX_LANGS = 200
+MAX_LANGS = 50
 GRAMS = ((2, 1 << 14), (3, 1 << 16), (4, 1 << 17))
 SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
