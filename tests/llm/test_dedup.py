@@ -14,7 +14,7 @@ def shingle_set(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, near=85):
     """rows: (doc_id, text) -> {doc_id: component}"""
     sets = {i: shingle_set(t) for i, t in rows}
     parent = {i: i for i in sets}
@@ -28,15 +28,15 @@ def brute_components(rows):
     for k, a in enumerate(ids):
         for b in ids[:k]:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+            if 100 * both >= near * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return sets, {i: root(i) for i in sets}
 
 
-def check_near(spark, rows):
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    sets, comp = brute_components(rows)
+def check_near(spark, rows, near=85):
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near).collect()
+    sets, comp = brute_components(rows, near)
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), comp[r["doc_id"]], comp[r["doc_id"]] == r["doc_id"])
@@ -55,9 +55,10 @@ def test_near_copies_of_many_kinds(spark):
     rows = [(10 * k, edited(base, n, rng)) for k, n in enumerate([0, 0, 1, 1, 2, 2, 3, 3, 3, 4, 4, 5, 6, 8, 12] * 6)]
     rows += [(1001 + k, " ".join(f"x{rng.randrange(500)}" for _ in range(rng.randrange(1, 40)))) for k in range(60)]
     check_near(spark, rows)
+    check_near(spark, rows, 80)
 
 
-def test_large_bucket_goes_through_hubs_and_blocks(spark, monkeypatch):
+def test_large_bucket_goes_through_hubs_and_blocks(spark):
     """A chain: each text is near the next alone, so no hub links them all."""
     rng = random.Random(6)
     now, rows = [f"w{k}" for k in range(120)], []
@@ -93,7 +94,7 @@ def test_settling_in_blocks_finds_links_of_other_components():
     a = np.arange(100, dtype=np.uint64)
     sets = [a, a[:95], np.arange(1000, 1100, dtype=np.uint64)]
     rows = pd.DataFrame({"doc_id": [1, 2, 3], "comp": [1, 2, 3], "todo": [False, True, True], "shingles": [x.tobytes() for x in sets]})
-    assert near_dedup._settle((0, 0, 0), rows).values.tolist() == [[2, 1]]
+    assert near_dedup._settle(rows, 85).values.tolist() == [[2, 1]]
 
 
 def test_odd_sketches_estimate(spark):
@@ -103,7 +104,7 @@ def test_odd_sketches_estimate(spark):
         x, y = np.sort(values[:1000]), np.sort(values[1000 - shared : 2000 - shared])
         _, sketches = near_dedup.signatures(np.concatenate((x, y)), np.array([0, 1000]))
         far = int(np.bitwise_count(sketches[0] ^ sketches[1]).sum())
-        assert far == 0 if shared == 1000 else far <= near_dedup.MAX_DIFFERENT_BITS
+        assert far == 0 if shared == 1000 else far <= near_dedup.max_different_bits(85)
 
 
 @pytest.mark.parametrize("n", [2, 50])

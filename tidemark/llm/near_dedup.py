@@ -1,6 +1,6 @@
 """MinHash near-dedup with odd sketches (operator 5).
 
-1. Every document gets its set's size and 128-bit hash, 25 bands of 5 MinHash values, and an odd sketch: the samples
+1. Every document gets its set's size and 128-bit hash, bands of 5 MinHash values (25 at 0.85), and an odd sketch: the samples
    folded into a parity bitmap, whose XOR population count estimates high similarities well. Equal sets are one class.
 2. Class representatives meet in range-partitioned band buckets. Sketches reject pairs that are certainly below the
    threshold. A small bucket gives its remaining pairs, a large one gives two links a row: to the best hub of its
@@ -18,6 +18,7 @@ get equal results; ties in component ids cannot occur; other columns play no par
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +31,30 @@ from tidemark.llm.common import lower_ascii, mix, owner, pieces, rolling, span_h
 from tidemark.llm.graph import components
 
 WORDS = 5
-BANDS, ROWS = 25, 5
+ROWS = 5
 SKETCH_BITS = 512
-#: 100 * intersection >= NEAR * union.
+#: 100 * intersection >= near * union.
 NEAR = 85
-#: Two sketches of a pair at the threshold differ in at most so many bits, but for one case in 10^11: 47 of 125
-#: samples differ (mean 19, deviation 4), and each flips one bit in either sketch.
-MAX_DIFFERENT_BITS = 94
+#: A pair at the threshold shares no band with at most this probability; that sets the number of bands.
+MISSED = 4.5e-7
 #: Buckets above this size, and those that cross a partition's edge, are linked by hubs and settled in blocks.
 SMALL_BUCKET = 24
 BLOCK = 512
 PAIR_BLOCK = 256
 
-_A = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def n_bands(near: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log1p(-((near / 100) ** ROWS)))
+
+
+def max_different_bits(near: int) -> int:
+    """Sketches of a pair at the threshold differ in more bits in about one case in 10^11: seven deviations above the mean number of
+    samples that differ, each of which flips one bit in either sketch."""
+    n, p = n_bands(near) * ROWS, 1 - near / 100
+    return 2 * int(n * p + 7 * math.sqrt(n * p * (1 - p)))
+
+
+_A = np.random.default_rng(5).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -71,16 +83,16 @@ def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[at], rows[at]
 
 
-def signatures(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (n, BANDS) and odd sketches (n, bytes) of n non-empty sets that begin at first."""
-    n = len(first)
-    samples = np.empty((n, BANDS * ROWS), np.uint64)
-    for k, a in enumerate(_A):
+def signatures(values: np.ndarray, first: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (n, bands) and odd sketches (n, bytes) of n non-empty sets that begin at first."""
+    n, width = len(first), n_bands(near)
+    samples = np.empty((n, width * ROWS), np.uint64)
+    for k, a in enumerate(_A[: width * ROWS]):
         samples[:, k] = np.minimum.reduceat(values * a, first)
-    bands = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    bands = np.zeros((n, width), np.uint64) + np.arange(width, dtype=np.uint64)
     for k in range(ROWS):
         bands = mix(bands + samples[:, k::ROWS])
-    bits = (mix(samples + np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits = (mix(samples + np.arange(width * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)).astype(np.int64)
     flips = np.bincount((bits + np.arange(n)[:, None] * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS)
     return bands, np.packbits((flips & 1).astype(np.uint8), axis=1)
 
@@ -90,7 +102,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+    width = n_bands(near)
     for batch in batches:
         for lo, hi, buf, offsets in pieces(batch.column(1), 1 << 20):
             values, rows = shingles(buf, offsets)
@@ -98,20 +111,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount(rows, minlength=n)
             full = np.flatnonzero(counts)
             s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            bands, sketch = np.zeros((n, BANDS), np.uint64), np.zeros((n, SKETCH_BITS // 8), np.uint8)
+            bands, sketch = np.zeros((n, width), np.uint64), np.zeros((n, SKETCH_BITS // 8), np.uint8)
             if len(full):
                 first = (np.cumsum(counts) - counts)[full]
                 s1[full], s2[full] = np.add.reduceat(values, first), np.add.reduceat(mix(values), first)
-                bands[full], sketch[full] = signatures(values, first)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
+                bands[full], sketch[full] = signatures(values, first, near)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(bands.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(counts, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists, _binary(sketch)], names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
 
 _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a pair to confirm; kind 1: row a is in the large bucket b."""
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: a pair to confirm; kind 1: row a is in the large bucket b. limit: bits by which sketches of a pair may differ."""
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -130,7 +143,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             far = np.zeros((n, n), np.int64)
             for k in range(bits.shape[1]):
                 far += np.bitwise_count(bits[:, k, None] ^ bits[None, :, k])
-            near = far <= MAX_DIFFERENT_BITS
+            near = far <= limit
             if not large:
                 i, j = np.nonzero(np.triu(near, 1))
                 out.append((0, block[i], block[j]))
@@ -192,24 +205,24 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
-def is_near(x: np.ndarray, y: np.ndarray) -> bool:
+def is_near(x: np.ndarray, y: np.ndarray, near: int = NEAR) -> bool:
     if len(x) > len(y):
         x, y = y, x
-    if 100 * len(x) < NEAR * len(y):
+    if 100 * len(x) < near * len(y):
         return False
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * both >= NEAR * (len(x) + len(y) - both)
+    return 100 * both >= near * (len(x) + len(y) - both)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(k).to_pylist()] for k in (2, 3))
-        ok = pa.array(np.array([is_near(a, b) for a, b in zip(x, y, strict=True)], bool))
+        ok = pa.array(np.array([is_near(a, b, near) for a, b in zip(x, y, strict=True)], bool))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
 
-def _settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _settle(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Links between the rows to settle and the others of two blocks: a spanning forest over their components."""
     sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
     sizes = np.array([len(x) for x in sets])
@@ -222,7 +235,7 @@ def _settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         has = np.zeros((len(sets), 4096), np.float32)
         has[owners[mine], ids[mine] - lo] = 1
         both += has @ has.T
-    near = 100 * both.astype(np.int64) >= NEAR * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    near = 100 * both.astype(np.int64) >= threshold * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
     comp, doc, todo = rows["comp"].to_numpy(), rows["doc_id"].to_numpy(), rows["todo"].to_numpy()
     parent: dict[int, int] = {}
 
@@ -240,7 +253,7 @@ def _settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _left_over(members: DataFrame, mapping: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _left_over(members: DataFrame, mapping: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """Links that hubs have missed in large buckets. members: (a: row, b: bucket)."""
     groups = components(members).join(members.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     rows = written(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("grp")).join(mapping.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "grp", F.coalesce("root", "doc_id").alias("comp")))
@@ -255,29 +268,29 @@ def _left_over(members: DataFrame, mapping: DataFrame, sets: DataFrame) -> DataF
     # A row to settle meets the others of its own block pair once only: as one to settle.
     met = other.select("doc_id", "grp", "comp", "todo", F.col("v").cast("long").alias("v"), "u").unionByName(settle.select("doc_id", "grp", "comp", "todo", "v", "u"))
     met = met.groupBy("doc_id", "grp", "comp", "v", "u").agg(F.max("todo").alias("todo"))
-    return met.join(sets, "doc_id").groupBy("grp", "v", "u").applyInPandas(_settle, "a long, b long")
+    return met.join(sets, "doc_id").groupBy("grp", "v", "u").applyInPandas(lambda pdf: _settle(pdf, near), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
+def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of docs. near: the similarity from which texts are linked, in per cent."""
     docs = docs.select("doc_id", "text")
-    signed = written(docs.mapInArrow(_sign, _SIGNED))
+    signed = written(docs.mapInArrow(lambda b: _sign(b, near), _SIGNED))
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = real.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = reps.select(F.explode("bands").alias("band"), "doc_id", "sketch").repartitionByRange(parts, "band", "doc_id").sortWithinPartitions("band", "doc_id")
-    found = written(banded.mapInArrow(_bucket_pairs, "kind int, a long, b long").distinct())
+    found = written(banded.mapInArrow(lambda b: _bucket_pairs(b, max_different_bits(near)), "kind int, a long, b long").distinct())
     pairs, members = found.where("kind = 0 AND a <> b").select("a", "b"), found.where("kind = 1").select("a", "b")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("a")).distinct()
     texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_shingle_rows, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = written(full.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"))
+    links = written(full.select("a", "b", "x", "y").mapInArrow(lambda b: _confirm(b, near), "a long, b long"))
     mapping = components(links)
     if not members.isEmpty():
-        more = written(_left_over(members, mapping, sets))
+        more = written(_left_over(members, mapping, sets, near))
         if not more.isEmpty():
             mapping = components(links.unionByName(more))
     near = classes.join(mapping.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component"))
@@ -286,9 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """The rows of docs, with all their columns, that represent their component; of equal doc_ids all stay."""
-    verdict = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    verdict = near_duplicates(docs, near).where("NOT kept").select("doc_id").distinct()
     return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -101,7 +101,7 @@ class Vocabulary:
                 known = self.merge(self.pieces[t]) == [self.pieces[t]]
             else:
                 known = self.merge(self.pieces[u] + self.pieces[t]) == [self.pieces[u], self.pieces[t]]
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
