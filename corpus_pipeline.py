@@ -20,8 +20,12 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return line_dedup.deduplicated(docs)
 
 
+#: Texts of this similarity or more, in per cent, are near-duplicates in the pipeline.
+NEAR = 80
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep(docs)
+    return near_dedup.keep(docs, NEAR)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
