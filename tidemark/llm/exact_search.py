@@ -30,7 +30,9 @@ from tidemark.llm.common import written
 K = 20
 SCALE = 64
 TREE_ROWS, QUERY_ROWS = 4096, 1024
-LEAF, FANOUT = 128, 16
+LEAF, FANOUT = 256, 16
+#: So many steps each query takes alone before nodes are opened for all queries together.
+OWN_STEPS = 4
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -123,40 +125,54 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -
     dot = np.zeros((m, len(tree.leaf)))
     dot[:, 0] = q @ tree.centre[0]
     bound[:, 0] = dot[:, 0] + norm * tree.radius[0]
-    active = np.arange(m)
-    safe = lambda x: x + 1e-9 * np.abs(x) + 1e-6
-    while len(active):
-        node = bound[active].argmax(1)
-        alive = safe(bound[active, node]) >= best[active, -1]
-        alive &= bound[active, node] > -np.inf
-        active, node = active[alive], node[alive]
-        for n in np.unique(node).tolist():
-            who = active[node == n]
-            bound[who, n] = -np.inf
-            lo, hi = tree.lo[n], tree.hi[n]
-            if tree.leaf[n]:
-                # Rows lie by falling distance: those beyond a point can't reach the k-th best of any of these queries.
-                reach = safe(dot[who, n][:, None] + norm[who][:, None] * tree.apart[lo:hi][None, :]) >= best[who, -1][:, None]
-                many = int(reach.any(0).nonzero()[0].max(initial=-1)) + 1
-                if not many:
-                    continue
-                score = _products(queries[who], tree.vectors[lo : lo + many])
-                ids = tree.ids[lo : lo + many]
-                score[ids[None, :] == query_ids[who][:, None]] = LOWEST
-                better = (score >= best[who, -1][:, None]).any(1)
-                who, score = who[better], score[better]
-                if len(who):
-                    both, names = np.concatenate((best[who], score), 1), np.concatenate((best_ids[who], np.broadcast_to(ids, score.shape)), 1)
-                    names = np.where(both == LOWEST, np.iinfo(np.int64).max, names)
-                    order = np.lexsort((names, ~both), axis=1)[:, :k]
-                    best[who], best_ids[who] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-            else:
-                above = dot[who, n][:, None] + norm[who][:, None] * (tree.to_parent[lo:hi] + tree.radius[lo:hi])[None, :]
-                far = (safe(above) >= best[who, -1][:, None]).any(0)
-                children = lo + np.flatnonzero(far)
-                dot[np.ix_(who, children)] = found = q[who] @ tree.centre[children].T
-                bound[np.ix_(who, children)] = np.minimum(found + norm[who][:, None] * tree.radius[children][None, :], above[:, far])
-    return best_ids, best
+    safe = lambda x: x + np.where(np.isfinite(x), 1e-9 * np.abs(x) + 1e-6, 0)
+
+    def absorb(who: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Takes scores (who, ids) that reach a query's k-th best into its list."""
+        score[ids[None, :] == query_ids[who][:, None]] = LOWEST
+        row, column = np.nonzero((score >= best[who, -1][:, None]) & (score > LOWEST))
+        if not len(row):
+            return
+        touched = np.unique(who[row])
+        rows = np.concatenate((np.repeat(touched, k), who[row]))
+        scores = np.concatenate((best[touched].ravel(), score[row, column]))
+        names = np.concatenate((best_ids[touched].ravel(), ids[column]))
+        order = np.lexsort((names, ~scores, rows))
+        rows, scores, names = rows[order], scores[order], names[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        top = place < k
+        best[rows[top], place[top]], best_ids[rows[top], place[top]] = scores[top], names[top]
+
+    def open_node(n: int, who: np.ndarray) -> None:
+        bound[who, n] = -np.inf
+        lo, hi = tree.lo[n], tree.hi[n]
+        if tree.leaf[n]:
+            # Rows lie by falling distance: those beyond a point can't reach the k-th best of any of these queries.
+            slack = (safe(dot[who, n]) - best[who, -1].astype(np.float64)) / np.maximum(norm[who], 1e-12)
+            many = int(np.searchsorted(-tree.apart[lo:hi], slack.max() + 1e-6, "right")) if (best[who, -1] > LOWEST).all() else hi - lo
+            if many:
+                absorb(who, tree.ids[lo : lo + many], _products(queries[who], tree.vectors[lo : lo + many]))
+        else:
+            above = dot[who, n][:, None] + norm[who][:, None] * (tree.to_parent[lo:hi] + tree.radius[lo:hi])[None, :]
+            far = (safe(above) >= best[who, -1][:, None]).any(0)
+            children = lo + np.flatnonzero(far)
+            dot[np.ix_(who, children)] = found = q[who] @ tree.centre[children].T
+            bound[np.ix_(who, children)] = np.minimum(found + norm[who][:, None] * tree.radius[children][None, :], above[:, far])
+
+    steps = 0
+    while True:
+        alive = (bound > -np.inf) & (safe(bound) >= best[:, -1][:, None])
+        waiting = np.flatnonzero(alive.any(1))
+        if not len(waiting):
+            return best_ids, best
+        if steps < OWN_STEPS:  # each query's own best node, until its first leaves have set a k-th best
+            node = bound[waiting].argmax(1)
+            for n in np.unique(node).tolist():
+                open_node(n, waiting[node == n])
+        else:  # the best node of all, for every query that it may still serve
+            n = int(np.where(alive, bound, -np.inf).max(0).argmax())
+            open_node(n, np.flatnonzero(alive[:, n]))
+        steps += 1
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
