@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text is worked on in pieces of about so many bytes, whatever Spark's batch size is.
 PIECE_BYTES = 2 << 20
 
+ARROW_BATCH = "8m"
+
 #: Fixed values: `[\x20\x09-\x0D]` is white space.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -43,7 +45,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of ARROW_BATCH at most, so that long ones don't fill an executor; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("", "64MB", "67108864b", "67108864"):
+        spark.conf.set(key, ARROW_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ class Encoder:
     where a span begins at a space after something other than white space."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would each keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,10 +53,13 @@ class Encoder:
         self.n_bytes = np.zeros(self.size, np.int64)
         for text, k in vocab.items():
             self.n_bytes[k] = len(text)  # one character stands for one byte
-        self.table = SpanTable(700_000)
+        self.table = SpanTable(500_000)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, a few texts at a time: the library's results are far larger than the ids."""
+        for k in range(0, len(texts), 8):
+            for x in self.tokenizer.encode_batch_fast(texts[k : k + 8], add_special_tokens=False):
+                yield np.array(x.ids, np.uint32)
 
     def _missing(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spans are joined to long texts, as their encodings don't depend on each other, and parted by their bytes; odd ones go alone."""
@@ -67,7 +72,6 @@ class Encoder:
         texts = [b"".join([raw[s:e] for s, e in zip(*x, strict=True)]).decode() for x in bounds]
         sizes, order, parts = np.zeros(len(starts), np.int64), [], []
         for group, ids in zip(groups, self._encode(texts), strict=True):
-            ids = np.array(ids, np.int64)
             upto, edges = np.cumsum(self.n_bytes[ids]), np.cumsum(width[group])
             at = np.searchsorted(upto, edges)
             if len(upto) and upto[-1] == edges[-1] and (upto[at] == edges).all():
@@ -80,7 +84,7 @@ class Encoder:
             sizes[k] = len(ids)
             order.append([k])
             parts.append(ids)
-        out = np.zeros(int(sizes.sum()), np.int64)
+        out = np.zeros(int(sizes.sum()), np.uint32)
         if parts:
             order, values = np.concatenate(order), np.concatenate(parts)
             n = sizes[order]
