@@ -48,7 +48,7 @@ def written(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of ARROW_BATCH at most, so that long ones don't fill an executor; a session's own bound stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("", "64MB", "67108864b", "67108864"):
+    if spark.conf.get(key) in ("64MB", "67108864b", "67108864"):
         spark.conf.set(key, ARROW_BATCH)
 
 
