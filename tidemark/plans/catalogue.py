@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, edit, normalise, numbers, text, tokens
 from tidemark.operators import commit, evaluate, prepare, segment, select
-from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, words
+from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, whole_pairs, words
 from tidemark.sources import files, sinks
 from tidemark.streaming import processors
 
@@ -28,6 +28,18 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a registered query without its prefixes: each (cut, instead) must be in it."""
+    sql = SQL[name]
+    for cut, instead in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, instead)
+    return sql
+
+
+#: Without the 20 words of PAIRS_SQL.
+_ALL_WORDS = ("[1:20]", "")
+
 r6 = lambda c: F.round(c, 6)
 
 # --- error rates -----------------------------------------------------------------------------------------------------
@@ -44,21 +56,39 @@ norm AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(low
 _RATES = f"WITH {PAIRS_SQL}, {_NORM}, {_DISTANCE}"
 
 
-def _mer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).select("conv_id", "turn", F.array_join("ref", " ").alias("reference"), F.array_join("hyp", " ").alias("generated"))
+def _mer(rows: DataFrame) -> DataFrame:
+    rows = rows.select("conv_id", "turn", F.array_join("ref", " ").alias("reference"), F.array_join("hyp", " ").alias("generated"))
     norm = [text.mixed_tokens(text.for_mixed_rate(c, F.lit("en")), F.lit("en")) for c in ("reference", "generated")]
     rows = rows.select("conv_id", "turn", norm[0].alias("r"), norm[1].alias("h"))
-    return rows.select("conv_id", "turn", F.size("r").cast("bigint").alias("n_ref"), F.size("h").cast("bigint").alias("n_hyp"), edit.token_distance("r", "h").cast("bigint").alias("edits"))
+    return rows.select("conv_id", "turn", F.size("r").cast("bigint").alias("n_ref"), F.size("h").cast("bigint").alias("n_hyp"), F.coalesce(edit.token_distance("r", "h"), edit.token_distance_long("r", "h")).cast("bigint").alias("edits"))
+
+
+def _with_mer(rows: DataFrame) -> DataFrame:
+    return _mer(rows).withColumn("mer", r6(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))))
+
+
+def _mer_summary(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("total_files"), r6(F.coalesce(F.avg(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))), F.lit(0.0))).alias("average_mer"))
 
 
 @query(_RATES + "SELECT conv_id, turn, n_ref, n_hyp, edits, round(CASE WHEN n_ref = 0 THEN CASE WHEN n_hyp = 0 THEN 0.0 ELSE 1.0 END ELSE edits / n_ref END, 6) AS mer FROM rates")
 def q_mer_rows(spark, sf_dir):
-    return _mer(spark, sf_dir).withColumn("mer", r6(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))))
+    return _with_mer(pairs(spark, sf_dir))
+
+
+@query()
+def q_mer_rows_whole(spark, sf_dir):
+    return _with_mer(whole_pairs(spark, sf_dir))
 
 
 @query(_RATES + "SELECT count(*) AS total_files, round(avg(CASE WHEN n_ref = 0 THEN CASE WHEN n_hyp = 0 THEN 0.0 ELSE 1.0 END ELSE edits / n_ref END), 6) AS average_mer FROM rates")
 def q_mer_summary(spark, sf_dir):
-    return q_mer_rows(spark, sf_dir).agg(F.count("*").alias("total_files"), r6(F.coalesce(F.avg(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))), F.lit(0.0))).alias("average_mer"))
+    return _mer_summary(q_mer_rows(spark, sf_dir))
+
+
+@query()
+def q_mer_summary_whole(spark, sf_dir):
+    return _mer_summary(q_mer_rows_whole(spark, sf_dir))
 
 
 @query(rf"""
@@ -76,7 +106,7 @@ def q_cer_rows(spark, sf_dir):
 
 @query()
 def q_token_distance_long(spark, sf_dir):
-    rows = pairs(spark, sf_dir).where("turn = 0")
+    rows = whole_pairs(spark, sf_dir).where("turn = 0")
     return rows.select("conv_id", edit.token_distance_long("ref", "hyp").alias("edits"))
 
 
@@ -184,20 +214,38 @@ def q_paths(spark, sf_dir):
 _K_BEST = f"{PAIRS_SQL}, k AS (SELECT conv_id, list(array_to_string(hyp, ' ') ORDER BY turn) AS c, min_by(array_to_string(ref, ' '), turn) AS p FROM pairs GROUP BY conv_id)"
 
 
-def _k_best(spark, sf_dir):
-    rows = pairs(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.array_join("hyp", " ").alias("h")))).alias("l"), F.min_by(F.array_join("ref", " "), "turn").alias("p"))
+def _k_best(rows):
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.array_join("hyp", " ").alias("h")))).alias("l"), F.min_by(F.array_join("ref", " "), "turn").alias("p"))
     return rows.select("conv_id", F.transform("l", lambda x: x["h"]).alias("c"), "p")
 
 
 @query(f"""WITH {_K_BEST} SELECT conv_id, md5('Given the following ASR transcription candidates, predict the correct continuation.' || chr(10) || chr(10) || 'Previous confirmed transcript: "' || p || '"' || chr(10) || chr(10) || 'K-best candidates for the continuation:' || chr(10)
   || array_to_string(list_transform(list_zip(c[1:3], range(1, 4)), lambda z: '  ' || z[2] || '. ' || z[1])[1:least(3, len(c))], chr(10)) || chr(10) || chr(10) || 'Based on the context and candidates, what is the correct text that should be appended after "' || p || '"?') AS prompt FROM k""")
 def q_prompt_format(spark, sf_dir):
-    return _k_best(spark, sf_dir).select("conv_id", F.md5(text.prompt("c", "p", 3)).alias("prompt"))
+    return _prompts(pairs(spark, sf_dir))
+
+
+def _prompts(rows):
+    return _k_best(rows).select("conv_id", F.md5(text.prompt("c", "p", 3)).alias("prompt"))
+
+
+@query(whole("q_prompt_format", _ALL_WORDS))
+def q_prompt_format_whole(spark, sf_dir):
+    return _prompts(whole_pairs(spark, sf_dir))
 
 
 @query(f"WITH {_K_BEST} SELECT conv_id, coalesce(list_filter(c, lambda x: trim(x) <> '')[1], '') AS top, len(list_filter(c, lambda x: trim(x) <> '')) AS n FROM k")
 def q_kbest(spark, sf_dir):
-    return _k_best(spark, sf_dir).select("conv_id", text.first_not_blank("c").alias("top"), F.size(text.drop_blank("c")).cast("bigint").alias("n"))
+    return _top(pairs(spark, sf_dir))
+
+
+def _top(rows):
+    return _k_best(rows).select("conv_id", text.first_not_blank("c").alias("top"), F.size(text.drop_blank("c")).cast("bigint").alias("n"))
+
+
+@query(whole("q_kbest", _ALL_WORDS))
+def q_kbest_whole(spark, sf_dir):
+    return _top(whole_pairs(spark, sf_dir))
 
 
 _EVENT_LINES = """
@@ -406,8 +454,17 @@ def q_rewind_cut(spark, sf_dir):
 
 @query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, len(CASE WHEN turn % 2 = 0 THEN ref ELSE ref[1:greatest(len(ref) - 1, 0)] END) AS n FROM pairs")
 def q_last_word(spark, sf_dir):
+    return _committed(pairs(spark, sf_dir))
+
+
+def _committed(rows):
     got = commit.committed_words("ref", F.col("turn") % 2 == 0, F.lit(False))
-    return pairs(spark, sf_dir).select("conv_id", "turn", F.size(got).cast("bigint").alias("n"))
+    return rows.select("conv_id", "turn", F.size(got).cast("bigint").alias("n"))
+
+
+@query(whole("q_last_word", _ALL_WORDS))
+def q_last_word_whole(spark, sf_dir):
+    return _committed(whole_pairs(spark, sf_dir))
 
 
 # --- arrays ---------------------------------------------------------------------------------------------------------------
@@ -534,7 +591,16 @@ c AS (SELECT conv_id, turn, o, k, len(list_filter(range(len(ref)), lambda i: i +
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, k) AS rn FROM c)
 SELECT conv_id, turn, CAST(o AS INTEGER) AS shift FROM r WHERE rn = 1""")
 def q_offset_align(spark, sf_dir):
-    rows = pairs(spark, sf_dir).withColumn("shifted", F.slice(F.concat(F.array(F.lit("x"), F.lit("y")), "ref"), F.lit(1), F.size("ref")))
+    return _offsets(pairs(spark, sf_dir))
+
+
+@query(whole("q_offset_align", _ALL_WORDS))
+def q_offset_align_whole(spark, sf_dir):
+    return _offsets(whole_pairs(spark, sf_dir))
+
+
+def _offsets(rows):
+    rows = rows.withColumn("shifted", F.slice(F.concat(F.array(F.lit("x"), F.lit("y")), "ref"), F.lit(1), F.size("ref")))
     return rows.select("conv_id", "turn", prepare.best_offset("ref", "shifted").alias("shift"))
 
 
