@@ -64,3 +64,27 @@ def test_candidates_and_words_of_whole_texts(spark, talks, folder):
     assert got == {c: next((x for t in range(3) if (x := " ".join(worse(by[c, t])))), "") for c in range(4)}
     got = {(r["conv_id"], r["turn"]): r["n"] for r in run(spark, "q_last_word_whole", folder)}
     assert got == {(c, t): len(w) if t % 2 == 0 else max(0, len(w) - 1) for c, t, w in talks}
+
+
+def test_character_error_rate_of_whole_texts(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["The", "fox", "mixes", "a", "path,", "stone"]) for _ in range(n)) for n in (1, 5, 60, 400)] + ["y" * 300 + "x" * 90, "ab", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", t.strip().lower()).strip()
+    want = {}
+    for k, t in enumerate(texts):
+        r, h = plain(t or ""), plain((t or "")[2:].replace("x", "ks"))
+        if r and h:
+            want[k] = (len(r), round(distance(r, h) / len(r), 6))
+    got = {r["doc_id"]: (r["n_ref"], r["cer"]) for r in run(spark, "q_cer_rows_whole", tmp_path)}
+    assert got == want and max(n for n, _ in want.values()) > 1000
+
+
+def test_close_distance_at_each_width(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import edit
+
+    rows = [("a" * n, "a" * (n - k) + "b" * k) for n, k in ((10, 3), (100, 17), (400, 300), (1300, 1250), (1, 0))] + [("", "x" * 200), ("x" * 20, "")]
+    got = spark.createDataFrame(rows, "a string, b string").select(edit.close_distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("w")).collect()
+    assert [r["d"] for r in got] == [r["w"] for r in got]

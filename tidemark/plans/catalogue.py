@@ -104,6 +104,15 @@ def q_cer_rows(spark, sf_dir):
     return rows.where("length(r) > 0 AND length(h) > 0").select("doc_id", F.length("r").cast("bigint").alias("n_ref"), r6(F.levenshtein("r", "h") / F.length("r")).alias("cer"))
 
 
+@query()
+def q_cer_rows_whole(spark, sf_dir):
+    """Whole texts against themselves without their first two characters and with each x as ks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace(F.expr("substring(text, 3)"), F.lit("x"), F.lit("ks")).alias("b"))
+    r, h = text.for_character_rate("a", "b", F.lit("en"))
+    rows = docs.select("doc_id", text.strip(r).alias("r"), text.strip(h).alias("h")).where("length(r) > 0 AND length(h) > 0")
+    return rows.select("doc_id", F.length("r").cast("bigint").alias("n_ref"), r6(edit.close_distance("r", "h") / F.length("r")).alias("cer"))
+
+
 @query()
 def q_token_distance_long(spark, sf_dir):
     rows = whole_pairs(spark, sf_dir).where("turn = 0")
