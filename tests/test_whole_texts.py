@@ -88,3 +88,25 @@ def test_close_distance_at_each_width(spark):
     rows = [("a" * n, "a" * (n - k) + "b" * k) for n, k in ((10, 3), (100, 17), (400, 300), (1300, 1250), (1, 0))] + [("", "x" * 200), ("x" * 20, "")]
     got = spark.createDataFrame(rows, "a string, b string").select(edit.close_distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("w")).collect()
     assert [r["d"] for r in got] == [r["w"] for r in got]
+
+
+def test_pieces_and_cues_hold_all_words(spark, talks, folder):
+    got = {(r["conv_id"], r["turn"]): "".join(r["w"]) for r in run(spark, "q_words_from_pieces", folder)}
+    assert got == {(c, t): " ".join(w) for c, t, w in talks}
+    rows = sorted(run(spark, "q_subtitle_cues", folder), key=lambda r: (r["conv_id"], r["seq"]))
+    for c in range(4):
+        mine = [r for r in rows if r["conv_id"] == c]
+        assert " ".join(r["text"] for r in mine).split() == [x for k, _, w in talks if k == c for x in w]
+        assert all(a["end"] <= b["start"] for a, b in zip(mine, mine[1:]))
+
+
+def test_agreement_and_lengths_of_whole_texts(spark, tmp_path):
+    texts = ["same " * 30 + "one", "same " * 30 + "two and more", "same"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "banana " * 100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, [0.0] * 63 + [5.0])], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["turn"]: r["n_agreed"] for r in run(spark, "q_lcp_prev_whole", tmp_path)} == {0: 0, 1: 150, 2: 4}
+    ids = {r["turn"]: r["input_ids"] for r in run(spark, "q_collate_labels_whole", tmp_path)}
+    assert ids[0].split(",") == [*["4"] * 30, "3", "0", "0"] and ids[1].split(",") == [*["4"] * 30, "3", "3", "4"]
+    assert run(spark, "q_syllables_whole", tmp_path)[0]["n"] == 400
+    assert run(spark, "q_language_top_whole", tmp_path)[0]["language"] == "l63"

@@ -167,6 +167,11 @@ def q_syllables(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(text.syllables(F.substring("text", 1, 300))).cast("bigint").alias("n"))
 
 
+@query(whole("q_syllables", ("[1:300]", "")))
+def q_syllables_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(text.syllables("text")).cast("bigint").alias("n"))
+
+
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[<\[][^>\]]*[>\]]', '', 'g'), '\(([^)]+?)\)', '', 'g'), '[\p{M}\p{S}\p{P}]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents""")
 def q_html_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_brackets("text")).alias("t"))
@@ -201,7 +206,7 @@ def q_compression_ratio(spark, sf_dir):
 
 @query()
 def q_words_from_pieces(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words_from_pieces(F.slice(tokens.pre_tokens("text"), 1, 40)).alias("w"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words_from_pieces(tokens.pre_tokens("text")).alias("w"))
 
 
 # --- paths, sources and prompts -----------------------------------------------------------------------------------------
@@ -429,11 +434,19 @@ def q_triggered(spark, sf_dir):
 n AS (SELECT conv_id, turn, list_max(list_filter(range(0, 61), lambda k: k <= length(coalesce(a, '')) AND k <= length(b) AND coalesce(a, '')[1:k] = b[1:k])) AS k, b FROM p)
 SELECT conv_id, turn, k AS n_agreed, CASE WHEN k = 0 THEN '' ELSE b[1:k] END AS agreed FROM n""")
 def q_lcp_prev(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("t"))
+    return _agreed(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("t")))
+
+
+def _agreed(rows):
     got = commit.prefix_agreement(rows, "conv_id", "turn", "t")
     return got.select("conv_id", "turn", F.length("agreed").cast("bigint").alias("n_agreed"), "agreed")
 
 
+@query(whole("q_lcp_prev", ("text[1:60]", "text"), ("range(0, 61)", "range(0, length(b) + 1)")))
+def q_lcp_prev_whole(spark, sf_dir):
+    return _agreed(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t")))
+
+
 @query()
 def q_local_agreement(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("the same start "), "text").alias("text"), F.lit(False).alias("is_last"))
@@ -583,7 +596,16 @@ def q_ladder(spark, sf_dir):
 
 @query(f"WITH {_V}, e AS (SELECT label AS vec, unnest(range(5)) AS l, unnest(v[1:5]) AS x, vec_id FROM v), p AS (SELECT vec_id, l, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM e) SELECT vec_id, 'l' || arg_max(l, p) AS language, round(max(p), 6) AS p FROM p GROUP BY vec_id")
 def q_language_top(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode(F.slice("v", 1, 5)).alias("l", "x")).select("vec_id", F.concat(F.lit("l"), F.col("l").cast("string")).alias("language"), "x")
+    return _languages(_vectors(spark, sf_dir).withColumn("v", F.slice("v", 1, 5)))
+
+
+@query(whole("q_language_top", ("range(5)", "range(64)"), ("v[1:5]", "v")))
+def q_language_top_whole(spark, sf_dir):
+    return _languages(_vectors(spark, sf_dir))
+
+
+def _languages(rows):
+    rows = rows.select("vec_id", F.posexplode("v").alias("l", "x")).select("vec_id", F.concat(F.lit("l"), F.col("l").cast("string")).alias("language"), "x")
     got = select.detected_language(rows, "vec_id", "language", "x")
     return got.select("vec_id", "language", r6(F.array_max(F.map_values("probabilities"))).alias("p"))
 
@@ -639,7 +661,16 @@ def q_sample(spark, sf_dir):
 SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda z: 0)), ',') AS input_ids, array_to_string(list_transform(range(m), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask,
   array_to_string(list_transform(range(m), lambda i: CASE WHEN i < 2 OR i >= len(ids) THEN -100 ELSE ids[i + 1] END), ',') AS labels FROM m""")
 def q_collate_labels(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(F.substring("text", 1, 30), " "), lambda x: F.length(x)).alias("ids"), F.lit(2).alias("p"))
+    return _collated(table(spark, sf_dir, "conversations").withColumn("text", F.substring("text", 1, 30)))
+
+
+@query(whole("q_collate_labels", ("text[1:30]", "text")))
+def q_collate_labels_whole(spark, sf_dir):
+    return _collated(table(spark, sf_dir, "conversations"))
+
+
+def _collated(rows):
+    rows = rows.select("conv_id", "turn", F.transform(F.split("text", " "), lambda x: F.length(x)).alias("ids"), F.lit(2).alias("p"))
     got = prepare.collated(rows, "conv_id", "ids", "p", 0)
     return got.select("conv_id", "turn", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("input_ids", "attention_mask", "labels")))
 
@@ -672,8 +703,11 @@ def q_packets(spark, sf_dir):
 
 @query()
 def q_subtitle_cues(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"), F.posexplode(F.slice(words(), 1, 30)).alias("seq", "w"))
-    rows = rows.select("conv_id", "segment", F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit(" "), "w").alias("text"), (F.col("segment") * 30 + F.col("seq")).cast("double").alias("start"), (F.col("segment") * 30 + F.col("seq") + 0.5).cast("double").alias("end"))
+    """All words of all turns; each takes a second of its conversation."""
+    before = F.sum(F.size("w")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", words().alias("w")).withColumn("before", F.coalesce(before, F.lit(0)))
+    rows = rows.select("conv_id", F.col("turn").alias("segment"), "before", F.posexplode("w").alias("seq", "w"))
+    rows = rows.select("conv_id", "segment", F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit(" "), "w").alias("text"), (F.col("before") + F.col("seq")).cast("double").alias("start"), (F.col("before") + F.col("seq") + 0.5).cast("double").alias("end"))
     return sinks.cues(rows, "conv_id", 42, 2)
 
 
