@@ -54,8 +54,8 @@ def test_mixed_error_rate_of_whole_texts(spark, talks, folder):
 
 
 def test_long_token_distance_of_whole_texts(spark, talks, folder):
-    got = {r["conv_id"]: r["edits"] for r in run(spark, "q_token_distance_long", folder)}
-    assert got == {c: distance(w, worse(w)) for c, t, w in talks if t == 0}
+    rows = [r for r in run(spark, "q_token_distance_long", folder) if r["turn"] == 0]
+    assert {r["conv_id"]: r["edits"] for r in rows} == {c: distance(w, worse(w)) for c, t, w in talks if t == 0}
 
 
 def test_candidates_and_words_of_whole_texts(spark, talks, folder):
@@ -110,3 +110,15 @@ def test_agreement_and_lengths_of_whole_texts(spark, tmp_path):
     assert ids[0].split(",") == [*["4"] * 30, "3", "0", "0"] and ids[1].split(",") == [*["4"] * 30, "3", "3", "4"]
     assert run(spark, "q_syllables_whole", tmp_path)[0]["n"] == 400
     assert run(spark, "q_language_top_whole", tmp_path)[0]["language"] == "l63"
+
+
+def test_all_rows_take_part(spark, talks, folder, tmp_path):
+    rows = run(spark, "q_token_distance_long", folder)
+    assert {(r["conv_id"], r["turn"]): r["edits"] for r in rows} == {(c, t): distance(w, worse(w)) for c, t, w in talks}
+    spark.createDataFrame([(k, n) for k in range(9) for n in (1, 2, 3)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = run(spark, "q_en_numbers", tmp_path)
+    assert {(r["l_orderkey"], r["l_linenumber"]): r["n"] for r in rows} == {(k, n): str(101 + k % 7) for k in range(9) for n in (1, 2, 3)}
+    spark.createDataFrame([(k, k % 3) for k in range(50)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, 7) for k in range(5)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = run(spark, "rel_join_full_whole", tmp_path)
+    assert {r["k"]: (r["nc"], r["ns"]) for r in rows} == {0: (17, 1), 1: (17, 1), 2: (16, 1), 7: (0, 2)}

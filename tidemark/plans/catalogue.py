@@ -115,8 +115,7 @@ def q_cer_rows_whole(spark, sf_dir):
 
 @query()
 def q_token_distance_long(spark, sf_dir):
-    rows = whole_pairs(spark, sf_dir).where("turn = 0")
-    return rows.select("conv_id", edit.token_distance_long("ref", "hyp").alias("edits"))
+    return whole_pairs(spark, sf_dir).select("conv_id", "turn", edit.token_distance_long("ref", "hyp").alias("edits"))
 
 
 # --- normalisation and tokens ------------------------------------------------------------------------------------------
@@ -184,8 +183,8 @@ def q_basic_normaliser(spark, sf_dir):
 
 @query()
 def q_en_numbers(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.concat_ws(" ", F.lit("one hundred and"), F.element_at(F.split(F.lit("one two three four five six seven"), " "), (F.col("l_orderkey") % 7 + 1).cast("int"))).alias("s"))
-    return rows.select("l_orderkey", numbers.english_numbers_column("s").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.lit("one hundred and"), F.element_at(F.split(F.lit("one two three four five six seven"), " "), (F.col("l_orderkey") % 7 + 1).cast("int"))).alias("s"))
+    return rows.select("l_orderkey", "l_linenumber", numbers.english_numbers_column("s").alias("n"))
 
 
 @query()
@@ -741,6 +740,7 @@ def relational(name: str, spark_sql: str, sql: str | None = None, tables: tuple[
 
 relational("rel_join_inner", "SELECT c_custkey, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {customer} c JOIN {orders} o ON c_custkey = o_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY c_custkey, n_name", tables=("customer", "orders", "nation"))
 relational("rel_join_full", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS nc, count(s_suppkey) AS ns FROM (SELECT * FROM {customer} WHERE c_custkey % 7 = 0) c FULL OUTER JOIN {supplier} s ON c_custkey = s_suppkey GROUP BY 1", tables=("customer", "supplier"))
+relational("rel_join_full_whole", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS nc, count(s_suppkey) AS ns FROM {customer} c FULL OUTER JOIN {supplier} s ON c_custkey = s_suppkey * 20 GROUP BY 1", tables=("customer", "supplier"))
 relational("rel_join_semi_anti", "SELECT c_custkey, 'with' AS kind FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) UNION ALL SELECT c_custkey, 'without' FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", tables=("customer", "orders"))
 relational("rel_join_range", "SELECT p_partkey, count(*) AS n FROM {part} p JOIN {region} r ON p_size BETWEEN r_regionkey * 10 AND r_regionkey * 10 + 14 GROUP BY p_partkey", tables=("part", "region"))
 relational("rel_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", tables=("lineitem",))
