@@ -75,3 +75,31 @@ def test_odd_and_no_rows(spark, odd, empty):
     nothing = language.fit(empty)
     assert {r["lang_pred"] for r in language.predict(odd, nothing).collect()} == {"und"}
     assert language.keep_known(odd, model).schema == odd.schema
+
+
+def test_every_language_is_learned(spark):
+    """More languages than full tables are for: the rare ones too, each text by its own words."""
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {f"l{k:03}": ["".join(rng.choice(letters, 6)) for _ in range(12)] for k in range(130)}
+    rows = [(f"l{k:03}", " ".join(rng.permutation(words[f"l{k:03}"]))) for k in range(130) for _ in range(2 if k % 2 else 6)]
+    model = language.fit(spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words)
+    assert sum(t.size for t in model.tables) <= language.FULL_LANGS * sum(size for _, size in language.GRAMS)
+    tests = spark.createDataFrame([(k, " ".join(rng.permutation(w))) for k, w in enumerate(words.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(tests, model).collect()}
+    assert sum(got[k] == lang for k, lang in enumerate(words)) >= 128
+
+
+def test_tables_of_few_languages_are_full():
+    assert language.grams(4) == language.grams(50) == list(language.GRAMS) and language.grams(51)[2][1] == 1 << 16
+    assert language.grams(10**6)[2][1] == language.LEAST_SLOTS
+
+
+def test_runs_of_a_long_text_score_as_one(spark, monkeypatch):
+    model = train(spark)
+    buf = np.frombuffer(" ".join(TEXTS.values()).encode(), np.uint8)
+    starts, ends = language.word_spans(buf, np.array([0, len(buf)]))
+    want = language.word_scores(buf, starts, ends, model)
+    monkeypatch.setattr(language, "PIECE_BYTES", 1)
+    assert np.allclose(language.word_scores(buf, starts, ends, model), want, atol=1e-3)

@@ -24,9 +24,12 @@ from tidemark.llm.common import lower_ascii, owner, pieces, word_spans
 
 #: The sample's bound: so many rows of each language at most, in the mean, chosen by a hash of doc_id.
 SAMPLE_ROWS_PER_LANG = 4000
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGS = 50
+#: Every labelled language is learned. Up to so many share full tables and pieces; beyond, both get smaller as languages get more.
+FULL_LANGS = 50
 GRAMS = ((2, 1 << 14), (3, 1 << 16), (4, 1 << 17))
+#: Tables are not made smaller than this.
+LEAST_SLOTS = 1 << 10
+PIECE_BYTES = 1 << 20
 SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
 #: A language takes part for a script if at least this share of its letters is in it.
@@ -57,6 +60,16 @@ def gram_ids(buf: np.ndarray, n: int, size: int) -> np.ndarray:
     return (out >> np.uint32(32 - int(size).bit_length() + 1)).astype(np.int64)
 
 
+def grams(n_langs: int) -> list[tuple[int, int]]:
+    """(n, slots) of the tables: their cells stay about the same in number beyond FULL_LANGS, down to LEAST_SLOTS for a language."""
+    shift = max(0, -(-n_langs // FULL_LANGS) - 1).bit_length()
+    return [(n, max(size >> shift, LEAST_SLOTS)) for n, size in GRAMS]
+
+
+def piece_bytes(n_langs: int) -> int:
+    return max(1 << 12, min(PIECE_BYTES, PIECE_BYTES * FULL_LANGS // max(n_langs, 1)))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -71,14 +84,15 @@ def _normal(buf: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
     where = {x: k for k, x in enumerate(langs)}
-    width = [size for _, size in GRAMS] + [N_SCRIPTS]
+    tables = grams(len(langs))
+    width = [size for _, size in tables] + [N_SCRIPTS]
     total = [np.zeros((w, len(langs)), np.int64) for w in width]
     for batch in batches:
         lang = np.array([where[x] for x in batch.column(1).to_pylist()], np.int64)
         for lo, _, buf, offsets in pieces(batch.column(0)):
             of = lang[lo + owner(offsets, np.arange(len(buf)))]
             low = _normal(buf)
-            for k, (n, size) in enumerate(GRAMS):
+            for k, (n, size) in enumerate(tables):
                 total[k] += np.bincount(gram_ids(low, n, size) * len(langs) + of, minlength=size * len(langs)).reshape(size, -1)
             total[-1] += np.bincount(SCRIPT[buf] * len(langs) + of, minlength=N_SCRIPTS * len(langs)).reshape(N_SCRIPTS, -1)
     for k, t in enumerate(total):
@@ -88,18 +102,19 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
 
 
 def fit(labelled: DataFrame, per_lang: int = SAMPLE_ROWS_PER_LANG) -> Model:
-    """labelled: doc_id, text, lang. What reaches the driver is bounded by the tables' sizes, not by the input."""
+    """labelled: doc_id, text, lang. What reaches the driver is bounded by the tables' sizes and the number of languages, not by the rows."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    counts = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not counts:
         return Model([], [], np.zeros((N_SCRIPTS, 0), bool))
     langs = [x for x, _ in counts]
-    limit = F.create_map(*(F.lit(y) for x, n in counts for y in (x, min(1.0, per_lang / n))))[F.col("lang")]
+    cut = {x: min(1.0, per_lang / n) for x, n in counts if n > per_lang}
+    limit = F.coalesce(F.create_map(*(F.lit(y) for item in cut.items() for y in item))[F.col("lang")], F.lit(1.0)) if cut else F.lit(1.0)
     roll = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(roll < limit).select("text", "lang").coalesce(4)
     got = sample.mapInArrow(lambda b: _count(b, langs), "part long, lang long, gram long, n long").groupBy("part", "lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     tables = []
-    for k, size in enumerate([s for _, s in GRAMS] + [N_SCRIPTS]):
+    for k, size in enumerate([s for _, s in grams(len(langs))] + [N_SCRIPTS]):
         mine = got[got["part"] == k]
         t = np.zeros((size, len(langs)))
         t[mine["gram"].to_numpy(int), mine["lang"].to_numpy(int)] = mine["n"].to_numpy(float)
@@ -121,12 +136,18 @@ def word_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Mo
     if not len(starts):
         return total
     reach = np.minimum(ends, len(buf) - 1)  # the white space after a word is part of its last n-gram
-    for (n, size), t in zip(GRAMS, model.tables, strict=True):
-        upto = np.zeros((len(buf) + 1, len(model.langs)), np.float32)
-        scores = t[gram_ids(low, n, size)]
-        scores[low == 32] *= 0.5
-        np.cumsum(scores, axis=0, out=upto[1:])
-        total += upto[reach + 1] - upto[starts]
+    step = PIECE_BYTES * FULL_LANGS // len(model.langs)  # a long text of a piece of its own is scored in runs of so many bytes
+    for (n, size), t in zip(grams(len(model.langs)), model.tables, strict=True):
+        ids, a = gram_ids(low, n, size), 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(reach, starts[a] + step)))
+            lo, hi = (0 if a == 0 else int(starts[a])), (len(buf) if b == len(starts) else int(reach[b - 1]) + 1)
+            upto = np.zeros((hi - lo + 1, len(model.langs)), np.float32)
+            scores = t[ids[lo:hi]]
+            scores[low[lo:hi] == 32] *= 0.5
+            np.cumsum(scores, axis=0, out=upto[1:])
+            total[a:b] += upto[reach[a:b] + 1 - lo] - upto[starts[a:b] - lo]
+            a = b
     script = SCRIPT[buf]
     at = np.flatnonzero(script)
     k = np.searchsorted(at, starts)
@@ -183,7 +204,7 @@ def label(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nda
     """Language and score of each text, and its number of spans."""
     n = len(column)
     langs, score, n_spans = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64)
-    for lo, hi, buf, offsets in pieces(column, 1 << 20):
+    for lo, hi, buf, offsets in pieces(column, piece_bytes(len(model.langs))):
         if not model.langs:
             break
         starts, ends = word_spans(buf, offsets)
@@ -209,7 +230,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document. No shuffle; the model travels with the tasks, of a size bounded by GRAMS and MAX_LANGS."""
+    """One row per document. No shuffle; the model travels with the tasks, of a size bounded by GRAMS and, beyond FULL_LANGS, LEAST_SLOTS for a language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
