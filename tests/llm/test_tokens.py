@@ -110,3 +110,25 @@ def test_tampering_shows(spark, documents):
     recipes.withColumn("keys", F.reverse("keys")).write.parquet(f"{folder}/other")
     again = token_store._roots(spark.read.parquet(f"{folder}/other"))
     assert {r["root"] for r in again.collect()} != {r["root"] for r in token_store._roots(recipes).collect()}
+
+
+def test_counts_beyond_16_bits(spark):
+    """A text without spaces, of more tokens than 16 bits hold: each of its characters is four byte tokens."""
+    text = "".join(chr(0x13000 + k % 900) for k in range(20_000))
+    (counts,) = token_counts.prefix_counts([text])
+    assert counts[-1] == len(sp.encode(text)) > 70_000
+    for k in (1, 16_000, 16_384, 16_385, 18_000, 19_999):
+        assert counts[k] == len(sp.encode(text[:k]))
+    (r,) = token_counts.count(frame(spark, [text]), limit=70_000).collect()
+    assert r["n_tokens"] == counts[-1] and r["limit_chars"] == np.flatnonzero(counts <= 70_000)[-1]
+
+
+def test_span_table_holds_ids_beyond_16_bits():
+    from tidemark.llm.spans_table import SpanTable
+
+    t = SpanTable()
+    t.add(np.array([3], np.uint64), np.array([2]), np.array([1, 65_535], np.uint32))
+    assert t.values.dtype == np.uint16
+    t.add(np.array([2, 9], np.uint64), np.array([1, 2]), np.array([65_536, 7, 200_000], np.uint32))
+    values, which = t.expand(t.find(np.array([2, 3, 9], np.uint64)))
+    assert values.tolist() == [65_536, 1, 65_535, 7, 200_000] and which.tolist() == [0, 1, 1, 2, 2]

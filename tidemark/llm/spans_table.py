@@ -42,7 +42,7 @@ def space_spans(buf: np.ndarray, offsets: np.ndarray, after_any: bool = False) -
 
 
 class SpanTable:
-    """Sorted 64-bit span hashes, each with a run of small integers; forgets everything beyond limit spans."""
+    """Sorted 64-bit span hashes, each with a run of integers below 2^32, kept in 16 bits while they fit; forgets everything beyond limit spans."""
 
     def __init__(self, limit: int = 400_000):
         self.limit = limit
@@ -60,7 +60,8 @@ class SpanTable:
     def add(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
         """keys: new and sorted."""
         at = len(self.values) + np.cumsum(sizes) - sizes
-        self.values = np.concatenate((self.values, values.astype(np.uint16)))
+        kind = np.uint32 if self.values.dtype == np.uint32 or (len(values) and int(values.max()) > 65535) else np.uint16
+        self.values = np.concatenate((self.values.astype(kind, copy=False), values.astype(kind)))
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, sizes)
 

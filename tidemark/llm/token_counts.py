@@ -32,8 +32,8 @@ def _table(path: str) -> SpanTable:
     return SpanTable()
 
 
-def _span_counts(path: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[SpanTable, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of a piece of rows, with their table entries: token counts of the span's prefixes of 1, 2, ... characters."""
+def _span_counts(path: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[SpanTable, np.ndarray, np.ndarray]:
+    """Table entries of the spans of a piece of rows, and their rows. Entries: token counts of the span's prefixes of 1, 2, ... characters."""
     v, table = piece_bpe.vocabulary(path), _table(path)
     starts, ends, rows, leads = space_spans(buf, offsets, after_any=True)
 
@@ -42,11 +42,10 @@ def _span_counts(path: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[SpanT
         count, _, _ = piece_bpe.relax(v, chars, first, piece_bpe.trie_edges(v, chars, limit))
         keep = np.ones(len(count), bool)
         keep[first[:-1] + np.arange(len(which))] = False
-        sizes, values = np.diff(first), np.minimum(count[keep], 65535)
-        return sizes, values
+        return np.diff(first), count[keep]
 
     at = table.resolve(buf, starts, ends, leads, missing)
-    return table, at, starts, rows, leads
+    return table, at, rows
 
 
 def _marked(column: pa.Array) -> pa.Array:
@@ -54,15 +53,8 @@ def _marked(column: pa.Array) -> pa.Array:
     return pa.compute.replace_substring(column.cast(pa.large_string()), piece_bpe.SPACE, " ")
 
 
-def _long_spans(table: SpanTable, at: np.ndarray, path: str, buf: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    totals = table.values[table.at[at] + table.size[at] - 1].astype(np.int64) if len(at) else np.zeros(0, np.int64)
-    for k in np.flatnonzero(totals == 65535):  # beyond what the table holds
-        end = starts[k + 1] if k + 1 < len(starts) else len(buf)
-        lead = np.array([starts[k] in offsets])
-        v = piece_bpe.vocabulary(path)
-        chars, first, limit = piece_bpe.span_chars(buf, starts[k : k + 1], np.array([end]), lead)
-        totals[k] = piece_bpe.relax(v, chars, first, piece_bpe.trie_edges(v, chars, limit))[0][-1]
-    return totals
+def _totals(table: SpanTable, at: np.ndarray) -> np.ndarray:
+    return table.values[table.at[at] + table.size[at] - 1].astype(np.int64) if len(at) else np.zeros(0, np.int64)
 
 
 def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -74,8 +66,8 @@ def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataF
         for batch in batches:
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
             for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 2 << 20):
-                table, at, starts, rows, leads = _span_counts(path, buf, offsets)
-                totals = _long_spans(table, at, path, buf, starts, offsets)
+                table, at, rows = _span_counts(path, buf, offsets)
+                totals = _totals(table, at)
                 n_tokens = np.bincount(rows, totals, hi - lo).astype(np.int64)
                 over = n_tokens > limit
                 cut: list[int | None] = [None] * (hi - lo)
@@ -99,8 +91,8 @@ def prefix_counts(texts: list[str], path: str | None = None) -> list[np.ndarray]
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     out = []
     for lo, hi, buf, offsets in pieces(_marked(pa.array(texts, pa.string()))):
-        table, at, _, rows, leads = _span_counts(path, buf, offsets)
-        totals = table.values[table.at[at] + table.size[at] - 1].astype(np.int64) if len(at) else np.zeros(0, np.int64)
+        table, at, rows = _span_counts(path, buf, offsets)
+        totals = _totals(table, at)
         values, which = table.expand(at)
         before = np.concatenate(([0], np.cumsum(totals)))[:-1]
         upto = np.concatenate(([0], np.cumsum(totals)))
