@@ -166,3 +166,21 @@ def test_bitmaps():
     packed = line_dedup.bitmap(11, [0, 3, 10])
     assert line_dedup.apply_bitmap("\n".join("abcdefghijk"), 11, packed) == "\n".join("bcefghij")
     assert line_dedup.apply_bitmap(None, 1, None) == ""
+
+
+def test_signatures_at_a_low_threshold():
+    """More samples than 1000: every band of equal sets agrees, and none of sets without a common shingle."""
+    width = near_dedup.n_bands(50)
+    assert width * near_dedup.ROWS > 2000
+    rng = np.random.default_rng(8)
+    one, other = rng.integers(0, 2**63, (2, 30), dtype=np.uint64)
+    for _ in range(3):
+        bands, sketch = near_dedup.signatures(np.concatenate((one, other, one)), np.array([0, 30, 60]), 50)
+        assert bands.shape == (3, width) and (bands[0] == bands[2]).all() and (sketch[0] == sketch[2]).all()
+        assert (bands[0] != bands[1]).all()
+    samples = np.array([(one * a).min() for a in near_dedup.multipliers(width * near_dedup.ROWS)])
+    want = np.arange(width, dtype=np.uint64)
+    for k in range(near_dedup.ROWS):
+        want = near_dedup.mix(want + samples[k :: near_dedup.ROWS])
+    assert (bands[0] == want).all()
+    assert (near_dedup.multipliers(125) == near_dedup.multipliers(2305)[:125]).all()

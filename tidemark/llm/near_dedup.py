@@ -18,6 +18,7 @@ get equal results; ties in component ids cannot occur; other columns play no par
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -54,7 +55,12 @@ def max_different_bits(near: int) -> int:
     return 2 * int(n * p + 7 * math.sqrt(n * p * (1 - p)))
 
 
-_A = np.random.default_rng(5).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@functools.lru_cache(4)
+def multipliers(n: int) -> np.ndarray:
+    """n odd hash multipliers; fewer are a prefix of more."""
+    return np.random.default_rng(5).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -87,7 +93,7 @@ def signatures(values: np.ndarray, first: np.ndarray, near: int = NEAR) -> tuple
     """Band hashes (n, bands) and odd sketches (n, bytes) of n non-empty sets that begin at first."""
     n, width = len(first), n_bands(near)
     samples = np.empty((n, width * ROWS), np.uint64)
-    for k, a in enumerate(_A[: width * ROWS]):
+    for k, a in enumerate(multipliers(width * ROWS)):
         samples[:, k] = np.minimum.reduceat(values * a, first)
     bands = np.zeros((n, width), np.uint64) + np.arange(width, dtype=np.uint64)
     for k in range(ROWS):
