@@ -63,3 +63,22 @@ def test_every_page_keeps_its_article(spark):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
         parts = [re.sub(r"<(?!br)[^>]*>", "", x).replace("<br>", " ") for x in re.split(r"</?(?:p|h1|div)[^>]*>", inner)]
         assert r["text"] == " ".join(y for y in (" ".join(h.unescape(x).split()) for x in parts) if y)
+
+
+def test_edges_between_blocks_of_one_parent():
+    from tidemark.llm.html_extract import edges_of
+
+    blocks = blocks_of("<div><p>one</p><ul><li>a</li><li>b</li><li>c</li></ul><p>two</p>words</div><p>out</p>")
+    assert [b.text for b in blocks] == ["one", "a", "b", "c", "two", "words", "out"]
+    assert blocks[0].parent == blocks[4].parent == blocks[5].element != blocks[1].parent == blocks[3].parent
+    far = {(i, j) for i, j, _ in edges_of(blocks) if j - i > 2}
+    assert far == {(0, 4)}
+    assert {(0, 5)} == {(i, j) for i, j, _ in edges_of(blocks_of("<div>one<ul><li>a</li><li>b</li><li>c</li><li>d</li></ul>two</div>")) if j - i > 2}
+
+
+def test_head_without_an_end():
+    text = "A sentence of the page, long enough to be its text, I would think."
+    for head in ("<head><title>t</title>", "<head><meta charset=x><link rel=y><style>p{}</style><!-- c -->", "<head><script>if(a<b){'<p>'}</script>", "<HEAD>"):
+        assert main_text(f"<html>{head}<article><p>{text}</p></article>")[0] == text
+        assert [b.text for b in blocks_of(f"<html>{head}plain words")] == ["plain words"]
+    assert main_text("<head><title>only")[0] == "" and main_text("<head><meta a>")[0] == ""

@@ -1,8 +1,8 @@
 """HTML main-text extraction by minimum-cut labelling (operator 1).
 
 A page becomes a row of text blocks with their place in the DOM. A linear classifier gives each block a cost for being
-called content or boilerplate: the capacities of its edges to the two terminals. Edges between neighbouring blocks, and between those
-that share a parent, cost more the nearer the blocks are in the DOM. The minimum cut (persistent blocks first, then
+called content or boilerplate: the capacities of its edges to the two terminals. Edges between neighbouring blocks, and between consecutive
+ones in one element or in elements of one parent, cost more the nearer the blocks are in the DOM. The minimum cut (persistent blocks first, then
 maximum flow by Dinic's method over the rest) separates content from boilerplate; content blocks joined in page order are the text.
 
 Defined cases: null or empty html gives the empty text; a cut-off page counts as far as it goes, an unfinished tag is dropped; a
@@ -24,6 +24,9 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What lies in these is never text of the page.
 SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button datalist title".split())
+#: What may be in a head whose end isn't marked, and what of it has content that isn't the page's.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+IN_HEAD_PAIRED = frozenset("noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -46,7 +49,8 @@ NEAR_EDGE, SIBLING_EDGE, FAR_EDGE = 120, 60, 20
 class Block:
     text: str
     tag: str
-    parent: int  # number of the innermost block-level element
+    element: int  # number of the innermost block-level element
+    parent: int  # number of the block-level element around that, -1 outside of any
     depth: int
     boiler: bool
     in_content: bool
@@ -76,6 +80,26 @@ def _hints(attributes: str) -> tuple[bool, bool, bool]:
     return boiler, content, hidden
 
 
+def head_end(html: str, at: int) -> int:
+    """Where a head that no tag ends does end: at the first text or element that can't be in it."""
+    size = len(html)
+    while at < size:
+        found = TOKEN.search(html, at)
+        if html[at : found.start() if found else size].strip() or (found and found[0].startswith("<![CDATA[")):
+            return at
+        if not found:
+            break
+        tag, at = (found[2] or found[5] or "").lower(), found.end()
+        if not tag or found[1] or found[4]:
+            continue
+        if tag not in IN_HEAD:
+            return found.start()
+        if tag in IN_HEAD_PAIRED:
+            later = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
+            at = later.end() if later else size
+    return size
+
+
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     # An open element: tag, boilerplate, content tag, content word, header, number of its block-level element, depth.
@@ -89,8 +113,9 @@ def blocks_of(html: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            top = next(e for e in reversed(stack) if e[0] in BLOCK_TAGS or not e[0])
-            out.append(Block(joined, top[0], top[5], top[6], stack[-1][1], stack[-1][2], stack[-1][3], stack[-1][4], link_chars))
+            around = (e for e in reversed(stack) if e[0] in BLOCK_TAGS or not e[0])
+            top, outer = next(around), next(around, None)
+            out.append(Block(joined, top[0], top[5], outer[5] if outer else -1, top[6], stack[-1][1], stack[-1][2], stack[-1][3], stack[-1][4], link_chars))
         link_chars = 0
 
     def add(raw: str) -> None:
@@ -123,7 +148,7 @@ def blocks_of(html: str) -> list[Block]:
             if tag == "head":
                 close_block()
                 later = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
-                at = (later.end() if later[0][1] == "/" else later.start()) if later else size
+                at = (later.end() if later[0][1] == "/" else later.start()) if later else head_end(html, at)
                 continue
             if attributes.endswith("/") and tag not in RAW:
                 continue
@@ -206,8 +231,17 @@ def score(b: Block) -> int:
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """(i, j, capacity) between neighbours and next neighbours, by DOM proximity."""
+    """(i, j, capacity) between neighbours, next neighbours and consecutive blocks of one element or parent, by DOM proximity."""
     out = []
+    last: dict[tuple[str, int], int] = {}
+    for j, b in enumerate(blocks):
+        before = {last.get(key, j) for key in (("element", b.element), ("parent", b.parent)) if key[1] >= 0}
+        for i in sorted(before):
+            a = blocks[i]
+            same = a.boiler == b.boiler and a.in_content == b.in_content
+            if same and (j - i > 2 or (j - i == 2 and a.depth != b.depth)):
+                out.append((i, j, SIBLING_EDGE))
+        last["element", b.element] = last["parent", b.parent] = j
     for i in range(len(blocks) - 1):
         a, b = blocks[i], blocks[i + 1]
         if a.boiler != b.boiler or a.in_content != b.in_content:
