@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,17 +29,25 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset and all runs in one process, as in tests, a new
+    temporary one that goes with the process; on a cluster without the setting an error, as executors would each write to their own disk."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.shared.dir", None)
     if not folder:
-        folder = spark.conf.get("tidemark.shared.dir", None)
-        if not folder:
-            folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-            spark.conf.set("tidemark.shared.dir", folder)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        local = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = f"file://{local}"
+        spark.conf.set("tidemark.shared.dir", folder)
     return folder.rstrip("/")
 
 
+def range_parts(table: DataFrame, rows: int) -> int:
+    """Partitions of a written table of narrow rows: the session's number, or more so that each holds about so many rows."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
