@@ -88,6 +88,14 @@ def test_near_dedup_of_odd_and_no_rows(odd, empty):
     assert near_dedup.keep(odd).schema.names == odd.schema.names
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(9)
+    a, b, c, d = ([f"{x}{k}" for k in range(100)] for x in "abcd")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, edited(a, 1, rng)), (9, edited(b, 1, rng)), (4, " ".join(c)), (4, " ".join(d)), (8, " ".join(d)), (7, ""), (7, "some other text of seven words here")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (4, 4, True), (4, 4, True), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 4, False), (9, 3, False)]
+
+
 def test_settling_in_blocks_finds_links_of_other_components():
     import pandas as pd
 
@@ -164,8 +172,44 @@ def test_lines_of_odd_and_no_rows(spark, odd, empty):
 
 def test_bitmaps():
     packed = line_dedup.bitmap(11, [0, 3, 10])
-    assert line_dedup.apply_bitmap("\n".join("abcdefghijk"), 11, packed) == "\n".join("bcefghij")
-    assert line_dedup.apply_bitmap(None, 1, None) == ""
+    assert line_dedup.apply_bitmap("\n".join("abcdefghijk"), packed) == "\n".join("bcefghij")
+    assert line_dedup.apply_bitmap(None, None) == ""
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    """A doc_id with several texts counts once, and each of its rows keeps or loses what it holds itself."""
+    shared = "a line that more than five documents hold, of some length"
+    rows = [(k, f"{shared}\nown line {k}") for k in range(8)] + [(2, f"first own line of the other row\nand one more\n{shared}"), (7, shared), (2, "nothing shared")]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    kept = lambda i, t: "\n".join(x for x in t.split("\n") if x != shared or i == 7)
+    assert got == sorted((i, t.count("\n") + 1, t.count("\n") - kept(i, t).count("\n") if kept(i, t) else 1, hashlib.sha256(kept(i, t).encode()).hexdigest()) for i, t in rows)
+    few = [(k % 4, f"{shared}\n{k}") for k in range(40)]  # forty rows, but four documents
+    assert all(r["n_dropped"] == 0 for r in line_dedup.digest(spark.createDataFrame(few, "doc_id long, text string")).collect())
+
+
+def test_only_rows_that_lose_lines_have_bitmaps(spark, documents, monkeypatch):
+    maps = line_dedup.keep_bitmaps(documents).collect()
+    want = {r["doc_id"]: r["n_dropped"] for r in line_dedup.digest(documents).collect() if r["n_dropped"]}
+    assert {r["doc_id"]: r["n_dropped"] for r in maps} == want and 0 < len(want) < documents.count()
+    for r in maps:
+        assert int((~line_dedup.kept_lines(r["n_lines"], r["keep_bitmap"])).sum()) == r["n_dropped"]
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", (6, 6))  # a filter that lets nearly all rows through
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.digest(documents).collect() if r["n_dropped"]} == want
+
+
+def test_texts_without_a_bitmap_are_not_shuffled(spark, documents):
+    plan = line_dedup.digest(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 2
+
+
+def test_the_shared_folder_is_an_error_on_a_cluster_without_one():
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077")))
 
 
 def test_signatures_at_a_low_threshold():

@@ -12,8 +12,8 @@
 So copies are never expanded into all pairs, no partner is capped, and nothing but plan decisions is on the driver.
 
 Defined cases: null or empty text, or text without a word, has an empty set and is linked with nothing; fewer than five
-words are one shingle; a null doc_id is kept, linked with nothing; rows that repeat a doc_id are the same document and
-get equal results; ties in component ids cannot occur; other columns play no part.
+words are one shingle; a null doc_id is kept, linked with nothing; rows that repeat a doc_id are one document, linked with all that any of
+its texts is linked with: they get one component, each with the size of its own set; ties in component ids cannot occur; other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, mix, owner, pieces, rolling, span_hash, word_spans, written
+from tidemark.llm.common import lower_ascii, mix, owner, pieces, range_parts, rolling, span_hash, word_spans, written
 from tidemark.llm.graph import components
 
 WORDS = 5
@@ -42,6 +42,8 @@ MISSED = 4.5e-7
 SMALL_BUCKET = 24
 BLOCK = 512
 PAIR_BLOCK = 256
+#: Class representatives of a range partition of buckets, in the mean.
+PART_REPS = 250_000
 
 
 def n_bands(near: int) -> int:
@@ -277,32 +279,43 @@ def _left_over(members: DataFrame, mapping: DataFrame, sets: DataFrame, near: in
     return met.join(sets, "doc_id").groupBy("grp", "v", "u").applyInPandas(lambda pdf: _settle(pdf, near), "a long, b long")
 
 
+def _texts_of_one_id(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of the classes that a repeated doc_id has texts in. Sizes and hashes meet, no text does."""
+    marks = [f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2", "n_shingles") for f in (F.min, F.max)]
+    several = real.groupBy("doc_id").agg(*marks).where("min_s1 <> max_s1 OR min_s2 <> max_s2 OR min_n_shingles <> max_n_shingles").select("doc_id")
+    of = real.join(several, "doc_id", "left_semi").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct()
+    return of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs. near: the similarity from which texts are linked, in per cent."""
     docs = docs.select("doc_id", "text")
     signed = written(docs.mapInArrow(lambda b: _sign(b, near), _SIGNED))
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = real.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = real.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    parts = range_parts(classes, PART_REPS)
     banded = reps.select(F.explode("bands").alias("band"), "doc_id", "sketch").repartitionByRange(parts, "band", "doc_id").sortWithinPartitions("band", "doc_id")
     found = written(banded.mapInArrow(lambda b: _bucket_pairs(b, max_different_bits(near)), "kind int, a long, b long").distinct())
     pairs, members = found.where("kind = 0 AND a <> b").select("a", "b"), found.where("kind = 1").select("a", "b")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("a")).distinct()
     texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_shingle_rows, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+    sets = written(texts.mapInArrow(_shingle_rows, "doc_id long, shingles binary").distinct())
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = written(full.select("a", "b", "x", "y").mapInArrow(lambda b: _confirm(b, near), "a long, b long"))
+    links = written(full.select("a", "b", "x", "y").mapInArrow(lambda b: _confirm(b, near), "a long, b long").unionByName(_texts_of_one_id(real, classes)))
     mapping = components(links)
     if not members.isEmpty():
         more = written(_left_over(members, mapping, sets, near))
         if not more.isEmpty():
             mapping = components(links.unionByName(more))
-    near = classes.join(mapping.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(near, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    by_class = classes.join(mapping.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("component"))
+    narrow = signed.select("doc_id", "n_shingles", "s1", "s2")
+    linked = "n_shingles > 0 AND doc_id IS NOT NULL"
+    out = narrow.where(linked).join(by_class, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    # Empty sets, of which there may be many, are in no class and need not meet.
+    alone = narrow.where(f"NOT ({linked}) OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def keep(docs: DataFrame, near: int = NEAR) -> DataFrame:
