@@ -47,7 +47,8 @@ def test_spans_of_a_mixed_text(spark):
 def test_scripts_narrow_candidates(spark):
     model = train(spark)
     buf = np.frombuffer("слово word".encode(), np.uint8)
-    scores = language.word_scores(buf, np.array([0, 11]), np.array([10, 15]), model)
+    scores, lettered, known = language.word_scores(buf, np.array([0, 11]), np.array([10, 15]), model, np.zeros(1, int))
+    assert lettered.all() and known.all()
     assert scores[0].argmax() == model.langs.index("ru") and (np.sort(scores[0])[:2] == -50).all()
     assert scores[1, model.langs.index("ru")] == -50
 
@@ -100,6 +101,79 @@ def test_runs_of_a_long_text_score_as_one(spark, monkeypatch):
     model = train(spark)
     buf = np.frombuffer(" ".join(TEXTS.values()).encode(), np.uint8)
     starts, ends = language.word_spans(buf, np.array([0, len(buf)]))
-    want = language.word_scores(buf, starts, ends, model)
+    want = language.word_scores(buf, starts, ends, model, np.zeros(1, int))[0]
     monkeypatch.setattr(language, "PIECE_BYTES", 1)
-    assert np.allclose(language.word_scores(buf, starts, ends, model), want, atol=1e-3)
+    assert np.allclose(language.word_scores(buf, starts, ends, model, np.zeros(1, int))[0], want, atol=1e-3)
+
+
+def plain_grams(text, n, size):
+    """(id of the n bytes that end at each byte) of a text as the operator sees it, one at a time."""
+    seen = b"".join((c.lower() if c < "\x80" else c).encode() if c.isalpha() else b" " * len(c.encode()) for c in text)
+    out = []
+    for k in range(len(seen)):
+        h = 0
+        for j in range(n):
+            at = k - n + 1 + j
+            h = h * 0x01000193 % 2**32 ^ (seen[at] if at >= 0 else 32) + j
+        out.append((h * 0x9E3779B1 % 2**32) >> 33 - size.bit_length())
+    return seen, out
+
+
+def test_fit_and_word_scores_against_counting(spark):
+    import math
+    from collections import Counter
+
+    rows = [("en", "the “quick” fox, 3 times"), ("en", "a fox"), ("ru", "лиса и дом"), ("de", "der Fuchs über")]
+    model = language.fit(spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)], "doc_id long, text string, lang string").coalesce(1))
+    assert model.langs == ["de", "en", "ru"]
+    text = "The fox лиса 12 über"
+    buf = np.frombuffer(text.encode(), np.uint8)
+    starts, ends = language.word_spans(buf, np.array([0, len(buf)]))
+    scores, lettered, known = language.word_scores(buf, starts, ends, model, np.zeros(1, int))
+    assert lettered.tolist() == [True, True, True, False, True] == known.tolist()
+    want = np.zeros((len(starts), 3))
+    for n, size in language.GRAMS:
+        table = []
+        for lang in model.langs:
+            c = Counter()
+            for x, t in rows:
+                if x == lang:
+                    c.update(plain_grams(t, n, size)[1])
+            table.append((c, sum(c.values())))
+        seen, ids = plain_grams(text, n, size)
+        for w, (a, b) in enumerate(zip(starts, ends)):
+            for k in range(a, min(b, len(seen) - 1) + 1):
+                p = [math.log((c[ids[k]] + language.SMOOTHING) / (total + language.SMOOTHING * size)) for c, total in table]
+                want[w] += (np.array(p) - np.mean(p)) * (0.5 if seen[k] == 32 else 1)
+    assert np.allclose(scores[[0, 1, 4]][:, :2], want[[0, 1, 4]][:, :2], atol=1e-3)
+    assert (scores[2] == [-50, -50, scores[2, 2]]).all() and (scores[[0, 1, 4], 2] == -50).all() and not scores[3].any()
+
+
+def test_unlearned_scripts_and_punctuation(spark):
+    rows = [(k, t, x) for k in range(20) for x, t in TEXTS.items() if x != "ru"]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["ภาษาไทยเป็นภาษาที่ใช้ในประเทศ", "日本語の文章です これは長い", "“the “quick “brown “fox", "— … “” ×÷ ’", "the quick brown ภาษาไทย", "አማርኛ ቋንቋ"]
+    import pyarrow as pa
+
+    langs, score, _ = language.label(pa.array(texts), model)
+    assert score[0] == score[1] == score[5] == 0 and all(x in model.langs for x in (langs[0], langs[1], langs[5]))
+    assert (langs[2], score[2]) == ("en", 1.0) and langs[3] == "und"
+    assert langs[4] == "en" and 0.3 < score[4] < 0.6
+
+
+def test_a_text_does_not_depend_on_its_neighbours(spark):
+    import pyarrow as pa
+
+    model = train(spark)
+    texts = [*TEXTS.values(), "é", "x", "", None, "der the", "the der"] * 3
+    together = language.label(pa.array(texts), model)
+    for k, t in enumerate(texts):
+        alone = language.label(pa.array([t]), model)
+        assert (together[0][k], together[1][k], together[2][k]) == (alone[0][0], alone[1][0], alone[2][0])
+
+
+def test_scripts_by_code_point():
+    text = "aÉß×ñ Ω я “ก” 漢カ한𠀀 9·"
+    got = dict(zip(text, (language.letter_scripts(np.frombuffer(text.encode(), np.uint8))[np.cumsum([0, *(len(c.encode()) for c in text)])[:-1]]).tolist()))
+    names = [None, *language.SCRIPT_BLOCKS, "other"]
+    assert {c: names[k] for c, k in got.items() if k} == {"a": "latin", "É": "latin", "ß": "latin", "ñ": "latin", "Ω": "greek", "я": "cyrillic", "ก": "thai", "漢": "han", "カ": "kana", "한": "hangul", "𠀀": "han"}
