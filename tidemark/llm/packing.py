@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.token_counts import count
+from tidemark.llm.token_counts import total_counts
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a bin beside its tokens: attention makes long sequences dearer.
@@ -91,7 +91,7 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, path: str
     from tidemark.llm.common import written
 
     capacities = tuple(sorted(capacities))
-    counted = written(count(docs, path, capacities[-1]).select("doc_id", "n_tokens"))
+    counted = written(total_counts(docs, path))
     items = counted.mapInArrow(_items(capacities[-1]), "doc_id long, item int, size int")
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))

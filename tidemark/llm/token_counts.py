@@ -2,25 +2,29 @@
 
 The text is cut where no piece can span (before the first of a run of spaces). For each distinct span the dynamic
 program of piece_bpe gives the token count of every prefix of it, and sums over the spans give the count of every prefix of the
-text: how many tokens a text has, and where a budget ends, is read off without encoding again.
+text. They are stored as a table, a compressed run of steps for each document; how many tokens a text or a prefix of it has, and where any
+budget ends, is read off the table without encoding again. A longer prefix may have fewer tokens than a shorter one.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; a null doc_id is passed through; repeated rows are counted
+Defined cases: null or empty text has 0 bytes, characters and tokens; a null doc_id is passed through; repeated rows are counted
 each for itself; other columns play no part.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import piece_bpe
-from tidemark.llm.common import pieces
+from tidemark.llm.common import pieces, written
 from tidemark.llm.spans_table import SpanTable, space_spans
 
 LIMIT = 4096
@@ -57,48 +61,100 @@ def _totals(table: SpanTable, at: np.ndarray) -> np.ndarray:
     return table.values[table.at[at] + table.size[at] - 1].astype(np.int64) if len(at) else np.zeros(0, np.int64)
 
 
-def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars): limit_chars is the longest prefix of whole spans and
-    characters within limit tokens, null if the whole text is within it. No shuffle."""
+def _row_counts(path: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, sizes): token counts of the prefixes of 1, 2, ... characters of each row, one after the other, and their numbers."""
+    n = len(offsets) - 1
+    table, at, rows = _span_counts(path, buf, offsets)
+    totals = _totals(table, at)
+    upto = np.cumsum(totals) - totals
+    values, which = table.expand(at)
+    first = np.searchsorted(rows, rows)  # each span's first span of the row
+    counts = values.astype(np.int64) + (upto - upto[first])[which] if len(at) else np.zeros(0, np.int64)
+    row = rows[which]
+    lead = np.ones(len(row), bool)  # a row's first value counts the mark that it got alone
+    lead[1:] = row[1:] != row[:-1]
+    return counts[~lead], np.bincount(row[~lead], minlength=n)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Steps between the counts of prefixes of 0, 1, 2, ... characters, compressed: a byte each, or four where one of them needs it."""
+    steps = np.diff(counts, prepend=0)
+    narrow = len(steps) == 0 or (int(steps.min()) >= -128 and int(steps.max()) <= 127)
+    return (b"1" if narrow else b"4") + zlib.compress(steps.astype("<i1" if narrow else "<i4").tobytes(), 1)
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    """Token counts of the prefixes of 0, 1, 2, ... characters."""
+    steps = np.frombuffer(zlib.decompress(packed[1:]), "<i1" if packed[:1] == b"1" else "<i4")
+    return np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+
+
+def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_chars, n_tokens, prefix_counts): the exact token count of every prefix of every text. No shuffle."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
+            for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 2 << 20):
+                counts, sizes = _row_counts(path, buf, offsets)
+                cuts = np.concatenate(([0], np.cumsum(sizes)))
+                packed = [pack_counts(counts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                n_tokens = np.where(sizes > 0, np.append(counts, 0)[np.maximum(cuts[1:] - 1, 0)], 0)
+                columns = [batch.column(0).slice(lo, hi - lo), n_bytes.slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_chars", "n_tokens", "prefix_counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_bytes long, n_chars long, n_tokens long, prefix_counts binary")
+
+
+def within_budget(table: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) of a prefix table, without its texts: limit_chars is the longest prefix of at most
+    limit tokens, null if the whole text is within it. A stored table answers any budget."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [None if x is None else int(np.flatnonzero(unpack_counts(x) <= limit)[-1]) for x in batch.column(3).to_pylist()]
+            over = pa.compute.greater(batch.column(2), pa.scalar(limit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], over, pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
+
+    needed = F.when(F.col("n_tokens") > limit, F.col("prefix_counts")).alias("prefix_counts")
+    return table.select("doc_id", "n_bytes", "n_tokens", needed).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+
+
+def truncated(table: DataFrame, n_chars: str) -> DataFrame:
+    """table with `truncated_tokens`: the tokens of each text's first n_chars (a column) characters, or of all of it if it is shorter; null for null."""
+
+    @F.pandas_udf("long")
+    def at(packed: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(k) else int((c := unpack_counts(x))[min(max(int(k), 0), len(c) - 1)]) for x, k in zip(packed, n, strict=True)], dtype="Int64")
+
+    return table.withColumn("truncated_tokens", at("prefix_counts", n_chars))
+
+
+def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """within_budget() of the documents' prefix table, which is stored first."""
+    return within_budget(written(prefix_table(docs, path)), limit)
+
+
+def total_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) alone, for those who need no prefixes. No shuffle."""
+    path = path or public_tokenizers.path("piece_bpe_32k.model")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for lo, hi, buf, offsets in pieces(_marked(batch.column(1)), 2 << 20):
                 table, at, rows = _span_counts(path, buf, offsets)
-                totals = _totals(table, at)
-                n_tokens = np.bincount(rows, totals, hi - lo).astype(np.int64)
-                over = n_tokens > limit
-                cut: list[int | None] = [None] * (hi - lo)
-                for row in np.flatnonzero(over).tolist():
-                    a, b = np.searchsorted(rows, [row, row + 1])
-                    upto = np.cumsum(totals[a:b])
-                    k = a + int(np.searchsorted(upto, limit, "right"))
-                    before = limit - (int(upto[k - a - 1]) if k > a else 0)
-                    entry = table.values[table.at[at[k]] : table.at[at[k]] + table.size[at[k]]]
-                    fit = np.flatnonzero(entry <= before)
-                    chars = int(table.size[at[a:k]].sum()) + (int(fit[-1]) + 1 if len(fit) else 0)
-                    cut[row] = max(0, chars - 1)  # without the mark that the first span got
-                ids = batch.column(0).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([ids, n_bytes.slice(lo, hi - lo).cast(pa.int64()), pa.array(n_tokens), pa.array(over), pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+                n_tokens = np.bincount(rows, _totals(table, at), hi - lo).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_tokens)], names=["doc_id", "n_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long")
 
 
 def prefix_counts(texts: list[str], path: str | None = None) -> list[np.ndarray]:
     """For each text the token count of each of its prefixes of 0, 1, 2, ... characters."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     out = []
-    for lo, hi, buf, offsets in pieces(_marked(pa.array(texts, pa.string()))):
-        table, at, rows = _span_counts(path, buf, offsets)
-        totals = _totals(table, at)
-        values, which = table.expand(at)
-        before = np.concatenate(([0], np.cumsum(totals)))[:-1]
-        upto = np.concatenate(([0], np.cumsum(totals)))
-        for row in range(hi - lo):
-            a, b = np.searchsorted(rows, [row, row + 1])
-            mine = (which >= a) & (which < b)
-            counts = values[mine].astype(np.int64) + before[which[mine]] - upto[a]
-            out.append(np.concatenate(([0], counts[1:])))
+    for _, _, buf, offsets in pieces(_marked(pa.array(texts, pa.string()))):
+        counts, sizes = _row_counts(path, buf, offsets)
+        out += [np.concatenate(([0], x)) for x in np.split(counts, np.cumsum(sizes)[:-1])]
     return out
