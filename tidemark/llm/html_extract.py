@@ -1,18 +1,23 @@
 """HTML main-text extraction by minimum-cut labelling (operator 1).
 
-A page becomes a row of text blocks with their place in the DOM. A linear classifier gives each block a cost for being
-called content or boilerplate: the capacities of its edges to the two terminals. Edges between neighbouring blocks, and between consecutive
-ones in one element or in elements of one parent, cost more the nearer the blocks are in the DOM. The minimum cut (persistent blocks first, then
-maximum flow by Dinic's method over the rest) separates content from boilerplate; content blocks joined in page order are the text.
-
-Defined cases: null or empty html gives the empty text; a cut-off page counts as far as it goes, an unfinished tag is dropped; a
-null page_id or url is passed through; repeated rows are each extracted; other columns play no part.
+A page becomes a row of text blocks with their place in the DOM. A linear classifier gives each block a cost for being called content or
+boilerplate: the capacities of its edges to the two terminals. What it goes by is soft: the text's own features, and hints of the elements around it
+(tags, roles, whole names in class and id count much; names beside other words little; states such as with-sidebar nothing). Smoothness edges run
+between neighbouring blocks and between consecutive ones of one element or one parent; they are as strong as the classifier's own costs and
+weaken with the blocks' distance in the DOM and across elements that hint at another kind of text. The minimum cut (maximum flow by Dinic's method;
+blocks whose side is plain go first) separates content from boilerplate, so headings, short lines and cells go with what stands around them.
+Content blocks joined in page order are the text.
+
+Defined cases: null or empty html gives the empty text; a cut-off page counts as far as it goes, an unfinished tag is dropped; form controls (select,
+textarea, button) are part of forms, wherever they stand; a null page_id or url is passed through; repeated rows are each extracted; other columns
+play no part.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -23,26 +28,38 @@ from pyspark.sql import DataFrame
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What lies in these is never text of the page.
-SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button datalist title".split())
+SKIPPED = frozenset("head script style noscript template svg iframe canvas audio video select textarea button datalist title annotation annotation-xml".split())
 #: What may be in a head whose end isn't marked, and what of it has content that isn't the page's.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 IN_HEAD_PAIRED = frozenset("noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title".split())
-BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
-CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus reply replies respond discussion share sharing social related recommended recommendations subscribe subscription newsletter signup login register widget toolbar pagination pager copyright legal skip search form poll rating".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that say where or how a thing is put, not what it is; and such as make a name a state of the page.
+PLACE_WORDS = frozenset("area articles bar block bottom box card cards container content contents entries entry fixed global group holder inner item items layout left link links list lists main module outer page panel posts primary right row secondary section site stories sticky text thread title top wrap wrapper zone".split())
+STATE_FIRST = frozenset("with has no is not without js hide hides show shows enable can".split())
+STATE_LAST = frozenset("active closed collapsed disabled enabled expanded hidden off on open opened shown visible".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: An open one of these ends at the start of the others.
 CLOSED_BY = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?![\w-])""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: The slash that ends an empty element; one that ends an unquoted value is part of it.
+EMPTY = re.compile(r"""(?:^|[\s"'])/$""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: The classifier's weights, in hundredths; content is positive.
-WEIGHTS = {"boiler": -900, "content_tag": 500, "content_word": 200, "link": -400, "sentence": 150, "long": 150, "paragraph": 100, "item": -100, "heading": 100, "header": -300, "bias": -50}
-NEAR_EDGE, SIBLING_EDGE, FAR_EDGE = 120, 60, 20
+#: The classifier's weights, in hundredths; content is positive. Calibrated by hand: any one hint can be outweighed by the text and its neighbours,
+#: but for a plain hint at boilerplate against one paragraph.
+TAG_WEIGHTS = {"nav": -520, "footer": -480, "aside": -420, "form": -420, "menu": -450, "dialog": -450, "article": 150, "main": 150}
+BOILER_NAME, WEAK_NAME, CONTENT_NAME, HIDDEN_WEIGHT = -450, -40, 150, -500
+HINTS_LEAST, HINTS_MOST = -650, 250
+WEIGHTS = {"bias": -50, "link": -400, "sentence": 150, "long": 120, "short": -40, "paragraph": 60, "heading": -110, "header": -350}
+#: A form that holds this share of the page's prose is but a wrapper.
+WRAPPER_SHARE = 0.5
+#: Capacity by the number of steps between two blocks' elements in the DOM; of edges that skip blocks; and the divisor across a boundary.
+NEAR_EDGE = (200, 200, 200, 150, 110, 70, 40)
+SIBLING_EDGE, BOUNDARY, DIVISOR = 60, 150, 8
 
 
 @dataclass(slots=True)
@@ -52,16 +69,36 @@ class Block:
     element: int  # number of the innermost block-level element
     parent: int  # number of the block-level element around that, -1 outside of any
     depth: int
-    boiler: bool
-    in_content: bool
-    content_word: bool
-    in_header: bool
     link_chars: int
 
 
-def _hints(attributes: str) -> tuple[bool, bool, bool]:
-    """(boilerplate, content, hidden) by the names in an element's attributes."""
-    boiler = content = hidden = False
+@dataclass(slots=True)
+class Page:
+    """Blocks, and of each block-level element (0 is the page itself) its parent, tag, depth and own hint."""
+
+    blocks: list[Block]
+    parents: list[int]
+    tags: list[str]
+    depths: list[int]
+    hints: list[int]
+
+
+@functools.lru_cache(8192)
+def name_hint(name: str) -> int:
+    """What one name in class or id says of the element."""
+    words = [w.lower() for w in WORD.findall(name) if not w.isdigit()]
+    if not words or words[0] in STATE_FIRST or (len(words) > 1 and words[-1] in STATE_LAST):
+        return 0
+    boiler = [w in BOILER_WORDS for w in words]
+    if any(boiler):
+        named = boiler[-1] or (boiler[0] and all(x or w in PLACE_WORDS or w in CONTENT_WORDS for w, x in zip(words, boiler, strict=True)))
+        return BOILER_NAME if named else WEAK_NAME
+    return CONTENT_NAME if all(w in CONTENT_WORDS or w in PLACE_WORDS for w in words) and any(w in CONTENT_WORDS for w in words) else 0
+
+
+def attribute_hints(attributes: str) -> tuple[int, bool]:
+    """(hint, hidden) by an element's attributes: its plainest name at either side."""
+    names, hidden = [0], False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "style":
@@ -71,13 +108,10 @@ def _hints(attributes: str) -> tuple[bool, bool, bool]:
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
         elif name == "role":
-            boiler |= value.lower() in BOILER_ROLES
-            content |= value.lower() in ("main", "article")
+            names.append(BOILER_NAME if value.lower() in BOILER_ROLES else CONTENT_NAME if value.lower() in ("main", "article") else 0)
         else:
-            words = {w.lower() for w in WORD.findall(value)}
-            boiler |= not BOILER_WORDS.isdisjoint(words)
-            content |= not CONTENT_WORDS.isdisjoint(words)
-    return boiler, content, hidden
+            names += map(name_hint, value.split())
+    return min(names) + max(names), hidden
 
 
 def head_end(html: str, at: int) -> int:
@@ -100,12 +134,14 @@ def head_end(html: str, at: int) -> int:
     return size
 
 
-def blocks_of(html: str) -> list[Block]:
-    out: list[Block] = []
-    # An open element: tag, boilerplate, content tag, content word, header, number of its block-level element, depth.
-    stack: list[tuple] = [("", False, False, False, False, 0, 0)]
+def parse(html: str) -> Page:
+    page = Page([], [-1], [""], [0], [0])
+    # Open elements: tag, number of the block-level element, is it one itself, is it a hidden inline one.
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]
+    levels = [0]  # places of the block-level ones in the stack
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    n_elements = links = link_chars = 0
+    links = link_chars = unseen = 0
     at, size = 0, len(html)
 
     def close_block() -> None:
@@ -113,18 +149,30 @@ def blocks_of(html: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            around = (e for e in reversed(stack) if e[0] in BLOCK_TAGS or not e[0])
-            top, outer = next(around), next(around, None)
-            out.append(Block(joined, top[0], top[5], outer[5] if outer else -1, top[6], stack[-1][1], stack[-1][2], stack[-1][3], stack[-1][4], link_chars))
+            number = stack[levels[-1]][1]
+            page.blocks.append(Block(joined, page.tags[number], number, page.parents[number], page.depths[number], link_chars))
         link_chars = 0
 
     def add(raw: str) -> None:
         nonlocal link_chars
+        if unseen:
+            return
         raw = unescape(raw) if "&" in raw else raw
         text.append(raw)
         if links:
             link_chars += len(raw)
 
+    def leave(k: int) -> None:
+        """Closes the open elements from place k on."""
+        nonlocal links, unseen
+        for tag, _, block, hidden in stack[k:]:
+            opened[tag] -= 1
+            links -= tag == "a"
+            unseen -= hidden
+            if block:
+                levels.pop()
+        del stack[k:]
+
     lower = None
     while at < size:
         found = TOKEN.search(html, at)
@@ -143,115 +191,134 @@ def blocks_of(html: str) -> list[Block]:
             continue  # cut off
         tag, ends, attributes = tag.lower(), bool(found[1] or found[4]), found[3] or found[6] or ""
         if not ends and tag in SKIPPED:
-            if tag in BLOCK_TAGS:
-                close_block()
             if tag == "head":
                 close_block()
                 later = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
                 at = (later.end() if later[0][1] == "/" else later.start()) if later else head_end(html, at)
                 continue
-            if attributes.endswith("/") and tag not in RAW:
+            if EMPTY.search(attributes) and tag not in RAW:
                 continue
             lower = html.lower() if lower is None else lower
             later = lower.find(f"</{tag}", at)
             at = size if later < 0 else (lower.find(">", later) + 1 or size)
             continue
         if tag == "br":
-            text.append(" ")
+            add(" ")
             continue
         block = tag in BLOCK_TAGS
         if block:
             close_block()
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(e[0] == "a" for e in stack[k:])
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                leave(k)
             continue
         if tag in VOID:
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            other = stack[k][0]
+        for k in range(len(levels) - 1, 0, -1):
+            other = stack[levels[k]][0]
             if tag in CLOSED_BY.get(other, ()):
-                links -= sum(e[0] == "a" for e in stack[k:])
-                del stack[k:]
+                leave(levels[k])
                 break
-            if other in BLOCK_TAGS and other != "p":
+            if other != "p":
                 break
-        if attributes.endswith("/") and not block:
+        if EMPTY.search(attributes) and not block:
             continue
-        _, boiler, in_content, content_word, header, number, depth = stack[-1]
-        if attributes:
-            hint, good, hidden = _hints(attributes)
-            boiler |= hidden or (hint and tag not in ("html", "body") and not (good and tag in CONTENT_TAGS))
-            content_word |= good and not hint
-        boiler |= tag in BOILER_TAGS
-        in_content |= tag in CONTENT_TAGS
-        header |= tag == "header"
+        hint, hidden = attribute_hints(attributes) if attributes and tag not in ("html", "body") else (0, False)
+        number = stack[-1][1]
         if block:
-            n_elements += 1
-            number, depth = n_elements, depth + 1
-        if tag == "a":
-            links += 1
-        stack.append((tag, boiler, in_content, content_word, header, number, depth))
-        if len(stack) > 4000:  # markup that never closes anything
-            del stack[1:2]
+            page.parents.append(number)
+            page.tags.append(tag)
+            page.depths.append(page.depths[number] + 1)
+            page.hints.append(hint + TAG_WEIGHTS.get(tag, 0) + HIDDEN_WEIGHT * hidden)
+            number = len(page.tags) - 1
+            levels.append(len(stack))
+        links += tag == "a"
+        unseen += hidden and not block
+        opened[tag] += 1
+        stack.append((tag, number, block, hidden and not block))
     close_block()
-    return out
+    return page
+
 
+def blocks_of(html: str) -> list[Block]:
+    return parse(html).blocks
 
 
-def score(b: Block) -> int:
-    """The classifier: content above 0."""
+def text_score(b: Block) -> int:
+    """What the text itself, its tag and its links say."""
     w, n = WEIGHTS, len(b.text)
-    s = w["bias"]
-    if b.boiler:
-        s += w["boiler"]
-    if b.in_header and b.tag not in ("h1", "h2"):
-        s += w["header"]
-    elif b.in_header and not b.in_content:
-        s += w["header"]
-    if b.in_content:
-        s += w["content_tag"]
-    if b.content_word:
-        s += w["content_word"]
-    s += w["link"] * min(b.link_chars, n) // n
-    if n > 40 and b.text[-1] in ".!?…。！？\"'":
+    s = w["bias"] + w["link"] * min(b.link_chars, n) // n
+    if n > 40 and b.text[-1] in ".!?…。！？\"'”»":
         s += w["sentence"]
-    if n > 120:
-        s += w["long"]
+    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return s + w["heading"]
     if b.tag in ("p", "blockquote", "pre"):
         s += w["paragraph"]
-    elif b.tag in ("li", "td", "th", "option", "dt", "dd"):
-        s += w["item"]
-    elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        s += w["heading"]
-    return s
+    return s + (w["long"] if n > 100 else w["short"] if n < 25 else 0)
+
+
+def element_hints(page: Page, own: list[int]) -> list[int]:
+    """For each element the sum of its hints and those of the elements around it, within bounds. A form around half of the page's prose is no hint."""
+    prose = [0] * len(page.tags)
+    for b, s in zip(page.blocks, own, strict=True):
+        prose[b.element] += len(b.text) if s > 0 else 0
+    for k in range(len(prose) - 1, 0, -1):
+        prose[page.parents[k]] += prose[k]
+    sums = [0] * len(prose)
+    for k in range(1, len(sums)):
+        hint = page.hints[k]
+        if page.tags[k] == "form" and prose[k] >= WRAPPER_SHARE * max(prose[0], 1):
+            hint = 0
+        sums[k] = sums[page.parents[k]] + hint
+    return [max(HINTS_LEAST, min(HINTS_MOST, x)) for x in sums]
+
+
+def scores(page: Page) -> tuple[list[int], list[int]]:
+    """(the classifier's verdict on each block, content above 0; the hints of its elements)."""
+    own = [text_score(b) for b in page.blocks]
+    hints = element_hints(page, own)
+    header, inside = [False] * len(page.tags), [False] * len(page.tags)
+    for k in range(1, len(page.tags)):
+        header[k] = header[page.parents[k]] or page.tags[k] == "header"
+        inside[k] = inside[page.parents[k]] or page.tags[k] in ("article", "main")
+    out = []
+    for b, s in zip(page.blocks, own, strict=True):
+        if header[b.element] and not (inside[b.element] and b.tag in ("h1", "h2")):
+            s += WEIGHTS["header"]
+        out.append(s + hints[b.element])
+    return out, [hints[b.element] for b in page.blocks]
+
+
+def steps_between(page: Page, a: int, b: int, most: int = len(NEAR_EDGE) - 1) -> int:
+    """Steps from element a to element b in the DOM, as far as it matters."""
+    n = 0
+    while a != b and n < most:
+        if page.depths[a] >= page.depths[b]:
+            a = page.parents[a]
+        else:
+            b = page.parents[b]
+        n += 1
+    return n
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
-    """(i, j, capacity) between neighbours, next neighbours and consecutive blocks of one element or parent, by DOM proximity."""
-    out = []
+def edges_of(page: Page, hints: list[int]) -> list[tuple[int, int, int]]:
+    """(i, j, capacity) between neighbours by DOM proximity, next neighbours, and consecutive blocks of one element or parent."""
+    blocks, out = page.blocks, []
     last: dict[tuple[str, int], int] = {}
+    across = lambda i, j, c: c // DIVISOR if abs(hints[i] - hints[j]) >= BOUNDARY else c
     for j, b in enumerate(blocks):
-        before = {last.get(key, j) for key in (("element", b.element), ("parent", b.parent)) if key[1] >= 0}
-        for i in sorted(before):
-            a = blocks[i]
-            same = a.boiler == b.boiler and a.in_content == b.in_content
-            if same and (j - i > 2 or (j - i == 2 and a.depth != b.depth)):
-                out.append((i, j, SIBLING_EDGE))
+        if j:
+            a = blocks[j - 1]
+            out.append((j - 1, j, across(j - 1, j, NEAR_EDGE[steps_between(page, a.element, b.element)])))
+        if j > 1 and blocks[j - 2].depth == b.depth:
+            out.append((j - 2, j, across(j - 2, j, SIBLING_EDGE)))
+        for i in sorted({last.get(key, j) for key in (("element", b.element), ("parent", b.parent)) if key[1] >= 0}):
+            if j - i > 2 or (j - i == 2 and blocks[i].depth != b.depth):
+                out.append((i, j, across(i, j, SIBLING_EDGE)))
         last["element", b.element] = last["parent", b.parent] = j
-    for i in range(len(blocks) - 1):
-        a, b = blocks[i], blocks[i + 1]
-        if a.boiler != b.boiler or a.in_content != b.in_content:
-            out.append((i, i + 1, FAR_EDGE))
-        else:
-            out.append((i, i + 1, NEAR_EDGE >> min(abs(a.depth - b.depth), 3)))
-        if i + 2 < len(blocks):
-            c = blocks[i + 2]
-            if c.depth == a.depth and c.boiler == a.boiler and c.in_content == a.in_content:
-                out.append((i, i + 2, SIBLING_EDGE))
     return out
 
 
@@ -259,7 +326,7 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
     """Which nodes are on the source's (content) side of a minimum cut.
 
     A node whose terminal capacity is above that of all its other edges together keeps its side in every minimum cut;
-    such nodes go first, and give their edges to their neighbours' terminals. Ties go to boilerplate.
+    such nodes go first, and give their edges to their neighbours' terminals. Maximum flow settles the rest. Ties go to boilerplate.
     """
     n = len(scores)
     weight, near = list(scores), [[] for _ in range(n)]
@@ -356,13 +423,17 @@ class MaxFlow:
                 u = self.to[e]
 
 
+def label(html: str) -> tuple[Page, list[int], list[bool]]:
+    """(page, the classifier's verdicts, is each block content by the cut)."""
+    page = parse(html)
+    verdicts, hints = scores(page)
+    return page, verdicts, minimum_cut(verdicts, edges_of(page, hints))
+
+
 def main_text(html: str | None) -> tuple[str, int]:
     """(text, number of content blocks)"""
-    blocks = blocks_of(html or "")
-    if not blocks:
-        return "", 0
-    content = minimum_cut([score(b) for b in blocks], edges_of(blocks))
-    kept = [b.text for b, x in zip(blocks, content, strict=True) if x]
+    page, _, content = label(html or "")
+    kept = [b.text for b, x in zip(page.blocks, content, strict=True) if x]
     return " ".join(kept), len(kept)
 
 
