@@ -125,6 +125,43 @@ def test_store_of_odd_and_no_rows(spark, odd, empty):
     assert stored(spark, empty)[1] == []
 
 
+def test_ids_beyond_16_bits(spark, tmp_path):
+    """A vocabulary of 70,001 entries: ids of its last pieces are stored and read back whole."""
+    import json
+
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    vocab = spec["model"]["vocab"]
+    for k in range(len(vocab), 70_000):
+        vocab[f"~~{k}"] = k
+    vocab["zzqq"] = 70_000
+    spec["model"]["merges"] += [["zz", "qq"]] if isinstance(spec["model"]["merges"][0], list) else ["zz qq"]
+    assert "zz" in vocab and "qq" in vocab
+    path = str(tmp_path / "large.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    want = Tokenizer.from_file(path).encode("zzqq b", add_special_tokens=False).ids
+    assert 70_000 in want
+    folder = token_store.write(frame(spark, ["zzqq b", "zzqq" * 900]), path)
+    assert token_store.reconstruct(spark, folder, spark.createDataFrame([(0,)], "doc_id long")).first()["ids"] == [*want, 2]
+    rows = {r["doc_id"]: r for r in token_store.read_back(spark, folder).collect()}
+    assert rows[0]["ids_crc32"] == zlib.crc32(np.array([*want, 2], "<u4").tobytes()) and all(r["verified"] for r in rows.values())
+
+
+def test_merkle_roots():
+    leaves = [bytes([k]) * 16 for k in range(11)]
+
+    def plain(x):
+        if len(x) == 1:
+            return x[0]
+        half = 1 << (len(x) - 1).bit_length() - 1
+        return token_store._hash(plain(x[:half]) + plain(x[half:]))
+
+    for n in range(1, 12):
+        tree = token_store.Merkle()
+        tree.extend(leaves[: n // 2])
+        tree.extend(leaves[n // 2 : n])
+        assert tree.root() == plain(leaves[:n]) and tree.n == n
+
+
 def test_crc_of_parts():
     parts = [b"abc", b"", b"defgh" * 9]
     assert token_store.crc_of([(zlib.crc32(x), len(x)) for x in parts]) == zlib.crc32(b"".join(parts))
@@ -135,9 +172,9 @@ def test_tampering_shows(spark, documents):
     recipes = spark.read.parquet(f"{folder}/recipes")
     from pyspark.sql import functions as F
 
-    recipes.withColumn("keys", F.reverse("keys")).write.parquet(f"{folder}/other")
-    again = token_store._roots(spark.read.parquet(f"{folder}/other"))
-    assert {r["root"] for r in again.collect()} != {r["root"] for r in token_store._roots(recipes).collect()}
+    recipes.withColumn("keys", F.when(F.col("doc_id") == 17, F.slice("keys", 1, F.size("keys") - 1)).otherwise(F.col("keys"))).write.partitionBy("kind").parquet(f"{folder}/other/recipes")
+    assert all(r["ok"] for r in token_store.verify(spark, folder).collect())
+    assert sum(not r["ok"] for r in token_store.verify(spark, f"{folder}/other").collect()) == 1
 
 
 def test_counts_beyond_16_bits(spark):

@@ -3,11 +3,12 @@
 Each document's id stream (end id included) is cut where a rolling hash of the last ids is zero in its low bits. A chunk's
 key is the hash of its bytes, unique chunks are stored once, and a document is a recipe of keys. The store is a folder:
 
-    blocks/kind=0/  key, data: unique chunks, ids as little-endian unsigned 16-bit (32-bit for larger vocabularies) integers
-    recipes/  part, at, local_start, doc_id, n_tokens, keys, leaf: documents in ascending doc_id order (nulls first)
-    manifest/ part, n_docs, n_ids, root: Merkle root over the leaves of a part, leaf = hash of a document's keys
+    blocks/kind=0/   key, n_tokens, data: unique chunks, ids as little-endian unsigned 16-bit (32-bit for larger vocabularies) integers
+    recipes/kind=1/  part, at, local_start, doc_id, n_tokens, keys, leaf: documents in ascending doc_id order (nulls first)
+    recipes/kind=2/  part, at (documents), local_start (ids), leaf: the Merkle root over the leaves of a part, leaf = hash of a document's keys
 
-One pass encodes, cuts and writes; a chunk leaves a task only once, so text that many documents share isn't a hot key.
+One pass encodes, cuts and writes; a chunk leaves a task only once while a bounded list remembers it, so text that many documents share isn't a hot
+key. Equal keys then meet sorted, so repeats are told from their neighbours; Merkle roots are taken as the leaves go by.
 Reading back checks every chunk against its key and every recipe against its leaf, and every part against its root.
 
 Defined cases: null or empty text is the end id alone; a null doc_id sorts first; rows that repeat a doc_id follow each other,
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -30,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, rolling, shared_folder
+from tidemark.llm.common import pieces, range_parts, rolling, shared_folder
 from tidemark.llm.spans_table import SpanTable, may_end_space, space_spans
 
 END_ID = 2
 WINDOW, MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 16, 256, 64, 1024
+#: Keys that a task remembers to have sent, and documents of a part of recipes, in the mean.
+SENT_KEYS, PART_DOCS = 1_000_000, 2_000_000
 _ENCODED = "kind int, doc_id long, n_tokens long, keys array<binary>, key binary, data binary"
+_PLACED = "kind int, part int, at long, local_start long, doc_id long, n_tokens long, keys array<binary>, leaf binary"
 
 
 class Encoder:
@@ -44,10 +49,15 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would each keep memory of their own
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.model._resize_cache(0)  # each text is given to it once; the table below is the cache
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        if spec.get("type") == "BPE":  # each text is given to it once; the table below is the cache
+            rest = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+            self.tokenizer.model = models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **{k: spec[k] for k in rest if spec.get(k) not in (None, "")})
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.n_bytes = np.zeros(self.size, np.int64)
@@ -152,48 +162,56 @@ def write(docs: DataFrame, path: str | None = None, folder: str | None = None) -
                 begins = np.concatenate(([0], cuts[:-1])).tolist()
                 data = [raw[a * width : b * width] for a, b in zip(begins, cuts.tolist(), strict=True)]
                 keys = [_hash(x) for x in data]
-                if len(sent) > 1_000_000:
+                if len(sent) > SENT_KEYS:
                     sent.clear()
-                new = {}
+                new, n_ids = {}, {}
                 for key, x in zip(keys, data, strict=True):
                     if key not in sent:
                         new[key] = x
+                        n_ids[key] = len(x) // width
                 sent.update(new)
                 of = np.concatenate(([0], np.searchsorted(cuts, np.cumsum(sizes)) + 1))
                 n, m = hi - lo, len(new)
                 recipes = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(keys, pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1, np.int32)), batch.column(0).slice(lo, n), pa.array(sizes, pa.int64()), recipes, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.binary())), pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(list(n_ids.values()), pa.int64()), pa.nulls(m, pa.list_(pa.binary())), pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], schema=schema)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal keys meet in one partition; the first of each stays."""
-        seen = set()
+        """Equal keys are neighbours; the first of each stays."""
+        last = None
         for batch in batches:
-            keep = []
-            for key in batch.column(4).to_pylist():
-                keep.append(key is None or key not in seen)
-                if key is not None:
-                    seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            at = np.flatnonzero(np.asarray(batch.column(4).is_valid()))
+            keep = np.ones(len(batch), bool)
+            if len(at):
+                keys = np.frombuffer(b"".join(batch.column(4).drop_null().to_pylist()), np.uint64).reshape(len(at), -1)
+                keep[at[1:]] = (keys[1:] != keys[:-1]).any(1)
+                keep[at[0]] = last is None or bool((keys[0] != last).any())
+                last = keys[-1].copy()
+            yield batch.filter(pa.array(keep))
 
     encoded = docs.select("doc_id", "text").mapInArrow(work, _ENCODED)
-    encoded.repartition(parts, F.xxhash64("key", "doc_id", "n_tokens")).mapInArrow(once, _ENCODED).write.partitionBy("kind").parquet(f"{folder}/blocks")
+    encoded.repartition(parts, F.xxhash64("key", "doc_id", "n_tokens")).sortWithinPartitions("key").mapInArrow(once, _ENCODED).write.partitionBy("kind").parquet(f"{folder}/blocks")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, start = TaskContext.get().partitionId(), 0, 0
+        part, at, start, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
+        names = [x.split()[0] for x in _PLACED.split(", ")]
         for batch in batches:
             n = len(batch)
             sizes = np.asarray(batch.column(1))
             starts = start + np.cumsum(sizes) - sizes
             leaves = [_hash(b"".join(x)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(starts), *batch.columns, pa.array(leaves, pa.binary())], names=["part", "at", "local_start", "doc_id", "n_tokens", "keys", "leaf"])
+            tree.extend(leaves)
+            columns = [pa.array(np.full(n, 1, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(starts), *batch.columns, pa.array(leaves, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
             at, start = at + n, start + int(sizes.sum())
+        if at:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((2, part, at, start, None, None, None, tree.root()), kinds, strict=True)], names=names)
 
     recipes = _stored(spark, folder).where("kind = 1").select("doc_id", "n_tokens", "keys")
     order = [F.asc_nulls_first("doc_id"), F.col("n_tokens"), F.col("keys")]
-    recipes = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    recipes.mapInArrow(place, "part int, at long, local_start long, doc_id long, n_tokens long, keys array<binary>, leaf binary").write.parquet(f"{folder}/recipes")
-    _roots(_recipes(spark, folder)).write.parquet(f"{folder}/manifest")
+    recipes = recipes.repartitionByRange(range_parts(recipes, PART_DOCS), *order).sortWithinPartitions(*order)
+    recipes.mapInArrow(place, _PLACED).write.partitionBy("kind").parquet(f"{folder}/recipes")
     return folder
 
 
@@ -202,39 +220,72 @@ def _stored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("part int, at long, local_start long, doc_id long, n_tokens long, keys array<binary>, leaf binary").parquet(f"{folder}/recipes")
+    return spark.read.schema(_PLACED).parquet(f"{folder}/recipes").where("kind = 1").drop("kind")
 
 
-def merkle_root(leaves: list[bytes]) -> bytes:
-    while len(leaves) > 1:
-        leaves = [_hash(b"".join(leaves[k : k + 2])) for k in range(0, len(leaves), 2)]
-    return leaves[0] if leaves else _hash(b"")
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, n_docs, n_ids, root), one row for each part."""
+    rows = spark.read.schema(_PLACED).parquet(f"{folder}/recipes").where("kind = 2")
+    return rows.select("part", F.col("at").alias("n_docs"), F.col("local_start").alias("n_ids"), F.col("leaf").alias("root"))
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    """One row for each part: its documents, ids and Merkle root, from leaves taken of the recipes' keys themselves. A part is
-    a range partition, so its leaves (16 bytes a document) fit into one task."""
+class Merkle:
+    """Root over leaves that come one after the other: complete subtrees, each smaller than the one before, wait on a stack."""
+
+    def __init__(self):
+        self.n, self.stack = 0, []
+
+    def extend(self, leaves: list[bytes]) -> None:
+        for node in leaves:
+            self.n += 1
+            n = self.n
+            while n % 2 == 0:
+                node, n = _hash(self.stack.pop() + node), n // 2
+            self.stack.append(node)
 
-    def root(rows):
-        import pandas as pd
+    def root(self) -> bytes:
+        return functools.reduce(lambda right, left: _hash(left + right), reversed(self.stack)) if self.stack else _hash(b"")
 
-        rows = rows.sort_values("at")
-        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "n_docs": [len(rows)], "n_ids": [int(rows["n_tokens"].sum())], "root": [merkle_root(list(rows["leaf"]))]})
+
+def _roots(recipes: DataFrame) -> DataFrame:
+    """One row for each part: its documents, ids and Merkle root, from leaves taken of the recipes' keys themselves."""
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = [_hash(b"".join(x)) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leaves, pa.binary())], names=["part", "at", "n_tokens", "leaf"])
 
+    def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree, n_ids = None, Merkle(), 0
+
+        def row() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, tree.n, n_ids, tree.root()), kinds, strict=True)], names=["part", "n_docs", "n_ids", "root"])
+
+        for batch in batches:
+            parts, sizes, leaves = np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(3).to_pylist()
+            cuts = [0, *(1 + np.flatnonzero(parts[1:] != parts[:-1])).tolist(), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    if part is not None:
+                        yield row()
+                    part, tree, n_ids = int(parts[a]), Merkle(), 0
+                tree.extend(leaves[a:b])
+                n_ids += int(sizes[a:b].sum())
+        if part is not None:
+            yield row()
+
     leaves = recipes.select("part", "at", "n_tokens", "keys").mapInArrow(leaf, "part int, at long, n_tokens long, leaf binary")
-    return leaves.groupBy("part").applyInPandas(root, "part int, n_docs long, n_ids long, root binary")
+    return leaves.repartition("part").sortWithinPartitions("part", "at").mapInArrow(root, "part int, n_docs long, n_ids long, root binary")
 
 
 def verify(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, ok): does each part's Merkle root follow from its recipes as they are read now?"""
-    stored = spark.read.schema("part int, n_docs long, n_ids long, root binary").parquet(f"{folder}/manifest")
-    again = _roots(_recipes(spark, folder)).select("part", F.col("root").alias("root_again"), F.col("n_docs").alias("n_again"))
-    return stored.join(again, "part", "full").select("part", F.coalesce((F.col("root") == F.col("root_again")) & (F.col("n_docs") == F.col("n_again")), F.lit(False)).alias("ok"))
+    """(part, n_ids, ok): does each part's Merkle root follow from its recipes as they are read now?"""
+    again = _roots(_recipes(spark, folder)).select("part", F.col("root").alias("root_again"), F.col("n_docs").alias("n_again"), F.col("n_ids").alias("ids_again"))
+    same = (F.col("root") == F.col("root_again")) & (F.col("n_docs") == F.col("n_again")) & (F.col("n_ids") == F.col("ids_again"))
+    return manifest(spark, folder).join(again, "part", "full").select("part", F.coalesce("n_ids", "ids_again").alias("n_ids"), F.coalesce(same, F.lit(False)).alias("ok"))
 
 
 def _advance(n_bytes: int) -> np.ndarray:
@@ -271,25 +322,29 @@ def crc_of(parts: list[tuple[int, int]]) -> int:
     return total
 
 
-def chunks(spark: SparkSession, folder: str, vocabulary_size: int = 50257) -> DataFrame:
+def _ids(data: bytes, n: int) -> np.ndarray:
+    """n ids from as many bytes as the store gave each."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(key, ok, n_ids, crc) of each stored chunk, from its data; crc over 32-bit ids."""
-    kind = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, data = batch.column(0), batch.column(1).to_pylist()
-            wide = [np.frombuffer(x, kind).astype("<u4") for x in data]
+            keys, data, sizes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            crc = [zlib.crc32(_ids(x, n).astype("<u4")) for x, n in zip(data, sizes.to_pylist(), strict=True)]
             ok = [_hash(x) == k for x, k in zip(data, keys.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(ok), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64())], names=["key", "ok", "n_ids", "crc"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ok), sizes, pa.array(crc, pa.int64())], names=["key", "ok", "n_ids", "crc"])
 
-    return _stored(spark, folder).where("kind = 0").select("key", "data").mapInArrow(work, "key binary, ok boolean, n_ids long, crc long")
+    return _stored(spark, folder).where("kind = 0").select("key", "data", "n_tokens").mapInArrow(work, "key binary, ok boolean, n_ids long, crc long")
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, verified) of each document, from the files alone."""
     recipes = _recipes(spark, folder)
     # One row for each range partition.
-    sums = sorted((r["part"], r["n_ids"], r["ok"]) for r in spark.read.schema("part int, n_docs long, n_ids long, root binary").parquet(f"{folder}/manifest").join(verify(spark, folder), "part").select("part", "n_ids", "ok").collect())
+    sums = sorted((r["part"], r["n_ids"], r["ok"]) for r in verify(spark, folder).collect())
     before, rows = 0, []
     for part, n_ids, ok in sums:
         rows.append((part, before, ok))
@@ -322,12 +377,12 @@ def reconstruct(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFra
     """(doc_id, ids) of some documents, put together from their chunks."""
     recipes = _recipes(spark, folder).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     used = recipes.select("part", "at", "doc_id", F.posexplode("keys").alias("seq", "key"))
-    data = _stored(spark, folder).where("kind = 0").select("key", "data")
-    whole = used.join(data, "key").groupBy("part", "at", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+    data = _stored(spark, folder).where("kind = 0").select("key", "data", F.col("n_tokens").alias("n"))
+    whole = used.join(data, "key").groupBy("part", "at", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data", "n"))).alias("parts"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["data"] for p in row), "<u2").tolist() for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = [np.concatenate([_ids(p["data"], p["n"]) for p in row]).tolist() for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return whole.select("doc_id", "parts").mapInArrow(work, "doc_id long, ids array<int>")
+    return whole.select("doc_id", "parts").mapInArrow(work, "doc_id long, ids array<long>")
