@@ -74,6 +74,62 @@ def test_bins_hold_their_items(seed):
     assert all((x == y).all() for x, y in zip((bins, start, capacity), again))
 
 
+def total(capacity, bins):
+    return sum(packing.cost(int(capacity[bins == b][0])) for b in np.unique(bins))
+
+
+def test_packing_against_the_best_of_all():
+    """Small cases against every way to part the items into bins."""
+    rng = np.random.default_rng(7)
+
+    def cheapest(sizes, capacities):
+        best = [float("inf")]
+
+        def walk(k, loads):
+            if k == len(sizes):
+                best[0] = min(best[0], sum(packing.cost(next(c for c in capacities if c >= x)) for x in loads))
+                return
+            for b in range(len(loads) + 1):
+                now = (loads + [0]) if b == len(loads) else list(loads)
+                now[b] += int(sizes[k])
+                if now[b] <= capacities[-1]:
+                    walk(k + 1, now)
+
+        walk(0, [])
+        return best[0]
+
+    ratios = []
+    for _ in range(120):
+        sizes = rng.integers(1, 4097, rng.integers(1, 8))
+        bins, _, capacity = packing.pack(sizes)
+        ratios.append(total(capacity, bins) / cheapest(sizes, packing.CAPACITIES))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.5 and np.mean(ratios) <= 1.05
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_several_lengths_cost_no_more_than_one(seed):
+    """Plain best fit into bins of the largest length, also downsized, is never cheaper; bins that keep that length cost more."""
+    rng = np.random.default_rng(seed)
+    sizes = np.minimum(4096, (rng.lognormal(5.5, 1.2, 1500) + 1).astype(np.int64))
+    bins, _, capacity = packing.pack(sizes)
+    order = np.argsort(-sizes, kind="stable")
+    _, _, fixed = packing.best_fit(sizes, order, packing.CAPACITIES, lambda *_: 4096)
+    assert total(capacity, bins) <= sum(map(packing.cost, fixed.tolist())) <= len(fixed) * packing.cost(4096)
+
+
+def test_shards_of_equal_rows(spark, monkeypatch):
+    """Rows that are all alike, without ids or without items are dealt to many shards, or need none."""
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    rows = [(None, "the same words")] * 400 + [(7, "the same words")] * 400 + [(8, "")] * 300 + [(None, None)] * 3
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and sum(r["bin_id"] is None for r in got) == 303
+    shards = {}
+    for r in got:
+        if r["bin_id"]:
+            shards[r["bin_id"].split("-")[0]] = shards.get(r["bin_id"].split("-")[0], 0) + 1
+    assert len(shards) == 16 and max(shards.values()) < 90
+
+
 def test_packed_documents(spark, documents, odd, empty):
     rows = packing.packed(documents).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in documents.select("doc_id").collect()}
