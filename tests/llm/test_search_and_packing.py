@@ -24,17 +24,51 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string")
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(exact_search, "TREE_ROWS", 700)
+@pytest.mark.parametrize("cells", [1024, 1])
+def test_against_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(exact_search, "TREE_ROWS", 200)
     monkeypatch.setattr(exact_search, "QUERY_ROWS", 40)
+    monkeypatch.setattr(exact_search, "BLOCKS_PER_TREE", 2)
+    monkeypatch.setattr(exact_search, "MOST_CELLS", cells)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 12))
     rows = [(k, (centres[k % 8] + 0.2 * rng.normal(size=12)).astype(np.float32).tolist(), "x") for k in range(2500)]
     rows += [(3000 + k, rows[0][1], "x") for k in range(900)]  # one very common vector
+    rows += [(5000 + k, rng.normal(size=3).astype(np.float32).tolist(), "x") for k in range(90)]  # a length without routes
     got = rows_of(exact_search.top_k(frame(spark, rows)))
     assert got == brute([(i, v) for i, v, _ in rows])
 
 
+def test_cells_that_cannot_serve_a_query_are_left_out(spark):
+    """Clustered rows: most pairs of a query and a cell are ruled out before any tree is read."""
+    rng = np.random.default_rng(9)
+    centres = 4 * rng.normal(size=(16, 24))
+    vectors = np.floor(64 * (centres[np.arange(8000) % 16] + 0.1 * rng.normal(size=(8000, 24)))).astype(np.int64)
+    cell, apart = exact_search.nearest(vectors, centres * 64)
+    radius, n = np.zeros(16), np.bincount(cell, minlength=16)
+    np.maximum.at(radius, cell, apart)
+    plan = type("Shared", (), {"value": {24: exact_search.Cells(centres * 64, radius, n, np.ones(16, np.int64))}})
+    tree = exact_search.build(np.flatnonzero(cell == 0), vectors[cell == 0])
+    ids = np.arange(0, 800, 16)
+    floor = exact_search.search(tree, ids, vectors[ids])[1][:, -1]
+    import pickle
+
+    blocks = spark.createDataFrame([(24, 0, pickle.dumps((ids, vectors[ids], floor)))], "dim int, block long, data binary")
+    plan_value = plan.value
+    shared = spark.sparkContext.broadcast(plan_value)
+    sent = exact_search._sent(blocks, shared, None).collect()
+    pairs = sum(len(pickle.loads(r["data"])[0]) for r in sent)
+    assert pairs <= 0.3 * 16 * len(ids) and sum(r["cell"] == 0 for r in sent) == 1
+
+
+def test_numbers_beyond_64_bits_and_repeated_ids(spark):
+    rows = [(0, [3e37, 1.0], "x"), (20, [-3e37, 1.0], "x"), (1, [3e38, 0.0], "x"), (2, [1.0, 1.0], "x"), (3, [5.0], "x"), (3, [2.0, 2.0], "x"), (2, [9.0, 9.0], "x")]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in exact_search.top_k(frame(spark, rows)).collect()}
+    top = 2**63 - 1
+    assert got[0, 1] == top and got[0, 20] == -(2**63) + 1 and got[20, 1] == -(2**63) + 1
+    assert got[0, 2] == top and (0, 3) not in got  # of id 3 the one-component vector counts, of id 2 the smaller
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0], "x"), (20, [-1.0, 0.5], "x"), (1, None, "x"), (2, [], "x"), (3, [nan, 1.0], "x"), (4, [inf, 1.0], "x"), (5, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (6, [1.0, 2.0], "x"), (6, [1.0, 2.0], "x"), (40, [1.0, 2.0, 3.0], "x"), (7, [0.0, 0.0], "x")]
