@@ -88,6 +88,98 @@ def test_error_rates(spark):
     assert got == pytest.approx([0.5, 0.0, 1.0, 1 / 3, 1 / 3, 0.0])
 
 
+def tag_by_tag(words):
+    """The survey's account of spelled numbers, as a plain walk over the words with the number in progress as text."""
+    from fractions import Fraction
+
+    lex, out, num, fixed, sign, k = numbers.LEXICON, [], None, False, "", 0
+    plain = lambda w, kind: w in lex and lex[w][0] == kind and not lex[w][2]
+    is_fig = lambda w: w is not None and numbers.NUMERIC.fullmatch(w) is not None
+
+    def put(x):
+        nonlocal num, fixed, sign
+        out.append(sign + x)
+        num, fixed, sign = None, False, ""
+
+    while k < len(words):
+        w, prev, nxt = words[k], words[k - 1] if k else None, words[k + 1] if k + 1 < len(words) else None
+        k += 1
+        goes_on = is_fig(nxt) or nxt in numbers.KNOWN
+        bare = w[1:] if w[0] in numbers.PREFIXES else w
+        if is_fig(bare):
+            if num is not None and fixed and num[-1] == ".":
+                num += w
+                continue
+            if num is not None:
+                put(num)
+            sign = w[0] if bare != w else sign
+            f = Fraction(bare)
+            num, fixed = (str(f), False) if f.denominator == 1 else (bare, True)
+        elif w in numbers.ZEROS or (w in ("double", "triple") and (nxt in numbers.ZEROS or plain(nxt, "unit"))):
+            times = {"double": 2, "triple": 3}.get(w, 1)
+            digit = "0" if w in numbers.ZEROS or nxt in numbers.ZEROS else str(lex[nxt][1])
+            num, fixed, k = ("" if num is None or (num == "0" and not fixed) else num) + digit * times, True, k + (times > 1)
+        elif w in lex:
+            kind, value, tail = lex[w]
+            if num is None:
+                num = str(value)
+            elif kind == "scale":
+                try:
+                    f = Fraction(num) * value
+                except ValueError:
+                    f = Fraction(1, 2)
+                if fixed and f.denominator > 1:
+                    put(num)
+                    num = str(value)
+                else:
+                    num = str(f) if fixed else str(int(num) // 1000 * 1000 + int(num) % 1000 * value)
+                fixed = False
+            else:
+                small = kind == "unit" and value < 10
+                if fixed and small and plain(prev, "ten"):
+                    num = num[:-1] + str(value)
+                elif fixed or (kind == "unit" and plain(prev, "unit")) or int(num) % (10 if small else 100):
+                    num, fixed = num + str(value), True
+                else:
+                    num = str(int(num) + value)
+            if tail:
+                put(num + tail)
+        elif w in numbers.SIGNS and goes_on:
+            if num is not None:
+                put(num)
+            sign = numbers.SIGNS[w]
+        elif w in numbers.CURRENCIES and num is not None:
+            sign = numbers.CURRENCIES[w]
+            put(num)
+        elif num is not None and (w == "percent" or (w == "per" and nxt == "cent")):
+            put(num + "%")
+            k += w == "per"
+        elif w == "and" and goes_on and plain(prev, "scale"):
+            pass
+        elif w == "point" and goes_on:
+            if is_fig(nxt) or nxt in numbers.ZEROS or plain(nxt, "unit") or plain(nxt, "ten"):
+                num, fixed = ("" if num is None or (num == "0" and not fixed) else num) + ".", True
+        else:
+            if num is not None:
+                put(num)
+            put(w)
+    if num is not None:
+        put(num)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(words=st.lists(st.sampled_from([*sorted(numbers.KNOWN), "cat", "5", "12", "3.5", "-4", "$20", "0", "100", *["and", "point", "double", "hundred", "thousand", "twenty", "one", "five", "percent", "dollars"] * 5]), max_size=8))
+def test_english_numbers_against_a_plain_walk(words):
+    got = " ".join(numbers.printed(numbers.reduced(numbers.tagged(words))))
+    assert got == " ".join(tag_by_tag(words))
+
+
+def test_cents_alone():
+    assert numbers.english_numbers("zero point zero seven dollars") == "¢7"
+    assert (numbers.english_numbers("o dollars 12"), numbers.english_numbers("o dollars 12", True)) == ("$0 12", "¢12")
+
+
 def test_chinese_numbers():
     cases = {"0": "零", "10": "十", "105": "一百零五", "1010": "一千零一十", "10001": "一万零一", "20.5": "二十点五", "100000000": "一亿", "123456789": "一亿二千三百四十五万六千七百八十九"}
     assert {k: numbers.chinese_numeral(k) for k in cases} == cases
@@ -113,6 +205,15 @@ def test_normalisers(spark):
     got = values(spark, normalise.basic(L("Ünï <x> (y) a-b"), True), normalise.basic(L("ab"), False, True), normalise.english(L("I won't pay Mr. Smith twenty dollars, um, it's colour")), normalise.respelled(L("grey  cat")))
     assert got == ["uni a b", "a b", "i will not pay mister smith $20 it is color", "gray cat"]
     assert normalise.without_symbols("ß½ é", False) == "ss1 2 e"
+    got = values(spark, normalise.respelled(L("favourite organisation recognised analysing advise surprised travelled metre kilometres cheque anise paid")))
+    assert got == ["favorite organization recognized analyzing advise surprised traveled meter kilometers check anise paid"]
+
+
+def test_language_and_script_tables(spark):
+    assert len(tokens.LANGUAGES) == 100 and len(numbers.SIMPLE) == len(numbers.TRADITIONAL)
+    assert values(spark, tokens.language_code(L("Welsh")), tokens.language_code(L("haitian creole")), tokens.language_code(L("flemish"))) == ["cy", "ht", "nl"]
+    script = numbers.Script()
+    assert script("他们说这个国语听书", "yue") == "他們說這個國語聽書" and script("他們說這個國語聽書", "zh") == "他们说这个国语听书"
 
 
 def test_array_functions(spark):
@@ -157,6 +258,45 @@ def test_timestamp_rules(spark):
     assert kept([6, 7]) == [0, 1, 2, 3, 4, 5]  # closed: text
 
 
+def test_timestamp_rules_against_a_plain_filter(spark):
+    """All rules on random histories, one id at a time."""
+    rng = np.random.default_rng(5)
+    begin, eot, plain_mark, most, size = 10, 9, 8, 2, 16
+
+    def allowed(seq, x):
+        times = [t for t in seq if t >= begin]
+        last, before = bool(seq) and seq[-1] >= begin, len(seq) < 2 or seq[-2] >= begin
+        out = []
+        for k in range(size):
+            bad = k == plain_mark or (last and before and k >= begin) or (last and not before and k < eot) or (not seq and (k < begin or k > begin + most))
+            bad |= bool(times) and begin <= k and (k < times[-1] if last and not before else k <= times[-1])
+            out.append(not bad)
+        e = np.where(out, np.exp(x), 0)
+        if e[begin:].sum() > e[:begin].max():
+            out = [o and k >= begin for k, o in enumerate(out)]
+        return out
+
+    rows = [([int(t) for t in rng.choice([1, 2, 10, 11, 12, 13], rng.integers(0, 5))], rng.normal(0, 2, size).tolist()) for _ in range(200)]
+    got = spark.createDataFrame(rows, "t array<int>, x array<double>").coalesce(1).select("t", "x", arrays.timestamp_rules("t", "x", begin, eot, plain_mark, most).alias("y")).collect()
+    for r in got:
+        assert [v > -math.inf for v in r["y"]] == allowed(list(r["t"]), np.array(r["x"]))
+
+
+def test_time_grows_with_the_array_alone(spark):
+    """What a lambda needs for all elements is computed once: arrays ten times as long don't take a hundred times as long."""
+    import time
+
+    def took(n, f):
+        df = spark.range(300).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.rand(3) + k / n).alias("a"))
+        began = time.perf_counter()
+        df.select(f("a")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    for f in (arrays.softmax, arrays.log_softmax, arrays.z_norm, arrays.cif_fires):
+        took(20, f)
+        assert took(1500, f) < 30 * max(took(150, f), 0.1), f.__name__
+
+
 def test_pcm_and_wav(spark, tmp_path):
     import io
     import wave

@@ -159,6 +159,67 @@ def test_word_timing():
     assert (start, end) == (1.0, 3.0) and len(words) == 2
 
 
+def plain_edges(words, start, end, last_speech, median):
+    """The survey's account of a segment's edges, on lists of [start, end]."""
+    t = [list(x) for x in words]
+    limit = 2 * median
+    if t[0][1] - last_speech > 4 * median and (t[0][1] - t[0][0] > limit or (len(t) > 1 and t[1][1] - t[0][0] > 2 * limit)):
+        if len(t) > 1 and t[1][1] - t[1][0] > limit:
+            t[0][1] = t[1][0] = max(t[1][1] / 2, t[1][1] - limit)
+        t[0][0] = max(0, t[0][1] - limit)
+    if start < t[0][1] and start - 0.5 > t[0][0]:
+        t[0][0] = max(0, min(t[0][1] - median, start))
+    else:
+        start = t[0][0]
+    if end > t[-1][0] and end + 0.5 < t[-1][1]:
+        t[-1][1] = max(t[-1][0] + median, end)
+    else:
+        end = t[-1][1]
+    return t, start, end
+
+
+def test_segment_edges_against_a_plain_account():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        times, at = [], rng.random() * 6
+        for _ in range(rng.randrange(1, 5)):
+            stop = at + rng.choice([0.1, 0.3, 1.0, 4.0]) * rng.random()
+            times.append((at, stop))
+            at = stop + rng.choice([0, 0.2])
+        start, end = times[0][0] + rng.uniform(-1, 2), times[-1][1] + rng.uniform(-2, 1)
+        last, median = rng.choice([0.0, times[0][0] / 2]), rng.choice([0.1, 0.4])
+        words, a, b = timing.reconcile([timing.Word("x", *x) for x in times], start, end, last, median)
+        want = plain_edges(times, start, end, last, median)
+        assert [x for w in words for x in (w.start, w.end)] + [a, b] == pytest.approx([x for w in want[0] for x in w] + list(want[1:]))
+
+
+def test_long_words_keep_their_median():
+    words = [timing.Word("a", 0, 1.0), timing.Word("b", 1, 2.0), timing.Word("", 2, 2)]
+    assert timing.duration_limits(words) == (1.0, 2.0)
+
+
+def test_windows_of_files_as_rows(spark):
+    begin = 100
+
+    def decoder():
+        return lambda key, seek, size: {"tokens": [begin, 1, begin + 40 + key, begin + 40 + key]} if key < 3 else {"tokens": [1], "no_speech_prob": 0.9, "avg_logprob": -2.0}
+
+    files = spark.createDataFrame([(k, 300) for k in range(4)], "file long, frames int")
+    got = rows_of(timing.windowed(files, "file", "frames", decoder, begin, window=150))
+    want = {(k, x["id"], x["seek"], x["start"], x["end"], tuple(x["tokens"])) for k in range(3) for x in timing.seek_windows(lambda s, n, k=k: decoder()(k, s, n), 300, begin, 150)}
+    assert {(*r[:5], tuple(r[5])) for r in got} == want and len(want) > 6
+
+
+def test_waiting_and_refreshing(spark):
+    rows = spark.createDataFrame([("a", k, 0.4, k in (2, 5), k == 5, "en" if k in (1, 6) else None) for k in range(8)], "key string, k int, s double, reset boolean, whole boolean, lang string")
+    assert [r["ready"] for r in segment.waits(rows, "key", "k", "s", 1.0).orderBy("k").collect()] == [False, False] + [True] * 6
+    got = segment.refreshed(rows, "key", "k", F.col("reset"), "lang", F.col("whole")).orderBy("k").collect()
+    assert [(r["segment"], r["step"], r["detected"], r["is_first"]) for r in got] == [(0, 0, None, True), (0, 1, "en", False), (1, 0, None, False), (1, 1, None, False), (1, 2, None, False), (2, 0, None, True), (2, 1, "en", False), (2, 2, "en", False)]
+    assert segment.long_enough(spark.createDataFrame([(1, 1599), (2, 1600)], "k int, n int"), "n").count() == 1
+
+
 def test_token_cuts_and_windows():
     B = 100
     assert timing.cut_tokens([B, 1, B + 5, B + 5, 2, B + 9, B + 9], B, 0.0, 30.0, 3000)[1] == 18

@@ -82,6 +82,34 @@ def test_windows(spark, tmp_path):
     assert spark.table("t_first").count() == events.select("user_id").distinct().count() == first_of_each(events, "ts", ["user_id"]).count()
 
 
+def test_pcm_keeps_samples_aligned_and_waits_for_enough():
+    from tidemark.streaming.sources import _PcmReader
+
+    server = socket.create_server(("127.0.0.1", 0))
+    reader = _PcmReader({"host": "127.0.0.1", "port": str(server.getsockname()[1]), "min_chunk": "0.01"})  # 320 bytes
+    sent = bytes(k % 251 for k in range(1001))
+    offset, got = reader.initialOffset(), []
+
+    def more() -> bytes:
+        nonlocal offset
+        rows, offset = reader.read(offset)
+        got.append(b"".join(r[1] for r in rows))
+        return got[-1]
+
+    links: list = []
+    threading.Thread(target=lambda: links.append(server.accept()[0]), daemon=True).start()
+    assert more() == b""
+    links[0].sendall(sent[:101])
+    assert more() == b""  # too little, and a timeout gives nothing out
+    links[0].sendall(sent[101:501])
+    assert len(more()) == 500  # the odd byte waits
+    links[0].sendall(sent[501:])
+    links[0].close()
+    while len(more()):
+        pass
+    assert b"".join(got) == sent[:1000] and offset == {"bytes": 1000}
+
+
 def test_pcm_socket(spark, tmp_path):
     server = socket.create_server(("127.0.0.1", 0))
     sent = bytes(range(256)) * 40

@@ -23,18 +23,18 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it; a plain expression inside a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(a: Column | str) -> Column:
-    a = col(a)
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / _total(e))
+    return bound(col(a), lambda a: bound(F.array_max(a), lambda top: bound(F.transform(a, lambda x: F.exp(x - top)), lambda e: bound(_total(e), lambda t: F.transform(e, lambda x: x / t)))))
 
 
 def log_softmax(a: Column | str) -> Column:
-    a = col(a)
-    top = F.array_max(a)
-    log_sum = F.log(_total(F.transform(a, lambda x: F.exp(x - top)))) + top
-    return F.transform(a, lambda x: x - log_sum)
+    log_sum = lambda a, top: F.log(_total(F.transform(a, lambda x: F.exp(x - top)))) + top
+    return bound(col(a), lambda a: bound(F.array_max(a), lambda top: bound(log_sum(a, top), lambda s: F.transform(a, lambda x: x - s))))
 
 
 def arg_max(a: Column | str) -> Column:
@@ -55,10 +55,8 @@ def slice_mean(a: Column | str, start: Column, length: Column) -> Column:
 
 def z_norm(a: Column | str) -> Column:
     """(x - mean) / population standard deviation; null elements where it is 0."""
-    a = col(a)
-    m = mean(a)
-    sd = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
-    return F.transform(a, lambda x: F.when(sd > 0, (x - m) / sd))
+    deviation = lambda a, m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+    return bound(col(a), lambda a: bound(mean(a), lambda m: bound(deviation(a, m), lambda sd: F.transform(a, lambda x: F.when(sd > 0, (x - m) / sd)))))
 
 
 def median(a: Column | str) -> Column:
@@ -73,14 +71,18 @@ def median_filter(a: Column | str, width: int = 7) -> Column:
     """Centred median with reflected edges; as it is where the array is no longer than half the width."""
     if width < 1 or width % 2 == 0:
         raise ValueError("width must be odd")
-    a, half = col(a), width // 2
-    n = F.size(a)
-    whole = F.concat(
-        F.reverse(F.slice(a, F.lit(2), F.lit(half))) if half else F.slice(a, 1, 0), a,
-        F.reverse(F.slice(a, F.greatest(n - half, F.lit(1)), F.lit(half))) if half else F.slice(a, 1, 0),
-    )
-    mid = F.transform(a, lambda x, i: F.element_at(F.array_sort(F.slice(whole, i + 1, F.lit(width))), half + 1))
-    return F.when(n <= half, a).otherwise(mid)
+    half = width // 2
+
+    def padded(a: Column) -> Column:
+        if not half:
+            return a
+        return F.concat(F.reverse(F.slice(a, F.lit(2), F.lit(half))), a, F.reverse(F.slice(a, F.greatest(F.size(a) - half, F.lit(1)), F.lit(half))))
+
+    def middles(a: Column) -> Column:
+        mid = bound(padded(a), lambda whole: F.transform(a, lambda x, i: F.element_at(F.array_sort(F.slice(whole, i + 1, F.lit(width))), half + 1)))
+        return F.when(F.size(a) <= half, a).otherwise(mid)
+
+    return bound(col(a), middles)
 
 
 def pad_or_trim(a: Column | str, length: int, value: float = 0.0) -> Column:
@@ -104,33 +106,35 @@ def filter_chain(logits: Column | str, filters: list[Callable[[Column], Column]]
 
 
 def cumulative(a: Column | str) -> Column:
-    a = col(a)
-    return F.transform(a, lambda x, i: _total(F.slice(a, F.lit(1), i + 1)))
+    """Running sums, in one pass."""
+    return F.aggregate(col(a), F.array().cast("array<double>"), lambda sums, x: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)) + x))
 
 
 def cif_resized(alphas: Column | str, target: Column | str, threshold: float = 0.999, rounds: int = 10) -> Column:
     """Firing weights scaled to a target sum; while some are above the threshold, at most rounds times, they are halved and the
     rest take over what they lost in proportion."""
-    a = col(alphas)
-    scaled = F.transform(a, lambda x: x * col(target) / _total(a))
+    scaled = bound(col(alphas), lambda a: bound(_total(a), lambda t: F.transform(a, lambda x: x * col(target) / t)))
+    high = lambda x: x > threshold
 
-    def step(now: Column, _: Column) -> Column:
-        high = lambda x: x > threshold
-        lost = _total(F.transform(now, lambda x: F.when(high(x), x * 0.5).otherwise(F.lit(0.0))))
-        rest = _total(F.transform(now, lambda x: F.when(high(x), F.lit(0.0)).otherwise(x)))
-        moved = F.transform(now, lambda x: F.when(high(x), x * 0.5).otherwise(F.when(rest > 0, x + x * lost / rest).otherwise(x)))
-        return F.when(F.exists(now, high), moved).otherwise(now)
+    def moved(now: Column) -> Column:
+        sums = F.struct(
+            _total(F.transform(now, lambda x: F.when(high(x), x * 0.5).otherwise(F.lit(0.0)))).alias("lost"), _total(F.transform(now, lambda x: F.when(high(x), F.lit(0.0)).otherwise(x))).alias("rest")
+        )
+        return bound(sums, lambda s: F.transform(now, lambda x: F.when(high(x), x * 0.5).otherwise(F.when(s["rest"] > 0, x + x * s["lost"] / s["rest"]).otherwise(x))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), scaled, step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), scaled, lambda now, _: F.when(F.exists(now, high), moved(now)).otherwise(now))
 
 
 def cif_fires(alphas: Column | str, threshold: float = 0.999) -> Column:
     """Does the weights' running sum, scaled to whole firings, reach its last one within the last two frames?"""
-    a = F.transform(col(alphas), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
-    target = F.rint(_total(a))
-    sums = cumulative(F.transform(a, lambda x: x * target / _total(a)))
-    crossed = F.filter(F.transform(sums, lambda x, i: F.when(x >= target * threshold, i)), lambda i: i.isNotNull())
-    return F.coalesce((target > 0) & (F.try_element_at(crossed, F.lit(1)) >= F.size(a) - 2), F.lit(False))
+    weights = F.transform(col(alphas), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
+
+    def reaches(a: Column, t: Column) -> Column:
+        target = F.rint(t)
+        crossed = F.filter(F.transform(cumulative(a), lambda x, i: F.when(x * target / t >= target * threshold, i)), lambda i: i.isNotNull())
+        return F.coalesce((target > 0) & (F.try_element_at(crossed, F.lit(1)) >= F.size(a) - 2), F.lit(False))
+
+    return bound(weights, lambda a: bound(_total(a), lambda t: reaches(a, t)))
 
 
 def fire_policy(has_model: Column, never: Column, fired: Column) -> Column:
@@ -208,37 +212,47 @@ def dtw_alignment(matrix: Column | str) -> Column:
     return align(col(matrix))
 
 
+def forbidden_ranges(histories: list[list[int]], size: int, begin: int, end_of_text: int, no_timestamps: int | None, max_initial: int | None) -> np.ndarray:
+    """(rows, rules, 2): for each history and rule the range of ids that must not come next; empty where the rule doesn't apply."""
+    recent = np.array([([-1, -1] + h[-2:])[-2:] for h in histories], np.int64).reshape(-1, 2)
+    length = np.array([len(h) for h in histories])
+    latest = np.array([max((k for k, t in enumerate(h) if t >= begin), default=-1) for h in histories])
+    stamp = np.array([h[k] if k >= 0 else begin - 1 for h, k in zip(histories, latest, strict=True)])
+    ends_in_time = recent[:, 1] >= begin
+    closes_a_pair = (length < 2) | (recent[:, 0] >= begin)
+    opens_a_pair = ends_in_time & ~closes_a_pair
+    rules = [  # (where it applies, first id, id after the last)
+        (np.full(len(histories), no_timestamps is not None), no_timestamps or 0, (no_timestamps or 0) + 1),
+        (ends_in_time & closes_a_pair, begin, size),  # a closed pair goes on with text
+        (opens_a_pair, 0, end_of_text),  # an open one with a time, or the end
+        (latest >= 0, begin, np.where(opens_a_pair, stamp, stamp + 1)),  # times don't go back, and stay only to close a pair
+        (length == 0, 0, begin),  # a time comes first,
+        (np.full(len(histories), max_initial is not None) & (length == 0), begin + (max_initial or 0) + 1, size),  # and an early one
+    ]
+    return np.stack([np.stack([np.where(on, lo, 0), np.where(on, hi, 0)], 1) for on, lo, hi in rules], 1)
+
+
 def timestamp_rules(tokens: Column | str, logits: Column | str, begin: int, end_of_text: int, no_timestamps: int | None = None, max_initial: int | None = None) -> Column:
     """Logits after the rules for timestamp tokens (ids from begin on): they come in pairs but before the end, never go back, come first, and
-    win if their joint probability is above that of every other token."""
-
-    def apply(seq: list[int], x: np.ndarray) -> np.ndarray:
-        x = x.astype(float)
-        if no_timestamps is not None:
-            x[no_timestamps] = -np.inf
-        is_time = [t >= begin for t in seq]
-        open_, closed = bool(is_time) and is_time[-1], len(seq) < 2 or is_time[-2]
-        if open_ and closed:
-            x[begin:] = -np.inf
-        elif open_:
-            x[:end_of_text] = -np.inf
-        times = [t for t in seq if t >= begin]
-        if times:
-            x[begin : times[-1] + (0 if open_ and not closed else 1)] = -np.inf
-        if not seq:
-            x[:begin] = -np.inf
-            if max_initial is not None:
-                x[begin + max_initial + 1 :] = -np.inf
-        top = x.max()
-        if np.isfinite(top):
-            time_mass = np.log(np.exp(x[begin:] - top).sum()) if np.isfinite(x[begin:]).any() else -np.inf
-            if time_mass > x[:begin].max(initial=-np.inf) - top:
-                x[:begin] = -np.inf
-        return x
+    win if their joint probability is above that of every other token. A table of ranges for a whole batch of histories at once."""
+
+    def apply(histories: list[list[int]], x: np.ndarray) -> np.ndarray:
+        ids = np.arange(x.shape[1])
+        ranges = forbidden_ranges(histories, x.shape[1], begin, end_of_text, no_timestamps, max_initial)
+        x = np.where(((ids >= ranges[:, :, :1]) & (ids < ranges[:, :, 1:])).any(1), -np.inf, x)
+        top = x.max(1, keepdims=True)
+        shifted = np.exp(x - np.where(np.isfinite(top), top, 0))
+        times_win = shifted[:, begin:].sum(1) > shifted[:, :begin].max(1, initial=0.0)
+        return np.where(times_win[:, None] & (ids < begin), -np.inf, x)
 
     @F.pandas_udf("array<double>")
     def rules(t: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series([apply(list(a), np.array(b, float)) for a, b in zip(t, x, strict=True)])
+        out, sizes = pd.Series([None] * len(x), dtype=object), x.map(len)
+        for size in sizes.unique():
+            at = np.flatnonzero(sizes == size)
+            for k, row in zip(at, apply([list(t.iloc[k]) for k in at], np.array([x.iloc[k] for k in at], float)), strict=True):
+                out.iat[k] = row
+        return out
 
     return rules(col(tokens), col(logits))
 

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import bound
 from tidemark.functions.text import col, for_character_rate, for_mixed_rate, mixed_tokens, normalisation_language, strip
 
 
 def token_distance(a: Column | str, b: Column | str) -> Column:
     """Edit distance of two token arrays: each distinct token becomes one character, and levenshtein does the rest.
 
-    Characters come from the CJK block and above, so a pair of rows may hold some 20,000 distinct tokens; beyond that the distance is null
-    (use token_distance_long)."""
-    a, b = col(a), col(b)
-    words = F.array_distinct(F.concat(a, b))
-    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, x) + 19967), 4, "0")), "UTF-16BE")
-    coded = lambda t: F.array_join(F.transform(t, letter), "")
-    return F.when(F.size(words) < 20_000, F.levenshtein(coded(a), coded(b)))
+    Characters come from the CJK block and above, and from the other planes for a pair of rows with 20,000 distinct tokens or more; beyond a
+    million token_distance_long takes over."""
+    both = F.struct(col(a).alias("a"), col(b).alias("b"), F.array_distinct(F.concat(col(a), col(b))).alias("words"))
+
+    def coded(tokens: Column, words: Column, first: int, digits: int, charset: str) -> Column:
+        letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, x) + first), digits, "0")), charset)
+        return F.array_join(F.transform(tokens, letter), "")
+
+    def distance(x: Column) -> Column:
+        by = lambda *how: F.levenshtein(coded(x["a"], x["words"], *how), coded(x["b"], x["words"], *how))
+        n = F.size(x["words"])
+        return F.when(n < 20_000, by(0x4DFF, 4, "UTF-16BE")).when(n < 1_000_000, by(0xFFFF, 8, "UTF-32")).otherwise(token_distance_long(x["a"], x["b"]))
+
+    return bound(both, distance)
 
 
 def token_distance_long(a: Column | str, b: Column | str) -> Column:

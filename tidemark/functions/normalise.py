@@ -33,8 +33,31 @@ ENDINGS = {
     "n't": "not", "'re": "are", "'s": "is", "'d": "would", "'ll": "will", "'t": "not", "'ve": "have", "'m": "am",
 }
 KEPT_SYMBOLS = ".%$¢€£"
-#: A sample; the full list is the user's to give.
-SPELLINGS = {"colour": "color", "centre": "center", "organise": "organize", "realise": "realize", "grey": "gray", "travelling": "traveling"}
+# British spellings, by rule: stems and the endings that they take. A map of whole words may be given beside them.
+OUR = "arb ard arm behavi cand cl clam col demean endeav enam fav ferv flav glam harb hon hum lab neighb od parl ranc rig rum sav savi splend succ tum vap val vig".split()
+OUR_ENDINGS = "|s|ed|ing|er|ers|able|ably|ite|ites|less|ful|fully|hood|hoods|ly|y|ize|ized|izes|izing".split("|")
+RE = "cent met fib lit lust meag mit sab somb spect theat kilomet centimet millimet manoeuv sepulch och calib".split()
+DOUBLED = "cancel channel counsel dial duel equal fuel fulfil enrol grovel jewel label level libel marvel model panel pedal pencil quarrel refuel reveal rival shovel signal snivel spiral total towel travel tunnel unravel wool".split()
+DOUBLED_ENDINGS = "ed|ing|er|ers|ings|ous|ously".split("|")
+NOT_ISE = "advertise advise apprise arise chastise circumcise comprise compromise concise demise despise devise disguise enterprise excise exercise expertise franchise guise improvise incise merchandise noise otherwise paradise poise praise precise premise promise raise revise rise supervise surmise surprise televise treatise unwise vise wise bruise cruise cerise anise mortise reprise likewise clockwise cheese".split()
+OTHER = {
+    "grey": "gray", "greys": "grays", "greyish": "grayish", "tyre": "tire", "tyres": "tires", "kerb": "curb", "plough": "plow", "ploughs": "plows", "programme": "program", "programmes": "programs", "cheque": "check",
+    "cheques": "checks", "defence": "defense", "defences": "defenses", "offence": "offense", "offences": "offenses", "licence": "license", "licences": "licenses", "pretence": "pretense", "sceptic": "skeptic", "sceptical": "skeptical",
+    "catalogue": "catalog", "catalogues": "catalogs", "dialogue": "dialog", "dialogues": "dialogs", "analogue": "analog", "aluminium": "aluminum", "moustache": "mustache", "pyjamas": "pajamas", "storey": "story", "aeroplane": "airplane",
+    "anaemia": "anemia", "anaesthetic": "anesthetic", "paediatric": "pediatric", "encyclopaedia": "encyclopedia", "foetus": "fetus", "oestrogen": "estrogen", "diarrhoea": "diarrhea", "leukaemia": "leukemia", "jewellery": "jewelry",
+    "skilful": "skillful", "wilful": "willful", "instalment": "installment", "enrolment": "enrollment", "fulfilment": "fulfillment", "mould": "mold", "moulds": "molds", "smoulder": "smolder", "draught": "draft", "woollen": "woolen",
+}
+
+
+def spelling_map() -> dict[str, str]:
+    """Whole words and their other spelling, as the rules make them; -ise and -yse are a rule of respelled()."""
+    out = {f"{s}our{e}": f"{s}or{e}" for s in OUR for e in OUR_ENDINGS}
+    out |= {f"{s}re{e}": f"{s}er{e}" for s in RE for e in ("", "s")} | {f"{s}red": f"{s}ered" for s in RE}
+    out |= {f"{s}l{e}": s + e for s in DOUBLED for e in DOUBLED_ENDINGS if s not in ("fulfil", "enrol", "reveal")}
+    return out | OTHER
+
+
+SPELLINGS = spelling_map()
 
 
 def without_symbols(text: str, diacritics: bool = True, keep: str = "") -> str:
@@ -72,10 +95,16 @@ def basic(text: Column | str, remove_diacritics: bool = False, split_letters: bo
 
 
 def respelled(text: Column | str, spellings: dict[str, str] = SPELLINGS) -> Column:
-    """Each word by the map, or as it is."""
+    """Each word by the map; words in -ise and -yse, and what is made of them, with a z, but for those that never had one."""
     table = F.create_map(*(F.lit(x) for kv in spellings.items() for x in kv))
     words = F.filter(F.split(col(text), r"(?U)\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(table[w], w)), " ")
+    kept = "|".join(w.removesuffix("e") for w in NOT_ISE)
+
+    def one(w: Column) -> Column:
+        z = F.regexp_replace(F.regexp_replace(w, r"^(\w{2,}[^aeo\W])is(e|ed|es|er|ers|ing|ation|ations)$", "$1iz$2"), r"^(\w*(?:anal|paral|catal|electrol|hydrol))ys(e|ed|es|er|ers|ing)$", "$1yz$2")
+        return F.coalesce(table[w], F.when(w.rlike(rf"^(?:{kept})(?:e|ed|es|er|ers|ing)$"), w).otherwise(z))
+
+    return F.array_join(F.transform(words, one), " ")
 
 
 def english(text: Column | str, spellings: dict[str, str] = SPELLINGS) -> Column:

@@ -12,9 +12,24 @@ from tidemark.functions.text import col
 REPLACEMENT = "�"
 #: Languages that put no spaces between words.
 UNSPACED = ("zh", "ja", "th", "lo", "my", "yue")
-#: Some language names and their codes.
-LANGUAGES = {"en": "english", "zh": "chinese", "de": "german", "es": "spanish", "fr": "french", "ja": "japanese", "ko": "korean", "yue": "cantonese"}
-ALIASES = {"mandarin": "zh", "castilian": "es"}
+#: Language codes and names.
+LANGUAGES = dict(
+    pair.split("=") for pair in """en=english zh=chinese de=german es=spanish ru=russian ko=korean fr=french ja=japanese pt=portuguese tr=turkish pl=polish ca=catalan nl=dutch ar=arabic sv=swedish
+    it=italian id=indonesian hi=hindi fi=finnish vi=vietnamese he=hebrew uk=ukrainian el=greek ms=malay cs=czech ro=romanian da=danish hu=hungarian ta=tamil no=norwegian th=thai ur=urdu hr=croatian
+    bg=bulgarian lt=lithuanian la=latin mi=maori ml=malayalam cy=welsh sk=slovak te=telugu fa=persian lv=latvian bn=bengali sr=serbian az=azerbaijani sl=slovenian kn=kannada et=estonian mk=macedonian
+    br=breton eu=basque is=icelandic hy=armenian ne=nepali mn=mongolian bs=bosnian kk=kazakh sq=albanian sw=swahili gl=galician mr=marathi pa=punjabi si=sinhala km=khmer sn=shona yo=yoruba so=somali
+    af=afrikaans oc=occitan ka=georgian be=belarusian tg=tajik sd=sindhi gu=gujarati am=amharic yi=yiddish lo=lao uz=uzbek fo=faroese ht=haitian ps=pashto tk=turkmen nn=nynorsk mt=maltese
+    sa=sanskrit lb=luxembourgish my=myanmar bo=tibetan tl=tagalog mg=malagasy as=assamese tt=tatar haw=hawaiian ln=lingala ha=hausa ba=bashkir jw=javanese su=sundanese yue=cantonese""".split()
+)
+LANGUAGES["ht"] = "haitian creole"
+#: Other names.
+ALIASES = {
+    "burmese": "my", "valencian": "ca", "flemish": "nl", "haitian": "ht", "letzeburgesch": "lb", "pushto": "ps", "panjabi": "pa", "moldavian": "ro", "moldovan": "ro", "sinhalese": "si", "castilian": "es", "mandarin": "zh",
+}
+
+
+#: The pattern by which byte-level vocabularies part a text.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def language_code(name: Column | str) -> Column:
@@ -76,4 +91,4 @@ def words_from_pieces(pieces: Column | str, special: Column | None = None) -> Co
 
 def pre_tokens(text: Column | str) -> Column:
     """A stand-in for a vocabulary: contractions, words, numbers and symbol runs, each with its leading space."""
-    return F.regexp_extract_all(col(text), F.lit(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), 0)
+    return F.regexp_extract_all(col(text), F.lit(PRE_TOKEN), 0)

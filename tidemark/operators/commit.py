@@ -68,18 +68,16 @@ def clamp_step(last_end: float | None, beg: float, end: float) -> tuple[float, f
 
 
 def monotone(rows: DataFrame, key: str, order: str, beg: str, end: str) -> DataFrame:
-    """(key, order, beg, end) with each interval after the one before and of 1 ms at least: an ordered fold in Catalyst."""
-    item = F.struct(F.col(order).alias("o"), F.col(beg).cast("double").alias("b"), F.col(end).cast("double").alias("e"))
-    o = rows.schema[order].dataType.simpleString()
-    start = F.array().cast(f"array<struct<o:{o},b:double,e:double>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))["e"]
-        b = F.greatest(x["b"], F.coalesce(last + 0.001, x["b"]))
-        return F.concat(done, F.array(F.struct(x["o"].alias("o"), b.alias("b"), F.greatest(x["e"], b + 0.001).alias("e"))))
-
-    folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l")).select(key, F.explode(F.aggregate("l", start, step)).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), F.col("x.b").alias(beg), F.col("x.e").alias(end))
+    """(key, order, beg, end) with each interval after the one before and of 1 ms at least.
+
+    The end of row i is the largest of m_j + 0.002 (i - j) over the rows j up to it, with m_j = max(end_j, beg_j + 0.001): a running maximum
+    of m_j - 0.002 j, so one sort and no state."""
+    ordered = Window.partitionBy(key).orderBy(order)
+    own = F.greatest(F.col("__e"), F.col("__b") + 0.001)
+    placed = rows.select(key, order, F.col(beg).cast("double").alias("__b"), F.col(end).cast("double").alias("__e"), (F.row_number().over(ordered) * 0.002).alias("__n"))
+    ends = placed.withColumn("__end", F.max(own - F.col("__n")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__n"))
+    before = F.lag("__end").over(ordered)
+    return ends.select(key, order, F.greatest(F.col("__b"), F.coalesce(before + 0.001, F.col("__b"))).alias(beg), F.col("__end").alias(end))
 
 
 def before_cut(steps: DataFrame, key: str, order: str, violates: Column) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Segmentation of streams: chunks, hysteresis, gaps, buffers, timestamp pairs. Windows alone."""
+"""Segmentation of streams: chunks, hysteresis, gaps, buffers, timestamp pairs. Windows, and one fold."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,14 +91,43 @@ def jumps(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def triggered(rows: DataFrame, key: str, order: str, size: str, threshold: float) -> DataFrame:
-    """rows with `runs`: does the count of what came since the last run exceed the threshold here? An ordered fold for each key."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("n"))))
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<o:bigint,runs:boolean>>").alias("out"))
+    """(key, order, runs): does the count of what came since the last run exceed the threshold here? A fold over sorted partitions that holds one
+    number, not a key's rows."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, 0.0
+        for batch in batches:
+            runs = []
+            for k, n in zip(batch[key], batch[size], strict=True):
+                total = (total if k == now else 0.0) + float(n)
+                now = k
+                runs.append(total > threshold)
+                total = 0.0 if runs[-1] else total
+            yield batch[[key, order]].assign(runs=runs)
+
+    ordered = rows.select(key, order, size).repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, runs boolean")
+
 
-    def step(s: Column, x: Column) -> Column:
-        now = s["sum"] + x["n"]
-        runs = now > threshold
-        return F.struct(F.when(runs, 0.0).otherwise(now).alias("sum"), F.concat(s["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), runs.alias("runs")))).alias("out"))
+def long_enough(segments: DataFrame, samples: str, least: int = 1600) -> DataFrame:
+    """Segments with enough samples to be worth decoding; shorter ones give nothing."""
+    return segments.where(F.col(samples) >= least)
 
-    folded = rows.groupBy(key).agg(listed.alias("l")).select(key, F.explode(F.aggregate("l", start, step)["out"]).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), "x.runs")
+
+def waits(segments: DataFrame, key: str, order: str, seconds: str, least: float) -> DataFrame:
+    """segments with `ready`: has enough audio of the key come by then? Until it has, nothing is decoded."""
+    upto = F.sum(seconds).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return segments.withColumn("ready", upto >= least)
+
+
+def refreshed(rows: DataFrame, key: str, order: str, resets: Column, language: str, complete: Column | None = None) -> DataFrame:
+    """rows with the state that a refresh empties: `segment` (refreshes so far), `step` in it, the `language` detected since, and `is_first`: is this the
+    first row since a complete refresh, which alone takes a first-token latency anew?"""
+    ordered = Window.partitionBy(key).orderBy(order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.lit(False) if complete is None else complete
+    marked = rows.withColumn("segment", F.sum(F.coalesce(resets, F.lit(False)).cast("int")).over(upto)).withColumn("__whole", F.sum(F.coalesce(resets & whole, F.lit(False)).cast("int")).over(upto))
+    inside = Window.partitionBy(key, "segment").orderBy(order)
+    out = marked.withColumn("step", F.row_number().over(inside) - 1).withColumn("detected", F.first(language, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.withColumn("is_first", F.row_number().over(Window.partitionBy(key, "__whole").orderBy(order)) == 1).drop("__whole")

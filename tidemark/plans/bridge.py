@@ -14,23 +14,15 @@ def words(c: str = "text"):
     return F.filter(F.split(F.col(c), "[ \n\t]+"), lambda w: w != "")
 
 
-def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as references and worse hypotheses: their words, and those without each fifth, with letters changed in each third."""
-    return _worse(table(spark, sf_dir, "conversations").select("conv_id", "turn", words().alias("ref")))
-
-
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of their first 20 words only, as PAIRS_SQL has it."""
-    return _worse(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(words(), 1, 20).alias("ref")))
-
-
-def _worse(rows: DataFrame) -> DataFrame:
+    """Conversations as references and worse hypotheses: their words, and those without each fifth, with letters changed in each third."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", words().alias("ref"))
     kept = F.filter(F.transform("ref", lambda w, i: F.when(i % 3 == 0, F.replace(w, F.lit("e"), F.lit("a"))).otherwise(w)), lambda w, i: i % 5 != 4)
     return rows.withColumn("hyp", kept)
 
 
 PAIRS_SQL = """
-w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x <> '')[1:20] AS ref FROM conversations),
+w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \n\t]+'), lambda x: x <> '') AS ref FROM conversations),
 pairs AS (SELECT conv_id, turn, ref, list_filter(list_transform(list_zip(ref, range(len(ref))), lambda z: CASE WHEN z[2] % 5 = 4 THEN NULL WHEN z[2] % 3 = 0 THEN replace(z[1], 'e', 'a') ELSE z[1] END), lambda x: x IS NOT NULL) AS hyp FROM w)
 """
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, edit, normalise, numbers, text, tokens
 from tidemark.operators import commit, evaluate, prepare, segment, select
-from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, whole_pairs, words
+from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, words
 from tidemark.sources import files, sinks
 from tidemark.streaming import processors
 
@@ -28,94 +28,82 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a registered query without its prefixes: each (cut, instead) must be in it."""
-    sql = SQL[name]
-    for cut, instead in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, instead)
-    return sql
-
-
-#: Without the 20 words of PAIRS_SQL.
-_ALL_WORDS = ("[1:20]", "")
-
 r6 = lambda c: F.round(c, 6)
 
 # --- error rates -----------------------------------------------------------------------------------------------------
 _PUNCT = r"[!-/:-@\[-`{-~]|\p{P}"
+#: Rows of the edit table, one after the other; a row's cells are the least of what comes from above and what goes on from the left, a running minimum.
 _DISTANCE = """
-coded AS (SELECT conv_id, turn, r, h, list_distinct(list_concat(r, h)) AS u FROM norm),
-mapped AS (SELECT conv_id, turn, r, h, array_to_string(list_transform(r, lambda x: chr(32 + list_position(u, x))), '') AS rs, array_to_string(list_transform(h, lambda x: chr(32 + list_position(u, x))), '') AS hs FROM coded),
-rates AS (SELECT conv_id, turn, len(r) AS n_ref, len(h) AS n_hyp, levenshtein(rs, hs) AS edits FROM mapped)
+rr AS (SELECT conv_id, turn, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS w FROM norm), hh AS (SELECT conv_id, turn, unnest(range(1, len(h) + 1)) AS j, unnest(h) AS w FROM norm),
+edge(conv_id, turn, i, j, v) AS (
+  SELECT conv_id, turn, 0::BIGINT, unnest(range(len(h) + 1)), unnest(range(len(h) + 1)) FROM norm
+  UNION ALL
+  SELECT conv_id, turn, i, j, min(t - j) OVER (PARTITION BY conv_id, turn ORDER BY j) + j FROM (
+    SELECT e.conv_id, e.turn, rr.i, e.j, least(v + 1, coalesce(lag(v) OVER (PARTITION BY e.conv_id, e.turn ORDER BY e.j) + CASE WHEN hh.w = rr.w THEN 0 ELSE 1 END, v + 1)) AS t
+    FROM edge e JOIN rr ON rr.conv_id = e.conv_id AND rr.turn = e.turn AND rr.i = e.i + 1 LEFT JOIN hh ON hh.conv_id = e.conv_id AND hh.turn = e.turn AND hh.j = e.j)),
+rates AS (SELECT conv_id, turn, len(r) AS n_ref, len(h) AS n_hyp, v AS edits FROM edge JOIN norm USING (conv_id, turn) WHERE i = len(r) AND j = len(h))
 """
 _NORM = f"""
 norm AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(array_to_string(ref, ' ')), '{_PUNCT}', ' ', 'g'), '\\s+'), lambda x: x <> '') AS r,
   list_filter(string_split_regex(regexp_replace(lower(array_to_string(hyp, ' ')), '{_PUNCT}', ' ', 'g'), '\\s+'), lambda x: x <> '') AS h FROM pairs)
 """
-_RATES = f"WITH {PAIRS_SQL}, {_NORM}, {_DISTANCE}"
-
-
-def _mer(rows: DataFrame) -> DataFrame:
-    rows = rows.select("conv_id", "turn", F.array_join("ref", " ").alias("reference"), F.array_join("hyp", " ").alias("generated"))
-    norm = [text.mixed_tokens(text.for_mixed_rate(c, F.lit("en")), F.lit("en")) for c in ("reference", "generated")]
-    rows = rows.select("conv_id", "turn", norm[0].alias("r"), norm[1].alias("h"))
-    return rows.select("conv_id", "turn", F.size("r").cast("bigint").alias("n_ref"), F.size("h").cast("bigint").alias("n_hyp"), F.coalesce(edit.token_distance("r", "h"), edit.token_distance_long("r", "h")).cast("bigint").alias("edits"))
-
-
-def _with_mer(rows: DataFrame) -> DataFrame:
-    return _mer(rows).withColumn("mer", r6(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))))
+_RATES = f"WITH RECURSIVE {PAIRS_SQL}, {_NORM}, {_DISTANCE}"
+_RATE = "CASE WHEN n_ref = 0 THEN CASE WHEN n_hyp = 0 THEN 0.0 ELSE 1.0 END ELSE edits / n_ref END"
 
 
-def _mer_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("total_files"), r6(F.coalesce(F.avg(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))), F.lit(0.0))).alias("average_mer"))
+def _joined_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.array_join("ref", " ").alias("reference"), F.array_join("hyp", " ").alias("generated"))
 
 
-@query(_RATES + "SELECT conv_id, turn, n_ref, n_hyp, edits, round(CASE WHEN n_ref = 0 THEN CASE WHEN n_hyp = 0 THEN 0.0 ELSE 1.0 END ELSE edits / n_ref END, 6) AS mer FROM rates")
+@query(_RATES + f"SELECT conv_id, turn, n_ref, n_hyp, edits, round({_RATE}, 6) AS mer FROM rates")
 def q_mer_rows(spark, sf_dir):
-    return _with_mer(pairs(spark, sf_dir))
+    norm = [text.mixed_tokens(text.for_mixed_rate(c, F.lit("en")), F.lit("en")) for c in ("reference", "generated")]
+    rows = _joined_pairs(spark, sf_dir).select("conv_id", "turn", norm[0].alias("r"), norm[1].alias("h"))
+    rows = rows.select("conv_id", "turn", F.size("r").cast("bigint").alias("n_ref"), F.size("h").cast("bigint").alias("n_hyp"), edit.token_distance("r", "h").cast("bigint").alias("edits"))
+    return rows.withColumn("mer", r6(edit.rate(F.col("edits"), F.col("n_ref"), F.col("n_hyp"))))
 
 
-@query()
-def q_mer_rows_whole(spark, sf_dir):
-    return _with_mer(whole_pairs(spark, sf_dir))
+@query(_RATES + f"SELECT conv_id, turn, round({_RATE}, 6) AS mer FROM rates")
+def q_mixed_error_rate(spark, sf_dir):
+    return _joined_pairs(spark, sf_dir).select("conv_id", "turn", r6(edit.mixed_error_rate("reference", "generated", F.lit("en"))).alias("mer"))
 
 
-@query(_RATES + "SELECT count(*) AS total_files, round(avg(CASE WHEN n_ref = 0 THEN CASE WHEN n_hyp = 0 THEN 0.0 ELSE 1.0 END ELSE edits / n_ref END), 6) AS average_mer FROM rates")
+@query(_RATES + f"""SELECT count(*) AS total_files, count(*) FILTER (WHERE turn % 4 <> 3) AS matched_files, count(*) FILTER (WHERE turn % 4 = 3) AS unmatched_files,
+  round(coalesce(avg({_RATE}) FILTER (WHERE turn % 4 <> 3), 0.0), 6) AS average_mer, round(avg(1000.0 * (turn + 1)) FILTER (WHERE turn % 4 <> 3), 6) AS average_first_ms FROM rates""")
 def q_mer_summary(spark, sf_dir):
-    return _mer_summary(q_mer_rows(spark, sf_dir))
+    """Each fourth turn has no hypothesis; latencies are a second for each turn up to it."""
+    rows = _joined_pairs(spark, sf_dir).withColumn("file", F.concat_ws("-", "conv_id", "turn"))
+    found = evaluate.matched(rows.select("file", "reference", "turn"), rows.where("turn % 4 <> 3").select("file", "generated"))
+    metrics = found.where("is_matched").select("file", edit.mixed_error_rate("reference", "generated", F.lit("en")).alias("mer"), F.lit(0.0).alias("cer"))
+    late = rows.select("file", (F.col("turn") + 1).cast("double").alias("first_token_latency"), F.lit(0.0).alias("last_token_latency"))
+    got = evaluate.summary(found, evaluate.with_latencies(metrics, late))
+    return got.select("total_files", "matched_files", "unmatched_files", r6("average_mer").alias("average_mer"), r6("average_first_token_latency_ms").alias("average_first_ms"))
 
 
 @query()
-def q_mer_summary_whole(spark, sf_dir):
-    return _mer_summary(q_mer_rows_whole(spark, sf_dir))
-
-
-@query(rf"""
-WITH s AS (SELECT doc_id, regexp_replace(lower(trim(text[1:40], ' ' || chr(10))), '[!-/:-@\[-`{{-~]', '', 'g') AS r, regexp_replace(lower(trim(text[3:42], ' ' || chr(10))), '[!-/:-@\[-`{{-~]', '', 'g') AS h FROM documents),
-t AS (SELECT doc_id, trim(r, ' ' || chr(10)) AS r, trim(h, ' ' || chr(10)) AS h FROM s),
-c AS (SELECT doc_id, string_split(r, '') AS r, string_split(h, '') AS h, list_distinct(list_concat(string_split(r, ''), string_split(h, ''))) AS u FROM t WHERE length(r) > 0 AND length(h) > 0)
-SELECT doc_id, len(r) AS n_ref, round(levenshtein(array_to_string(list_transform(r, lambda x: chr(32 + list_position(u, x))), ''), array_to_string(list_transform(h, lambda x: chr(32 + list_position(u, x))), '')) / len(r), 6) AS cer FROM c
-""")
 def q_cer_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 3, 40).alias("b"))
-    r, h = text.for_character_rate("a", "b", F.lit("en"))
-    rows = docs.select("doc_id", text.strip(r).alias("r"), text.strip(h).alias("h"))
-    return rows.where("length(r) > 0 AND length(h) > 0").select("doc_id", F.length("r").cast("bigint").alias("n_ref"), r6(F.levenshtein("r", "h") / F.length("r")).alias("cer"))
-
-
-@query()
-def q_cer_rows_whole(spark, sf_dir):
-    """Whole texts against themselves without their first two characters and with each x as ks."""
+    """Whole texts against themselves without their first two characters and with each x as ks. No SQL: DuckDB's levenshtein compares bytes, and a
+    table of all pairs of characters is too large for it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace(F.expr("substring(text, 3)"), F.lit("x"), F.lit("ks")).alias("b"))
     r, h = text.for_character_rate("a", "b", F.lit("en"))
     rows = docs.select("doc_id", text.strip(r).alias("r"), text.strip(h).alias("h")).where("length(r) > 0 AND length(h) > 0")
     return rows.select("doc_id", F.length("r").cast("bigint").alias("n_ref"), r6(edit.close_distance("r", "h") / F.length("r")).alias("cer"))
 
 
-@query()
+_NAMES = r"regexp_replace(lower(trim(n_name)), '[!-/:-@\[-`{-~]', '', 'g')"
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT n_nationkey AS k, {_NAMES} AS r, {_NAMES.replace('n_name', "replace(n_name, 'A', 'EE')")} AS h FROM nation),
+norm AS (SELECT k AS conv_id, 0 AS turn, string_split(r, '') AS r, string_split(h, '') AS h FROM n), {_DISTANCE} SELECT CAST(conv_id AS INTEGER) AS n_nationkey, round(edits / n_ref, 6) AS cer FROM rates""")
+def q_character_error_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").withColumn("h", F.replace("n_name", F.lit("A"), F.lit("EE")))
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), r6(edit.character_error_rate("n_name", "h", F.lit("en"))).alias("cer"))
+
+
+@query(f"WITH RECURSIVE {PAIRS_SQL}, norm AS (SELECT conv_id, turn, ref AS r, hyp AS h FROM pairs), {_DISTANCE} SELECT conv_id, turn, CAST(edits AS INTEGER) AS edits FROM rates")
 def q_token_distance_long(spark, sf_dir):
-    return whole_pairs(spark, sf_dir).select("conv_id", "turn", edit.token_distance_long("ref", "hyp").alias("edits"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", edit.token_distance_long("ref", "hyp").alias("edits"))
 
 
 # --- normalisation and tokens ------------------------------------------------------------------------------------------
@@ -159,15 +147,10 @@ def q_latin_han_spacing(spark, sf_dir):
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text[1:300], '[A-Za-z]+|[\x{4E00}-\x{9FFF}]|\s+|\S')) AS w FROM documents)
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[\x{4E00}-\x{9FFF}]|\s+|\S')) AS w FROM documents)
 SELECT doc_id, CAST(sum(CASE WHEN regexp_full_match(w, '[A-Za-z]+') THEN len(regexp_extract_all(w, '[^aeiouyAEIOUY]*[aeiouyAEIOUY]+|[^aeiouyAEIOUY]+')) ELSE 1 END) AS BIGINT) AS n FROM w GROUP BY doc_id
 """)
 def q_syllables(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(text.syllables(F.substring("text", 1, 300))).cast("bigint").alias("n"))
-
-
-@query(whole("q_syllables", ("[1:300]", "")))
-def q_syllables_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(text.syllables("text")).cast("bigint").alias("n"))
 
 
@@ -181,10 +164,31 @@ def q_basic_normaliser(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(normalise.basic("text", remove_diacritics=True)).alias("t"))
 
 
-@query()
+_UNIT_WORDS = ["", *"one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()]
+_TEN_WORDS = ["", "", *"twenty thirty forty fifty sixty seventy eighty ninety".split()]
+
+
+def _spelled(n):
+    """A number below a million in words, from their lists."""
+    units, tens = F.array(*map(F.lit, _UNIT_WORDS)), F.array(*map(F.lit, _TEN_WORDS))
+
+    def below_thousand(x):
+        h, r = F.floor(x / 100).cast("int"), (x % 100).cast("int")
+        small = F.when(r < 20, F.get(units, r)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(r / 10).cast("int")), F.nullif(F.get(units, r % 10), F.lit(""))))
+        return F.concat_ws(" and ", F.when(h > 0, F.concat(F.get(units, h), F.lit(" hundred"))), F.nullif(small, F.lit("")))
+
+    t, r = F.floor(n / 1000), n % 1000
+    return F.concat_ws(" ", F.when(t > 0, F.concat(below_thousand(t), F.lit(" thousand"))), F.nullif(below_thousand(r), F.lit("")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '$' || n WHEN 1 THEN 'paid ' || n || '%' WHEN 2 THEN '-' || n || ' left' ELSE n || '.' || l_linenumber || ' of' END AS n
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 999983 + 16 AS VARCHAR) AS n FROM lineitem)""")
 def q_en_numbers(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.lit("one hundred and"), F.element_at(F.split(F.lit("one two three four five six seven"), " "), (F.col("l_orderkey") % 7 + 1).cast("int"))).alias("s"))
-    return rows.select("l_orderkey", "l_linenumber", numbers.english_numbers_column("s").alias("n"))
+    """Numbers spelled out, with money, percent, a sign or a decimal, read back."""
+    k, line = F.col("l_linenumber") % 4, F.get(F.array(*map(F.lit, _UNIT_WORDS)), F.col("l_linenumber").cast("int"))
+    n = _spelled(F.col("l_orderkey") % 999_983 + 16)
+    said = F.when(k == 0, F.concat(n, F.lit(" dollars"))).when(k == 1, F.concat(F.lit("paid "), n, F.lit(" per cent"))).when(k == 2, F.concat(F.lit("minus "), n, F.lit(" left"))).otherwise(F.concat(n, F.lit(" point "), line, F.lit(" of")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.english_numbers_column(said).alias("n"))
 
 
 @query()
@@ -192,10 +196,21 @@ def q_en_normaliser(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalise.english("text").alias("t"))
 
 
-@query()
+_GROUP = r"regexp_replace(regexp_replace(regexp_replace(printf('%04d', {0}), '^(.)(.)(.)(.)$', '\1千\2百\3十\4'), '0[千百十]?', '0', 'g'), '0+$', '')"
+_ZERO = r"regexp_replace(translate(regexp_replace({0}, '0+', '0', 'g'), '0123456789', '零一二三四五六七八九'), '^零|零$', '', 'g')"
+
+
+def _numeral_sql(n: str) -> str:
+    """The Chinese numeral of a number below 10^8, by DuckDB."""
+    low, high = _GROUP.format(f"{n} % 10000"), _GROUP.format(f"{n} // 10000")
+    both = _ZERO.format(f"CASE WHEN {n} >= 10000 THEN {high} || '万' || {low} ELSE {low} END")
+    return f"CASE WHEN {n} = 0 THEN '零' ELSE regexp_replace({both}, '^一十', '十') END"
+
+
+@query(f"SELECT p_partkey, '百分之' || {_numeral_sql('p_size')} || '和' || {_numeral_sql('p_partkey')} || '或' || {_numeral_sql('(p_partkey * 1009)')} AS n FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
 def q_zh_numbers(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("%和"), F.col("p_partkey").cast("string")).alias("s"))
-    return rows.select("p_partkey", numbers.han_numbers_column(F.col("s"), F.lit("zh")).alias("n"))
+    said = F.concat(F.col("p_size").cast("string"), F.lit("%和"), F.col("p_partkey").cast("string"), F.lit("或"), (F.col("p_partkey") * 1009).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.han_numbers_column(said, F.lit("zh")).alias("n"))
 
 
 @query()
@@ -235,30 +250,12 @@ def _k_best(rows):
 @query(f"""WITH {_K_BEST} SELECT conv_id, md5('Given the following ASR transcription candidates, predict the correct continuation.' || chr(10) || chr(10) || 'Previous confirmed transcript: "' || p || '"' || chr(10) || chr(10) || 'K-best candidates for the continuation:' || chr(10)
   || array_to_string(list_transform(list_zip(c[1:3], range(1, 4)), lambda z: '  ' || z[2] || '. ' || z[1])[1:least(3, len(c))], chr(10)) || chr(10) || chr(10) || 'Based on the context and candidates, what is the correct text that should be appended after "' || p || '"?') AS prompt FROM k""")
 def q_prompt_format(spark, sf_dir):
-    return _prompts(pairs(spark, sf_dir))
-
-
-def _prompts(rows):
-    return _k_best(rows).select("conv_id", F.md5(text.prompt("c", "p", 3)).alias("prompt"))
-
-
-@query(whole("q_prompt_format", _ALL_WORDS))
-def q_prompt_format_whole(spark, sf_dir):
-    return _prompts(whole_pairs(spark, sf_dir))
+    return _k_best(pairs(spark, sf_dir)).select("conv_id", F.md5(text.prompt("c", "p", 3)).alias("prompt"))
 
 
 @query(f"WITH {_K_BEST} SELECT conv_id, coalesce(list_filter(c, lambda x: trim(x) <> '')[1], '') AS top, len(list_filter(c, lambda x: trim(x) <> '')) AS n FROM k")
 def q_kbest(spark, sf_dir):
-    return _top(pairs(spark, sf_dir))
-
-
-def _top(rows):
-    return _k_best(rows).select("conv_id", text.first_not_blank("c").alias("top"), F.size(text.drop_blank("c")).cast("bigint").alias("n"))
-
-
-@query(whole("q_kbest", _ALL_WORDS))
-def q_kbest_whole(spark, sf_dir):
-    return _top(whole_pairs(spark, sf_dir))
+    return _k_best(pairs(spark, sf_dir)).select("conv_id", text.first_not_blank("c").alias("top"), F.size(text.drop_blank("c")).cast("bigint").alias("n"))
 
 
 _EVENT_LINES = """
@@ -423,30 +420,34 @@ def q_changed_lines(spark, sf_dir):
     return commit.changed_lines(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("event_id", "user_id")
 
 
-@query()
+_EVENTS_IN_ORDER = "o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id, value FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_EVENTS_IN_ORDER},
+m AS (SELECT user_id, k, event_id, value AS s FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN m.s > 500 THEN 0 ELSE m.s END + o.value FROM m JOIN o ON o.user_id = m.user_id AND o.k = m.k + 1)
+SELECT user_id, event_id, s > 500 AS runs FROM m""")
 def q_triggered(spark, sf_dir):
     return segment.triggered(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 500.0)
 
 
 # --- commit policies ------------------------------------------------------------------------------------------------------
-@query("""WITH p AS (SELECT conv_id, turn, text[1:60] AS b, lag(text[1:60]) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations),
-n AS (SELECT conv_id, turn, list_max(list_filter(range(0, 61), lambda k: k <= length(coalesce(a, '')) AND k <= length(b) AND coalesce(a, '')[1:k] = b[1:k])) AS k, b FROM p)
+@query("""WITH p AS (SELECT conv_id, turn, text AS b, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS a FROM conversations),
+n AS (SELECT conv_id, turn, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda k: a[1:k] = b[1:k])) AS k, b FROM p)
 SELECT conv_id, turn, k AS n_agreed, CASE WHEN k = 0 THEN '' ELSE b[1:k] END AS agreed FROM n""")
 def q_lcp_prev(spark, sf_dir):
-    return _agreed(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("t")))
-
-
-def _agreed(rows):
-    got = commit.prefix_agreement(rows, "conv_id", "turn", "t")
+    got = commit.prefix_agreement(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t")), "conv_id", "turn", "t")
     return got.select("conv_id", "turn", F.length("agreed").cast("bigint").alias("n_agreed"), "agreed")
 
 
-@query(whole("q_lcp_prev", ("text[1:60]", "text"), ("range(0, 61)", "range(0, length(b) + 1)")))
-def q_lcp_prev_whole(spark, sf_dir):
-    return _agreed(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t")))
-
-
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, 'the same start ' || text AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE trim(text) <> ''),
+c AS (SELECT conv_id, turn, k, coalesce(lag(f) OVER (PARTITION BY conv_id ORDER BY k), '') AS p, f FROM o),
+d AS (SELECT conv_id, turn, k, f[1:list_max(list_filter(range(0, least(length(p), length(f)) + 1), lambda n: p[1:n] = f[1:n]))] AS g FROM c),
+m AS (SELECT conv_id, turn, k, g AS delta, g AS committed FROM d WHERE k = 1 UNION ALL
+  SELECT conv_id, turn, k, delta, committed || delta FROM (SELECT d.conv_id, d.turn, d.k, m.committed,
+    CASE WHEN starts_with(d.g, m.committed) THEN d.g[length(m.committed) + 1:] WHEN d.g = '' THEN ''
+      ELSE coalesce(list_sort(list_filter(flatten(list_transform(range(1, length(d.g) + 1), lambda j: list_transform(range(j, length(d.g) + 1), lambda e: {'n': j - e - 1, 'a': instr(m.committed, d.g[j:e]), 'b': j, 'rest': d.g[e + 1:]}))), lambda x: x.a > 0))[1].rest, d.g) END AS delta
+    FROM m JOIN d ON d.conv_id = m.conv_id AND d.k = m.k + 1))
+SELECT conv_id, turn, delta, committed FROM m""")
 def q_local_agreement(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("the same start "), "text").alias("text"), F.lit(False).alias("is_last"))
     return commit.local_agreement(rows, "conv_id", "turn", "text", "is_last")
@@ -475,17 +476,8 @@ def q_rewind_cut(spark, sf_dir):
 
 @query(f"WITH {PAIRS_SQL} SELECT conv_id, turn, len(CASE WHEN turn % 2 = 0 THEN ref ELSE ref[1:greatest(len(ref) - 1, 0)] END) AS n FROM pairs")
 def q_last_word(spark, sf_dir):
-    return _committed(pairs(spark, sf_dir))
-
-
-def _committed(rows):
     got = commit.committed_words("ref", F.col("turn") % 2 == 0, F.lit(False))
-    return rows.select("conv_id", "turn", F.size(got).cast("bigint").alias("n"))
-
-
-@query(whole("q_last_word", _ALL_WORDS))
-def q_last_word_whole(spark, sf_dir):
-    return _committed(whole_pairs(spark, sf_dir))
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.size(got).cast("bigint").alias("n"))
 
 
 # --- arrays ---------------------------------------------------------------------------------------------------------------
@@ -539,12 +531,25 @@ def q_cif_fire(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", arrays.cif_fires("v").alias("fires"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, a AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS a FROM v),
+r AS (SELECT vec_id, 0 AS k, list_transform(a, lambda x: x * 6.0 / list_sum(a)) AS a FROM a UNION ALL
+  SELECT vec_id, k + 1, CASE WHEN list_max(a) <= 0.999 THEN a ELSE list_transform(a, lambda x: CASE WHEN x > 0.999 THEN x * 0.5 WHEN rest > 0 THEN x + x * lost / rest ELSE x END) END
+  FROM (SELECT vec_id, k, a, list_sum(list_transform(a, lambda x: CASE WHEN x > 0.999 THEN x * 0.5 ELSE 0.0 END)) AS lost, list_sum(list_transform(a, lambda x: CASE WHEN x > 0.999 THEN 0.0 ELSE x END)) AS rest FROM r WHERE k < 10))
+SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(a, lambda x: round(x, 6))) AS x FROM r WHERE k = 10""")
 def q_cif_resize(spark, sf_dir):
     return _flat(_vectors(spark, sf_dir), arrays.cif_resized(F.transform("v", F.abs), F.lit(6.0)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, m AS (SELECT vec_id, list_transform(v, lambda x: abs(x)) AS m FROM v),
+c AS (SELECT vec_id, m, 0 AS k, [0.0::DOUBLE] AS best, [0] AS step FROM m UNION ALL
+  SELECT vec_id, m, k + 1, list_append(best, x), list_append(step, s) FROM (
+    SELECT vec_id, m, k, best, step, CASE WHEN i = 0 OR j = 0 THEN 'inf'::DOUBLE WHEN s0 = 0 THEN d + m[(i - 1) * 8 + j] WHEN s0 = 1 THEN u + m[(i - 1) * 8 + j] ELSE l + m[(i - 1) * 8 + j] END AS x,
+      CASE WHEN i = 0 THEN 2 WHEN j = 0 THEN 1 ELSE s0 END AS s
+    FROM (SELECT *, CASE WHEN d < u AND d < l THEN 0 WHEN u < d AND u < l THEN 1 ELSE 2 END AS s0
+      FROM (SELECT *, (k + 1) // 9 AS i, (k + 1) % 9 AS j, best[k + 1 - 9] AS d, best[k + 2 - 9] AS u, best[k + 1] AS l FROM c WHERE k < 80)))),
+b AS (SELECT vec_id, best[81] AS cost, step, 8 AS i, 8 AS j, 0 AS steps FROM c WHERE k = 80 UNION ALL
+  SELECT vec_id, cost, step, i - CASE WHEN step[i * 9 + j + 1] <> 2 THEN 1 ELSE 0 END, j - CASE WHEN step[i * 9 + j + 1] <> 1 THEN 1 ELSE 0 END, steps + 1 FROM b WHERE i > 0 OR j > 0)
+SELECT vec_id, round(cost, 6) AS cost, steps FROM b WHERE i = 0 AND j = 0""")
 def q_dtw_cost(spark, sf_dir):
     rows = _vectors(spark, sf_dir).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("v", r * 8 + 1, F.lit(8)), lambda x: F.abs(x))).alias("m"))
     return rows.select("vec_id", r6(arrays.dtw_cost("m")).alias("cost"), F.size(arrays.dtw_alignment("m")).alias("steps"))
@@ -556,7 +561,10 @@ def q_head_mean(spark, sf_dir):
     return rows.groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("x")).select("label", F.col("i").cast("bigint").alias("i"), "x")
 
 
-@query()
+@query(f"""WITH {_V}, p AS (SELECT vec_id, label + 41 AS stamp, v FROM v),
+x AS (SELECT vec_id, list_transform(list_zip(v, range(64)), lambda z: CASE WHEN z[2] < 38 OR z[2] = 39 OR (z[2] >= 40 AND z[2] < stamp) THEN '-inf'::DOUBLE ELSE z[1] END) AS x FROM p),
+w AS (SELECT vec_id, x, ln(list_sum(list_transform(x[41:], lambda y: exp(y)))) > list_max(x[1:40]) AS times_win FROM x)
+SELECT vec_id, CAST(len(list_filter(CASE WHEN times_win THEN x[41:] ELSE x END, lambda y: y > '-inf'::DOUBLE)) AS INTEGER) AS allowed FROM w""")
 def q_timestamp_rules(spark, sf_dir):
     rows = _vectors(spark, sf_dir).withColumn("tokens", F.array(F.lit(3), F.lit(40), F.lit(5), (F.col("label") + 41)))
     kept = F.transform(arrays.timestamp_rules("tokens", "v", 40, 38, 39), lambda x: F.when(x > float("-inf"), F.lit(1)).otherwise(F.lit(0)))
@@ -593,18 +601,9 @@ def q_ladder(spark, sf_dir):
     return select.ladder(rows.withColumn("t", F.col("event_id")), "user_id", "t", ~bad, "event_id").select("user_id", "event_id")
 
 
-@query(f"WITH {_V}, e AS (SELECT label AS vec, unnest(range(5)) AS l, unnest(v[1:5]) AS x, vec_id FROM v), p AS (SELECT vec_id, l, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM e) SELECT vec_id, 'l' || arg_max(l, p) AS language, round(max(p), 6) AS p FROM p GROUP BY vec_id")
+@query(f"WITH {_V}, e AS (SELECT label AS vec, unnest(range(64)) AS l, unnest(v) AS x, vec_id FROM v), p AS (SELECT vec_id, l, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM e) SELECT vec_id, 'l' || arg_max(l, p) AS language, round(max(p), 6) AS p FROM p GROUP BY vec_id")
 def q_language_top(spark, sf_dir):
-    return _languages(_vectors(spark, sf_dir).withColumn("v", F.slice("v", 1, 5)))
-
-
-@query(whole("q_language_top", ("range(5)", "range(64)"), ("v[1:5]", "v")))
-def q_language_top_whole(spark, sf_dir):
-    return _languages(_vectors(spark, sf_dir))
-
-
-def _languages(rows):
-    rows = rows.select("vec_id", F.posexplode("v").alias("l", "x")).select("vec_id", F.concat(F.lit("l"), F.col("l").cast("string")).alias("language"), "x")
+    rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode("v").alias("l", "x")).select("vec_id", F.concat(F.lit("l"), F.col("l").cast("string")).alias("language"), "x")
     got = select.detected_language(rows, "vec_id", "language", "x")
     return got.select("vec_id", "language", r6(F.array_max(F.map_values("probabilities"))).alias("p"))
 
@@ -621,16 +620,7 @@ c AS (SELECT conv_id, turn, o, k, len(list_filter(range(len(ref)), lambda i: i +
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, k) AS rn FROM c)
 SELECT conv_id, turn, CAST(o AS INTEGER) AS shift FROM r WHERE rn = 1""")
 def q_offset_align(spark, sf_dir):
-    return _offsets(pairs(spark, sf_dir))
-
-
-@query(whole("q_offset_align", _ALL_WORDS))
-def q_offset_align_whole(spark, sf_dir):
-    return _offsets(whole_pairs(spark, sf_dir))
-
-
-def _offsets(rows):
-    rows = rows.withColumn("shifted", F.slice(F.concat(F.array(F.lit("x"), F.lit("y")), "ref"), F.lit(1), F.size("ref")))
+    rows = pairs(spark, sf_dir).withColumn("shifted", F.slice(F.concat(F.array(F.lit("x"), F.lit("y")), "ref"), F.lit(1), F.size("ref")))
     return rows.select("conv_id", "turn", prepare.best_offset("ref", "shifted").alias("shift"))
 
 
@@ -656,20 +646,11 @@ def q_sample(spark, sf_dir):
     return prepare.sample(table(spark, sf_dir, "part"), "p_partkey", 100).select("p_partkey")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text[1:30], ' '), lambda x: length(x)) AS ids FROM conversations), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS m FROM t)
+@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS ids FROM conversations), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS m FROM t)
 SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda z: 0)), ',') AS input_ids, array_to_string(list_transform(range(m), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask,
   array_to_string(list_transform(range(m), lambda i: CASE WHEN i < 2 OR i >= len(ids) THEN -100 ELSE ids[i + 1] END), ',') AS labels FROM m""")
 def q_collate_labels(spark, sf_dir):
-    return _collated(table(spark, sf_dir, "conversations").withColumn("text", F.substring("text", 1, 30)))
-
-
-@query(whole("q_collate_labels", ("text[1:30]", "text")))
-def q_collate_labels_whole(spark, sf_dir):
-    return _collated(table(spark, sf_dir, "conversations"))
-
-
-def _collated(rows):
-    rows = rows.select("conv_id", "turn", F.transform(F.split("text", " "), lambda x: F.length(x)).alias("ids"), F.lit(2).alias("p"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda x: F.length(x)).alias("ids"), F.lit(2).alias("p"))
     got = prepare.collated(rows, "conv_id", "ids", "p", 0)
     return got.select("conv_id", "turn", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("input_ids", "attention_mask", "labels")))
 
@@ -711,13 +692,22 @@ def q_subtitle_cues(spark, sf_dir):
 
 
 # --- stateful operators in their batch form ---------------------------------------------------------------------------------
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS_IN_ORDER}, p AS (SELECT user_id, k, event_id, least(value / 100, 1.0) AS p FROM o),
+m(user_id, k, event_id, is_on, since, event, "at") AS (SELECT user_id, k, event_id, p >= 0.7, NULL::BIGINT, CASE WHEN p >= 0.7 THEN 'start' END, CASE WHEN p >= 0.7 THEN 0 END::BIGINT FROM p WHERE k = 1 UNION ALL
+  SELECT user_id, k, event_id, CASE WHEN ends THEN FALSE ELSE is_on OR p >= 0.7 END, CASE WHEN ends OR p >= 0.7 THEN NULL ELSE quiet END,
+    CASE WHEN ends THEN 'end' WHEN p >= 0.7 AND NOT is_on THEN 'start' END, CASE WHEN ends THEN quiet + 1600 - 512 WHEN p >= 0.7 AND NOT is_on THEN greatest(0, k * 512 - 1600 - 512) END
+  FROM (SELECT *, coalesce(p < 0.55 AND is_on AND k * 512 - quiet >= 8000, FALSE) AS ends FROM (SELECT p.user_id, p.k, p.event_id, p.p, m.is_on, CASE WHEN p.p < 0.55 AND m.is_on THEN coalesce(m.since, p.k * 512) ELSE m.since END AS quiet
+    FROM m JOIN p ON p.user_id = m.user_id AND p.k = m.k + 1)))
+SELECT user_id, event_id, event, CAST("at" AS BIGINT) AS "at" FROM m WHERE event IS NOT NULL""")
 def q_stateful_vad(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("prob"))
     return processors.batch(rows, processors.VoiceEvents(), "user_id", "event_id")
 
 
-@query()
+@query(f"""WITH {_EVENTS_IN_ORDER}, s AS (SELECT user_id, k, event_id, value / 20 AS n, sum(value / 20) OVER (PARTITION BY user_id ORDER BY k) AS upto FROM o),
+f AS (SELECT a.user_id, a.k, a.event_id, a.upto, min(b.k) FILTER (WHERE b.k = a.k OR a.upto - b.upto + b.n <= 30 + 1e-9) AS first FROM s a JOIN s b ON b.user_id = a.user_id AND b.k <= a.k GROUP BY a.user_id, a.k, a.event_id, a.upto),
+w AS (SELECT f.*, s.upto - s.n AS gone FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.first)
+SELECT user_id, event_id, round(gone - coalesce(lag(gone) OVER (PARTITION BY user_id ORDER BY k), 0), 6) + 0.0 AS evicted, round(upto - gone, 6) AS buffered FROM w""")
 def q_stateful_retention(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") / 20).alias("length"))
     return processors.batch(rows, processors.Retention(), "user_id", "event_id").withColumn("evicted", r6("evicted")).withColumn("buffered", r6("buffered"))
@@ -739,8 +729,7 @@ def relational(name: str, spark_sql: str, sql: str | None = None, tables: tuple[
 
 
 relational("rel_join_inner", "SELECT c_custkey, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {customer} c JOIN {orders} o ON c_custkey = o_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY c_custkey, n_name", tables=("customer", "orders", "nation"))
-relational("rel_join_full", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS nc, count(s_suppkey) AS ns FROM (SELECT * FROM {customer} WHERE c_custkey % 7 = 0) c FULL OUTER JOIN {supplier} s ON c_custkey = s_suppkey GROUP BY 1", tables=("customer", "supplier"))
-relational("rel_join_full_whole", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS nc, count(s_suppkey) AS ns FROM {customer} c FULL OUTER JOIN {supplier} s ON c_custkey = s_suppkey * 20 GROUP BY 1", tables=("customer", "supplier"))
+relational("rel_join_full", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS nc, count(s_suppkey) AS ns FROM {customer} c FULL OUTER JOIN {supplier} s ON c_custkey = s_suppkey * 20 GROUP BY 1", tables=("customer", "supplier"))
 relational("rel_join_semi_anti", "SELECT c_custkey, 'with' AS kind FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) UNION ALL SELECT c_custkey, 'without' FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", tables=("customer", "orders"))
 relational("rel_join_range", "SELECT p_partkey, count(*) AS n FROM {part} p JOIN {region} r ON p_size BETWEEN r_regionkey * 10 AND r_regionkey * 10 + 14 GROUP BY p_partkey", tables=("part", "region"))
 relational("rel_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", tables=("lineitem",))

@@ -124,14 +124,27 @@ def write_iterations(rows: DataFrame, path: str) -> None:
     rows.select("segment", "iteration", F.col("text").alias("value")).write.partitionBy("segment", "iteration").text(path)
 
 
+def _subtitles(blocks, header: str = ""):
+    """Segments (file, start, end, text; file is optional) as one document for each file."""
+
+    def write(segments: DataFrame, path: str) -> None:
+        rows = segments if "file" in segments.columns else segments.withColumn("file", F.lit("all"))
+        rows = blocks(rows.withColumn("start_at", F.col("start")), "file", "start_at")
+        documents(rows, "file", "start_at", header).select("file", "value").write.partitionBy("file").text(path)
+
+    return write
+
+
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {
     "txt": lambda segments, path: text_lines(segments).write.text(path),
+    "vtt": _subtitles(vtt_blocks, "WEBVTT\n\n"),
+    "srt": _subtitles(srt_blocks),
     "tsv": lambda segments, path: tsv_rows(segments).write.option("sep", "\t").option("header", True).csv(path),
     "json": lambda segments, path: segments.write.json(path),
 }
 
 
-def write_all(segments: DataFrame, folder: str, kinds: tuple[str, ...] = ("txt", "tsv", "json")) -> None:
+def write_all(segments: DataFrame, folder: str, kinds: tuple[str, ...] = tuple(WRITERS)) -> None:
     """Every format below one folder. segments is computed once for each."""
     for kind in kinds:
         WRITERS[kind](segments, f"{folder}/{kind}")

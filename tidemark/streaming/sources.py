@@ -12,12 +12,13 @@ from pyspark.sql.types import StructType
 
 
 class _PcmReader(SimpleDataSourceStreamReader):
-    """Whole 16-bit samples from a socket; nothing is given out before least seconds are there or the peer has closed."""
+    """Whole 16-bit samples from a socket; nothing is given out before least bytes are there or the peer has closed. What is less waits for the next
+    call, an odd byte at the end for the one that completes its sample."""
 
     def __init__(self, options: dict[str, str]):
         self.address = options["host"], int(options["port"])
         self.least = int(float(options.get("min_chunk", "1.0")) * int(options.get("rate", "16000"))) * 2
-        self.link, self.sent, self.past = None, 0, {}
+        self.link, self.waiting, self.closed, self.past = None, b"", False, {}
 
     def initialOffset(self) -> dict:
         return {"bytes": 0}
@@ -26,16 +27,15 @@ class _PcmReader(SimpleDataSourceStreamReader):
         if self.link is None:
             self.link = socket.create_connection(self.address, timeout=5)
             self.link.settimeout(0.5)
-        raw = b""
-        while len(raw) < self.least:
+        while len(self.waiting) < self.least and not self.closed:
             try:
                 got = self.link.recv(1 << 16)
             except TimeoutError:
                 break
-            if not got:
-                break
-            raw += got
-        raw = raw[: len(raw) // 2 * 2]
+            self.closed = not got
+            self.waiting += got
+        whole = len(self.waiting) // 2 * 2 if self.closed or len(self.waiting) >= self.least else 0
+        raw, self.waiting = self.waiting[:whole], self.waiting[whole:]
         begin = start["bytes"]
         end = {"bytes": begin + len(raw)}
         rows = [(begin // 2, raw)] if raw else []
