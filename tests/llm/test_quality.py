@@ -5,17 +5,18 @@ from tidemark.llm.quality import SCHEMA, judge, keep
 
 def plain(text):
     words = (text or "").encode().split()
-    seen, lines = set(), 0
+    seen, lines, again = set(), 0, 0
     for line in (text or "").split("\n"):
         if line.encode().split():
             lines += line in seen
+            again += sum(len(w.decode()) for w in line.encode().split()) if line in seen else 0
             seen.add(line)
     covered = {}
     for n in (3, 5, 7, 10):
         grams = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
         covered[n] = {k + j for k in range(len(words) - n + 1) if grams[tuple(words[k : k + n])] > 1 for j in range(n)}
     chars = [len(w.decode()) for w in words]
-    share = {n: sum(chars[k] for k in covered[n]) / max(1, sum(chars)) for n in (5, 7, 10)}
+    share = {n: sum(chars[k] for k in covered[n]) / max(1, sum(chars)) for n in (5, 7, 10)} | {"_line": again / max(1, sum(chars))}
     return len(words), sum(chars), sum((text or "").count(c) for c in "#*$%&|<>"), lines, len(covered[3]), share
 
 
@@ -29,6 +30,7 @@ def check(df):
         assert not (r["base_failed"] and r["kept"])
         for k in share:
             assert abs(share[k] - r[f"dup{k}"]) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and share["_line"] <= 0.3 and symbols <= 0.4 * n and share[5] <= 0.4 and share[7] <= 0.35 and share[10] <= 0.3)
     return rows
 
 

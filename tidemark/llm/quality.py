@@ -124,3 +124,30 @@ def keep(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(np.concatenate(parts) if parts else np.zeros(0, bool)))
 
     return docs.mapInArrow(work, docs.schema)
+
+
+def _oracle_sql() -> str:
+    lengths = (3, *sorted(MAX_SHARE))
+    windows = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest(range(1, len(w) - {n} + 2)) AS i, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS s FROM words WHERE len(w) >= {n}" for n in lengths)
+    shares = ", ".join(f"coalesce(sum(length(x)) FILTER (WHERE n = {n}), 0) AS c{n}" for n in MAX_SHARE)
+    out = ", ".join(f"coalesce(c{n}, 0) / greatest(word_chars, 1) AS dup{n}" for n in MAX_SHARE)
+    within = " AND ".join(f"dup{n} <= {most}" for n, most in MAX_SHARE.items())
+    return rf"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM words),
+windows AS ({windows}),
+twice AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, s) AS times FROM windows) WHERE times > 1),
+covered AS (SELECT DISTINCT doc_id, n, pos FROM (SELECT doc_id, n, unnest(range(i, i + n)) AS pos FROM twice)),
+spread AS (SELECT doc_id, count(*) FILTER (WHERE n = 3) AS n_repeat_words, {shares} FROM covered JOIN places p USING (doc_id) WHERE p.i = covered.pos GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM words)),
+again AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+repeated AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS dup_chars FROM again WHERE again GROUP BY doc_id),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM words),
+measured AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+  {out}, coalesce(dup_chars, 0) / greatest(word_chars, 1) AS dup_line FROM base b LEFT JOIN spread USING (doc_id) LEFT JOIN repeated USING (doc_id))
+SELECT *, NOT base_failed AND dup_line <= {MAX_LINE_SHARE} AND n_symbols <= {MAX_SYMBOLS_PER_WORD} * n_words AND {within} AS kept FROM measured
+"""
+
+
+#: For DuckDB, over whole documents.
+ORACLE_SQL = _oracle_sql()

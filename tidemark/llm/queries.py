@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": near_dedup.ORACLE_SQL, "op7_exact_top_k": exact_search.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op5_minhash_near_dedup": near_dedup.ORACLE_SQL, "op7_exact_top_k": exact_search.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
