@@ -51,12 +51,12 @@ def correction_samples(chunks: DataFrame, reference: str, count: int, chunk_ms:
     return out.where(F.length("continuation_transcript") > 0)
 
 
-def instruction_rows(samples: DataFrame, audio: bool = False) -> DataFrame:
-    """(instruction, response), with audio_path and timestamp if audio: the audio itself stays where it is."""
+def instruction_rows(samples: DataFrame, audio: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(instruction, response) beside the columns to keep, with audio_path and timestamp if audio: the audio itself stays where it is."""
     previous = F.coalesce("previous_transcript", F.lit(""))
     count = F.coalesce("num_candidates", F.size("k_best_candidates"))
-    keep = ["audio_path", "timestamp"] if audio else []
-    return samples.select(*keep, prompt("k_best_candidates", previous, count, audio).alias("instruction"), F.col("continuation_transcript").alias("response"))
+    beside = [*keep, *(("audio_path", "timestamp") if audio else ())]
+    return samples.select(*beside, prompt("k_best_candidates", previous, count, audio).alias("instruction"), F.col("continuation_transcript").alias("response"))
 
 
 def weighted_union(parts: list[tuple[DataFrame, int]]) -> DataFrame:

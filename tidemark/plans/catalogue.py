@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, edit, normalise, numbers, text, tokens
 from tidemark.operators import commit, evaluate, prepare, segment, select
+from tidemark.plans import single_functions  # noqa: F401  registers its queries
 from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, words
+from tidemark.plans.registry import QUERIES, SQL, Query, query
 from tidemark.sources import files, sinks
 from tidemark.streaming import processors
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 r6 = lambda c: F.round(c, 6)
 
 # --- error rates -----------------------------------------------------------------------------------------------------
@@ -159,7 +144,13 @@ def q_html_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_brackets("text")).alias("t"))
 
 
-@query()
+_EXTRA_SQL = "lower(text)"
+for _a, _b in normalise.EXTRA.items():
+    if _a == _a.lower():
+        _EXTRA_SQL = f"replace({_EXTRA_SQL}, '{_a}', '{_b}')"
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(strip_accents(regexp_replace(regexp_replace({_EXTRA_SQL}, '[<\[][^>\]]*[>\]]', '', 'g'), '\(([^)]+?)\)', '', 'g')), '[\p{{M}}\p{{S}}\p{{P}}]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents""")
 def q_basic_normaliser(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(normalise.basic("text", remove_diacritics=True)).alias("t"))
 
@@ -218,9 +209,14 @@ def q_compression_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r6(arrays.compression_ratio("text")).alias("ratio"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+') AS t FROM conversations),
+e AS (SELECT conv_id, turn, unnest(range(len(t))) AS k, unnest(t) AS x FROM t),
+g AS (SELECT *, sum(CASE WHEN k = 0 OR starts_with(x, ' ') OR regexp_full_match(trim(x), '[!-/:-@\[-`{-~]') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY k) AS g FROM e),
+w AS (SELECT conv_id, turn, g, string_agg(x, '' ORDER BY k) AS w FROM g GROUP BY ALL)
+SELECT conv_id, turn, string_agg(w, '|' ORDER BY g) AS words FROM w GROUP BY ALL""")
 def q_words_from_pieces(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.words_from_pieces(tokens.pre_tokens("text")).alias("w"))
+    rows = table(spark, sf_dir, "conversations").where("text <> ''")
+    return rows.select("conv_id", "turn", F.array_join(tokens.words_from_pieces(tokens.pre_tokens("text")), "|").alias("words"))
 
 
 # --- paths, sources and prompts -----------------------------------------------------------------------------------------
@@ -681,7 +677,13 @@ def q_packets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.aggregate(p, F.lit(0), lambda s, x: s + F.octet_length(x)).cast("bigint").alias("n_bytes"), F.size(p).cast("bigint").alias("n_packets"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT conv_id, turn, unnest(range(len(ref))) AS seq, unnest(ref) AS w FROM w),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, seq) AS n, w FROM e),
+m AS (SELECT conv_id, n, w, 0 AS cue, 0 AS line, length(w) AS used FROM o WHERE n = 1 UNION ALL
+  SELECT o.conv_id, o.n, o.w, CASE WHEN used + 1 + length(o.w) > 42 AND line = 1 THEN cue + 1 ELSE cue END, CASE WHEN used + 1 + length(o.w) <= 42 THEN line ELSE 1 - line END,
+    CASE WHEN used + 1 + length(o.w) <= 42 THEN used + 1 ELSE 0 END + length(o.w) FROM m JOIN o ON o.conv_id = m.conv_id AND o.n = m.n + 1),
+l AS (SELECT conv_id, cue, line, min(n) AS a, max(n) AS b, string_agg(w, ' ' ORDER BY n) AS t FROM m GROUP BY conv_id, cue, line)
+SELECT conv_id, CAST(cue AS BIGINT) AS seq, CAST(min(a) - 1 AS DOUBLE) AS start, CAST(max(b) - 0.5 AS DOUBLE) AS "end", string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY conv_id, cue""")
 def q_subtitle_cues(spark, sf_dir):
     """All words of all turns; each takes a second of its conversation."""
     before = F.sum(F.size("w")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
