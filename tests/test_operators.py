@@ -244,6 +244,32 @@ def test_repair_per_file(spark):
     assert [r[3] for r in rows_of(timing.repaired(df, "f"))] == [" a", " b."]
 
 
+def test_beam_decoder(spark):
+    decoder = plugins.BeamDecoder("key", 2, 0)
+    first = spark.createDataFrame([("a", 0, t, s, [9]) for t, s in ((1, -1.0), (2, -2.0), (0, -3.0), (3, -4.0))], "key string, beam int, token int, score double, seq array<int>")
+    going = decoder.update(first)
+    assert [(r["beam"], r["seq"], r["score"]) for r in going.orderBy("beam").collect()] == [(0, [9, 1], -1.0), (1, [9, 2], -2.0)]
+    steps = [(r["beam"], t, r["score"] + s, r["seq"]) for r in going.collect() for t, s in ((0, -0.5), (4, -0.7))]
+    decoder.update(spark.createDataFrame([("a", *x) for x in steps], first.schema))
+    assert decoder.complete().count() == 1
+    assert [(r["seq"], r["score"]) for r in decoder.finalise().orderBy(F.desc("score")).collect()] == [([9, 1, 0], -1.5), ([9, 2, 0], -2.5)]
+    decoder.reset()
+    one = plugins.GreedyDecoder("key", 0)
+    one.update(first)
+    assert one.finished.count() == 0 and [r["seq"] for r in one.finalise().collect()] == [[9, 1, 0]]
+    decoder.reset()
+    assert decoder.finished is None
+
+
+def test_places_in_order(spark):
+    rows = [(k * 7919 % 1009, str(k)) for k in range(1009)] + [(None, "x")]
+    got = prepare.ranked(spark.createDataFrame(rows, "k int, s string").repartition(5), "k").collect()
+    assert sorted((r["place"], r["k"]) for r in got) == [(0, None)] + [(k + 1, k) for k in range(1009)]
+    by_text = prepare.ranked(spark.createDataFrame(rows, "k int, s string"), "s").collect()
+    assert [r["s"] for r in sorted(by_text, key=lambda r: r["place"])] == sorted(s for _, s in rows)
+    assert prepare.ranked(spark.createDataFrame([], "k int"), "k").count() == 0
+
+
 def test_plugins(spark):
     @plugins.scorer("double")
     def factory(by=2):

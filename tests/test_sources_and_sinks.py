@@ -152,3 +152,25 @@ def test_packets_lines_and_files(spark, tmp_path):
     assert spark.range(1).select(emission_line(F.lit(1.5), F.lit(0.0), F.lit(1.0), F.lit("hi"))).first()[0] == "1500.0000 0 1000 hi"
     summary = sinks.batch_summary(spark.createDataFrame([("a", 1.0, "x", 2.0, None), ("b", 1.0, None, 4.0, None)], "file string, duration double, transcription string, first_token_latency_ms double, last_token_latency_ms double")).first()
     assert (summary["total_files"], summary["processed_files"], summary["average_first_token_latency_ms"], summary["average_last_token_latency_ms"]) == (2, 1, 3.0, None)
+
+
+def test_lines_of_a_file_that_several_tasks_read(spark, tmp_path):
+    for name, n in (("a.log", 3000), ("b.log", 5)):
+        (tmp_path / name).write_text("\n".join(f"{name} line {k}" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = files.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 0
+        got = sorted((r["file"], r["line_no"], r["value"]) for r in lines.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((name, k, f"{name} line {k}") for name, n in (("a.log", 3000), ("b.log", 5)) for k in range(n))
+
+
+def test_all_writers(spark, tmp_path):
+    segments = spark.createDataFrame([("f", 0.0, 1.5, " one"), ("f", 2.0, 3.0, "two-->")], "file string, start double, end double, text string")
+    sinks.write_all(segments, str(tmp_path / "out"))
+    read = lambda kind: "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "out" / kind)).collect())
+    assert read("srt").strip() == "1\n00:00:00,000 --> 00:00:01,500\none\n\n2\n00:00:02,000 --> 00:00:03,000\ntwo->"
+    assert read("vtt").strip() == "WEBVTT\n\n00:00.000 --> 00:01.500\none\n\n00:02.000 --> 00:03.000\ntwo->"
+    assert set(sinks.WRITERS) == {"txt", "vtt", "srt", "tsv", "json"}

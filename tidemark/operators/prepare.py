@@ -87,11 +87,16 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 21) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """rows with their place in order, from 0. Places come from range partitions and their counts, so no task sees all rows."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    inside = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    # One row for each partition.
+    """rows with their place in order, from 0. Rows are dealt to ranges between values of a sample, whose counts say where each range begins, so that
+    no task sees all rows. The sample (by a hash of the value, 64 for each range) is all that reaches the driver."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(64 * n).collect())
+    bounds = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
+    at_least = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)) if bounds else F.array()
+    dealt_ = rows.withColumn("__p", F.coalesce(F.size(at_least), F.lit(0)))
+    inside = dealt_.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
+    counts = dealt_.groupBy("__p").agg(F.count("*").alias("__n"))
+    # One row for each range.
     upto = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return inside.join(F.broadcast(upto), "__p").withColumn(name, F.col("__k") + F.col("__before")).drop("__p", "__k", "__before")
 

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tidemark.operators.commit import common_prefix
+from tidemark.operators.select import beam_step, finalised
 from tidemark.sources.sinks import WRITERS
 
 
@@ -46,6 +48,51 @@ def scored(rows: DataFrame, name: str, schema: str, **options) -> DataFrame:
     return rows.mapInPandas(work, schema)
 
 
+class SequenceDecoder(Protocol):
+    """Picks tokens step by step: reset() before the first step, update() with (key, beam, token, score, seq) candidates of a step gives the beams
+    that go on, finalise() the finished sequences."""
+
+    def reset(self) -> None: ...
+
+    def update(self, candidates: DataFrame) -> DataFrame: ...
+
+    def finalise(self) -> DataFrame: ...
+
+
+class BeamDecoder:
+    """Beam search in DataFrame steps. A key is complete with round(width * patience) finished sequences; those that come later don't count."""
+
+    def __init__(self, key: str, width: int, end_token: int, patience: float = 1.0):
+        self.key, self.width, self.end_token, self.most = key, width, end_token, round(width * patience)
+        self.reset()
+
+    def reset(self) -> None:
+        self.going, self.finished, self.steps = None, None, 0
+
+    def update(self, candidates: DataFrame) -> DataFrame:
+        self.going, ended = beam_step(candidates, self.key, "beam", "token", "score", "seq", self.width, self.end_token)
+        ended = ended.select(self.key, "seq", "score", F.lit(self.steps).alias("step"))
+        self.steps += 1
+        both = ended if self.finished is None else self.finished.unionByName(ended)
+        place = F.row_number().over(Window.partitionBy(self.key).orderBy("step", F.desc("score"), "seq"))
+        self.finished = both.withColumn("place", place).where(F.col("place") <= self.most).drop("place")
+        return self.going
+
+    def complete(self) -> DataFrame:
+        """Keys that need no more steps."""
+        return self.finished.groupBy(self.key).agg(F.count("*").alias("n")).where(F.col("n") >= self.most).select(self.key)
+
+    def finalise(self) -> DataFrame:
+        return finalised(self.finished.drop("step"), self.going.select(self.key, "seq", "score"), self.key, "score", "seq", self.width, self.end_token)
+
+
+class GreedyDecoder(BeamDecoder):
+    """The best token of each step."""
+
+    def __init__(self, key: str, end_token: int):
+        super().__init__(key, 1, end_token)
+
+
 def agreed_extension(previous: str, candidates: list[str]) -> str:
     """The default corrector: the longest text by which most candidates extend what is confirmed; of equals the longer one."""
     extensions = [c[len(previous) :] for c in candidates if c.strip() and c.startswith(previous)]

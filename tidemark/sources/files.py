@@ -120,10 +120,11 @@ def from_lists(spark: SparkSession, audio_paths: list[str], instructions: list[s
     return spark.createDataFrame(list(zip(audio_paths, instructions, responses, strict=True)), "audio_path string, instruction string, response string")
 
 
-def audio_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".wav", ".mp3", ".flac", ".m4a", ".ogg")) -> DataFrame:
-    """Paths of all audio files below a folder, or of one file, in order. Contents aren't read."""
+def audio_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".wav", ".mp3", ".flac", ".m4a", ".ogg"), limit: int | None = None) -> DataFrame:
+    """Paths of all audio files below a folder, or of one file, in order, or of the first limit ones. Contents aren't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return rows.where(extension("path").isin(*extensions)).orderBy("path")
+    rows = rows.where(extension("path").isin(*extensions)).orderBy("path")
+    return rows if limit is None else rows.limit(limit)
 
 
 def audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
@@ -180,9 +181,12 @@ def last_marked(lines: DataFrame, mark: str, key: str = "file", order: str = "li
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files, each read whole so that lines keep their order."""
-    rows = spark.read.option("wholetext", True).text(path)
-    return rows.select(base_name("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    """(file, line_no, value) of text files, from 0. A large file is read by several tasks: lines go by the block that they lie in and their place in it."""
+    from pyspark.sql import Window
+
+    rows = spark.read.text(path).select(base_name("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("__p"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), "value")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy("__b", "__m")) - 1
+    return rows.select("file", place.alias("line_no"), "value")
 
 
 def has_digest(content: Column, digest: str) -> Column:
