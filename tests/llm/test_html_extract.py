@@ -102,6 +102,26 @@ def test_boilerplate_names(name):
     assert main_text(f"<div>{''.join(f'<p>{x}</p>' for x in PROSE[:3])}</div>{box}")[0] == " ".join(PROSE[:3])
 
 
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<div class="comments"><p>{}</p></div>', '<section id="comment-list"><article class="comment"><div class="comment-body"><p>{}</p></div></article></section>', "<aside><p>{}</p><p>More of it.</p></aside>",
+        '<div class="share-buttons"><p>{}</p></div>', '<div role="complementary"><p>{}</p></div>', '<form action="/s"><p>{}</p><input name=q><button>Go</button></form>', "<footer><p>{}</p></footer>",
+        '<div class="notice"><p>{}</p></div>', '<div style="display: none"><p>{}</p></div>', '<div class="ad-slot">{}</div>', '<nav><p>{}</p><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></nav>', '<span hidden>{}</span>',
+        "<script>var x = '{}';</script>", "<noscript><p>{}</p></noscript>", "<!-- {} -->",
+    ],
+)
+def test_boxes_within_and_after_an_article(box):
+    box = box.replace("{}", PROSE[3])
+    article = '<article><div class="entry-header"><h1>The title of this</h1></div>' + "".join(f"<p>{x}</p>" for x in PROSE[:2])
+    want = " ".join(["The title of this", *PROSE[:2]])
+    assert main_text(f"<body><header><p>{PROSE[2]}</p></header>{article}{box}</article><p></p></body>")[0] == want
+    assert main_text(f"<body>{article}</article>{box}</body>")[0] == want
+    assert main_text(f"<body>{article}{box}<p>{PROSE[2]}</p></article></body>")[0] == f"{want} {PROSE[2]}"
+    plain = article.replace("<article>", '<div class="w">')
+    assert main_text(f"<body>{plain}</div>{box}</body>")[0] == want
+
+
 def test_math_and_tables_stay():
     table = "<table><tr><th>Year</th><th>Rows</th></tr><tr><td>1999</td><td>12</td></tr><tr><td>2004</td><td>345</td></tr></table>"
     got = main_text(f"<nav><a href=/>Home</a></nav><article><p>{PROSE[0]}</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>{table}<ul><li>one</li><li>two</li></ul><p>{PROSE[1]}</p></article>")[0]

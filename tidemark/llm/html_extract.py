@@ -36,7 +36,9 @@ RAW = frozenset("script style textarea title".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus reply replies respond discussion share sharing social related recommended recommendations subscribe subscription newsletter signup login register widget toolbar pagination pager copyright legal skip search form poll rating".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 #: Words that say where or how a thing is put, not what it is; and such as make a name a state of the page.
-PLACE_WORDS = frozenset("area articles bar block bottom box card cards container content contents entries entry fixed global group holder inner item items layout left link links list lists main module outer page panel posts primary right row secondary section site stories sticky text thread title top wrap wrapper zone".split())
+PLACE_WORDS = frozenset("area articles author avatar bar block bottom box btn button buttons card cards container content contents date entries entry field fixed global group holder icon icons inner item items layout left link links list lists main message meta module note notes outer page panel posts primary right row secondary section site slot space stories sticky tab tabs text thread title top unit wrap wrapper zone".split())
+#: A header of one of these may hold the article's title.
+OWN_HEADER = frozenset("article content entry post story".split())
 STATE_FIRST = frozenset("with has no is not without js hide hides show shows enable can".split())
 STATE_LAST = frozenset("active closed collapsed disabled enabled expanded hidden off on open opened shown visible".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -53,12 +55,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: but for a plain hint at boilerplate against one paragraph.
 TAG_WEIGHTS = {"nav": -520, "footer": -480, "aside": -420, "form": -420, "menu": -450, "dialog": -450, "article": 150, "main": 150}
 BOILER_NAME, WEAK_NAME, CONTENT_NAME, HIDDEN_WEIGHT = -450, -40, 150, -500
-HINTS_LEAST, HINTS_MOST = -650, 250
+HINTS_LEAST, HINTS_MOST, PLAIN_HINT, PAGE_HEADER = -650, 250, -250, -450
 WEIGHTS = {"bias": -50, "link": -400, "sentence": 150, "long": 120, "short": -40, "paragraph": 60, "heading": -110, "header": -350}
 #: A form that holds this share of the page's prose is but a wrapper.
 WRAPPER_SHARE = 0.5
 #: Capacity by the number of steps between two blocks' elements in the DOM; of edges that skip blocks; and the divisor across a boundary.
-NEAR_EDGE = (200, 200, 200, 150, 110, 70, 40)
+NEAR_EDGE = (200, 200, 200, 190, 150, 100, 50)
 SIBLING_EDGE, BOUNDARY, DIVISOR = 60, 150, 8
 
 
@@ -90,6 +92,8 @@ def name_hint(name: str) -> int:
     if not words or words[0] in STATE_FIRST or (len(words) > 1 and words[-1] in STATE_LAST):
         return 0
     boiler = [w in BOILER_WORDS for w in words]
+    if words[-1] == "header" and words[0] in OWN_HEADER:
+        return 0
     if any(boiler):
         named = boiler[-1] or (boiler[0] and all(x or w in PLACE_WORDS or w in CONTENT_WORDS for w, x in zip(words, boiler, strict=True)))
         return BOILER_NAME if named else WEAK_NAME
@@ -260,8 +264,9 @@ def text_score(b: Block) -> int:
     return s + (w["long"] if n > 100 else w["short"] if n < 25 else 0)
 
 
-def element_hints(page: Page, own: list[int]) -> list[int]:
-    """For each element the sum of its hints and those of the elements around it, within bounds. A form around half of the page's prose is no hint."""
+def element_hints(page: Page, own: list[int], inside: list[bool]) -> list[int]:
+    """For each element the sum of its hints and those of the elements around it, within bounds. A form around half of the page's prose is no hint, and
+    what lies around an element that is plainly boilerplate doesn't speak for it."""
     prose = [0] * len(page.tags)
     for b, s in zip(page.blocks, own, strict=True):
         prose[b.element] += len(b.text) if s > 0 else 0
@@ -272,22 +277,25 @@ def element_hints(page: Page, own: list[int]) -> list[int]:
         hint = page.hints[k]
         if page.tags[k] == "form" and prose[k] >= WRAPPER_SHARE * max(prose[0], 1):
             hint = 0
-        sums[k] = sums[page.parents[k]] + hint
+        if page.tags[k] == "header" and not inside[k]:
+            hint += PAGE_HEADER
+        around = sums[page.parents[k]]
+        sums[k] = (min(around, 0) if hint <= PLAIN_HINT else around) + hint
     return [max(HINTS_LEAST, min(HINTS_MOST, x)) for x in sums]
 
 
 def scores(page: Page) -> tuple[list[int], list[int]]:
     """(the classifier's verdict on each block, content above 0; the hints of its elements)."""
     own = [text_score(b) for b in page.blocks]
-    hints = element_hints(page, own)
     header, inside = [False] * len(page.tags), [False] * len(page.tags)
     for k in range(1, len(page.tags)):
         header[k] = header[page.parents[k]] or page.tags[k] == "header"
         inside[k] = inside[page.parents[k]] or page.tags[k] in ("article", "main")
+    hints = element_hints(page, own, inside)
     out = []
     for b, s in zip(page.blocks, own, strict=True):
-        if header[b.element] and not (inside[b.element] and b.tag in ("h1", "h2")):
-            s += WEIGHTS["header"]
+        if header[b.element] and inside[b.element] and b.tag not in ("h1", "h2"):
+            s += WEIGHTS["header"]  # of an article's header the title stays
         out.append(s + hints[b.element])
     return out, [hints[b.element] for b in page.blocks]
 
