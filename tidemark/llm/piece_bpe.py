@@ -17,6 +17,8 @@ from tidemark.llm.common import mix
 SPACE = "▁"
 #: States beside the pieces' ids.
 START, UNKNOWN = 65533, 65534
+#: New spans are relaxed together up to so many bytes, as each character takes some hundred bytes of tables on the way.
+SOLVED_BYTES = 128 << 10
 
 
 class Vocabulary:
@@ -188,6 +190,19 @@ def backtrack(v: Vocabulary, chars: np.ndarray, first: np.ndarray, last: np.ndar
     return sizes, ids
 
 
+def in_turn(which: np.ndarray, width: np.ndarray, solve, most: int = SOLVED_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, values) that solve(span numbers) gives, for some spans at a time: about most bytes, or one longer span."""
+    sizes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    upto, lo = np.cumsum(width[which]), 0
+    while lo < len(which):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        n, x = solve(which[lo:hi])
+        sizes.append(n)
+        values.append(x)
+        lo = hi
+    return np.concatenate(sizes), np.concatenate(values)
+
+
 def span_chars(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chars, first, limit) of spans as sentencepiece sees them: spaces are marked, a row's first span gets one more."""
     raw = buf.tobytes()

@@ -93,6 +93,10 @@ def suffix_edges(path: str, chars: np.ndarray, limit: np.ndarray) -> tuple[np.nd
     return at[inside], size[inside], ids[which[inside]]
 
 
+#: New spans are indexed together up to so many bytes.
+INDEXED_BYTES = 256 << 10
+
+
 @functools.lru_cache(2)
 def _table(path: str) -> SpanTable:
     return SpanTable(250_000)
@@ -108,7 +112,7 @@ def encode_rows(path: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         count, last, step = piece_bpe.relax(v, chars, first, suffix_edges(path, chars, limit))
         return piece_bpe.backtrack(v, chars, first, last, step, count)
 
-    at = table.resolve(buf, starts, ends, leads, missing)
+    at = table.resolve(buf, starts, ends, leads, lambda which: piece_bpe.in_turn(which, ends - starts, missing, INDEXED_BYTES))
     ids, which = table.expand(at)
     return ids.astype(np.int64), np.bincount(rows[which], minlength=len(offsets) - 1)
 

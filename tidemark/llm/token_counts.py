@@ -48,7 +48,7 @@ def _span_counts(path: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[SpanT
         keep[first[:-1] + np.arange(len(which))] = False
         return np.diff(first), count[keep]
 
-    at = table.resolve(buf, starts, ends, leads, missing)
+    at = table.resolve(buf, starts, ends, leads, lambda which: piece_bpe.in_turn(which, ends - starts, missing))
     return table, at, rows
 
 
