@@ -49,6 +49,18 @@ def test_stages_take_odd_and_no_rows(spark, odd, empty):
         assert docs.columns == ["doc_id", "item", "bin_id", "capacity", "start", "size"]
 
 
+def test_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from tidemark.llm.common import clear, own_folder
+
+    assert written(spark.range(5)).count() == 5
+    folder = Path(own_folder(spark).removeprefix("file://"))
+    assert any(folder.iterdir())
+    clear(spark)
+    assert not folder.exists() and written(spark.range(3)).count() == 3
+
+
 def test_oracles(spark):
     """The SQL gives what the queries give."""
     import duckdb

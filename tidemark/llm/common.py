@@ -48,9 +48,21 @@ def range_parts(table: DataFrame, rows: int) -> int:
     return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and stores that this application has left in the shared folder; what still reads them no longer works."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, range_parts, rolling, shared_folder
+from tidemark.llm.common import own_folder, pieces, range_parts, rolling
 from tidemark.llm.spans_table import SpanTable, may_end_space, space_spans
 
 END_ID = 2
@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str | None = None, folder: str | None = None) -
     """Writes the store and returns its folder."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/tidemark/store-{uuid.uuid4().hex}"
+    folder = folder or f"{own_folder(spark)}/store-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
