@@ -62,5 +62,11 @@ def test_the_rest_stands_alone(tmp_path):
     root = Path(__spark_entry__.__file__).parent
     shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tidemark/llm/__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not [k for k in e.queries() if k.startswith('op') or k == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    (tmp_path / "tidemark/llm/__pycache__").rmdir()
+    (tmp_path / "tidemark/llm").rmdir()
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
