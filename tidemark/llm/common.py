@@ -21,6 +21,10 @@ ARROW_BATCH = "8m"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
+#: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after A-Z are lower-cased.
+IS_ALNUM = np.zeros(256, bool)
+IS_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
 _RNG = np.random.default_rng(20240607)
 _TABLES = _RNG.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,11 +102,11 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`; no word crosses a document's edge."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, or of the runs of the bytes that solid marks; no word crosses a document's edge."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~IS_SPACE[buf]
+    solid = ~IS_SPACE[buf] if solid is None else solid
     before = np.empty(len(buf) + 1, bool)
     before[0], before[1:] = False, solid
     edges = offsets[offsets < len(buf)]
@@ -136,6 +140,28 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, rows
 
 
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each distinct content, the number of each span's content): by one 64-bit hash, or by two where the first doesn't tell all apart."""
+    keys, other = span_hash(buf, starts, ends, 0), span_hash(buf, starts, ends, 1)
+    _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+    if (other[first][code] != other).any():
+        order = np.lexsort((other, keys))
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(new) - 1
+        first = order[new]
+    return first, code
+
+
+def gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans as strings."""
+    sizes = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf[at])))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
