@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_search, html_extract, language, line_dedup, near_dedup, packing, piece_codec, quality, token_counts, token_store
+from tidemark.llm import decontaminate, exact_search, html_extract, language, line_dedup, near_dedup, packing, piece_codec, quality, resample, spelling, token_counts, token_store
 from tidemark.llm.common import table
 
 
@@ -55,9 +55,20 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op7_exact_top_k, op8_line_dedup, op9_best_fit_packing, op10_token_counts, op11_decontamination)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_store, op4_piece_codec, op5_minhash_near_dedup, op6_language_id, op7_exact_top_k, op8_line_dedup, op9_best_fit_packing, op10_token_counts, op11_decontamination, op12_importance_resampling, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op5_minhash_near_dedup": near_dedup.ORACLE_SQL, "op7_exact_top_k": exact_search.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op2_quality_rules": quality.ORACLE_SQL, "op5_minhash_near_dedup": near_dedup.ORACLE_SQL, "op7_exact_top_k": exact_search.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_decontamination": decontaminate.ORACLE_SQL, "op12_importance_resampling": resample.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL,
+    }
