@@ -16,6 +16,7 @@ a doc_id are each a document; a target without features makes all its counts 0;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ MIN_WORDS = 20
 SHARE = 10
 SEED = 2024
 #: Bytes of a block's text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Rows of a range of sorted scores, in the mean.
 PART_ROWS = 4_000_000
 _BLOCK = "block long, doc_ids array<long>, n_words array<int>, sizes array<int>, codes binary, counts binary, features array<string>, totals array<int>"
@@ -41,14 +42,14 @@ _WEIGHED = "doc_id long, n_words long, n_features long, weight long"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Integers below 2^32 in as few bytes each as hold the largest, which the first byte says."""
+    """Integers below 2^32, compressed, in as few bytes each as hold the largest, which the first byte says."""
     most = int(x.max()) if len(x) else 0
     width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    return bytes([width]) + zlib.compress(x.astype(f"<u{width}").tobytes(), 1)
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(x[1:]), f"<u{x[0]}").astype(np.int64)
 
 
 def features_of(buf: np.ndarray, offsets: np.ndarray, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,18 +111,23 @@ def gains(words: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFr
     return both.select("bucket", gain.cast("long").alias("gain"))
 
 
-def _weigh(key: tuple, rows: pa.Table, priced: pa.Table) -> pa.Table:
-    """The weights of one block's rows, from the gains of its features."""
-    gain = np.zeros(len(priced), np.int64)
-    gain[np.asarray(priced["code"])] = np.asarray(priced["gain"])
-    r = rows.to_pylist()[0]
-    sizes = np.array(r["sizes"], np.int64)
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    times = _unpacked(r["counts"])
-    total, n = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    np.add.at(total, which, times * gain[_unpacked(r["codes"])])
-    np.add.at(n, which, times)
-    return pa.table({"doc_id": pa.array(r["doc_ids"], pa.int64()), "n_words": pa.array(r["n_words"], pa.int64()), "n_features": pa.array(n), "weight": pa.array(total // np.maximum(n, 1))})
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of each block's rows, from the gains of its features."""
+    for batch in batches:
+        for k in range(len(batch)):
+            ids, n_words, sizes, priced = (batch.column(c)[k].values for c in ("doc_ids", "n_words", "sizes", "priced"))
+            sizes = np.asarray(sizes, np.int64)
+            codes, times = (_unpacked(batch.column(c)[k].as_py()) for c in ("codes", "counts"))
+            total, n = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            if priced is not None:
+                both = np.asarray(priced)
+                gain = np.zeros(len(both), np.int64)
+                gain[both >> 32] = (both & 0xFFFFFFFF) - (1 << 31)
+                upto = np.concatenate(([0], np.cumsum(times * gain[codes])))
+                ends = np.cumsum(sizes)
+                total, n = upto[ends] - upto[ends - sizes], np.concatenate(([0], np.cumsum(times)))
+                n = n[ends] - n[ends - sizes]
+            yield pa.RecordBatch.from_arrays([ids, n_words.cast(pa.int64()), pa.array(n), pa.array(total // np.maximum(n, 1))], names=["doc_id", "n_words", "n_features", "weight"])
 
 
 def weights(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS) -> DataFrame:
@@ -132,9 +138,11 @@ def weights(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: i
     # A row for each bucket at most: broadcast whatever the input's size.
     priced = words.join(F.broadcast(gains(words, aims, buckets)), "bucket").select("feature", "gain")
     named = parts.select(F.col("block").alias("of"), F.posexplode("features").alias("code", "feature"))
-    found = named.join(priced, "feature").select("of", "code", "gain")
+    # Number and gain of a feature as one integer; a block has a bounded number of features.
+    both = F.shiftleft(F.col("code").cast("long"), 32).bitwiseOR(F.col("gain") + (1 << 31))
+    found = named.join(priced, "feature").groupBy("of").agg(F.collect_list(both).alias("priced"))
     rows = parts.select("block", "doc_ids", "n_words", "sizes", "codes", "counts")
-    return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_weigh, _WEIGHED)
+    return rows.join(found, F.col("block") == F.col("of"), "left").drop("block", "of").mapInArrow(_weigh, _WEIGHED)
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
