@@ -37,7 +37,8 @@ SEED = 2024
 BLOCK_BYTES = 2 << 20
 #: Rows of a range of sorted scores, in the mean.
 PART_ROWS = 4_000_000
-_BLOCK = "block long, doc_ids array<long>, n_words array<int>, sizes array<int>, codes binary, counts binary, features array<string>, totals array<int>"
+#: A row of a block (its rows' ids, words and features) has no feature; the others are its features.
+_BLOCK = "block long, code int, n long, feature string, doc_ids array<long>, n_words array<int>, sizes array<int>, codes binary, counts binary"
 _WEIGHED = "doc_id long, n_words long, n_features long, weight long"
 
 
@@ -73,8 +74,9 @@ def features_of(buf: np.ndarray, offsets: np.ndarray, orders: int) -> tuple[np.n
 
 
 def blocks(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """One row for each block of rows: their ids and words, the numbers and counts of their features, and the block's distinct features."""
-    kinds = [(f.name, f.type) for f in pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("counts", pa.binary()), ("features", pa.list_(pa.string())), ("totals", pa.list_(pa.int32()))])]
+    """For each block of rows one row of their ids and words and the numbers and counts of their features, and one for each distinct feature."""
+    inner = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("counts", pa.binary())])
+    outer = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("n", pa.int64()), ("feature", pa.string()), *inner])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -83,13 +85,14 @@ def blocks(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
                 n = hi - lo
                 word_row, row, joined, starts, ends = features_of(buf, offsets, orders)
                 first, code = distinct_spans(joined, starts, ends)
-                pair, times = np.unique(row * max(len(first), 1) + code, return_counts=True)
-                which, codes = np.divmod(pair, max(len(first), 1))
+                size = len(first)
+                pair, times = np.unique(row * max(size, 1) + code, return_counts=True)
+                which, codes = np.divmod(pair, max(size, 1))
+                whole = [batch.column(0).slice(lo, n).to_pylist(), np.bincount(word_row, minlength=n), np.bincount(which, minlength=n), _packed(codes), _packed(times)]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), *(pa.array([x], f.type) for x, f in zip(whole, inner, strict=True))], schema=outer)
                 strings = gathered(joined, starts[first], ends[first]).cast(pa.string())
-                one = [number, batch.column(0).slice(lo, n).to_pylist(), np.bincount(word_row, minlength=n), np.bincount(which, minlength=n), _packed(codes), _packed(times), None, np.bincount(code, minlength=len(first))]
-                columns = [pa.array([x], kind) for x, (_, kind) in zip(one, kinds, strict=True)]
-                columns[6] = pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings)
-                yield pa.RecordBatch.from_arrays(columns, names=[k for k, _ in kinds])
+                each = [pa.array(np.full(size, number)), pa.array(np.arange(size, dtype=np.int32)), pa.array(np.bincount(code, minlength=size)), strings]
+                yield pa.RecordBatch.from_arrays([*each, *(pa.nulls(size, f.type) for f in inner)], schema=outer)
                 number += 1
 
     return docs.select("doc_id", "text").mapInArrow(work, _BLOCK)
@@ -97,7 +100,7 @@ def blocks(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
 
 def dictionary(parts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(feature, n, bucket): each distinct feature of all blocks, how often it is there, and its bucket."""
-    each = parts.select(F.inline(F.arrays_zip(F.col("features").alias("feature"), F.col("totals").alias("n"))).alias("feature", "n"))
+    each = parts.where("feature IS NOT NULL").select("feature", "n")
     return each.groupBy("feature").agg(F.sum("n").alias("n")).withColumn("bucket", (F.crc32("feature") % buckets).cast("int"))
 
 
@@ -137,11 +140,11 @@ def weights(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: i
     aims = written(dictionary(blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), orders), buckets))
     # A row for each bucket at most: broadcast whatever the input's size.
     priced = words.join(F.broadcast(gains(words, aims, buckets)), "bucket").select("feature", "gain")
-    named = parts.select(F.col("block").alias("of"), F.posexplode("features").alias("code", "feature"))
+    named = parts.where("feature IS NOT NULL").select(F.col("block").alias("of"), "code", "feature")
     # Number and gain of a feature as one integer; a block has a bounded number of features.
     both = F.shiftleft(F.col("code").cast("long"), 32).bitwiseOR(F.col("gain") + (1 << 31))
     found = named.join(priced, "feature").groupBy("of").agg(F.collect_list(both).alias("priced"))
-    rows = parts.select("block", "doc_ids", "n_words", "sizes", "codes", "counts")
+    rows = parts.where("feature IS NULL").select("block", "doc_ids", "n_words", "sizes", "codes", "counts")
     return rows.join(found, F.col("block") == F.col("of"), "left").drop("block", "of").mapInArrow(_weigh, _WEIGHED)
 
 
