@@ -4,8 +4,8 @@ Features are runs of consecutive words. Texts go by in blocks: of a block its di
 the numbers of its features within the block and how often it has them. The features of all blocks are summed to a dictionary; each distinct
 string of it is hashed once, and its counts are added up by bucket, for the documents and for the target alike. The gains of the buckets,
 whose number is a parameter, go back to the dictionary, from there to the distinct features of each block, and meet the block's rows by number.
-So what is shuffled is a row for each distinct feature of a block, not one for each feature of a document, and a feature that all documents hold
-is a row for each block.
+So what is shuffled is a row for each distinct feature of a block, not one for each feature of a document; the gains of frequent features, whose number has a
+bound, are sent to all tasks, and their rows aren't shuffled at all.
 
 Draws are a Gumbel race: a document's score is its mean gain and a number of its id, and the highest scores are drawn. Places are counted in ranges of
 sorted scores whose sizes are added up, so no task sees all rows.
@@ -35,6 +35,8 @@ SHARE = 10
 SEED = 2024
 #: Bytes of a block's text.
 BLOCK_BYTES = 2 << 20
+#: A feature with at least one in so many of all features, of which there can't be more, and of at most HOT_BYTES, has its gain sent to all tasks.
+HOT, HOT_BYTES = 1_000_000, 32
 #: Rows of a range of sorted scores, in the mean.
 PART_ROWS = 4_000_000
 #: A row of a block (its rows' ids, words and features) has no feature; the others are its features.
@@ -138,12 +140,16 @@ def weights(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: i
     parts = written(blocks(docs, orders))
     words = written(dictionary(parts, buckets))
     aims = written(dictionary(blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), orders), buckets))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = (F.col("n") * HOT >= F.lit(total)) & (F.octet_length("feature") <= HOT_BYTES)
     # A row for each bucket at most: broadcast whatever the input's size.
-    priced = words.join(F.broadcast(gains(words, aims, buckets)), "bucket").select("feature", "gain")
+    priced = words.select("feature", "bucket", hot.alias("hot")).join(F.broadcast(gains(words, aims, buckets)), "bucket").select("feature", "gain", "hot")
+    often, seldom = (F.broadcast(priced.where("hot").drop("hot"))), priced.where("NOT hot").drop("hot")
     named = parts.where("feature IS NOT NULL").select(F.col("block").alias("of"), "code", "feature")
+    found = named.join(often, "feature").unionByName(named.join(often, "feature", "left_anti").join(seldom, "feature"))
     # Number and gain of a feature as one integer; a block has a bounded number of features.
     both = F.shiftleft(F.col("code").cast("long"), 32).bitwiseOR(F.col("gain") + (1 << 31))
-    found = named.join(priced, "feature").groupBy("of").agg(F.collect_list(both).alias("priced"))
+    found = found.groupBy("of").agg(F.collect_list(both).alias("priced"))
     rows = parts.where("feature IS NULL").select("block", "doc_ids", "n_words", "sizes", "codes", "counts")
     return rows.join(found, F.col("block") == F.col("of"), "left").drop("block", "of").mapInArrow(_weigh, _WEIGHED)
 
