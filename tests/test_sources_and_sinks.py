@@ -167,6 +167,39 @@ def test_lines_of_a_file_that_several_tasks_read(spark, tmp_path):
     assert got == sorted((name, k, f"{name} line {k}") for name, n in (("a.log", 3000), ("b.log", 5)) for k in range(n))
 
 
+def test_a_file_of_many_blocks_is_numbered_by_as_many_tasks(spark, tmp_path, monkeypatch):
+    lines = [f"line {k} {'x' * (k % 50)}" for k in range(20_000)]
+    (tmp_path / "one.log").write_text("\n".join(lines))
+    size = (tmp_path / "one.log").stat().st_size
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(name, str(-(-size // 16)))
+    try:
+        for most in (files.MAX_BLOCKS, 3):
+            monkeypatch.setattr(files, "MAX_BLOCKS", most)
+            got = files.numbered_lines(spark, str(tmp_path / "one.log"))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in plan.split("InMemoryRelation")[0] or most == 3
+            if most > 3:  # no line is shuffled: each task numbers the block that it reads
+                assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0]
+                tasks = {r["t"]: r["n"] for r in got.groupBy(F.spark_partition_id().alias("t")).count().withColumnRenamed("count", "n").collect()}
+                assert len(tasks) == 16 and min(tasks.values()) > 500
+            assert sorted((r["line_no"], r["value"]) for r in got.collect()) == list(enumerate(lines))
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+
+
+def test_running_counts_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK_LINES", 7)
+    import random
+
+    rng = random.Random(5)
+    rows = [(f, k, rng.choice("ab")) for f in "xyz" for k in range(0, 90, rng.choice([1, 2, 5]))] + [("n", 3, None)]
+    got = files.running(spark.createDataFrame(rows, "f string, k int, v string"), "f", "k", a=F.col("v") == "a", b=F.col("v") == "b").collect()
+    want = {(f, k): tuple(sum(g == f and j <= k and w == c for g, j, w in rows) for c in "ab") for f, k, _ in rows}
+    assert {(r["f"], r["k"]): (r["a"], r["b"]) for r in got} == want
+
+
 def test_all_writers(spark, tmp_path):
     segments = spark.createDataFrame([("f", 0.0, 1.5, " one"), ("f", 2.0, 3.0, "two-->")], "file string, start double, end double, text string")
     sinks.write_all(segments, str(tmp_path / "out"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,17 +150,35 @@ SAVED = r"INFO\s+Saved encoder_feature to(.*)$"
 FINISH = r"^INFO\s+Finish"
 
 
-def log_chunks(lines: DataFrame, key: str = "file", order: str = "line_no", k: int = 4) -> DataFrame:
-    """(key, chunk, start, end, audio_embed_path, previous_transcript, topk, outputs) from log lines (key, order, value).
+#: Lines of a block that is counted by itself.
+BLOCK_LINES = 65_536
+
+
+def running(rows: DataFrame, key: str, order: str, **conditions: Column) -> DataFrame:
+    """rows with, for each condition, how many rows of the key meet it up to and with this one. order: a whole number.
 
-    Chunks and loops are running counts over the lines, so the scan is two windows with one sort, not a state machine."""
-    from pyspark.sql import Window
+    Rows go to blocks of BLOCK_LINES numbers, which tasks count by themselves; a block begins with the sums of those before it, so a key of any length is
+    the work of many tasks."""
+    counted_, block = rows, F.floor(F.col(order) / BLOCK_LINES)
+    for name, met in conditions.items():
+        counted_ = counted_.withColumn(f"__{name}", F.coalesce(met.cast("long"), F.lit(0)))
+    counted_ = counted_.withColumn("__block", block)
+    sums = counted_.groupBy(key, "__block").agg(*(F.sum(f"__{c}").alias(f"__{c}_all") for c in conditions))
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    upto = sums.select(key, "__block", *(F.coalesce(F.sum(f"__{c}_all").over(earlier), F.lit(0)).alias(f"__{c}_upto") for c in conditions))
+    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = counted_.join(upto, [key, "__block"])
+    return out.select(*rows.columns, *((F.sum(f"__{c}").over(inside) + F.col(f"__{c}_upto")).alias(c) for c in conditions))
 
-    ordered = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+def log_chunks(lines: DataFrame, key: str = "file", order: str = "line_no", k: int = 4) -> DataFrame:
+    """(key, chunk, start, end, audio_embed_path, previous_transcript, topk, outputs) from log lines (key, order, value), numbered by order.
+
+    Chunks and loops are running counts over the lines, so the scan is a few windows, not a state machine; chunks are counted by blocks of lines, and
+    what follows goes by chunk."""
     line = F.col("value")
     is_ = lambda pattern: F.coalesce(line.rlike(pattern), F.lit(False))
-    rows = lines.withColumn("__stop", F.max(is_(FINISH).cast("int")).over(ordered)).where("__stop = 0")
-    rows = rows.withColumn("chunk", F.sum(is_(HEADER).cast("int")).over(ordered)).where("chunk > 0")
+    rows = running(lines.select(key, order, "value"), key, order, stopped=is_(FINISH), chunk=is_(HEADER)).where("stopped = 0 AND chunk > 0").drop("stopped")
     rows = rows.withColumn("loop", F.sum((is_(RESET) & ~is_(HEADER)).cast("int")).over(Window.partitionBy(key, "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("last_loop", F.max("loop").over(Window.partitionBy(key, "chunk")))
     pick = lambda cond, pattern: F.when(cond, F.struct(F.col(order).alias("o"), strip(F.regexp_extract(line, pattern, 1)).alias("v")))
@@ -180,13 +198,26 @@ def last_marked(lines: DataFrame, mark: str, key: str = "file", order: str = "li
     return lines.where(F.col("value").startswith(mark)).groupBy(key).agg(strip(F.substring_index(F.max_by("value", order), mark, -1)).alias("text"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of text files, from 0. A large file is read by several tasks: lines go by the block that they lie in and their place in it."""
-    from pyspark.sql import Window
+#: Blocks of files up to which their line counts are sent to all tasks; with more of them they are joined.
+MAX_BLOCKS = 2_000_000
 
-    rows = spark.read.text(path).select(base_name("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("__p"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), "value")
-    place = F.row_number().over(Window.partitionBy("__p").orderBy("__b", "__m")) - 1
-    return rows.select("file", place.alias("line_no"), "value")
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, from 0.
+
+    A file is read in blocks. One pass counts the lines of each, and sums over the blocks of a file say where each begins; the second numbers a block's
+    lines from there as it reads them, so no line is shuffled and a file of many blocks is the work of as many tasks. Should the blocks not be those that were
+    counted (files that have changed, or a session whose sizes have), reading fails."""
+    rows = spark.read.text(path).select(F.xxhash64("_metadata.file_path").alias("__p"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), base_name("_metadata.file_path").alias("file"), "value")
+    blocks = rows.groupBy("__p", "__b").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
+    earlier = Window.partitionBy("__p").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    begins = blocks.withColumn("__upto", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    begins = begins.cache()  # counted once, for its size and for the join
+    begins = F.broadcast(begins) if begins.count() <= MAX_BLOCKS else begins
+    place = F.col("__m") - F.col("__first")
+    known = F.coalesce((place >= 0) & (place < F.col("__n")), F.lit(False))
+    line_no = F.when(known, F.col("__upto") + place).otherwise(F.raise_error(F.lit("the files aren't read in the blocks that were counted")).cast("long"))
+    return rows.join(begins, ["__p", "__b"], "left").select("file", line_no.alias("line_no"), "value")
 
 
 def has_digest(content: Column, digest: str) -> Column:
