@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import socket
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 
@@ -68,6 +69,86 @@ class PcmSource(DataSource):
         return _PcmReader(dict(self.options))
 
 
+@dataclass
+class _Slice(InputPartition):
+    stream: str
+    path: str
+    begin: int
+    end: int
+
+
+class _GrowingReader(DataSourceStreamReader):
+    """Offsets are bytes of each recording. A recording gives all that has come by the trigger, if that is least bytes or it is done, and never more than
+    most; tasks read what lies between two offsets themselves."""
+
+    def __init__(self, options: dict[str, str]):
+        rate = int(options.get("rate", "16000"))
+        self.folder, self.suffix, self.done = options["path"], options.get("suffix", ".pcm"), options.get("done", ".done")
+        self.least = int(float(options.get("min_chunk", "1.0")) * rate) * 2
+        self.most = int(float(options.get("max_chunk", "600")) * rate) * 2
+        self.row = int(float(options.get("max_row", "60")) * rate) * 2
+        self.at: dict[str, int] | None = None
+
+    def _files(self):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+        found = {x.base_name: x for x in store.get_file_info(fs.FileSelector(root)) if x.is_file}
+        return found
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        found, out = self._files(), {}
+        for name, info in found.items():
+            if not name.endswith(self.suffix):
+                continue
+            before = (self.at or {}).get(name, 0)
+            ready = info.size // 2 * 2 - before
+            finished = name.removesuffix(self.suffix) + self.done in found
+            # After a restart where the query stands is known from its first batch on; until then nothing is held back.
+            ready = min(ready, self.most) if self.at is not None and ready >= (1 if finished else self.least) else ready if self.at is None else 0
+            if before + ready:
+                out[name] = before + ready
+        for name, before in (self.at or {}).items():  # what was given stays given, even if its file has gone
+            out.setdefault(name, before)
+        self.at = out if self.at is not None else self.at
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = dict(end)
+        found, out = self._files(), []
+        for name, last in sorted(end.items()):
+            for begin in range(start.get(name, 0), last, self.row):
+                out.append(_Slice(name.removesuffix(self.suffix), found[name].path, begin, min(begin + self.row, last)))
+        return out
+
+    def read(self, partition: _Slice) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store = fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else fs.LocalFileSystem()
+        with store.open_input_file(partition.path) as f:
+            raw = f.read_at(partition.end - partition.begin, partition.begin)
+        yield partition.stream, partition.begin // 2, raw
+
+
+class GrowingPcm(DataSource):
+    """spark.dataSource.register(GrowingPcm); readStream.format("growing_pcm").load(folder): 16-bit recordings of a shared folder that grow while they are read,
+    each up to what it has by the trigger. Options: min_chunk, max_chunk and max_row (seconds), rate, suffix, done (the suffix of a file that says that
+    the recording of its name is finished). A slow batch is followed by longer chunks, as more has come meanwhile."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "growing_pcm"
+
+    def schema(self) -> str:
+        return "stream string, first_sample bigint, pcm binary"
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _GrowingReader(dict(self.options))
+
+
 def text_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Lines of a socket without NUL padding."""
     rows = spark.readStream.format("socket").option("host", host).option("port", port).load()
