@@ -130,3 +130,68 @@ def test_pcm_socket(spark, tmp_path):
     q.stop()
     got = sorted(spark.table("t_pcm").collect(), key=lambda r: r["first_sample"])
     assert b"".join(bytes(r["pcm"]) for r in got) == sent
+
+
+def test_sessions_of_two_connections(spark, tmp_path):
+    """Two connections side by side: one falls quiet and is ended by its timer while the other goes on; it comes back, and is closed by a row."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import connections as C
+
+    began = datetime(2024, 1, 1)
+    rows, texts = [], ["one", "one two", "one two thr", "one two three"]
+    for k in range(40):  # a speaks at 0-3 s and again from 30 s on; b speaks all the time
+        if k < 4 or 30 <= k < 33:
+            rows.append(("a", k, began + timedelta(seconds=k), texts[k % 4], k == 32))
+        rows.append(("b", k, began + timedelta(seconds=k), f"{'so ' * k}", False))
+    df = spark.createDataFrame(rows, "s string, k int, t timestamp, text string, shut boolean").withColumn("is_last", F.lit(False))
+    how = dict(operator=P.Agreement(), key="s", order="k", time="t", quiet_ms=10_000, closes=F.col("shut"))
+    want = sorted(map(str, C.batch(df, **how).collect()))
+    for part in range(8):
+        df.where(f"k >= {5 * part} AND k < {5 * part + 5}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
+        time.sleep(0.05)
+    seen = []
+
+    def batch_of(out, number):
+        seen.extend((number, r) for r in out.collect())
+
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p=*"))
+    query = C.stream(stream, **how).writeStream.foreachBatch(batch_of).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [r for _, r in seen]
+    ends = {(r["s"], r["session"]): (n, r["ended"]) for n, r in seen if r["ended"]}
+    assert ends["a", 0][1] == "quiet" and ends["a", 1][1] == "closed" and ("b", 0) not in ends
+    came_back = min(n for n, r in seen if r["s"] == "a" and r["session"] == 1)
+    assert ends["a", 0][0] < came_back  # the timer ended it, not the row that came back
+    open_b = [x for x in want if x not in set(map(str, got))]
+    assert sorted(map(str, got)) == [x for x in want if x not in open_b] and all("s='b'" in x for x in open_b)
+
+
+def test_sessions_end_by_the_clock_and_their_state_expires(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import connections as C
+
+    def add(k, s):
+        spark.createDataFrame([(s, k, f"text {s}")], "s string, k int, text string").withColumn("t", F.current_timestamp()).withColumn("is_last", F.lit(False)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    add(0, "a")
+    stream = spark.readStream.schema("s string, k int, text string, t timestamp, is_last boolean").parquet(str(tmp_path / "in"))
+    out = C.stream(stream, P.Agreement(), "s", "k", "t", 1500, by_clock=True, keep_ms=4000)
+    query = out.writeStream.format("memory").queryName("t_clock").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    until, k = time.time() + 90, 1
+    sessions = lambda: {(r["s"], r["session"]): r["ended"] for r in spark.table("t_clock").where("ended IS NOT NULL").collect()}
+    while time.time() < until and ("a", 0) not in sessions():
+        add(k, "b")  # rows of another connection: batches, in which timers fire
+        k, _ = k + 1, time.sleep(1)
+    assert sessions().get(("a", 0)) == "quiet"
+    assert [r["delta"] for r in spark.table("t_clock").where("s = 'a' AND delta IS NOT NULL").collect()] == ["text a"]
+    time.sleep(5)  # longer than what is left of it lives
+    add(1000, "a")
+    while time.time() < until and spark.table("t_clock").where("s = 'a' AND ended IS NOT NULL").count() < 2:
+        add(k, "b")
+        k, _ = k + 1, time.sleep(1)
+    query.stop()
+    assert sorted(r["session"] for r in spark.table("t_clock").where("s = 'a' AND ended IS NOT NULL").collect()) == [0, 0]  # the number was forgotten

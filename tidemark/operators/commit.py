@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import SuffixAutomaton
+
 
 def common_prefix(a: str, b: str) -> str:
     """The longest common prefix."""
@@ -21,20 +21,35 @@ def common_prefix(a: str, b: str) -> str:
     return a[:lo]
 
 
-def after_longest_match(committed: str, confirmed: str) -> str:
+class Committed:
+    """A committed text that grows, with the automaton of its blocks, which is built when it is first asked for and grows along."""
+
+    def __init__(self):
+        self.automaton: SuffixAutomaton | None = None
+        self.text = ""
+
+    def grown(self, text: str) -> SuffixAutomaton:
+        if self.automaton is None or not text.startswith(self.text):
+            self.automaton, self.text = SuffixAutomaton(), ""
+        self.automaton.extend(text[len(self.text) :])
+        self.text = text
+        return self.automaton
+
+
+def after_longest_match(committed: str, confirmed: str, known: Committed | None = None) -> str:
     """What follows in confirmed the longest block that it shares with committed; all of it if they share nothing."""
-    m = SequenceMatcher(None, committed, confirmed).find_longest_match()
-    return confirmed[m.b + m.size :] if m.size else confirmed
+    _, at, size = (known or Committed()).grown(committed).longest_in(confirmed)
+    return confirmed[at + size :] if size else confirmed
 
 
-def agreement_step(state: tuple[str, str], full: str, final: bool) -> tuple[tuple[str, str], str]:
-    """state: previous hypothesis and committed text. -> new state, text to emit now."""
+def agreement_step(state: tuple[str, str], full: str, final: bool, known: Committed | None = None) -> tuple[tuple[str, str], str]:
+    """state: previous hypothesis and committed text. known: of this stream. -> new state, text to emit now."""
     previous, committed = state
     confirmed = full if final else common_prefix(previous, full)
     if confirmed.startswith(committed):
         delta = confirmed[len(committed) :]
     else:
-        delta = after_longest_match(committed, confirmed) if confirmed else ""
+        delta = after_longest_match(committed, confirmed, known) if confirmed else ""
     return (full, committed + delta), delta
 
 
@@ -43,11 +58,11 @@ def local_agreement(rows: DataFrame, key: str, order: str, text: str, final: str
     kind = rows.schema[key].dataType.simpleString()
 
     def fold(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = ("", ""), []
+        state, out, known = ("", ""), [], Committed()
         for o, t, f in pdf.sort_values(order)[[order, text, final]].itertuples(index=False):
             delta = ""
             if t and t.strip():
-                state, delta = agreement_step(state, t, bool(f))
+                state, delta = agreement_step(state, t, bool(f), known)
             out.append((pdf[key].iloc[0], o, delta, state[1]))
         return pd.DataFrame(out, columns=[key, order, "delta", "committed"])
 

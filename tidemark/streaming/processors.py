@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.commit import agreement_step, clamp_step
+from tidemark.operators.commit import Committed, agreement_step, clamp_step
 from tidemark.streaming.voice import Buffer, Detector, Router, merged, whole_characters
 
 
@@ -30,6 +30,10 @@ class Operator:
     def step(self, state: Any, row: tuple) -> tuple[Any, list[tuple]]:
         raise NotImplementedError
 
+    def finish(self, state: Any) -> list[tuple]:
+        """What is still to be given when no more rows will come."""
+        return []
+
 
 class VoiceEvents(Operator):
     columns, output = ("prob",), "event string, at bigint"
@@ -66,6 +70,11 @@ class VoiceRouting(Operator):
 
 class Agreement(Operator):
     columns, output = ("text", "is_last"), "delta string, committed string"
+    #: Streams whose automaton a worker keeps; that of another one is built again when it is needed.
+    KEPT = 64
+
+    def __init__(self):
+        self.known: dict[str, Committed] = {}
 
     def start(self):
         return ["", ""]
@@ -74,9 +83,20 @@ class Agreement(Operator):
         text, last = row
         if not text or not text.strip():
             return state, []
-        state, delta = agreement_step(tuple(state), text, bool(last))
+        known = self.known.pop(state[1], None) or Committed()
+        state, delta = agreement_step(tuple(state), text, bool(last), known)
+        self.known[state[1]] = known
+        if len(self.known) > self.KEPT:
+            del self.known[next(iter(self.known))]
         return list(state), [(delta, state[1])] if delta else []
 
+    def finish(self, state):
+        """The last hypothesis is final."""
+        if not state[0]:
+            return []
+        state, delta = agreement_step(tuple(state), state[0], True)
+        return [(delta, state[1])] if delta else []
+
 
 class Monotone(Operator):
     columns, output = ("beg", "end"), "beg double, end double"
@@ -103,6 +123,10 @@ class CharacterCarry(Operator):
         text, rest = whole_characters(bytes.fromhex(state), bytes(row[0]))
         return rest.hex(), [(text,)] if text else []
 
+    def finish(self, state):
+        """An open character's bytes as replacement marks."""
+        return [(bytes.fromhex(state).decode(errors="replace"),)] if state else []
+
 
 class Retention(Operator):
     columns, output = ("length",), "evicted double, buffered double"
