@@ -1,7 +1,10 @@
-"""Edit distance and error rates, in Catalyst."""
+"""Edit distance and error rates. Short tokens stay in Catalyst; whole texts take bit vectors, a column of the edit table at once."""
 
 from __future__ import annotations
 
+from collections.abc import Hashable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,15 +55,103 @@ def close_distance(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(*(banded(k) for k in (16, 128, 1024)), F.levenshtein(a, b))
 
 
-def rate(edits: Column, length: Column, hypothesis_length: Column) -> Column:
+#: Half the width of the first band that is tried; texts that are shorter than some of it are compared without one.
+BAND = 64
+
+
+def _places(a: Sequence[Hashable]) -> dict[Hashable, int]:
+    """Of each symbol a number whose bits say where it is."""
+    at: dict[Hashable, list[int]] = {}
+    for k, x in enumerate(a):
+        at.setdefault(x, []).append(k)
+    out = {}
+    for x, where in at.items():
+        bits = bytearray((where[-1] >> 3) + 1)
+        for k in where:
+            bits[k >> 3] |= 1 << (k & 7)
+        out[x] = int.from_bytes(bits, "little")
+    return out
+
+
+def _whole(places: dict[Hashable, int], m: int, b: Sequence[Hashable]) -> int:
+    """Distance of a pattern of m symbols and b: vertical steps of the edit table, up and down, are two numbers of m bits."""
+    full = (1 << m) - 1
+    up, down = full, 0
+    for y in b:
+        same = places.get(y, 0)
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right = (down | (full ^ (level | up))) << 1 & full | 1
+        left = (level & up) << 1
+        up = (left | ~(level | right)) & full
+        down = right & level
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def _banded(places: dict[Hashable, int], m: int, b: Sequence[Hashable], k: int) -> int:
+    """The same within k of the diagonal, in numbers of 2k + 1 bits that move along it: exact if it is k at most, else no less than the distance.
+    m is k or more, and the lengths differ by k at most."""
+    full, low = (1 << 2 * k + 1) - 1, 2 * k
+    up, down = full ^ ((1 << k) - 1), 0  # rows before the first are flat
+    score = k  # of the band's last row, and of row m when that is reached
+    for j, y in enumerate(b, 1):
+        same = places.get(y, 0)
+        same = (same << k - j + 1 if j <= k else same >> j - k - 1) & full if same else 0
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (full ^ (level | up)), level & up
+        if j <= m - k:
+            score += not level >> low & 1
+        else:
+            row = m - j + k
+            score += (right >> row & 1) - (left >> row & 1)
+        level >>= 1
+        up = (left | ~(level | right)) & full
+        down = right & level
+    return score
+
+
+def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Exact edit distance of two sequences: without what they share at both ends, within bands of growing width, and in the end without one."""
+    first, most = 0, min(len(a), len(b))
+    while first < most and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < most - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if len(a) < len(b):
+        a, b = b, a
+    m, k = len(a), max(BAND, 2 * (len(a) - len(b)))
+    if not b:
+        return m
+    places = _places(a)
+    while 8 * k < m:
+        if (found := _banded(places, m, b, k)) <= k:
+            return found
+        k *= 4
+    return _whole(places, m, b)
+
+
+def edits(a: Column | str, b: Column | str) -> Column:
+    """Edit distance of two texts by code point, or of two arrays by element, of any length and at any distance; null with a null. Spark's
+    levenshtein fills a table of all pairs of characters; here a number holds a column of it, some sixty cells a machine step, for a batch of rows in Python."""
+
+    @F.pandas_udf("long")
+    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+        plain = lambda v: v if isinstance(v, str) else list(v)
+        return pd.Series([None if p is None or q is None else distance(plain(p), plain(q)) for p, q in zip(x, y, strict=True)], dtype="Int64")
+
+    return each(col(a), col(b))
+
+
+def rate(n_edits: Column, length: Column, hypothesis_length: Column) -> Column:
     """Edits over the reference's length. Against an empty reference 0 if the hypothesis is empty too, else 1. Not clamped."""
-    return F.when(length == 0, F.when(hypothesis_length == 0, 0.0).otherwise(1.0)).otherwise(edits / length)
+    return F.when(length == 0, F.when(hypothesis_length == 0, 0.0).otherwise(1.0)).otherwise(n_edits / length)
 
 
 def character_error_rate(reference: Column | str, hypothesis: Column | str, language: Column | str, han=None) -> Column:
     r, h = for_character_rate(reference, hypothesis, language, han)
     r, h = strip(r), strip(h)
-    return rate(F.levenshtein(r, h), F.length(r), F.length(h))
+    return rate(edits(r, h), F.length(r), F.length(h))
 
 
 def mixed_error_rate(reference: Column | str, hypothesis: Column | str, language: Column | str, han=None) -> Column:
@@ -70,4 +161,4 @@ def mixed_error_rate(reference: Column | str, hypothesis: Column | str, language
         resolved = F.coalesce(normalisation_language(language, strip(text)), language)
         tokens.append(mixed_tokens(for_mixed_rate(text, language, han), resolved))
     r, h = tokens
-    return rate(token_distance(r, h), F.size(r), F.size(h))
+    return rate(edits(r, h), F.size(r), F.size(h))
