@@ -327,3 +327,60 @@ def test_token_functions(spark):
     got = values(spark, tokens.split_on_unicode(parts), tokens.words_from_pieces(F.array(*map(L, [" He", "llo", ",", " wor", "ld"]))), tokens.text_ids(F.array(L(3), L(9)), 5), tokens.with_prompt(F.array(*map(L, range(6))), [90], F.array(L(1)), 99, 8), tokens.language_code(L("Mandarin")))
     assert [[bytes(b) for b in g] for g in got[0]] == [raw[:2], raw[2:]]
     assert got[1:] == [[" Hello", ",", " world"], [3], [99, 3, 4, 5, 90, 1], "zh"]
+
+
+def test_open_bytes_are_a_last_group(spark):
+    parts = [bytearray(x) for x in (b"a", "世".encode()[:2])]
+    df = spark.createDataFrame([(parts,), ([bytearray("世".encode()[:2]), bytearray("世".encode()[2:])],), ([],)], "p array<binary>")
+    got = [[[bytes(b) for b in g] for g in r[0]] for r in df.select(tokens.split_on_unicode("p")).collect()]
+    assert got == [[[b"a"], ["世".encode()[:2]]], [["世".encode()[:2], "世".encode()[2:]]], []]
+
+
+def test_pieces_of_unspaced_languages_are_words(spark):
+    df = spark.createDataFrame([(["今", "天", " ", "!"], x) for x in ("zh", "en", None)], "p array<string>, l string")
+    got = {r[1]: r[0] for r in df.select(tokens.words_from_pieces("p", language=F.col("l")), "l").collect()}
+    assert got == {"zh": ["今", "天", " ", "!"], "en": ["今天", " ", "!"], None: ["今天", " ", "!"]}
+
+
+def test_no_word_beyond_the_map_is_respelled(spark, tmp_path):
+    kept = "practise louise denise valise marquise trellised metropolises promise advise exercise wise rise surprised franchise"
+    assert values(spark, normalise.respelled(L(kept))) == [kept]
+    (tmp_path / "s.json").write_text('{"practise": "practice", "louise": "luise"}')
+    (tmp_path / "s.txt").write_text("practise practice\n\nlouise\tluise\nalone\n")
+    for name in ("s.json", "s.txt"):
+        given = normalise.spellings_of(spark, str(tmp_path / name))
+        assert given == {"practise": "practice", "louise": "luise"}
+        assert values(spark, normalise.respelled(L("practise  colour louise"), given)) == ["practice colour luise"]
+    with pytest.raises(ValueError, match="more than 1"):
+        normalise.spellings_of(spark, str(tmp_path / "s.txt"), 1)
+
+
+def plain_english(text):
+    """The normaliser's stages one after the other, from its tables."""
+    import re
+    import unicodedata
+
+    t = re.sub(r"\(([^)]+?)\)", "", re.sub(r"[<\[][^>\]]*[>\]]", "", text.lower()))
+    t = re.sub(r"\s+'", "'", re.sub(normalise.FILLERS, "", t))
+    for table, form in ((normalise.WORDS, r"\b{}\b"), (normalise.TITLES, r"\b{}\b"), (normalise.ENDINGS, r"{}\b")):
+        for k, v in table.items():
+            t = re.sub(form.format(k), {id(normalise.WORDS): v, id(normalise.TITLES): v + " ", id(normalise.ENDINGS): " " + v}[id(table)], t)
+    t = re.sub(r"\.([^0-9]|$)", r" \1", re.sub(r"(\d),(\d)", r"\1\2", t))
+    out = ""
+    for c in unicodedata.normalize("NFKD", t):
+        kind = unicodedata.category(c)
+        out += c if c in normalise.KEPT_SYMBOLS else normalise.EXTRA.get(c, "" if kind == "Mn" else " " if kind[0] in "MSP" else c)
+    t = " ".join(normalise.SPELLINGS.get(w, w) for w in numbers.english_numbers(out).split())
+    return re.sub(r"\s+", " ", re.sub(r"([^0-9])%", r"\1 ", re.sub(r"[.$¢€£]([^0-9])", r" \1", t)))
+
+
+def test_english_normaliser_of_whole_texts(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    texts = [
+        "Um, I WON'T pay Mr. Smith twenty-five dollars [laughs] (aside) for the colour, it's 1,000.50% sure.", "She'd been there; they've gone - y'all gotta organise the theatre programme!", "Café naïve Ærø: £5.07, 3rd, o'clock 's got...",
+        "", "  ", "Louise's valise, practise makes", "one hundred and five point two per cent of the sixties. Dr. No",
+    ]
+    spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["t"] for r in catalogue.queries()["q_en_normaliser"](spark, str(tmp_path)).collect()}
+    assert got == {k: plain_english(t) for k, t in enumerate(texts)}

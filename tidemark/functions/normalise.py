@@ -7,7 +7,7 @@ from functools import reduce
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import english_numbers
@@ -39,7 +39,15 @@ OUR_ENDINGS = "|s|ed|ing|er|ers|able|ably|ite|ites|less|ful|fully|hood|hoods|ly|
 RE = "cent met fib lit lust meag mit sab somb spect theat kilomet centimet millimet manoeuv sepulch och calib".split()
 DOUBLED = "cancel channel counsel dial duel equal fuel fulfil enrol grovel jewel label level libel marvel model panel pedal pencil quarrel refuel reveal rival shovel signal snivel spiral total towel travel tunnel unravel wool".split()
 DOUBLED_ENDINGS = "ed|ing|er|ers|ings|ous|ously".split("|")
-NOT_ISE = "advertise advise apprise arise chastise circumcise comprise compromise concise demise despise devise disguise enterprise excise exercise expertise franchise guise improvise incise merchandise noise otherwise paradise poise praise precise premise promise raise revise rise supervise surmise surprise televise treatise unwise vise wise bruise cruise cerise anise mortise reprise likewise clockwise cheese".split()
+ISE = (
+    "agon amort anonym antagon apolog atom author bapt brutal cannibal canon capital categor cauter central character civil colon computer critic crystall custom decentral demobil democrat demor demoral digit dramat econom emphas energ eulog extempor "
+    "external familiar fantas fertil final formal fossil fratern galvan general global glamor harmon hospital human hybrid hypnot ideal idol immobil immortal immun individual industrial initial internal ion ital item jeopard legal legitim liberal lion local "
+    "magnet marginal material maxim mechan memor mesmer metabol minim mobil modern monopol moral motor national natural neutral normal notar optim organ ostrac oxid patron pasteur penal personal philosoph plagiar polar polit popular priorit privat professional public "
+    "pulver rational real recogn reorgan revital revolution romantic satir scandal scrutin secular sensit serial social solemn special stabil standard steril stigmat subsid summar symbol sympath synchron synthes system tantal terror theor tranquil trivial tyrann union urban "
+    "util vandal vapor verbal victim visual vital vocal vulgar weapon western"
+).split()
+ISE_ENDINGS = "e|ed|es|er|ers|ing|ation|ations|able".split("|")
+YSE = "anal paral catal electrol hydrol".split()
 OTHER = {
     "grey": "gray", "greys": "grays", "greyish": "grayish", "tyre": "tire", "tyres": "tires", "kerb": "curb", "plough": "plow", "ploughs": "plows", "programme": "program", "programmes": "programs", "cheque": "check",
     "cheques": "checks", "defence": "defense", "defences": "defenses", "offence": "offense", "offences": "offenses", "licence": "license", "licences": "licenses", "pretence": "pretense", "sceptic": "skeptic", "sceptical": "skeptical",
@@ -50,10 +58,11 @@ OTHER = {
 
 
 def spelling_map() -> dict[str, str]:
-    """Whole words and their other spelling, as the rules make them; -ise and -yse are a rule of respelled()."""
+    """Whole words and their other spelling, as stems and their endings make them. No other word is respelled."""
     out = {f"{s}our{e}": f"{s}or{e}" for s in OUR for e in OUR_ENDINGS}
     out |= {f"{s}re{e}": f"{s}er{e}" for s in RE for e in ("", "s")} | {f"{s}red": f"{s}ered" for s in RE}
     out |= {f"{s}l{e}": s + e for s in DOUBLED for e in DOUBLED_ENDINGS if s not in ("fulfil", "enrol", "reveal")}
+    out |= {f"{s}is{e}": f"{s}iz{e}" for s in ISE for e in ISE_ENDINGS} | {f"{s}ys{e}": f"{s}yz{e}" for s in YSE for e in ("e", "ed", "er", "ers", "ing")}
     return out | OTHER
 
 
@@ -94,17 +103,27 @@ def basic(text: Column | str, remove_diacritics: bool = False, split_letters: bo
     return F.regexp_replace(plain, r"(?U)\s+", " ")
 
 
-def respelled(text: Column | str, spellings: dict[str, str] = SPELLINGS) -> Column:
-    """Each word by the map; words in -ise and -yse, and what is made of them, with a z, but for those that never had one."""
-    table = F.create_map(*(F.lit(x) for kv in spellings.items() for x in kv))
-    words = F.filter(F.split(col(text), r"(?U)\s+"), lambda w: w != "")
-    kept = "|".join(w.removesuffix("e") for w in NOT_ISE)
+def spellings_of(spark: SparkSession, path: str, limit: int = 1_000_000) -> dict[str, str]:
+    """Spellings from a JSON object of words, or from lines of a word, white space and its spelling. A table of more than limit words is an error: it goes to
+    each worker."""
+    if path.endswith(".json"):
+        rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("word", "spelling"))
+    else:
+        parts = F.split(F.trim("value"), r"\s+")
+        rows = spark.read.text(path).where(F.size(parts) > 1).select(parts[0].alias("word"), parts[1].alias("spelling"))
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"a table of more than {limit} words")
+    return {r["word"]: r["spelling"] for r in found}
+
 
-    def one(w: Column) -> Column:
-        z = F.regexp_replace(F.regexp_replace(w, r"^(\w{2,}[^aeo\W])is(e|ed|es|er|ers|ing|ation|ations)$", "$1iz$2"), r"^(\w*(?:anal|paral|catal|electrol|hydrol))ys(e|ed|es|er|ers|ing)$", "$1yz$2")
-        return F.coalesce(table[w], F.when(w.rlike(rf"^(?:{kept})(?:e|ed|es|er|ers|ing)$"), w).otherwise(z))
+def _respelled(text: str, spellings: dict[str, str]) -> str:
+    return " ".join(spellings.get(w, w) for w in text.split())
 
-    return F.array_join(F.transform(words, one), " ")
+
+def respelled(text: Column | str, spellings: dict[str, str] = SPELLINGS) -> Column:
+    """Each word by the map, joined by one space. A map in Spark is searched from its beginning for each word, so this is a dictionary in Python."""
+    return _column(lambda x: _respelled(x, spellings))(col(text))
 
 
 def english(text: Column | str, spellings: dict[str, str] = SPELLINGS) -> Column:
@@ -116,6 +135,6 @@ def english(text: Column | str, spellings: dict[str, str] = SPELLINGS) -> Column
     rules += [(rf"(?U)\b{k}\b", v) for k, v in WORDS.items()] + [(rf"(?U)\b{k}\b", v + " ") for k, v in TITLES.items()] + [(rf"(?U){k}\b", " " + v) for k, v in ENDINGS.items()]
     rules += [(r"(\d),(\d)", "$1$2"), (r"\.([^0-9]|$)", " $1")]
     bare = reduce(sub, rules, F.lower(col(text)))
-    numbers = _column(lambda x: english_numbers(without_symbols(x, False, KEPT_SYMBOLS)))(bare)
+    spelled = _column(lambda x: _respelled(english_numbers(without_symbols(x, False, KEPT_SYMBOLS)), spellings))(bare)
     done = [(r"[.\$¢€£]([^0-9])", " $1"), (r"([^0-9])%", "$1 "), (r"(?U)\s+", " ")]
-    return reduce(sub, done, respelled(numbers, spellings))
+    return reduce(sub, done, spelled)

@@ -60,7 +60,7 @@ def beams(ids: Column | str, n: int) -> Column:
 
 
 def split_on_unicode(parts: Column | str) -> Column:
-    """Groups of byte strings, each up to where the bytes so far are valid UTF-8."""
+    """Groups of byte strings, each up to where the bytes so far are valid UTF-8; what is left open at the end is a last group."""
     empty = F.struct(F.array().cast("array<array<binary>>").alias("done"), F.array().cast("array<binary>").alias("open"))
 
     def step(state: Column, part: Column) -> Column:
@@ -69,11 +69,12 @@ def split_on_unicode(parts: Column | str) -> Column:
         valid = F.is_valid_utf8(whole.cast("string"))
         return F.struct(F.when(valid, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), F.when(valid, F.array().cast("array<binary>")).otherwise(now).alias("open"))
 
-    return F.aggregate(col(parts), empty, step)["done"]
+    return F.aggregate(col(parts), empty, step, lambda state: F.when(F.size(state["open"]) > 0, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]))
 
 
-def words_from_pieces(pieces: Column | str, special: Column | None = None) -> Column:
-    """Pieces put together to words: a new one begins at a special piece, a leading space or punctuation alone. special: booleans."""
+def words_from_pieces(pieces: Column | str, special: Column | None = None, language: Column | None = None) -> Column:
+    """Pieces put together to words: a new one begins at a special piece, a leading space or punctuation alone. special: booleans. In the languages
+    that put no spaces between words each piece is a word."""
     pieces = col(pieces)
     marks = F.array(*map(F.lit, string.punctuation))
     flags = special if special is not None else F.transform(pieces, lambda x: F.lit(False))
@@ -86,7 +87,8 @@ def words_from_pieces(pieces: Column | str, special: Column | None = None) -> Co
         longer = F.concat(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")), x["p"])))
         return F.when(fresh, F.concat(words, F.array(x["p"]))).otherwise(longer)
 
-    return F.aggregate(pairs, empty, step)
+    words = F.aggregate(pairs, empty, step)
+    return words if language is None else F.when(language.isin(*UNSPACED), pieces).otherwise(words)
 
 
 def pre_tokens(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays, edit, normalise, numbers, text, tokens
+from tidemark.functions import arrays, edit, normalise, numbers, script, text, tokens
 from tidemark.operators import commit, evaluate, prepare, segment, select
 from tidemark.plans import single_functions  # noqa: F401  registers its queries
 from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, words
@@ -34,6 +34,20 @@ norm AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(low
 """
 _RATES = f"WITH RECURSIVE {PAIRS_SQL}, {_NORM}, {_DISTANCE}"
 _RATE = "CASE WHEN n_ref = 0 THEN CASE WHEN n_hyp = 0 THEN 0.0 ELSE 1.0 END ELSE edits / n_ref END"
+#: DuckDB's levenshtein compares bytes, so letters of two bytes are put to ASCII's capitals and signs first, which are gone by then.
+_TWO_BYTES = "ß" + "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
+
+
+def _bare(x: str) -> str:
+    """A text as the character error rate of languages without Han sees it."""
+    trimmed = lambda t: rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+    bare = rf"regexp_replace(lower({trimmed(x)}), '[!-/:-@\[-`{{-~]', '', 'g')"
+    return trimmed(f"translate({bare}, '{_TWO_BYTES}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*')")
+
+
+_CER = "CASE WHEN length(cr) = 0 THEN CASE WHEN length(ch) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(cr, ch) / length(cr) END"
+_METRICS = f"""{_RATES}, texts AS (SELECT conv_id, turn, array_to_string(ref, ' ') AS reference, array_to_string(hyp, ' ') AS generated FROM pairs),
+metrics AS (SELECT conv_id, turn, reference, generated, {_CER} AS cer, {_RATE} AS mer FROM (SELECT *, {_bare('reference')} AS cr, {_bare('generated')} AS ch FROM texts) JOIN rates USING (conv_id, turn))"""
 
 
 def _joined_pairs(spark, sf_dir):
@@ -53,26 +67,36 @@ def q_mixed_error_rate(spark, sf_dir):
     return _joined_pairs(spark, sf_dir).select("conv_id", "turn", r6(edit.mixed_error_rate("reference", "generated", F.lit("en"))).alias("mer"))
 
 
-@query(_RATES + f"""SELECT count(*) AS total_files, count(*) FILTER (WHERE turn % 4 <> 3) AS matched_files, count(*) FILTER (WHERE turn % 4 = 3) AS unmatched_files,
-  round(coalesce(avg({_RATE}) FILTER (WHERE turn % 4 <> 3), 0.0), 6) AS average_mer, round(avg(1000.0 * (turn + 1)) FILTER (WHERE turn % 4 <> 3), 6) AS average_first_ms FROM rates""")
-def q_mer_summary(spark, sf_dir):
-    """Each fourth turn has no hypothesis; latencies are a second for each turn up to it."""
+def _matched(spark, sf_dir):
+    """Each fourth turn has no hypothesis."""
     rows = _joined_pairs(spark, sf_dir).withColumn("file", F.concat_ws("-", "conv_id", "turn"))
-    found = evaluate.matched(rows.select("file", "reference", "turn"), rows.where("turn % 4 <> 3").select("file", "generated"))
-    metrics = found.where("is_matched").select("file", edit.mixed_error_rate("reference", "generated", F.lit("en")).alias("mer"), F.lit(0.0).alias("cer"))
+    return rows, evaluate.matched(rows.select("file", "reference", "turn"), rows.where("turn % 4 <> 3").select("file", "generated"))
+
+
+@query(_METRICS + "SELECT conv_id || '-' || turn AS file, round(cer, 6) AS cer, round(mer, 6) AS mer, length(reference) AS ref_length, length(generated) AS gen_length FROM metrics WHERE turn % 4 <> 3")
+def q_metric_rows(spark, sf_dir):
+    _, found = _matched(spark, sf_dir)
+    return evaluate.metric_rows(found, F.lit("en")).select("file", r6("cer").alias("cer"), r6("mer").alias("mer"), "ref_length", "gen_length")
+
+
+@query(_METRICS + """SELECT count(*) AS total_files, count(*) FILTER (WHERE turn % 4 <> 3) AS matched_files, count(*) FILTER (WHERE turn % 4 = 3) AS unmatched_files,
+  round(coalesce(avg(cer) FILTER (WHERE turn % 4 <> 3), 0.0), 6) AS average_cer, round(coalesce(avg(mer) FILTER (WHERE turn % 4 <> 3), 0.0), 6) AS average_mer, round(avg(1000.0 * (turn + 1)) FILTER (WHERE turn % 4 <> 3), 6) AS average_first_ms FROM metrics""")
+def q_mer_summary(spark, sf_dir):
+    """Latencies are a second for each turn up to it."""
+    rows, found = _matched(spark, sf_dir)
     late = rows.select("file", (F.col("turn") + 1).cast("double").alias("first_token_latency"), F.lit(0.0).alias("last_token_latency"))
-    got = evaluate.summary(found, evaluate.with_latencies(metrics, late))
-    return got.select("total_files", "matched_files", "unmatched_files", r6("average_mer").alias("average_mer"), r6("average_first_token_latency_ms").alias("average_first_ms"))
+    got = evaluate.summary(found, evaluate.with_latencies(evaluate.metric_rows(found, F.lit("en")), late))
+    return got.select("total_files", "matched_files", "unmatched_files", r6("average_cer").alias("average_cer"), r6("average_mer").alias("average_mer"), r6("average_first_token_latency_ms").alias("average_first_ms"))
 
 
-@query()
+@query(f"""SELECT doc_id, length(cr) AS n_ref, round(levenshtein(cr, ch) / length(cr), 6) AS cer
+FROM (SELECT doc_id, {_bare("text")} AS cr, {_bare("replace(substr(text, 3), 'x', 'ks')")} AS ch FROM documents) WHERE length(cr) > 0 AND length(ch) > 0""")
 def q_cer_rows(spark, sf_dir):
-    """Whole texts against themselves without their first two characters and with each x as ks. No SQL: DuckDB's levenshtein compares bytes, and a
-    table of all pairs of characters is too large for it."""
+    """Whole texts against themselves without their first two characters and with each x as ks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace(F.expr("substring(text, 3)"), F.lit("x"), F.lit("ks")).alias("b"))
     r, h = text.for_character_rate("a", "b", F.lit("en"))
     rows = docs.select("doc_id", text.strip(r).alias("r"), text.strip(h).alias("h")).where("length(r) > 0 AND length(h) > 0")
-    return rows.select("doc_id", F.length("r").cast("bigint").alias("n_ref"), r6(edit.close_distance("r", "h") / F.length("r")).alias("cer"))
+    return rows.select("doc_id", F.length("r").cast("bigint").alias("n_ref"), r6(edit.edits("r", "h") / F.length("r")).alias("cer"))
 
 
 _NAMES = r"regexp_replace(lower(trim(n_name)), '[!-/:-@\[-`{-~]', '', 'g')"
@@ -102,17 +126,15 @@ def q_ascii_case(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.ascii_lower("text")).alias("low"), F.md5(text.ascii_upper("text")).alias("up"))
 
 
-_LITERALS = ["两百兩俩", "三萬五億", "Hello 世界", "abc", "𠀀x", "", "１２％", "广州广播 cantonese"]
-_VALUES = ", ".join(f"({k}, '{x}')" for k, x in enumerate(_LITERALS))
-
-
-def _literals(spark):
-    return spark.createDataFrame(list(enumerate(_LITERALS)), "k bigint, s string")
+#: Digits as characters, among them variants and some beyond the basic plane.
+_AS_CHARACTERS = ("0123456789", "两兩俩萬億a世界x𠀀")
+_IN_CHARACTERS = "translate(CAST(p_partkey AS VARCHAR), '{}', '{}')".format(*_AS_CHARACTERS)
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, translate(s, '两兩俩萬億', '二二二万亿') AS v, regexp_matches(s, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{20000}}-\\x{{2EBEF}}]') AS cjk FROM (VALUES {_VALUES}) t(k, s)")
+@query(f"SELECT p_partkey, translate(s, '两兩俩萬億', '二二二万亿') AS v, regexp_matches(s, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{20000}}-\\x{{2EBEF}}]') AS cjk FROM (SELECT p_partkey, {_IN_CHARACTERS} AS s FROM part)")
 def q_variants(spark, sf_dir):
-    return _literals(spark).select("k", text.unify_variants("s").alias("v"), text.has_cjk("s").alias("cjk"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.translate(F.col("p_partkey").cast("string"), *_AS_CHARACTERS).alias("s"))
+    return rows.select("p_partkey", text.unify_variants("s").alias("v"), text.has_cjk("s").alias("cjk"))
 
 
 @query("""SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN lower(source) IN ('yue', 'zh') THEN lower(source) WHEN regexp_matches(source, 'src1$|yue|canton|hongkong|hk') AND source <> 'src1' THEN 'yue' WHEN regexp_matches(source, 'zh|cmn|mandarin|chi|cn') THEN 'zh' ELSE NULL END AS resolved FROM documents""")
@@ -204,6 +226,23 @@ def q_zh_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", numbers.han_numbers_column(said, F.lit("zh")).alias("n"))
 
 
+_PHRASES = [x.split() for x in script.PHRASES.split("|")]
+_SAID = [f"p_partkey * {k} % {len(_PHRASES)}" for k in (1, 7, 13)] + [f"p_size % {len(_PHRASES)}"]
+
+
+def _said_sql(which: int) -> str:
+    phrases = "[" + ", ".join(f"'{p[which]}'" for p in _PHRASES) + "]"
+    return " || '的' || ".join(f"({phrases})[CAST({k} AS BIGINT) + 1]" for k in _SAID)
+
+
+@query(f"SELECT p_partkey, {_said_sql(1)} AS traditional, {_said_sql(0)} AS simple FROM part")
+def q_script_phrases(spark, sf_dir):
+    """Words of which a character is converted differently alone, put together by part, to the other script and back."""
+    said = F.concat_ws("的", *(F.get(F.array(*(F.lit(a) for a, _ in _PHRASES)), F.expr(k).cast("int")) for k in _SAID))
+    up = script.converted(said, F.lit("yue"))
+    return table(spark, sf_dir, "part").select("p_partkey", up.alias("traditional")).withColumn("simple", script.converted("traditional", F.lit("zh")))
+
+
 @query()
 def q_compression_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r6(arrays.compression_ratio("text")).alias("ratio"))
