@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import col
+from tidemark.functions.text import bound, col
 
 MINUS_INFINITY = float("-inf")
 
@@ -23,11 +23,6 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, however often body uses it; a plain expression inside a lambda is computed for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def softmax(a: Column | str) -> Column:
     return bound(col(a), lambda a: bound(F.array_max(a), lambda top: bound(F.transform(a, lambda x: F.exp(x - top)), lambda e: bound(_total(e), lambda t: F.transform(e, lambda x: x / t)))))
 

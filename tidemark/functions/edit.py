@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import bound
-from tidemark.functions.text import col, for_character_rate, for_mixed_rate, mixed_tokens, normalisation_language, strip
+from tidemark.functions.text import bound, col, for_character_rate, for_mixed_rate, mixed_tokens, normalisation_language, strip
 
 
 def token_distance(a: Column | str, b: Column | str) -> Column:
@@ -131,18 +130,31 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return _whole(places, m, b)
 
 
-def edits(a: Column | str, b: Column | str) -> Column:
-    """Edit distance of two texts by code point, or of two arrays by element, of any length and at any distance; null with a null. Spark's
-    levenshtein fills a table of all pairs of characters; here a number holds a column of it, some sixty cells a machine step, for a batch of rows in Python."""
+def compared(a: Column | str, b: Column | str) -> Column:
+    """(edits, n_a, n_b): edit distance and lengths of two texts by code point, or of two arrays by element, of any length and at any distance; null with a null.
+
+    Spark's levenshtein fills a table of all pairs of characters; here a number holds a column of it, some sixty cells a machine step, for a batch of
+    rows in Python. Lengths come along, so that what makes the texts is evaluated once."""
 
-    @F.pandas_udf("long")
-    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf("edits long, n_a long, n_b long")
+    def each(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         plain = lambda v: v if isinstance(v, str) else list(v)
-        return pd.Series([None if p is None or q is None else distance(plain(p), plain(q)) for p, q in zip(x, y, strict=True)], dtype="Int64")
+        rows = [(None,) * 3 if p is None or q is None else (distance(plain(p), plain(q)), len(p), len(q)) for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame(rows, columns=["edits", "n_a", "n_b"], dtype="Int64")
 
     return each(col(a), col(b))
 
 
+def edits(a: Column | str, b: Column | str) -> Column:
+    return compared(a, b)["edits"]
+
+
+def compared_rate(a: Column | str, b: Column | str) -> Column:
+    """Edits over the length of a, as rate() has it."""
+    both = compared(a, b)
+    return rate(both["edits"], both["n_a"], both["n_b"])
+
+
 def rate(n_edits: Column, length: Column, hypothesis_length: Column) -> Column:
     """Edits over the reference's length. Against an empty reference 0 if the hypothesis is empty too, else 1. Not clamped."""
     return F.when(length == 0, F.when(hypothesis_length == 0, 0.0).otherwise(1.0)).otherwise(n_edits / length)
@@ -150,15 +162,14 @@ def rate(n_edits: Column, length: Column, hypothesis_length: Column) -> Column:
 
 def character_error_rate(reference: Column | str, hypothesis: Column | str, language: Column | str, han=None) -> Column:
     r, h = for_character_rate(reference, hypothesis, language, han)
-    r, h = strip(r), strip(h)
-    return rate(edits(r, h), F.length(r), F.length(h))
+    return compared_rate(strip(r), strip(h))
 
 
 def mixed_error_rate(reference: Column | str, hypothesis: Column | str, language: Column | str, han=None) -> Column:
     language = col(language)
     tokens = []
     for text in (reference, hypothesis):
-        resolved = F.coalesce(normalisation_language(language, strip(text)), language)
-        tokens.append(mixed_tokens(for_mixed_rate(text, language, han), resolved))
-    r, h = tokens
-    return rate(edits(r, h), F.size(r), F.size(h))
+        lang = bound(strip(text), lambda bare: F.coalesce(normalisation_language(language, bare), language))
+        ready = F.struct(for_mixed_rate(text, language, han).alias("text"), lang.alias("lang"))
+        tokens.append(bound(ready, lambda x: mixed_tokens(x["text"], x["lang"])))
+    return compared_rate(*tokens)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it; a plain expression inside a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def has_cjk(text: Column | str) -> Column:
     return col(text).rlike(CJK)
 
@@ -74,11 +81,17 @@ def normalisation_language(language: Column | str, text: Column | str) -> Column
 
 def for_mixed_rate(text: Column | str, language: Column | str, han=None) -> Column:
     """The text as the mixed error rate sees it. han: a function of (text, language) for numbers and scripts, if wanted."""
-    bare = strip(text)
-    lang = normalisation_language(language, bare)
-    converted = han(bare, lang) if han else bare
-    normal = F.when(lang.isNotNull(), ascii_lower(unify_variants(converted))).otherwise(F.lower(bare))
-    return collapse(punctuation_to_space(normal))
+    def normal(x: Column) -> Column:
+        lang = x["lang"]
+        converted = han(x["bare"], lang) if han else x["bare"]
+        return F.when(lang.isNotNull(), ascii_lower(unify_variants(converted))).otherwise(F.lower(x["bare"]))
+
+    def ready(bare: Column) -> Column:
+        return F.struct(bare.alias("bare"), normalisation_language(language, bare).alias("lang"))
+
+    if han:  # may run in Python, where values can't be bound
+        return collapse(punctuation_to_space(normal({"bare": strip(text), "lang": normalisation_language(language, strip(text))})))
+    return collapse(punctuation_to_space(bound(bound(strip(text), ready), normal)))
 
 
 def mixed_tokens(text: Column | str, language: Column | str) -> Column:
@@ -92,12 +105,15 @@ def mixed_tokens(text: Column | str, language: Column | str) -> Column:
 def for_character_rate(reference: Column | str, hypothesis: Column | str, language: Column | str, han=None) -> tuple[Column, Column]:
     """Both sides as the character error rate sees them; the language comes from both texts together."""
     reference, hypothesis = strip(reference), strip(hypothesis)
-    lang = normalisation_language(language, F.concat(reference, hypothesis))
+    lang = (bound if not han else lambda x, f: f(x))(F.concat(reference, hypothesis), lambda both: normalisation_language(language, both))
 
     def one(text: Column) -> Column:
-        converted = ascii_lower(unify_variants(han(text, lang) if han else text))
-        cjk = drop_punctuation(F.regexp_replace(converted, r"[\p{Punct} ]", ""))
-        return F.when(lang.isNotNull(), cjk).otherwise(drop_ascii_punctuation(F.lower(text)))
+        def normal(x: Column) -> Column:
+            converted = ascii_lower(unify_variants(han(x["text"], x["lang"]) if han else x["text"]))
+            cjk = drop_punctuation(F.regexp_replace(converted, r"[\p{Punct} ]", ""))
+            return F.when(x["lang"].isNotNull(), cjk).otherwise(drop_ascii_punctuation(F.lower(x["text"])))
+
+        return normal({"text": text, "lang": lang}) if han else bound(F.struct(text.alias("text"), lang.alias("lang")), normal)
 
     return one(reference), one(hypothesis)
 

@@ -23,10 +23,15 @@ def matched(references: DataFrame, hypotheses: DataFrame, key: str = "file") ->
     return references.join(found, key, "left").withColumn("is_matched", F.coalesce("is_matched", F.lit(False)))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all tasks: an edit distance costs the square of a text's length, so a file of a few MB is worth more than the one task that would read it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def metric_rows(pairs: DataFrame, language: Column | str = "language", han=None) -> DataFrame:
     """file, reference, generated and their error rates and lengths, for matched rows."""
     lang = F.col(language) if isinstance(language, str) else language
-    return pairs.where("is_matched").select(
+    return spread(pairs.where("is_matched")).select(
         "file", "reference", "generated",
         character_error_rate("reference", "generated", lang, han).alias("cer"), mixed_error_rate("reference", "generated", lang, han).alias("mer"),
         F.length("reference").cast("bigint").alias("ref_length"), F.length("generated").cast("bigint").alias("gen_length"),
