@@ -165,3 +165,50 @@ def test_head_without_an_end():
         assert main_text(f"<html>{head}<article><p>{text}</p></article>")[0] == text
         assert [b.text for b in blocks_of(f"<html>{head}plain words")] == ["plain words"]
     assert main_text("<head><title>only")[0] == "" and main_text("<head><meta a>")[0] == ""
+
+
+LONG = [f"A sentence of the {k} paragraph, which is long enough to be told from what stands around it, and goes on for {k} more lines." for k in ("first", "second", "third", "fourth", "fifth", "sixth")]
+ALL = f"<h1>The title of it</h1>{''.join(f'<p>{x}</p>' for x in LONG)}"
+WANT = " ".join(["The title of it", *LONG])
+
+
+@pytest.mark.parametrize("name", ["search", "widget", "modal", "banner", "main-banner", "social", "form", "legal", "notice", "comment", "sidebar"])
+@pytest.mark.parametrize("around", [("", ""), ("<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<footer><p>All rights are reserved by us, as ever before, all of them.</p></footer>")])
+def test_a_name_does_not_cost_the_whole_article(name, around):
+    assert main_text(f'<html><body>{around[0]}<div class="{name}">{ALL}</div>{around[1]}</body></html>')[0] == WANT
+
+
+def test_a_box_of_most_prose_beside_an_article_is_no_wrapper():
+    many = "".join(f"<p>{x}</p>" for x in LONG)
+    assert main_text(f'<article><p>Short.</p></article><div class="comments">{many}</div>')[0] == "Short."
+    assert main_text(f'<div><p>{LONG[0]}</p><p>{LONG[1]}</p></div><div class="comments">{many}</div>')[0] == " ".join(LONG[:2])
+    assert main_text(f'<article><p>Short.</p><div class="comments">{many}</div></article>')[0] == "Short."
+
+
+def test_titles_and_rights_without_names():
+    rights = "<p>Copyright 2024 Example Inc. All rights reserved.</p>"
+    assert main_text(f"<body>{ALL}{rights}</body>")[0] == WANT
+    assert main_text(f"<body><div><a href=/>Home</a> <a href=/n>News of the day</a></div>{ALL}{rights.replace('Copyright', '&copy;')}</body>")[0] == WANT
+    header = "<header><h1>The river plan is agreed</h1><p>By Ann Smith, 5 May</p></header>"
+    assert main_text(f"<article>{header}{''.join(f'<p>{x}</p>' for x in LONG)}</article>")[0] == " ".join(["The river plan is agreed", *LONG])
+
+
+@pytest.mark.parametrize("box", ["<div class=seitenleiste>{}</div>", "<div id=kommentare>{}</div>", "<div class='fusszeile'>{}</div>", "<section class=commentaires>{}</section>", "<div class='barra-lateral'>{}</div>", "<section><h3>3 Comments</h3>{}</section>", "<section><h3>Kommentare (2)</h3>{}</section>"])
+def test_names_and_headings_of_other_languages(box):
+    inner = f"<div><b>Bob</b><p>{LONG[1]}</p></div><div><b>Eve</b><p>{LONG[2]} Ja.</p></div>"
+    for article in (f"<div>{ALL}</div>", f"<article>{ALL}</article>"):
+        assert main_text(f"<body>{article}{box.format(inner)}</body>")[0] == WANT
+
+
+def test_pages_without_their_articles_tag(spark):
+    """Against the pages' own articles, cut out of the page as it was."""
+    import html as h
+    import re
+
+    pages, right = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()], 0
+    for html in pages:
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", html, re.S)[1]
+        parts = [re.sub(r"<(?!br)[^>]*>", "", x).replace("<br>", " ") for x in re.split(r"</?(?:p|h1|div)[^>]*>", inner)]
+        want = " ".join(y for y in (" ".join(h.unescape(x).split()) for x in parts) if y)
+        right += main_text(html.replace("<article>", "<div>").replace("</article>", "</div>"))[0] == want
+    assert right >= 0.97 * len(pages)

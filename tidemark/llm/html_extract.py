@@ -34,6 +34,13 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 IN_HEAD_PAIRED = frozenset("noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus reply replies respond discussion share sharing social related recommended recommendations subscribe subscription newsletter signup login register widget toolbar pagination pager copyright legal skip search form poll rating".split())
+#: The same in other languages that sites are written in.
+BOILER_WORDS |= frozenset(
+    "anzeige anzeigen brotkrumen einwilligung empfehlungen fusszeile fussbereich hinweis hinweise impressum kommentar kommentare kopfzeile menue randspalte seitenleiste suche suchen teilen umfrage werbung "
+    "annonce annonces avis commentaire commentaires connexion entete lateral laterale navigateur partage partager pied piedpage publicite pub recherche recommandations sondage "
+    "anuncio anuncios aviso avisos barra buscar busqueda cabecera comentario comentarios compartir encuesta pie publicidad recomendados "
+    "commenti condividi intestazione pubblicita ricerca rodape cabecalho pesquisa publicidade".split()
+)
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 #: Words that say where or how a thing is put, not what it is; and such as make a name a state of the page.
 PLACE_WORDS = frozenset("area articles author avatar bar block bottom box btn button buttons card cards container content contents date entries entry field fixed global group holder icon icons inner item items layout left link links list lists main message meta module note notes outer page panel posts primary right row secondary section site slot space stories sticky tab tabs text thread title top unit wrap wrapper zone".split())
@@ -54,14 +61,21 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: The classifier's weights, in hundredths; content is positive. Calibrated by hand: any one hint can be outweighed by the text and its neighbours,
 #: but for a plain hint at boilerplate against one paragraph.
 TAG_WEIGHTS = {"nav": -520, "footer": -480, "aside": -420, "form": -420, "menu": -450, "dialog": -450, "article": 150, "main": 150}
+#: A notice of rights by its sign or its word, and the heading of readers' comments, with their number.
+RIGHTS = re.compile(r"\W*(?:©|\(c\)|copyright\b)", re.I)
+COMMENTS = re.compile(r"[\W\d]*(?:(?:reader|user|leser)\W?)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?|commenti|reacties|kommentarer)\b[\W\d]*$", re.I)
 BOILER_NAME, WEAK_NAME, CONTENT_NAME, HIDDEN_WEIGHT = -450, -40, 150, -500
 HINTS_LEAST, HINTS_MOST, PLAIN_HINT, PAGE_HEADER = -650, 250, -250, -450
-WEIGHTS = {"bias": -50, "link": -400, "sentence": 150, "long": 120, "short": -40, "paragraph": 60, "heading": -110, "header": -350}
-#: A form that holds this share of the page's prose is but a wrapper.
-WRAPPER_SHARE = 0.5
+WEIGHTS = {"bias": -50, "link": -400, "sentence": 150, "long": 120, "short": -40, "paragraph": 60, "heading": -110, "header": -350, "rights": -600}
+#: A form, or a box of a boilerplate name, that holds this share of the page's prose is but a wrapper; the box, if next to nothing else could be the article.
+WRAPPER_SHARE, ELSEWHERE_SHARE = 0.5, 0.1
+#: Longest notice of rights.
+RIGHTS_CHARS = 200
 #: Capacity by the number of steps between two blocks' elements in the DOM; of edges that skip blocks; and the divisor across a boundary.
 NEAR_EDGE = (200, 200, 200, 190, 150, 100, 50)
 SIBLING_EDGE, BOUNDARY, DIVISOR = 60, 150, 8
+#: A heading belongs to what follows it.
+HEADINGS, HEADING_EDGE = ("h1", "h2", "h3", "h4", "h5", "h6"), 400
 
 
 @dataclass(slots=True)
@@ -76,13 +90,14 @@ class Block:
 
 @dataclass(slots=True)
 class Page:
-    """Blocks, and of each block-level element (0 is the page itself) its parent, tag, depth and own hint."""
+    """Blocks, and of each block-level element (0 is the page itself) its parent, tag, depth, own hint, and how much of that is by its names."""
 
     blocks: list[Block]
     parents: list[int]
     tags: list[str]
     depths: list[int]
     hints: list[int]
+    named: list[int]
 
 
 @functools.lru_cache(8192)
@@ -139,7 +154,7 @@ def head_end(html: str, at: int) -> int:
 
 
 def parse(html: str) -> Page:
-    page = Page([], [-1], [""], [0], [0])
+    page = Page([], [-1], [""], [0], [0], [0])
     # Open elements: tag, number of the block-level element, is it one itself, is it a hidden inline one.
     stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]
     levels = [0]  # places of the block-level ones in the stack
@@ -237,6 +252,7 @@ def parse(html: str) -> Page:
             page.tags.append(tag)
             page.depths.append(page.depths[number] + 1)
             page.hints.append(hint + TAG_WEIGHTS.get(tag, 0) + HIDDEN_WEIGHT * hidden)
+            page.named.append(0 if hidden else hint)
             number = len(page.tags) - 1
             levels.append(len(stack))
         links += tag == "a"
@@ -257,28 +273,57 @@ def text_score(b: Block) -> int:
     s = w["bias"] + w["link"] * min(b.link_chars, n) // n
     if n > 40 and b.text[-1] in ".!?…。！？\"'”»":
         s += w["sentence"]
-    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if n <= RIGHTS_CHARS and RIGHTS.match(b.text):
+        s += w["rights"]
+    if b.tag in HEADINGS:
         return s + w["heading"]
     if b.tag in ("p", "blockquote", "pre"):
         s += w["paragraph"]
     return s + (w["long"] if n > 100 else w["short"] if n < 25 else 0)
 
 
+def wrappers(page: Page, prose: list[int], inside: list[bool]) -> set[int]:
+    """The elements whose boilerplate names are those of a wrapper: they hold most of the page's prose, outside of them and of what is hinted to be
+    boilerplate there is next to none, and no article or main is there that could be meant instead."""
+    large = [k for k in range(1, len(prose)) if page.named[k] <= PLAIN_HINT and prose[k] >= WRAPPER_SHARE * max(prose[0], 1) and not inside[page.parents[k]]]
+    if not large or not prose[0]:
+        return set()
+    texts, articles, hinted, boxed = [0] * len(prose), [0] * len(prose), [False] * len(prose), 0
+    for b in page.blocks:
+        texts[b.element] += len(b.text)
+    for k in range(1, len(prose)):
+        around = hinted[page.parents[k]]
+        hinted[k] = around or page.hints[k] <= PLAIN_HINT or page.tags[k] == "header"
+        boxed += prose[k] if hinted[k] and not around else 0
+    for k in range(len(prose) - 1, 0, -1):
+        articles[k] = texts[k] if page.tags[k] in ("article", "main") else articles[k]
+        texts[page.parents[k]] += texts[k]
+        articles[page.parents[k]] += articles[k]
+    return {k for k in large if articles[0] == articles[k] and prose[0] - boxed < ELSEWHERE_SHARE * prose[k]}
+
+
 def element_hints(page: Page, own: list[int], inside: list[bool]) -> list[int]:
     """For each element the sum of its hints and those of the elements around it, within bounds. A form around half of the page's prose is no hint, and
-    what lies around an element that is plainly boilerplate doesn't speak for it."""
+    what lies around an element that is plainly boilerplate doesn't speak for it. An element that begins with a heading of comments holds comments."""
     prose = [0] * len(page.tags)
+    commented, begun = set(), set()
     for b, s in zip(page.blocks, own, strict=True):
         prose[b.element] += len(b.text) if s > 0 else 0
+        if b.parent > 0 and b.parent not in begun and b.tag in HEADINGS[1:] and page.tags[b.parent] in ("section", "div", "article", "aside") and COMMENTS.match(b.text):
+            commented.add(b.parent)
+        begun |= {b.element, b.parent}
     for k in range(len(prose) - 1, 0, -1):
         prose[page.parents[k]] += prose[k]
+    excused = wrappers(page, prose, inside)
     sums = [0] * len(prose)
     for k in range(1, len(sums)):
-        hint = page.hints[k]
+        hint = page.hints[k] - (page.named[k] if k in excused else 0)
         if page.tags[k] == "form" and prose[k] >= WRAPPER_SHARE * max(prose[0], 1):
             hint = 0
         if page.tags[k] == "header" and not inside[k]:
             hint += PAGE_HEADER
+        if k in commented:
+            hint += BOILER_NAME
         around = sums[page.parents[k]]
         sums[k] = (min(around, 0) if hint <= PLAIN_HINT else around) + hint
     return [max(HINTS_LEAST, min(HINTS_MOST, x)) for x in sums]
@@ -292,12 +337,17 @@ def scores(page: Page) -> tuple[list[int], list[int]]:
         header[k] = header[page.parents[k]] or page.tags[k] == "header"
         inside[k] = inside[page.parents[k]] or page.tags[k] in ("article", "main")
     hints = element_hints(page, own, inside)
-    out = []
+    out, about = [], []
     for b, s in zip(page.blocks, own, strict=True):
-        if header[b.element] and inside[b.element] and b.tag not in ("h1", "h2"):
-            s += WEIGHTS["header"]  # of an article's header the title stays
+        hint = hints[b.element]
+        if header[b.element] and inside[b.element]:  # of an article's header the title stays
+            if b.tag in ("h1", "h2"):
+                s -= WEIGHTS["heading"]
+            else:
+                s, hint = s + WEIGHTS["header"], hint + WEIGHTS["header"]
         out.append(s + hints[b.element])
-    return out, [hints[b.element] for b in page.blocks]
+        about.append(hint)
+    return out, about
 
 
 def steps_between(page: Page, a: int, b: int, most: int = len(NEAR_EDGE) - 1) -> int:
@@ -320,7 +370,8 @@ def edges_of(page: Page, hints: list[int]) -> list[tuple[int, int, int]]:
     for j, b in enumerate(blocks):
         if j:
             a = blocks[j - 1]
-            out.append((j - 1, j, across(j - 1, j, NEAR_EDGE[steps_between(page, a.element, b.element)])))
+            near = NEAR_EDGE[steps_between(page, a.element, b.element)]
+            out.append((j - 1, j, across(j - 1, j, max(near, HEADING_EDGE) if a.tag in HEADINGS and b.tag not in HEADINGS else near)))
         if j > 1 and blocks[j - 2].depth == b.depth:
             out.append((j - 2, j, across(j - 2, j, SIBLING_EDGE)))
         for i in sorted({last.get(key, j) for key in (("element", b.element), ("parent", b.parent)) if key[1] >= 0}):
