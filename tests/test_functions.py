@@ -345,7 +345,7 @@ def test_pieces_of_unspaced_languages_are_words(spark):
 def test_no_word_beyond_the_map_is_respelled(spark, tmp_path):
     kept = "practise louise denise valise marquise trellised metropolises promise advise exercise wise rise surprised franchise"
     assert values(spark, normalise.respelled(L(kept))) == [kept]
-    (tmp_path / "s.json").write_text('{"practise": "practice", "louise": "luise"}')
+    (tmp_path / "s.json").write_text('{\n "practise": "practice",\n "louise": "luise"\n}')
     (tmp_path / "s.txt").write_text("practise practice\n\nlouise\tluise\nalone\n")
     for name in ("s.json", "s.txt"):
         given = normalise.spellings_of(spark, str(tmp_path / name))

@@ -27,6 +27,12 @@ def test_references_and_hypotheses(spark, tmp_path):
     assert rows_of(files.any_hypotheses(spark, str(tmp_path / "out")), "file", "generated") == [("a", ""), ("a.wav", "")]
 
 
+def test_individual_files_are_whole_texts(spark, tmp_path):
+    for k in range(3):
+        put(tmp_path / f"a{k}_transcription.txt", f" one {k}\ntwo\n\nthree\n")
+    assert rows_of(files.individual_hypotheses(spark, str(tmp_path))) == [(f"a{k}", f"one {k}\ntwo\n\nthree") for k in range(3)]
+
+
 def test_line_formats(spark):
     lines = spark.createDataFrame([("BAC009S0764W0121 你好 吗",), ("",), ("BAC009S0764W0122",)], "value string")
     assert rows_of(files.id_lines(lines, ".wav", "wav")) == [("wav/S0764/BAC009S0764W0121.wav", "你好 吗"), ("wav/S0764/BAC009S0764W0122.wav", "")]

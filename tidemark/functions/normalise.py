@@ -107,7 +107,7 @@ def spellings_of(spark: SparkSession, path: str, limit: int = 1_000_000) -> dict
     """Spellings from a JSON object of words, or from lines of a word, white space and its spelling. A table of more than limit words is an error: it goes to
     each worker."""
     if path.endswith(".json"):
-        rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("word", "spelling"))
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("word", "spelling"))
     else:
         parts = F.split(F.trim("value"), r"\s+")
         rows = spark.read.text(path).where(F.size(parts) > 1).select(parts[0].alias("word"), parts[1].alias("spelling"))

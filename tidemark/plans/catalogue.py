@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, edit, normalise, numbers, script, text, tokens
 from tidemark.operators import commit, evaluate, prepare, segment, select
-from tidemark.plans import single_functions  # noqa: F401  registers its queries
+from tidemark.plans import file_queries, single_functions  # noqa: F401  register their queries
 from tidemark.plans.bridge import FRAMES_SQL, PAIRS_SQL, frames, pairs, table, words
 from tidemark.plans.registry import QUERIES, SQL, Query, query
 from tidemark.sources import files, sinks

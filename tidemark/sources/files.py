@@ -35,7 +35,7 @@ def hypotheses(spark: SparkSession, path: str) -> DataFrame:
 
 def individual_hypotheses(spark: SparkSession, folder: str, suffix: str = "_transcription.txt") -> DataFrame:
     """(file, generated) from one text file for each stem."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    rows = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return rows.select(F.regexp_replace(F.url_decode(name), F.lit(suffix.replace(".", r"\.") + "$"), F.lit("")).alias("file"), strip("value").alias("generated"))
 
