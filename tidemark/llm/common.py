@@ -78,9 +78,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_BATCH)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores if they are read in fewer parts than that, as a table of one small file is. A large one is read as it lies."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
