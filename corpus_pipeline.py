@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import language, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import small_batches, written
+from tidemark.llm.common import dealt, small_batches, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at least language.REJECT_BELOW of the words' bytes are in their language's spans. The model learns from the rows that are
     not held out; without any labelled row nothing has a language, and nothing is left."""
     small_batches(spark)
-    return language.keep_known(docs, language.fit(language.training_rows(docs)))
+    return language.keep_known(dealt(docs), language.fit(language.training_rows(docs)))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
