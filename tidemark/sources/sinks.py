@@ -66,36 +66,43 @@ def documents(blocks: DataFrame, key: str, order: str, header: str = "") -> Data
     return blocks.groupBy(key).agg(F.concat(F.lit(header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "block"))), lambda x: x["block"]), "\n")).alias("value"))
 
 
+def line_numbers(sizes: list[tuple[int, int]], breaks: list[bool], width: int) -> list[int]:
+    """The line of each word: lines are filled up to width, and end at each break. sizes: of each word, and of it without white space at its ends."""
+    numbers, used = [], 0
+    for (size, bare), broken in zip(sizes, breaks, strict=True):
+        goes_on = bool(numbers) and not broken and used + size <= width
+        numbers.append(numbers[-1] + (not goes_on) if numbers else 0)
+        used = used + size if goes_on else bare
+    return numbers
+
+
+def cue_numbers(breaks: list[bool], most: int | None) -> list[int]:
+    """The cue of each line: at most so many lines in one, and a new one after each break."""
+    numbers, since = [], 0
+    for k, broken in enumerate(breaks):
+        if k and (broken or k - since == most):
+            since = k
+        numbers.append(since)
+    return numbers
+
+
 def cue_fold(words: list[tuple[int, str, float, float]], width: int | None, lines: int | None, pause: float = 3.0) -> list[tuple[float, float, str]]:
-    """(start, end, text) of cues from words (segment, text, start, end): greedy lines of width, at most lines of them a cue.
+    """(start, end, text) of cues from words (segment, text, start, end): words are put to lines of width, and lines to cues, at most lines of them in one.
 
     Without width or lines, segments are kept apart as cues; a pause begins a new cue otherwise."""
-    preserve, width = width is None or lines is None, width or 1000
-    out: list[tuple[float, float, str]] = []
-    cue: list[tuple[float, float]] = []
-    rows: list[str] = []
-    last_start, last_segment = None, None
-
-    def close() -> None:
-        nonlocal cue, rows
-        if cue:
-            out.append((cue[0][0], cue[-1][1], "\n".join(x.strip() if k else x.lstrip() for k, x in enumerate(rows))))
-        cue, rows = [], []
-
-    for segment, text, start, end in words:
-        long_pause = not preserve and last_start is not None and start - last_start > pause
-        new_segment = preserve and cue and segment != last_segment
-        fits = bool(rows) and len(rows[-1]) + len(text) <= width
-        if rows and fits and not long_pause and not new_segment:
-            rows[-1] += text
-        else:
-            if rows and (new_segment or (lines is not None and (long_pause or len(rows) >= lines))):
-                close()
-            rows.append(text.strip())
-        cue.append((start, end))
-        last_start, last_segment = start, segment
-    close()
-    return out
+    table = pd.DataFrame(words, columns=["segment", "text", "start", "end"])
+    by_segment = width is None or lines is None
+    broken = (table["segment"].diff() != 0 if by_segment else table["start"].diff() > pause).tolist()
+    bare = table["text"].str.strip()
+    table["line"] = line_numbers(list(zip(table["text"].str.len(), bare.str.len(), strict=True)), [False, *broken[1:]] if broken else [], width or 1000)
+    first = ~table["line"].duplicated()
+    table["piece"] = table["text"].where(~first, bare)
+    made = table.groupby("line").agg(text=("piece", "".join), start=("start", "first"), end=("end", "last"))
+    made["cue"] = cue_numbers([b for b, x in zip(broken, first, strict=True) if x], lines)
+    # Only what stands between two lines of a cue is trimmed.
+    made["text"] = made["text"].str.strip().where(made["cue"].duplicated(), made["text"].str.lstrip())
+    joined = made.groupby("cue").agg(start=("start", "first"), end=("end", "last"), text=("text", "\n".join))
+    return list(joined.itertuples(index=False, name=None))
 
 
 def cues(words: DataFrame, key: str, width: int | None = None, lines: int | None = None) -> DataFrame:
