@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import results, sinks
+from tidemark.sources import files, results, sinks
 from tidemark.sources.results import Results, Written
 from tidemark.streaming.sources import GrowingPcm
 
@@ -163,3 +163,19 @@ def test_recordings_that_grow(spark, tmp_path):
     assert all(len(raw) <= 400 for _, rows in seen for *_, raw in rows)
     firsts = [(s, first) for _, rows in seen for s, first, _ in rows]
     assert len(firsts) == len(set(firsts))
+
+
+def test_one_file_for_each_iteration(spark, tmp_path):
+    """However many tasks hold rows of a segment, each of its iterations is one file, and all rows come back under their keys."""
+    names = ["a", "b/c =%", "é ü", None]
+    rows = spark.createDataFrame([(names[k % 4], k % 3, f"t{k}" if k % 5 else None) for k in range(120)], "segment string, iteration int, text string").repartition(6)
+    path = str(tmp_path / "i")
+    sinks.write_iterations(rows, path)
+    assert len([f for f in files_of(path) if f.endswith(".txt")]) == 12
+    got = sorted(map(repr, map(tuple, files.iterations(spark, path).collect())))
+    assert got == sorted(repr((names[k % 4], str(k % 3), f"t{k}" if k % 5 else "")) for k in range(120))
+    assert {tuple(r) for r in spark.read.text(path).select("segment", "iteration").distinct().collect()} == {(n, k) for n in names for k in range(3)}
+    with pytest.raises(FileExistsError):
+        sinks.write_iterations(rows, path)
+    sinks.write_iterations(rows.where("1 = 0"), path + "0")
+    assert files.iterations(spark, path + "0").count() == 0

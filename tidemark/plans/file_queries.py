@@ -153,7 +153,7 @@ def q_wav_samples(spark, sf_dir):
 def q_iterations(spark, sf_dir):
     path = scratch(spark) + "/iterations"
     sinks.write_iterations(table(spark, sf_dir, "events").select(F.col("user_id").alias("segment"), (F.col("event_id") % 3).alias("iteration"), F.col("event_type").alias("text")), path)
-    return spark.read.text(path).groupBy(F.col("segment").cast("bigint").alias("segment"), F.col("iteration").cast("bigint").alias("iteration")).agg(F.count("*").alias("n"))
+    return files.iterations(spark, path).groupBy(F.col("segment").cast("bigint").alias("segment"), F.col("iteration").cast("bigint").alias("iteration")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, event_type AS text, CAST(round_even(value * 1000, 0) AS BIGINT) AS ms FROM events WHERE value > 100")

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import glob
+import io
 import os
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,8 @@ from tidemark.functions.arrays import decode_wav
 from tidemark.functions.text import base_name, extension, first_integer, strip
 from tidemark.operators.evaluate import dual_keyed
 from tidemark.operators.prepare import ranked
+from tidemark.sources.results import TEXTS, store_of
+from tidemark.sources.sinks import NO_VALUE
 
 YUE_ONLY_SUFFIX = "wsyue_asr_eval.json"
 
@@ -33,6 +40,37 @@ def hypotheses(spark: SparkSession, path: str) -> DataFrame:
     return dual_keyed(rows.withColumn("generated", F.coalesce("transcription", F.lit(""))).withColumn("__n", F.monotonically_increasing_id()).withColumnRenamed("file", "path"), "path", "__n").drop("path", "__n")
 
 
+def iterations(spark: SparkSession, path: str) -> DataFrame:
+    """(segment, iteration, text) from the folders of sinks.write_iterations(). A task lists and reads what one task has written; the driver lists no segments."""
+    store, root = store_of(path)
+    below = lambda name, mark: [f"{name}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(f"{root}{name}", allow_not_found=True)) if x.base_name.startswith(mark)]
+    tasks = [task for job in below("", "job=") for task in below(job, "task=")]
+
+    def value(name: str) -> str | None:
+        return None if (text := name.split("=", 1)[1]) == NO_VALUE else unquote(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(path)
+        columns = ["segment", "iteration", "text"]
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                out, size = [], 0
+                for segment in store.get_file_info(fs.FileSelector(root + tasks[k])):
+                    for iteration in store.get_file_info(fs.FileSelector(segment.path)):
+                        key = (value(segment.base_name), value(iteration.base_name))
+                        with store.open_input_stream(f"{iteration.path}/{TEXTS}") as raw, io.TextIOWrapper(raw, "utf-8", newline="\n") as lines:
+                            for line in lines:
+                                out.append((*key, line.removesuffix("\n")))
+                                size += len(line) + 32
+                                if size > 1 << 20:
+                                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], columns)
+                                    out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], columns)
+
+    return spark.range(0, len(tasks), 1, max(len(tasks), 1)).mapInArrow(work, "segment string, iteration string, text string")
+
+
 def individual_hypotheses(spark: SparkSession, folder: str, suffix: str = "_transcription.txt") -> DataFrame:
     """(file, generated) from one text file for each stem."""
     rows = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)

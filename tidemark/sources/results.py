@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: How a row becomes text, by kind. A row of `documents` is a file of its own, named by its column file.
-KINDS = ("json", "text", "tsv", "documents")
+#: How a row becomes text, by kind. A row of `documents` is a file of its own, named by its column file; one of `folders` is a line of the file TEXTS in its folder `file`.
+KINDS = ("json", "text", "tsv", "documents", "folders")
+TEXTS = "texts.txt"
 STAGING = "_staging"
 
 
@@ -72,6 +74,15 @@ class _Results:
                 with store.open_output_stream(f"{folder}/{files[-1]}") as f:
                     f.write((row["value"] or "").encode())
             return Written(files, len(files))
+        if self.kind == "folders":  # all below one folder for each attempt, which alone is named to the driver
+            for place, lines in groupby(rows, lambda row: row["file"]):
+                name = f"{folder}/{attempt}/{place}"
+                store.create_dir(name, recursive=True)
+                with store.open_output_stream(f"{name}/{TEXTS}") as f:
+                    for row in lines:
+                        f.write(f"{row['value'] or ''}\n".encode())
+                        count += 1
+            return Written([attempt] if count else [], count)
         name = f"part-{attempt}.{'jsonl' if self.kind == 'json' else 'tsv' if self.kind == 'tsv' else 'txt'}"
         with store.open_output_stream(f"{folder}/{name}") as f:
             for line in self._lines(rows):
@@ -88,6 +99,14 @@ class _Results:
         store.create_dir(staged, recursive=True)
         files = [name for m in messages if m for name in m.files]
         keep = set(files)
+        if self.kind == "folders":
+            for info in store.get_file_info(fs.FileSelector(staged)):
+                if info.base_name not in keep:
+                    store.delete_dir(info.path)  # of an attempt that doesn't count
+                else:
+                    store.move(info.path, f"{staged}/task={info.base_name}")
+            store.move(staged, target)
+            return
         for info in store.get_file_info(fs.FileSelector(staged, recursive=True)):
             if info.is_file and info.path[len(staged) :].lstrip("/") not in keep:
                 store.delete_file(info.path)  # of an attempt that doesn't count
@@ -160,8 +179,8 @@ class _StreamWriter(_Results, DataSourceStreamWriter):
 
 class Results(DataSource):
     """spark.dataSource.register(Results); df.write.format("results").option("kind", ...).mode("append" or "overwrite").save(path), or writeStream with the
-    same. kind: json (lines), text (the first column), tsv, or documents (columns file and value: one file for each row). path: a folder that the driver
-    and all executors see."""
+    same. kind: json (lines), text (the first column), tsv, or documents (columns file and value: one file for each row), or folders (the same columns,
+    rows of a folder one after the other: a line for each row). path: a folder that the driver and all executors see."""
 
     @classmethod
     def name(cls) -> str:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import col, cue_text, strip, timestamp_text
 
 PACKET = 65536
+#: Fixed value: a folder's name for null or an empty text, as Spark has it.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Fixed value: characters that Spark writes as %XX in names of partitions, the per cent sign first.
+ESCAPED = "%\"#'*/:=?\\{[]^\x7f" + "".join(map(chr, range(1, 32)))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
@@ -127,8 +131,24 @@ def packets(text: Column | str, size: int = PACKET, pad: bool = False) -> Column
 
 
 def write_iterations(rows: DataFrame, path: str) -> None:
-    """Texts of each segment's iterations, in a folder for each."""
-    rows.select("segment", "iteration", F.col("text").alias("value")).write.partitionBy("segment", "iteration").text(path)
+    """Texts of each segment's iterations, in a folder for each, which one task writes: job=*/task=*/segment=*/iteration=*/texts.txt, named as Spark names
+    partitions. What a task has written is moved to its place as one folder, so a commit costs the same whatever the number of segments."""
+    from tidemark.sources import results
+
+    store, folder = results.store_of(path)
+    if store.get_file_info(folder).type.name != "NotFound":
+        raise FileExistsError(path)
+    results.register(rows.sparkSession)
+
+    def named(c: str) -> Column:
+        text = F.col(c).cast("string")
+        for mark in ESCAPED if rows.schema[c].dataType.simpleString() == "string" else "":
+            text = F.replace(text, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+        return F.concat(F.lit(f"{c}="), F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_VALUE)))
+
+    placed = rows.select(F.concat(named("segment"), F.lit("/"), named("iteration")).alias("file"), F.col("text").alias("value"))
+    dealt = placed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file")
+    dealt.write.format("results").option("kind", "folders").mode("append").save(path)
 
 
 def _subtitles(blocks, header: str = ""):

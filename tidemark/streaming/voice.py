@@ -122,7 +122,7 @@ class Router:
 
 @dataclass
 class Buffer:
-    """Segments up to most seconds: the oldest leave while there is more than one and too much."""
+    """Segments up to most seconds: the oldest leave while there is more than one and too much. Lengths that make most but for rounding are not too much."""
 
     most: float = 30.0
     lengths: list[float] = field(default_factory=list)
@@ -131,7 +131,7 @@ class Buffer:
         """Seconds that left."""
         self.lengths.append(length)
         gone = 0.0
-        while len(self.lengths) > 1 and sum(self.lengths) > self.most:
+        while len(self.lengths) > 1 and sum(self.lengths) > self.most + 1e-9:
             gone += self.lengths.pop(0)
         return gone
 
