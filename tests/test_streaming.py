@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.streaming import processors as P
 from tidemark.streaming.sources import PcmSource, first_of_each, sessions, tumbling
-from tidemark.streaming.voice import Detector, Router, blocks, merged, whole_characters
+from tidemark.streaming.voice import Buffer, Detector, Router, blocks, merged, whole_characters
 
 rng = random.Random(7)
 N = 40
@@ -195,3 +195,12 @@ def test_sessions_end_by_the_clock_and_their_state_expires(spark, tmp_path):
         k, _ = k + 1, time.sleep(1)
     query.stop()
     assert sorted(r["session"] for r in spark.table("t_clock").where("s = 'a' AND ended IS NOT NULL").collect()) == [0, 0]  # the number was forgotten
+
+
+def test_retention_of_lengths_that_make_the_most_but_for_rounding():
+    """Six lengths that make 30 s, of which floats make a little more, stay."""
+    b, gone = Buffer(30.0), 0.0
+    for x in (71.81, 89.95, 173.68, 176.06, 64.05, 24.45):
+        gone += b.add(x / 20)
+    assert gone == 0.0 and len(b.lengths) == 6
+    assert b.add(0.001) == 71.81 / 20
