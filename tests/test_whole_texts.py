@@ -69,6 +69,20 @@ def test_long_token_distance_of_whole_texts(spark, talks, folder):
     assert {r["conv_id"]: r["edits"] for r in rows} == {c: distance(w, worse(w)) for c, t, w in talks if t == 0}
 
 
+def test_long_token_distance_of_long_arrays(spark):
+    """A fold over a table of 400 million cells would not end; the one for use inside lambdas agrees on short arrays."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import edit
+
+    a = F.transform(F.sequence(F.lit(1), F.lit(20_001)), lambda x: x.cast("string"))
+    b = F.concat(F.array(F.lit("0")), F.slice(a, 1, 10_000), F.slice(a, 10_002, 10_000))
+    assert spark.range(1).select(edit.token_distance_long(a, b)).first()[0] == 2
+    rows = [(list(x), list(y)) for x, y in (("kitten", "sitting"), ("", "abc"), ("abc", ""), ("", ""), ("aaaabbbbcccc", "ccccbaabbaaaa"), ("x", "yyyyyyyyxyyyyyyyy"))]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(edit._folded_distance(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [distance(x, y) for x, y in rows]
+
+
 def test_candidates_and_words_of_whole_texts(spark, talks, folder):
     by = {(c, t): w for c, t, w in talks}
     got = {r["conv_id"]: r["top"] for r in run(spark, "q_kbest", folder)}

@@ -15,7 +15,7 @@ def token_distance(a: Column | str, b: Column | str) -> Column:
     """Edit distance of two token arrays: each distinct token becomes one character, and levenshtein does the rest.
 
     Characters come from the CJK block and above, and from the other planes for a pair of rows with 20,000 distinct tokens or more; beyond a
-    million token_distance_long takes over."""
+    million a fold over the arrays takes over."""
     both = F.struct(col(a).alias("a"), col(b).alias("b"), F.array_distinct(F.concat(col(a), col(b))).alias("words"))
 
     def coded(tokens: Column, words: Column, first: int, digits: int, charset: str) -> Column:
@@ -25,25 +25,26 @@ def token_distance(a: Column | str, b: Column | str) -> Column:
     def distance(x: Column) -> Column:
         by = lambda *how: F.levenshtein(coded(x["a"], x["words"], *how), coded(x["b"], x["words"], *how))
         n = F.size(x["words"])
-        return F.when(n < 20_000, by(0x4DFF, 4, "UTF-16BE")).when(n < 1_000_000, by(0xFFFF, 8, "UTF-32")).otherwise(token_distance_long(x["a"], x["b"]))
+        return F.when(n < 20_000, by(0x4DFF, 4, "UTF-16BE")).when(n < 1_000_000, by(0xFFFF, 8, "UTF-32")).otherwise(_folded_distance(x["a"], x["b"]))
 
     return bound(both, distance)
 
 
 def token_distance_long(a: Column | str, b: Column | str) -> Column:
-    """The same by dynamic programming over arrays of any size."""
-    a, b = col(a), col(b)
-    start = F.sequence(F.lit(0), F.size(b))
+    """The same for arrays of any size, by bit vectors."""
+    return edits(a, b).cast("int")
+
+
+def _folded_distance(a: Column, b: Column) -> Column:
+    """The same in Catalyst, for use inside its lambdas: a row of the edit table is made of the one above, and what goes on from the left by doubling."""
+    n = F.size(b)
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda by: by <= n)
 
     def row(state: Column, x: Column) -> Column:
-        first = F.array(F.element_at(state, 1) + 1)
-        done = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), first,
-            lambda now, j: F.concat(now, F.array(F.least(F.element_at(now, -1) + 1, F.element_at(state, j + 1) + 1, F.element_at(state, j) + F.when(F.element_at(b, j) == x, 0).otherwise(1)))),
-        )
-        return F.when(F.size(b) == 0, first).otherwise(done)
-
-    return F.element_at(F.aggregate(a, start, row), -1)
+        above = lambda v, j: F.least(v + 1, F.get(state, j - 1) + F.when(F.get(b, j - 1) == x, 0).otherwise(1))
+        return F.aggregate(steps, F.transform(state, above), lambda now, by: F.transform(now, lambda v, j: F.least(v, F.get(now, j - by) + by)))
+
+    return F.element_at(F.aggregate(a, F.sequence(F.lit(0), n), row), -1)
 
 
 def close_distance(a: Column | str, b: Column | str) -> Column:

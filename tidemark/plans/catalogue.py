@@ -114,7 +114,7 @@ def q_character_error_rate(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PAIRS_SQL}, norm AS (SELECT conv_id, turn, ref AS r, hyp AS h FROM pairs), {_DISTANCE} SELECT conv_id, turn, CAST(edits AS INTEGER) AS edits FROM rates")
 def q_token_distance_long(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", edit.token_distance_long("ref", "hyp").alias("edits"))
+    return evaluate.spread(pairs(spark, sf_dir)).select("conv_id", "turn", edit.token_distance_long("ref", "hyp").alias("edits"))
 
 
 # --- normalisation and tokens ------------------------------------------------------------------------------------------
