@@ -83,6 +83,22 @@ def test_long_token_distance_of_long_arrays(spark):
     assert [r[0] for r in got] == [distance(x, y) for x, y in rows]
 
 
+def test_word_times_of_many_words(spark):
+    """200,000 words in time that grows with them; the square of it would not end. Words of no token end where the one before does."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import commit
+
+    n = 200_000
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.cast("string").alias("text"), F.array_repeat(F.lit(7), (k % 3).cast("int")).alias("tokens")))
+    got = spark.range(1).select(F.sequence(F.lit(1), F.lit(n + 1)).alias("f"), words.alias("w")).select(F.inline(commit.word_times("w", "f", F.lit(0.0), 1.0))).agg(F.sum("start"), F.sum("end"), F.count("*"), F.max_by("end", F.col("text").cast("int"))).first()
+    upto, starts, ends = 0, 0.0, 0.0
+    for k in range(1, n + 1):
+        starts, upto = starts + upto + 1, upto + k % 3
+        ends += upto
+    assert list(got) == [starts, ends, n, upto]
+
+
 def test_candidates_and_words_of_whole_texts(spark, talks, folder):
     by = {(c, t): w for c, t, w in talks}
     got = {r["conv_id"]: r["top"] for r in run(spark, "q_kbest", folder)}

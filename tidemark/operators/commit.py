@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.blocks import SuffixAutomaton
+from tidemark.functions.text import bound
 
 
 def common_prefix(a: str, b: str) -> str:
@@ -121,14 +122,25 @@ def committed_words(words: Column | str, fired: Column, last: Column) -> Column:
 
 
 def word_times(words: Column | str, frames: Column | str, offset: Column, frame_seconds: float = 0.02) -> Column:
-    """words: array of structs (text, tokens). Each with start and end by its tokens' frames; missing frames on the left repeat the first."""
+    """words: array of structs (text, tokens). Each with start and end by its tokens' frames; missing frames on the left repeat the first. In time that grows with the words."""
     words = F.col(words) if isinstance(words, str) else words
     frames = F.col(frames) if isinstance(frames, str) else frames
-    need = F.aggregate(words, F.lit(0), lambda n, w: n + F.size(w["tokens"]))
-    full = F.concat(F.array_repeat(F.element_at(frames, 1), F.greatest(need - F.size(frames), F.lit(0))), frames)
-    at = lambda k: F.element_at(full, k) * frame_seconds + offset
-    before = lambda i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda n, w: n + F.size(w["tokens"]))
-    return F.transform(words, lambda w, i: F.struct(at(before(i) + 1).alias("start"), at(before(i) + F.size(w["tokens"])).alias("end"), w["text"].alias("text"), w["tokens"].alias("tokens")))
+    # A mark behind each word's tokens: its place, less the marks before it, is the number of tokens up to there.
+    marks = F.flatten(F.transform(words, lambda w: F.concat(F.array_repeat(F.lit(False), F.size(w["tokens"])), F.array(F.lit(True)))))
+    places = F.filter(F.transform(marks, lambda mark, k: F.when(mark, k)), lambda k: k.isNotNull())
+    known = F.struct(words.alias("words"), frames.alias("frames"), F.transform(places, lambda k, i: k - i).alias("upto"))
+
+    def with_frames(x: Column) -> Column:
+        need = F.coalesce(F.get(x["upto"], F.size(x["upto"]) - 1), F.lit(0))
+        full = F.concat(F.array_repeat(F.element_at(x["frames"], 1), F.greatest(need - F.size(x["frames"]), F.lit(0))), x["frames"])
+        return F.struct(x["words"].alias("words"), x["upto"].alias("upto"), full.alias("full"))
+
+    def timed(x: Column) -> Column:
+        at = lambda k: F.element_at(x["full"], k) * frame_seconds + offset
+        before = lambda i: F.coalesce(F.get(x["upto"], i - 1), F.lit(0))
+        return F.transform(x["words"], lambda w, i: F.struct(at(before(i) + 1).alias("start"), at(F.get(x["upto"], i)).alias("end"), w["text"].alias("text"), w["tokens"].alias("tokens")))
+
+    return bound(bound(known, with_frames), timed)
 
 
 def changed_lines(rows: DataFrame, key: str, order: str, line: str) -> DataFrame:
