@@ -213,3 +213,15 @@ def test_all_writers(spark, tmp_path):
     assert read("srt").strip() == "1\n00:00:00,000 --> 00:00:01,500\none\n\n2\n00:00:02,000 --> 00:00:03,000\ntwo->"
     assert read("vtt").strip() == "WEBVTT\n\n00:00.000 --> 00:01.500\none\n\n00:02.000 --> 00:03.000\ntwo->"
     assert set(sinks.WRITERS) == {"txt", "vtt", "srt", "tsv", "json"}
+
+
+def test_cues_of_many_short_keys(spark):
+    """Words of a key are those between two changes of it, whatever the batches of rows; no group of rows is made for each."""
+    rows = spark.range(40_000).selectExpr("IF(id % 4000 = 7, NULL, id % 4000) AS k", "0 AS segment", "id AS seq", "concat(' w', id % 7) AS text", "CAST(id AS double) AS start", "id + 0.5D AS end")
+    got = sinks.cues(rows, "k", 8, 2)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in got.orderBy("k", "seq").collect():
+        found.setdefault(r["k"], []).append((r["start"], r["end"], r["text"]))
+    words = lambda k: [(0, f" w{i % 7}", float(i), i + 0.5) for i in range(k, 40_000, 4000)]
+    assert found == {None if k == 7 else k: sinks.cue_fold(words(k), 8, 2, 3.0) for k in range(4000)}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import col, cue_text, strip, timestamp_text
+from tidemark.operators.runs import other, runs, values
 
 PACKET = 65536
 #: Fixed value: a folder's name for null or an empty text, as Spark has it.
@@ -94,31 +95,74 @@ def cue_fold(words: list[tuple[int, str, float, float]], width: int | None, line
     """(start, end, text) of cues from words (segment, text, start, end): words are put to lines of width, and lines to cues, at most lines of them in one.
 
     Without width or lines, segments are kept apart as cues; a pause begins a new cue otherwise."""
-    table = pd.DataFrame(words, columns=["segment", "text", "start", "end"])
-    by_segment = width is None or lines is None
-    broken = (table["segment"].diff() != 0 if by_segment else table["start"].diff() > pause).tolist()
-    bare = table["text"].str.strip()
-    table["line"] = line_numbers(list(zip(table["text"].str.len(), bare.str.len(), strict=True)), [False, *broken[1:]] if broken else [], width or 1000)
-    first = ~table["line"].duplicated()
-    table["piece"] = table["text"].where(~first, bare)
-    made = table.groupby("line").agg(text=("piece", "".join), start=("start", "first"), end=("end", "last"))
-    made["cue"] = cue_numbers([b for b, x in zip(broken, first, strict=True) if x], lines)
-    # Only what stands between two lines of a cue is trimmed.
-    made["text"] = made["text"].str.strip().where(made["cue"].duplicated(), made["text"].str.lstrip())
-    joined = made.groupby("cue").agg(start=("start", "first"), end=("end", "last"), text=("text", "\n".join))
-    return list(joined.itertuples(index=False, name=None))
+    by_segment, broken = width is None or lines is None, []
+    for k, (segment, _, start, _) in enumerate(words):
+        broken.append(k > 0 and (segment != words[k - 1][0] if by_segment else start - words[k - 1][2] > pause))
+    bare = [text.strip() for _, text, _, _ in words]
+    numbers = line_numbers([(len(text), len(b)) for (_, text, _, _), b in zip(words, bare, strict=True)], broken, width or 1000)
+    made: list[list] = []  # of each line its pieces, start and end, of which a missing one gives way to the next or to the one before
+    breaks: list[bool] = []
+    for (_, text, start, end), piece, number, new in zip(words, bare, numbers, broken, strict=True):
+        if number == len(made):
+            made.append([[piece], start, end])
+            breaks.append(new)
+            continue
+        line = made[-1]
+        line[0].append(text)
+        if line[1] != line[1]:
+            line[1] = start
+        if end == end:
+            line[2] = end
+    out: list[list] = []
+    last = None
+    for (pieces, start, end), cue in zip(made, cue_numbers(breaks, lines), strict=True):
+        text = "".join(pieces)
+        if cue != last:
+            out.append([start, end, [text.lstrip()]])
+            last = cue
+            continue
+        # Only what stands between two lines of a cue is trimmed.
+        shown = out[-1]
+        shown[2].append(text.strip())
+        if shown[0] != shown[0]:
+            shown[0] = start
+        if end == end:
+            shown[1] = end
+    return [(start, end, "\n".join(texts)) for start, end, texts in out]
 
 
 def cues(words: DataFrame, key: str, width: int | None = None, lines: int | None = None) -> DataFrame:
-    """(key, seq, start, end, text) of subtitles from word rows (key, segment, seq, text, start, end)."""
+    """(key, seq, start, end, text) of subtitles from word rows (key, segment, seq, text, start, end). A task holds the words of one key at a time."""
     kind = words.schema[key].dataType.simpleString()
-
-    def fold(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["segment", "seq"])
-        got = cue_fold(list(pdf[["segment", "text", "start", "end"]].itertuples(index=False, name=None)), width, lines)
-        return pd.DataFrame([(pdf[key].iloc[0], k, *x) for k, x in enumerate(got)], columns=[key, "seq", "start", "end", "text"])
-
-    return words.groupBy(key).applyInPandas(fold, f"{key} {kind}, seq bigint, start double, end double, text string")
+    names = [key, "seq", "start", "end", "text"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def done() -> list[tuple]:
+            return [(last, k, *x) for k, x in enumerate(cue_fold(held, width, lines))]
+
+        def as_rows(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            types = [key_type, pa.int64(), pa.float64(), pa.float64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            key_type, out = batch.column(0).type, []
+            for k, *word in zip(batch.column(0).to_pylist(), *(values(batch.column(n)) for n in range(1, 5)), strict=True):
+                if held and other(k, last):
+                    out += done()
+                    held = []
+                last = k
+                held.append(tuple(word))
+            if out:
+                yield as_rows(out)
+        if held:
+            yield as_rows(done())
+
+    ordered = runs(words.select(key, "segment", "text", F.col("start").cast("double"), F.col("end").cast("double"), "seq"), key, "segment", "seq")
+    return ordered.mapInArrow(fold, f"{key} {kind}, seq bigint, start double, end double, text string")
 
 
 def packets(text: Column | str, size: int = PACKET, pad: bool = False) -> Column:
