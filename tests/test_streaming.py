@@ -4,6 +4,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.streaming import processors as P
 from tidemark.streaming.sources import PcmSource, first_of_each, sessions, tumbling
@@ -204,3 +205,12 @@ def test_retention_of_lengths_that_make_the_most_but_for_rounding():
         gone += b.add(x / 20)
     assert gone == 0.0 and len(b.lengths) == 6
     assert b.add(0.001) == 71.81 / 20
+
+
+def test_batch_of_many_short_streams(spark):
+    """Streams end where the key changes, in the middle of a batch of rows or at its border; a null key is one stream; no group of rows is made."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 5000 > 0, F.col("id") % 5000).alias("s"), F.col("id").alias("k"), F.lit("x").alias("line"))
+    got = P.batch(rows, P.ChangedLine(), "s", "k")
+    assert got.agg(F.count("*"), F.max("k"), F.count_if(F.col("s").isNull())).first() == (5000, 4999, 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan

@@ -11,10 +11,14 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tidemark.operators.commit import Committed, agreement_step, clamp_step
+from tidemark.operators.runs import other, runs, values
 from tidemark.streaming.voice import Buffer, Detector, Router, merged, whole_characters
 
 
@@ -173,14 +177,29 @@ def _run(operator: Operator, state: Any, key_value: Any, pdf: pd.DataFrame, orde
 
 
 def batch(rows: DataFrame, operator: Operator, key: str, order: str) -> DataFrame:
-    """The operator over each key's rows by order. A key's rows are one stream's and pass through one task."""
+    """The operator over each key's rows by order. A key's rows are one stream's and pass through one task, which keeps the operator's state and no rows."""
     schema = _schema(rows, operator, key, order)
     names = [x.split()[0] for x in schema.split(", ")]
-
-    def fold(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(operator, operator.start(), k[0], pdf, order)[1], columns=names)
-
-    return rows.select(key, order, *operator.columns).groupBy(key).applyInPandas(fold, schema)
+    types = [f.type for f in to_arrow_schema(StructType.fromDDL(operator.output))]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, state, step = None, False, None, operator.step
+        for part in batches:
+            places, out = [], []
+            columns = [values(part.column(k)) for k in range(2, part.num_columns)]
+            for n, (k, *row) in enumerate(zip(part.column(0).to_pylist(), *columns, strict=True)):
+                if not begun or other(k, last):
+                    last, begun, state = k, True, operator.start()
+                state, got = step(state, tuple(row))
+                for x in got:
+                    places.append(n)
+                    out.append(x)
+            if out:
+                at = pa.array(places, pa.int64())
+                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *made], names)
+
+    return runs(rows.select(key, order, *operator.columns), key, order).mapInArrow(fold, schema)
 
 
 class _Processor(StatefulProcessor):
