@@ -1,6 +1,7 @@
 """Edit distances, longest blocks, warping paths and word repair, against plain forms of them."""
 
 import random
+import re
 import resource
 from difflib import SequenceMatcher
 
@@ -171,3 +172,16 @@ def test_medians_by_rank(spark):
     rows = [(k, round(rng.random() * 3, 1)) for k in "abc" for _ in range(rng.randrange(1, 40))]
     got = {r["k"]: r["median"] for r in timing.medians(spark.createDataFrame(rows, "k string, v double"), "k", F.col("v")).collect()}
     assert got == {k: float(np.median([v for j, v in rows if j == k])) for k in "abc"}
+
+
+def test_words_are_dealt_by_segment_alone(spark):
+    """What is dealt by file holds segments; words are dealt by segment, with what they need of their file, and by nothing else."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(8).selectExpr("'f' AS f", "id DIV 4 AS segment", "id DIV 4 * 4.0D AS seg_start", "id DIV 4 * 4.0D + 4 AS seg_end", "id % 4 AS seq", "concat(' w', id) AS text", "CAST(id AS double) AS start", "id + 1.0D AS end")
+        plan = spark._jvm.PythonSQLUtils.explainString(timing.repaired(df.repartition(3), "f")._jdf.queryExecution(), "formatted")
+        dealt = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\((.*)\), ENSURE", plan)
+        assert dealt and not [by for columns, by in dealt if "seq#" in columns and "segment#" not in by]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -224,6 +224,12 @@ def q_guarded(spark, sf_dir):
     return plugins.guarded(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", work, {"n": "bigint"})
 
 
+def _seconds_before(seq: Column) -> Column:
+    """Nine words take 8 * 0.25 + 2 s; the first nine have no long one."""
+    full = F.floor(seq / 9)
+    return seq * 0.25 + F.when(seq % 9 == 0, F.greatest(full - 1, F.lit(0))).otherwise(full) * 1.75
+
+
 @query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\s.,!?]+|[.,!?]') AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(range(len(w))) AS i, unnest(w) AS x FROM t),
 d AS (SELECT *, regexp_full_match(x, '[.,!?]') AS mark, CASE WHEN i >= 2 AND i % 9 = 0 THEN 2.0::DOUBLE ELSE 0.25::DOUBLE END AS d FROM e),
 s AS (SELECT *, turn * 1000 + sum(d) OVER w AS "end", lag(x) OVER w IN ('.', '!', '?') AS after_mark, sum(CASE WHEN mark AND i > 0 THEN 0 ELSE 1 END) OVER w - 1 AS seq FROM d WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
@@ -231,15 +237,14 @@ c AS (SELECT *, CASE WHEN d > 0.5 AND NOT mark AND after_mark THEN "end" - 0.5::
 SELECT conv_id, turn AS segment, CAST(seq AS BIGINT) AS seq, string_agg(CASE WHEN mark THEN x ELSE ' ' || x END, '' ORDER BY i) AS text, round(min_by(start, i), 2) AS start, round(min_by("end", i), 2) AS "end" FROM c GROUP BY conv_id, turn, seq""")
 def q_word_repair(spark, sf_dir):
     """Words of a quarter of a second, each ninth of two, with marks apart: marks join their words, and a long word after a sentence's end is shortened."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s.,!?]+|[.,!?]"), 0)).alias("seq", "x"))
-    long_ = (F.col("seq") >= 2) & (F.col("seq") % 9 == 0)
-    # Nine words take 8 * 0.25 + 2 s; the first nine have no long one.
-    full = F.floor(F.col("seq") / 9)
-    before = F.col("seq") * 0.25 + F.when(F.col("seq") % 9 == 0, F.greatest(full - 1, F.lit(0))).otherwise(full) * 1.75
-    start = F.col("segment") * 1000 + before
-    rows = rows.withColumns({"start": start, "end": start + F.when(long_, 2.0).otherwise(0.25), "text": F.when(F.col("x").rlike("^[.,!?]$"), F.col("x")).otherwise(F.concat(F.lit(" "), "x"))})
-    spans = rows.groupBy("conv_id", "segment").agg(F.min("start").alias("seg_start"), F.max("end").alias("seg_end"))
-    return timing.repaired(rows.join(spans, ["conv_id", "segment"]).drop("x"), "conv_id")
+    marked = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"), F.regexp_extract_all("text", F.lit(r"[^\s.,!?]+|[.,!?]"), 0).alias("w"))
+    begins = lambda seq: F.col("segment") * 1000 + _seconds_before(seq)
+    lasts = lambda seq: F.when((seq >= 2) & (seq % 9 == 0), 2.0).otherwise(0.25)
+    end = F.size("w") - 1
+    rows = marked.select("conv_id", "segment", begins(F.lit(0)).alias("seg_start"), (begins(end) + lasts(end)).alias("seg_end"), F.posexplode("w").alias("seq", "x"))
+    seq = F.col("seq")
+    rows = rows.withColumns({"start": begins(seq), "end": begins(seq) + lasts(seq), "text": F.when(F.col("x").rlike("^[.,!?]$"), F.col("x")).otherwise(F.concat(F.lit(" "), "x"))})
+    return timing.repaired(rows.drop("x"), "conv_id")
 
 
 _SERIES = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
