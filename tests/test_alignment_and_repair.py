@@ -179,7 +179,7 @@ def test_words_are_dealt_by_segment_alone(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        df = spark.range(8).selectExpr("'f' AS f", "id DIV 4 AS segment", "id DIV 4 * 4.0D AS seg_start", "id DIV 4 * 4.0D + 4 AS seg_end", "id % 4 AS seq", "concat(' w', id) AS text", "CAST(id AS double) AS start", "id + 1.0D AS end")
+        df = spark.range(16).selectExpr("concat('f', id DIV 8) AS f", "id DIV 4 AS segment", "id DIV 4 * 4.0D AS seg_start", "id DIV 4 * 4.0D + 4 AS seg_end", "id % 4 AS seq", "concat(' w', id) AS text", "CAST(id AS double) AS start", "id + 1.0D AS end")
         plan = spark._jvm.PythonSQLUtils.explainString(timing.repaired(df.repartition(3), "f")._jdf.queryExecution(), "formatted")
         dealt = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\((.*)\), ENSURE", plan)
         assert dealt and not [by for columns, by in dealt if "seq#" in columns and "segment#" not in by]
