@@ -51,6 +51,31 @@ def test_distances_of_long_texts():
     assert edit.distance(a, "z" * 40_001) == 40_001 and edit.distance(a, "") == 40_000
 
 
+@pytest.mark.parametrize("near", [0, 1, 8, 100])
+def test_distances_of_many_pairs(monkeypatch, near):
+    """Along diagonals up to any number of edits, and by bit vectors beyond; a few pairs at a time."""
+    monkeypatch.setattr(edit, "NEAR", near)
+    monkeypatch.setattr(edit, "PAIRS", 37)
+    rng = random.Random(near)
+    pairs = [("", ""), ("", "abc"), ("abc", "")]
+    for _ in range(300):
+        letters = rng.choice(["a", "ab", "abcdefgh", "aé日😀"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
+        pairs.append((a, changed(a, rng.randrange(12), letters, rng) if rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(rng.randrange(60)))))
+    assert edit.distances(*map(list, zip(*pairs))) == [table_distance(a, b) for a, b in pairs]
+    assert edit.distances([a.split("a") for a, _ in pairs], [b.split("a") for _, b in pairs]) == [table_distance(a.split("a"), b.split("a")) for a, b in pairs]
+    assert edit.distances([], []) == []
+
+
+def test_pairs_of_few_edits_take_no_tables(monkeypatch):
+    """Texts that differ little are told from their diagonals alone, however long they are, among others that are short."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (10, 3000, 100_000, 5000)] + ["ab" * 20_000]
+    monkeypatch.setattr(edit, "distance", lambda *_: 1 / 0)
+    assert edit.distances(texts, [t[2:] + "XYZ" for t in texts]) == [5, 5, 5, 5, 3]
+    assert edit.distances(texts, texts) == [0] * 5
+
+
 def test_edits_as_a_column(spark):
     rows = spark.createDataFrame([("kitten", "sitting"), ("", "x"), (None, "x"), ("日本", "日😀本")], "a string, b string")
     assert [r[0] for r in rows.select(edit.edits("a", "b")).collect()] == [3, 1, None, 1]

@@ -384,3 +384,15 @@ def test_english_normaliser_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r["t"] for r in catalogue.queries()["q_en_normaliser"](spark, str(tmp_path)).collect()}
     assert got == {k: plain_english(t) for k, t in enumerate(texts)}
+
+
+def test_strip_takes_all_white_space(spark):
+    """What Java's Unicode classes hold as white space goes at both ends, and nothing else does."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text
+
+    c = spark.range(0x3100).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    t = c.select(F.explode(F.array("c", F.concat("c", F.lit("a"), "c", F.lit("a"), "c"), F.concat(F.lit(" "), "c", F.lit("\r\n")))).alias("t"))
+    assert t.where(~text.strip("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert t.count() == 3 * 0x3100

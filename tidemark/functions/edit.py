@@ -1,9 +1,10 @@
-"""Edit distance and error rates. Short tokens stay in Catalyst; whole texts take bit vectors, a column of the edit table at once."""
+"""Edit distance and error rates. Short tokens stay in Catalyst; whole texts are compared along diagonals, many at once, and by bit vectors where they differ much."""
 
 from __future__ import annotations
 
 from collections.abc import Hashable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +58,10 @@ def close_distance(a: Column | str, b: Column | str) -> Column:
 
 #: Half the width of the first band that is tried; texts that are shorter than some of it are compared without one.
 BAND = 64
+#: Pairs and symbols that are compared along diagonals at once, and a measure of how many edits are few for a length.
+PAIRS, SYMBOLS, NEAR = 256, 1 << 21, 8
+#: Symbols that are compared at a time on diagonals that go on, of how many at once.
+BLOCKS, CELLS = (8, 64, 512, 4096), 1 << 18
 
 
 def _places(a: Sequence[Hashable]) -> dict[Hashable, int]:
@@ -109,8 +114,9 @@ def _banded(places: dict[Hashable, int], m: int, b: Sequence[Hashable], k: int)
     return score
 
 
-def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
-    """Exact edit distance of two sequences: without what they share at both ends, within bands of growing width, and in the end without one."""
+def distance(a: Sequence[Hashable], b: Sequence[Hashable], least: int = 0) -> int:
+    """Exact edit distance of two sequences: without what they share at both ends, within bands of growing width, and in the end without one.
+    least: of the first band, half its width or more."""
     first, most = 0, min(len(a), len(b))
     while first < most and a[first] == b[first]:
         first += 1
@@ -120,7 +126,7 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     a, b = a[first : len(a) - last], b[first : len(b) - last]
     if len(a) < len(b):
         a, b = b, a
-    m, k = len(a), max(BAND, 2 * (len(a) - len(b)))
+    m, k = len(a), max(BAND, least, 2 * (len(a) - len(b)))
     if not b:
         return m
     places = _places(a)
@@ -131,16 +137,103 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return _whole(places, m, b)
 
 
+def _laid(rows: list[Sequence[Hashable]], codes: dict[Hashable, int], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows' symbols one row after the other, each with end behind it, and room for a block; where each row begins)."""
+    parts, stop = [], np.array([end], np.uint32)
+    for x in rows:
+        parts += [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(x, str) else np.array([codes.setdefault(v, len(codes)) for v in x], np.uint32), stop]
+    sizes = np.array([len(x) + 1 for x in rows], np.int64)
+    return np.concatenate([*parts, np.full(BLOCKS[-1], end, np.uint32)]), np.cumsum(sizes) - sizes
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many symbols from each i and j on are the same: one, then blocks that grow for those that go on. a, b: symbols, and blocks of them from each on.
+    Rows end in different symbols."""
+    live = np.flatnonzero(a[0][i] == b[0][j])
+    out = np.zeros(len(i), np.int64)
+    begun = i[live]
+    p, q, size = begun + 1, j[live] + 1, 0
+    while len(live):
+        same = a[size + 1][p] == b[size + 1][q]
+        first = same.argmin(1)
+        on = same[np.arange(len(live)), first]
+        p += np.where(on, BLOCKS[size], first)
+        if not on.all():
+            out[live[~on]] = (p - begun)[~on]
+            live, begun, p, q = live[on], begun[on], p[on], q[on]
+        q += BLOCKS[size]
+        size += size + 1 < len(BLOCKS) and len(live) * BLOCKS[size + 1] <= CELLS
+    return out
+
+
+def _near(a: list[Sequence[Hashable]], b: list[Sequence[Hashable]], most: np.ndarray) -> np.ndarray:
+    """Distances of pairs that have most edits or fewer, else -1. With each edit more, every diagonal's furthest place that so many edits lead to
+    follows from those of its neighbours: some e * e steps for e edits, of all pairs at once."""
+    codes: dict[Hashable, int] = {}
+    (xs, at), (ys, to) = _laid(a, codes, 0xFFFFFFFF), _laid(b, codes, 0xFFFFFFFE)
+    xs, ys = ([x, *(np.lib.stride_tricks.sliding_window_view(x, k) for k in BLOCKS)] for x in (xs, ys))
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    out, rows, e = np.full(len(a), -1, np.int64), np.arange(len(a)), 0
+    ends = (at + _shared(xs, ys, at, to))[:, None]  # places in xs, with a column for each diagonal from -e to e
+    while True:
+        k = n - m
+        done = (abs(k) <= e) & (ends[np.arange(len(rows)), np.clip(k + e, 0, 2 * e)] == at + m)
+        out[rows[done]] = e
+        stay = ~done & (e < most)
+        if not stay.all():
+            rows, ends, m, n, at, to, most = (x[stay] for x in (rows, ends, m, n, at, to, most))
+        if not len(rows):
+            return out
+        e += 1
+        new = np.zeros((len(rows), 2 * e + 1), np.int64)
+        new[:, 2:] = ends  # a symbol more of b
+        ends += 1
+        np.maximum(new[:, 1:-1], ends, out=new[:, 1:-1])  # another one
+        np.maximum(new[:, :-2], ends, out=new[:, :-2])  # one more of a
+        diagonal = np.arange(-e, e + 1)
+        last = np.minimum((at + m)[:, None], (at + n)[:, None] - diagonal)
+        np.minimum(new, last, out=new)
+        other = new + ((to - at)[:, None] + diagonal)
+        if e <= min(m.min(), n.min()):
+            new += _shared(xs, ys, new.ravel(), other.ravel()).reshape(new.shape)
+        else:  # some diagonals lie beyond a table
+            inside = (last >= at[:, None]) & (m[:, None] + diagonal >= 0)
+            new[inside] += _shared(xs, ys, new[inside], other[inside])
+            new[~inside] = 0
+        ends = new
+
+
+def distances(a: list[Sequence[Hashable]], b: list[Sequence[Hashable]]) -> list[int]:
+    """Exact edit distance of each pair, of texts or of lists: along diagonals while there are few edits for the length, else by bit vectors."""
+    out, lo = [0] * len(a), 0
+    size = [max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    order = sorted(range(len(a)), key=size.__getitem__)  # pairs of a length need about as many steps
+    while lo < len(order):
+        hi, held = lo + 1, 2 * size[order[lo]]
+        while hi < min(len(order), lo + PAIRS) and (held := held + 2 * size[order[hi]]) <= SYMBOLS:
+            hi += 1
+        these = order[lo:hi]
+        few = [int(NEAR * (size[k] * (1 + size[k] / 6000)) ** 0.5) for k in these]
+        for k, most, d in zip(these, few, _near([a[k] for k in these], [b[k] for k in these], np.array(few, np.int64)).tolist(), strict=True):
+            out[k] = distance(a[k], b[k], most) if d < 0 else d
+        lo = hi
+    return out
+
+
 def compared(a: Column | str, b: Column | str) -> Column:
     """(edits, n_a, n_b): edit distance and lengths of two texts by code point, or of two arrays by element, of any length and at any distance; null with a null.
 
-    Spark's levenshtein fills a table of all pairs of characters; here a number holds a column of it, some sixty cells a machine step, for a batch of
-    rows in Python. Lengths come along, so that what makes the texts is evaluated once."""
+    Spark's levenshtein fills a table of all pairs of characters; here a batch of rows goes along the diagonals of their tables, or a number holds a
+    column of one, some sixty cells a machine step. Lengths come along, so that what makes the texts is evaluated once."""
 
     @F.pandas_udf("edits long, n_a long, n_b long")
     def each(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         plain = lambda v: v if isinstance(v, str) else list(v)
-        rows = [(None,) * 3 if p is None or q is None else (distance(plain(p), plain(q)), len(p), len(q)) for p, q in zip(x, y, strict=True)]
+        there = [k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
+        ps, qs = [plain(x.iat[k]) for k in there], [plain(y.iat[k]) for k in there]
+        rows = [(None,) * 3] * len(x)
+        for k, p, q, d in zip(there, ps, qs, distances(ps, qs), strict=True):
+            rows[k] = d, len(p), len(q)
         return pd.DataFrame(rows, columns=["edits", "n_a", "n_b"], dtype="Int64")
 
     return each(col(a), col(b))

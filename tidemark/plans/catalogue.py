@@ -93,11 +93,12 @@ def q_mer_summary(spark, sf_dir):
 FROM (SELECT doc_id, {_bare("text")} AS cr, {_bare("replace(substr(text, 3), 'x', 'ks')")} AS ch FROM documents) WHERE length(cr) > 0 AND length(ch) > 0""")
 def q_cer_rows(spark, sf_dir):
     """Whole texts against themselves without their first two characters and with each x as ks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.replace(F.expr("substring(text, 3)"), F.lit("x"), F.lit("ks")).alias("b"))
+    docs = evaluate.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.col("text").alias("a"), F.replace(F.expr("substring(text, 3)"), F.lit("x"), F.lit("ks")).alias("b"))
     r, h = text.for_character_rate("a", "b", F.lit("en"))
     # Texts of which something is left; a filter on what comes out of Python would be evaluated there a second time.
     some = lambda c: F.col(c).rlike(r"(?U)[^\s!-/:-@\[-`{-~]")
-    rows = evaluate.spread(docs.where(some("a") & some("b"))).select("doc_id", edit.compared(text.strip(r), text.strip(h)).alias("c"))
+    rows = docs.where(some("a") & some("b")).select("doc_id", edit.compared(text.strip(r), text.strip(h)).alias("c"))
     return rows.select("doc_id", F.col("c.n_a").alias("n_ref"), r6(F.col("c.edits") / F.col("c.n_a")).alias("cer"))
 
 
