@@ -197,3 +197,29 @@ def test_span_table_holds_ids_beyond_16_bits():
     t.add(np.array([2, 9], np.uint64), np.array([1, 2]), np.array([65_536, 7, 200_000], np.uint32))
     values, which = t.expand(t.find(np.array([2, 3, 9], np.uint64)))
     assert values.tolist() == [65_536, 1, 65_535, 7, 200_000] and which.tolist() == [0, 1, 1, 2, 2]
+
+
+def test_encoder_parts_words_from_marks():
+    """A word is encoded once, whatever mark or line break follows; ids are the library's, special strings inside texts too."""
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.common import pieces
+    from tidemark.llm.token_store import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, library, rng = Encoder(path), Tokenizer.from_file(path), random.Random(5)
+
+    def rows(texts):
+        for lo, hi, buf, offsets in pieces(pa.array(texts)):
+            ids, sizes = e.rows(buf, offsets)
+            for t, end, n in zip(texts[lo:hi], sizes.cumsum().tolist(), sizes.tolist(), strict=True):
+                assert ids[end - n : end].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], t
+
+    rows([" thonshor" + mark + " treelle" + mark for mark in ".,;:!?%*)"])
+    assert len(e.table.keys) == 2 + 9
+    some = ["a", "St", "the", "n't", "'s", "'", " ", "  ", "\n", "\n\n", "\r\n", "\t", ".", ",", "/", "_", "-", '"', ")", "%%%", "1", "é", "日", "😀", "\u00a0", "\u3000", "\u0085", "\x1c", "<|endoftext|>", "<|", "|>", "endoftext", " the"]
+    rows(["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(3000)])

@@ -18,9 +18,15 @@ def may_end_space(last: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return _LAST[last] & _BEFORE[earlier]
 
 
-def space_spans(buf: np.ndarray, offsets: np.ndarray, after_any: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: ASCII letters.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def space_spans(buf: np.ndarray, offsets: np.ndarray, after_any: bool = False, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, rows, leads) of spans that tile each row: a new one begins at each space that follows something
-    other than white space (other than a space, if after_any). leads: is it the row's first."""
+    other than white space (other than a space, if after_any). leads: is it the row's first.
+    marks: of each byte, does a new one begin there after an ASCII letter too; a line break that is marked begins one where a space would."""
     n = len(buf)
     cut = np.zeros(n, bool)
     if n:
@@ -30,7 +36,10 @@ def space_spans(buf: np.ndarray, offsets: np.ndarray, after_any: bool = False) -
             cut = space & (before != 32)
         else:
             earlier = np.concatenate(([32, 32], buf[:-2]))[:n]
+            space |= marks is not None and marks[10] and buf == 10
             cut = space & (before > 32) & ~may_end_space(before, earlier)
+        if marks is not None:
+            cut |= marks[buf] & _LETTER[before]
         first = offsets[:-1][offsets[:-1] < offsets[1:]]
         cut[first] = True
     starts = np.flatnonzero(cut)

@@ -37,6 +37,8 @@ from tidemark.llm.spans_table import SpanTable, may_end_space, space_spans
 
 END_ID = 2
 WINDOW, MEAN_CHUNK, MIN_CHUNK, MAX_CHUNK = 16, 256, 64, 1024
+#: After a letter each of these begins a part of its own, to the byte-level expression; a line break does after anything but white space.
+MARKS = "\n.,;:!?%*)(\"'/-_"
 #: Keys that a task remembers to have sent, and documents of a part of recipes, in the mean.
 SENT_KEYS, PART_DOCS = 1_000_000, 2_000_000
 _ENCODED = "kind int, doc_id long, n_tokens long, keys array<binary>, key binary, data binary"
@@ -45,7 +47,8 @@ _PLACED = "kind int, part int, at long, local_start long, doc_id long, n_tokens
 
 class Encoder:
     """The tokenizers library with a table of distinct spans: what it gives for a span doesn't depend on its neighbours
-    where a span begins at a space after something other than white space."""
+    where a span begins at a space after something other than white space, nor, with the byte-level expression, where it
+    begins at a line break after such or at a mark after a letter."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would each keep memory of their own
@@ -53,7 +56,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
+            whole = json.load(f)
+        spec, parts = whole["model"], whole.get("pre_tokenizer") or {}
+        self.marks = np.zeros(256, bool)
+        if parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not whole.get("normalizer"):
+            kept = "".join(x["content"] for x in whole.get("added_tokens") or [])  # their strings stay whole
+            self.marks[[ord(x) for x in MARKS if x not in kept]] = True
         if spec.get("type") == "BPE":  # each text is given to it once; the table below is the cache
             rest = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
@@ -63,7 +71,7 @@ class Encoder:
         self.n_bytes = np.zeros(self.size, np.int64)
         for text, k in vocab.items():
             self.n_bytes[k] = len(text)  # one character stands for one byte
-        self.table = SpanTable(500_000)
+        self.table = SpanTable(1_000_000)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, a few texts at a time: the library's results are far larger than the ids."""
@@ -75,9 +83,10 @@ class Encoder:
         """Spans are joined to long texts, as their encodings don't depend on each other, and parted by their bytes; odd ones go alone."""
         raw, width = buf.tobytes(), ends - starts
         last, earlier = buf[ends - 1], buf[np.maximum(ends - 2, 0)]
-        plain = (buf[starts] == 32) & (width > 1) & (last > 32) & ~may_end_space(last, earlier)
+        first = buf[starts]
+        plain = ((first == 32) | (first == 10) & self.marks[10]) & (width > 1) & (last > 32) & ~may_end_space(last, earlier)
         joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
-        groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
+        groups = [joined[k : k + 4000] for k in range(0, len(joined), 4000)]
         bounds = [(starts[g].tolist(), ends[g].tolist()) for g in groups]
         texts = [b"".join([raw[s:e] for s, e in zip(*x, strict=True)]).decode() for x in bounds]
         sizes, order, parts = np.zeros(len(starts), np.int64), [], []
@@ -104,7 +113,7 @@ class Encoder:
     def rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids with an end id after each row, number of ids of each row)."""
         n = len(offsets) - 1
-        starts, ends, rows, _ = space_spans(buf, offsets)
+        starts, ends, rows, _ = space_spans(buf, offsets, marks=self.marks)
         at = self.table.resolve(buf, starts, ends, None, lambda w: self._missing(buf, starts[w], ends[w]))
         ids, which = self.table.expand(at)
         row = rows[which]
